@@ -87,3 +87,258 @@ def q_scan_clusters(spark, sf):
 SELECT doc_id, pos, sentence FROM sentences""")
 def q_split_sentences(spark, sf):
     return X.sentences(spark, sf)
+
+
+# ---- sources, filters, pair builds (S1, S2, S6-S8, P1-P8, P11, U1, K1-K5, K7, K8, B1-B4) ----
+
+from paraforge.operators import pairs as P  # noqa: E402
+from paraforge.operators import profile as A  # noqa: E402
+from paraforge.operators.ranking import seeded_shuffle  # noqa: E402
+from paraforge.functions import text as T  # noqa: E402
+from paraforge.sources import io as IO  # noqa: E402
+from paraforge.session import scratch_path  # noqa: E402
+
+V2_FIXTURE_COUNTS = (("train", 200), ("validation", 25), ("test", 25))
+V4_FIXTURE_COUNTS = (("train", 400), ("validation", 50), ("test", 50))
+K1_FIXTURE_N = 100
+
+
+def _qsource(spark, sf):
+    return P.question_source(X.labelled_pairs(spark, sf), *P.BAND)
+
+
+def _both(spark, sf):
+    return P.union_sources([P.question_source(X.labelled_pairs(spark, sf), *P.BAND),
+                            P.declarative_source(X.paraphrase_lists(spark, sf), *P.BAND)])
+
+
+@register("scan_labelled_pairs", f"""WITH {O.cte_labelled_pairs()}
+SELECT ord, doc_id, question1, question2, label FROM labelled_pairs""")
+def q_scan_labelled_pairs(spark, sf):
+    return X.labelled_pairs(spark, sf)
+
+
+@register("filter_positive", f"""WITH {O.cte_labelled_pairs()}
+SELECT ord, question1, question2 FROM labelled_pairs WHERE label = 1""")
+def q_filter_positive(spark, sf):
+    return P.filter_positive(X.labelled_pairs(spark, sf)).select("ord", "question1", "question2")
+
+
+@register("word_overlap", f"""WITH {O.cte_labelled_pairs()}
+SELECT ord, question1 AS sentence1, question2 AS sentence2, round({O.overlap('question1', 'question2')}, 6) AS overlap
+FROM labelled_pairs""")
+def q_word_overlap(spark, sf):
+    pairs = P.normalise_pair_columns(X.labelled_pairs(spark, sf), "question1", "question2", ["ord"])
+    return P.with_overlap(pairs).withColumn("overlap", r6("overlap"))
+
+
+@register("overlap_band", f"""WITH {O.cte_sources(*P.BAND)}
+SELECT ord, sentence1, sentence2, round(overlap, 6) AS overlap FROM qsrc""")
+def q_overlap_band(spark, sf):
+    return _qsource(spark, sf).withColumn("overlap", r6("overlap"))
+
+
+@register("partition_by_threshold", f"""WITH {O.cte_sources(*P.BAND)}
+SELECT ord, round(overlap, 6) AS overlap, CASE WHEN overlap <= 0.5 THEN 'kept' ELSE 'dropped' END AS bucket FROM qpairs""")
+def q_partition_by_threshold(spark, sf):
+    pos = P.filter_positive(X.labelled_pairs(spark, sf))
+    scored = P.with_overlap(P.normalise_pair_columns(pos, "question1", "question2", ["ord"]))
+    return P.partition_by_threshold(scored).select("ord", r6("overlap").alias("overlap"), "bucket")
+
+
+@register("keep_rate", f"""WITH {O.cte_sources(*P.BAND)}
+SELECT count_if(overlap <= 0.5)::BIGINT AS kept, count_if(overlap > 0.5)::BIGINT AS dropped, count(*)::BIGINT AS total,
+       round(count_if(overlap <= 0.5)::DOUBLE / count(*), 6) AS kept_rate FROM qpairs""")
+def q_keep_rate(spark, sf):
+    pos = P.filter_positive(X.labelled_pairs(spark, sf))
+    scored = P.with_overlap(P.normalise_pair_columns(pos, "question1", "question2", ["ord"]))
+    return A.keep_rate(P.partition_by_threshold(scored)).withColumn("kept_rate", r6("kept_rate"))
+
+
+@register("overlap_quantiles", f"""WITH {O.cte_sources(*P.BAND)},
+r AS (SELECT overlap, row_number() OVER (ORDER BY overlap, ord) - 1 AS rk, count(*) OVER () AS n FROM qpairs)
+SELECT count(*)::BIGINT AS n, round(min(overlap), 6) AS min,
+       round(max(CASE WHEN rk = n // 4 THEN overlap END), 6) AS q1,
+       round(max(CASE WHEN rk = n // 2 THEN overlap END), 6) AS median,
+       round(max(CASE WHEN rk = (3 * n) // 4 THEN overlap END), 6) AS q3,
+       round(max(overlap), 6) AS max FROM r""")
+def q_overlap_quantiles(spark, sf):
+    pos = P.filter_positive(X.labelled_pairs(spark, sf))
+    scored = P.with_overlap(P.normalise_pair_columns(pos, "question1", "question2", ["ord"]))
+    out = A.index_quantiles(scored, "overlap", "ord")
+    return out.select("n", *[r6(c).alias(c) for c in ("min", "q1", "median", "q3", "max")])
+
+
+@register("sample_first_n", f"""WITH {O.cte_sources(*P.BAND)}
+SELECT ord, sentence1, sentence2, round(overlap, 6) AS overlap FROM qpairs ORDER BY ord LIMIT 2000""")
+def q_sample_first_n(spark, sf):
+    pos = P.filter_positive(X.labelled_pairs(spark, sf))
+    first = P.first_n_per_source(pos, A.QUANTILE_SAMPLE, source=None)
+    pairs = P.normalise_pair_columns(first, "question1", "question2", ["ord"])
+    return P.with_overlap(pairs).withColumn("overlap", r6("overlap"))
+
+
+@register("preview_k", f"""WITH {O.cte_sources(*P.BAND)}
+SELECT ord, sentence1, sentence2, round(overlap, 6) AS overlap FROM qpairs WHERE overlap <= 0.5 ORDER BY ord LIMIT 10""")
+def q_preview_k(spark, sf):
+    pos = P.filter_positive(X.labelled_pairs(spark, sf))
+    scored = P.with_overlap(P.normalise_pair_columns(pos, "question1", "question2", ["ord"]))
+    kept = P.partition_by_threshold(scored).filter(F.col("bucket") == "kept")
+    return P.first_n_per_source(kept, 10, source=None).select("ord", "sentence1", "sentence2", r6("overlap").alias("overlap"))
+
+
+@register("scan_paraphrase_lists", f"""WITH {O.cte_paraphrase_lists()}
+SELECT ord, text, paraphrases, category, source FROM paraphrase_lists""")
+def q_scan_paraphrase_lists(spark, sf):
+    return X.paraphrase_lists(spark, sf)
+
+
+@register("parse_paraphrase_list", f"""WITH {O.cte_paraphrase_lists()}
+SELECT ord, len({O.parse_list('paraphrases')})::INTEGER AS n_paraphrases, {O.parse_list('paraphrases')}[1] AS first_paraphrase
+FROM paraphrase_lists""")
+def q_parse_paraphrase_list(spark, sf):
+    lists = X.paraphrase_lists(spark, sf).withColumn("arr", T.parse_paraphrase_list("paraphrases"))
+    return lists.select("ord", F.size("arr").alias("n_paraphrases"), T.first_paraphrase("arr").alias("first_paraphrase"))
+
+
+@register("filter_category", f"""WITH {O.cte_paraphrase_lists()}
+SELECT ord, text FROM paraphrase_lists WHERE category = 'sentence'""")
+def q_filter_category(spark, sf):
+    return P.filter_category(X.paraphrase_lists(spark, sf), "==", "sentence").select("ord", "text")
+
+
+@register("filter_category_complement", f"""WITH {O.cte_paraphrase_lists()}
+SELECT ord, text, category FROM paraphrase_lists WHERE category IS DISTINCT FROM 'question'""")
+def q_filter_category_complement(spark, sf):
+    return P.filter_category(X.paraphrase_lists(spark, sf), "!=", "question").select("ord", "text", "category")
+
+
+@register("value_counts_category", f"""WITH {O.cte_paraphrase_lists()}
+SELECT category AS value, count(*)::BIGINT AS count, min(ord)::BIGINT AS first_ord FROM paraphrase_lists GROUP BY category""")
+def q_value_counts_category(spark, sf):
+    return A.value_counts(X.paraphrase_lists(spark, sf), "category")
+
+
+@register("value_counts_source", f"""WITH {O.cte_paraphrase_lists()}
+SELECT source AS value, count(*)::BIGINT AS count, min(ord)::BIGINT AS first_ord FROM paraphrase_lists GROUP BY source""")
+def q_value_counts_source(spark, sf):
+    return A.value_counts(X.paraphrase_lists(spark, sf), "source")
+
+
+@register("category_preview", f"""WITH {O.cte_paraphrase_lists()}
+SELECT ord, text, category FROM paraphrase_lists WHERE category IS DISTINCT FROM 'question' ORDER BY ord LIMIT 5""")
+def q_category_preview(spark, sf):
+    comp = P.filter_category(X.paraphrase_lists(spark, sf), "!=", "question")
+    return P.first_n_per_source(comp, 5, source=None).select("ord", "text", "category")
+
+
+@register("split_by_ratio", f"""WITH {O.cte_sentence_pairs()}
+SELECT ord, sentence1, sentence2, label, split FROM sentence_pairs""")
+def q_split_by_ratio(spark, sf):
+    return X.sentence_pairs(spark, sf)
+
+
+@register("table_profile", f"""WITH {O.cte_sentence_pairs()}
+SELECT split, count(*)::BIGINT AS num_rows, 5 AS num_columns, 'ord,sentence1,sentence2,label,split' AS columns
+FROM sentence_pairs GROUP BY split""")
+def q_table_profile(spark, sf):
+    return IO.table_profile(X.sentence_pairs(spark, sf)).withColumn("num_columns", F.col("num_columns").cast("int"))
+
+
+@register("build_pairs_v1", f"""WITH {O.cte_sentence_pairs()},
+r AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY ord) AS rn FROM sentence_pairs WHERE label = 1)
+SELECT split, ord, sentence1, sentence2 FROM r
+WHERE rn <= CASE split WHEN 'train' THEN 5000 WHEN 'validation' THEN 500 WHEN 'test' THEN 500 END""")
+def q_build_pairs_v1(spark, sf):
+    return P.build_pairs_v1(X.sentence_pairs(spark, sf))
+
+
+def _v2_sql(counts, target, salt, name):
+    a, b, c = (x[1] for x in counts)
+    return f"""WITH {O.cte_sources(*P.BAND)},
+capped AS (SELECT * FROM qsrc ORDER BY ord LIMIT {target}),
+r AS (SELECT *, row_number() OVER (ORDER BY {O.md5_key('ord', seed=salt)}, ord) - 1 AS rk FROM capped)
+SELECT CASE WHEN rk < {a} THEN 'train' WHEN rk < {a + b} THEN 'validation' ELSE 'test' END AS split,
+       ord, sentence1, sentence2, round(overlap, 6) AS overlap FROM r WHERE rk < {a + b + c}"""
+
+
+@register("build_pairs_v2", _v2_sql(V2_FIXTURE_COUNTS, P.V2_TARGET, f"{P.SEED}:split", "v2"))
+def q_build_pairs_v2(spark, sf):
+    out = P.build_pairs_v2(X.labelled_pairs(spark, sf), counts=V2_FIXTURE_COUNTS)
+    return out.withColumn("overlap", r6("overlap"))
+
+
+@register("build_pairs_v4", _v2_sql(V4_FIXTURE_COUNTS, P.V4_TARGET, str(P.SEED), "v4"))
+def q_build_pairs_v4(spark, sf):
+    out = P.build_pairs_v4(X.labelled_pairs(spark, sf), counts=V4_FIXTURE_COUNTS)
+    return out.withColumn("overlap", r6("overlap"))
+
+
+@register("union_sources", f"""WITH {O.cte_sources(*P.BAND)}
+SELECT source_rank, ord, sentence1, sentence2, round(overlap, 6) AS overlap FROM both_src""")
+def q_union_sources(spark, sf):
+    return _both(spark, sf).select("source_rank", "ord", "sentence1", "sentence2", r6("overlap").alias("overlap"))
+
+
+@register("first_n_per_source", f"""WITH {O.cte_sources(*P.BAND)},
+r AS (SELECT *, row_number() OVER (PARTITION BY source_rank ORDER BY ord) AS rn FROM both_src)
+SELECT source_rank, ord, sentence1, sentence2 FROM r WHERE rn <= {K1_FIXTURE_N}""")
+def q_first_n_per_source(spark, sf):
+    return P.first_n_per_source(_both(spark, sf), K1_FIXTURE_N).select("source_rank", "ord", "sentence1", "sentence2")
+
+
+@register("seeded_shuffle", f"""WITH {O.cte_sources(*P.BAND)}
+SELECT source_rank, ord, (row_number() OVER (ORDER BY {O.md5_key('source_rank', 'ord')}, source_rank, ord) - 1)::BIGINT AS shuffle_rank
+FROM both_src""")
+def q_seeded_shuffle(spark, sf):
+    return seeded_shuffle(_both(spark, sf), ["source_rank", "ord"], P.SEED).select("source_rank", "ord", "shuffle_rank")
+
+
+def _v5_sql(target):
+    return f"""WITH {O.cte_sources(*P.BAND)},
+capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_rank ORDER BY ord) AS rn FROM both_src) WHERE rn <= {target}),
+cn AS (SELECT count(*) AS n FROM capped),
+r AS (SELECT capped.*, n, row_number() OVER (ORDER BY {O.md5_key('source_rank', 'ord')}, source_rank, ord) - 1 AS rk FROM capped, cn)
+SELECT CASE WHEN rk < floor(n * 0.85) THEN 'train' WHEN rk < floor(n * 0.85) + floor(n * 0.075) THEN 'validation' ELSE 'test' END AS split,
+       source_rank, ord, sentence1, sentence2, round(overlap, 6) AS overlap FROM r"""
+
+
+@register("build_pairs_v5", _v5_sql(P.V5_TARGET))
+def q_build_pairs_v5(spark, sf):
+    out = P.build_pairs_v5(X.labelled_pairs(spark, sf), X.paraphrase_lists(spark, sf))
+    return out.withColumn("overlap", r6("overlap"))
+
+
+@register("build_pairs_v6", _v5_sql(P.V6_TARGET))
+def q_build_pairs_v6(spark, sf):
+    out = P.build_pairs_v6(X.labelled_pairs(spark, sf), X.paraphrase_lists(spark, sf))
+    return out.withColumn("overlap", r6("overlap"))
+
+
+@register("training_examples", f"""WITH {O.cte_sentence_pairs()},
+r AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY ord) AS rn FROM sentence_pairs WHERE label = 1)
+SELECT split, 'paraphrase: ' || sentence1 AS input_text, sentence2 AS target_text FROM r
+WHERE rn <= CASE split WHEN 'train' THEN 5000 WHEN 'validation' THEN 500 WHEN 'test' THEN 500 END""")
+def q_training_examples(spark, sf):
+    return P.training_examples(P.build_pairs_v1(X.sentence_pairs(spark, sf)))
+
+
+@register("build_stage_counts", f"""WITH {O.cte_sources(*P.BAND)}
+SELECT 'question_positives' AS stage, count(*)::BIGINT AS num_rows FROM qpairs
+UNION ALL SELECT 'question_in_band', count(*)::BIGINT FROM qsrc
+UNION ALL SELECT 'question_capped', least(count(*), {P.V5_TARGET})::BIGINT FROM qsrc
+UNION ALL SELECT 'declarative_rows', count(*)::BIGINT FROM dpairs
+UNION ALL SELECT 'declarative_in_band', count(*)::BIGINT FROM dsrc
+UNION ALL SELECT 'declarative_capped', least(count(*), {P.V5_TARGET})::BIGINT FROM dsrc""")
+def q_build_stage_counts(spark, sf):
+    return P.build_stage_counts(X.labelled_pairs(spark, sf), X.paraphrase_lists(spark, sf))
+
+
+@register("write_read_splits", _v5_sql(P.V6_TARGET).replace("FROM r", "FROM r WHERE rk >= floor(n * 0.85)"))
+def q_write_read_splits(spark, sf):
+    """S6 + S7: write the v6 split set partitioned by split into the shared folder, read the
+    validation and test folders back (PartitionFilters prune the train folder)."""
+    out = P.build_pairs_v6(X.labelled_pairs(spark, sf), X.paraphrase_lists(spark, sf))
+    path = IO.write_splits(out.withColumn("overlap", r6("overlap")), scratch_path(spark, "splits_v6"))
+    back = IO.read_splits(spark, path)
+    return back.filter(F.col("split") != "train").select("split", "source_rank", "ord", "sentence1", "sentence2", "overlap")

@@ -148,3 +148,31 @@ candidates AS (
   SELECT '{prefix}' || CAST(a.tid AS VARCHAR) || ':' || CAST(a.pos AS VARCHAR) AS sentence_id,
          a.sentence AS original, (b.pos - a.pos - 1)::INTEGER AS gen_idx, b.sentence AS text
   FROM items a JOIN items b ON a.tid = b.tid AND b.pos BETWEEN a.pos + 1 AND a.pos + 8)"""
+
+
+def cte_sentence_pairs() -> str:
+    return cte_labelled_pairs() + """,
+lp_n AS (SELECT count(*) AS n FROM labelled_pairs),
+sentence_pairs AS (
+  SELECT ord, question1 AS sentence1, question2 AS sentence2, label,
+         CASE WHEN ord < floor(n * 0.8) THEN 'train'
+              WHEN ord < floor(n * 0.8) + floor(n * 0.1) THEN 'validation' ELSE 'test' END AS split
+  FROM labelled_pairs, lp_n)"""
+
+
+def parse_list(x: str) -> str:
+    fixed = f"regexp_replace({x}, '\\\\x([0-9a-fA-F]{{2}})', '\\\\u00\\1', 'g')"
+    return f"from_json({fixed}, '[\"VARCHAR\"]')"
+
+
+def cte_sources(lo: float, hi: float) -> str:
+    """Question pairs (labelled, positive) and declarative pairs (first paraphrase), in band."""
+    return cte_labelled_pairs() + ",\n" + cte_paraphrase_lists() + f""",
+qpairs AS (SELECT ord, question1 AS sentence1, question2 AS sentence2, {overlap('question1', 'question2')} AS overlap
+           FROM labelled_pairs WHERE label = 1),
+qsrc AS (SELECT 0 AS source_rank, * FROM qpairs WHERE overlap BETWEEN {lo} AND {hi}),
+dpairs AS (SELECT ord, text AS sentence1, {parse_list('paraphrases')}[1] AS sentence2 FROM paraphrase_lists
+           WHERE category = 'sentence'),
+dsrc AS (SELECT 1 AS source_rank, ord, sentence1, sentence2, {overlap('sentence1', 'sentence2')} AS overlap FROM dpairs
+         WHERE {overlap('sentence1', 'sentence2')} BETWEEN {lo} AND {hi}),
+both_src AS (SELECT * FROM qsrc UNION ALL SELECT * FROM dsrc)"""

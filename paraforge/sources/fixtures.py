@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paraforge.functions import text as T
-from paraforge.operators.ranking import with_global_rank, with_rank_in_group
+from paraforge.operators.ranking import split_by_ratio, with_global_rank, with_rank_in_group
 from paraforge.sources.io import read_supplied, spread
 
 FOLLOWERS = 8          # candidates / labelled pairs: each sentence with the next 8
@@ -66,6 +66,19 @@ def labelled_pairs(spark: SparkSession, sf_dir: str, with_ord: bool = True) -> D
                         "doc_id", "question1", "question2", "label")
 
 
+SPLIT_RATIOS = (("train", 0.8), ("validation", 0.1))  # sentence_pairs: the rest is test
+
+
+def sentence_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ord, sentence1, sentence2, label, split): labelled pairs with positional splits
+    (first 80% train, next 10% validation, rest test), like a dataset's pre-made splits."""
+    lp = labelled_pairs(spark, sf_dir)
+    total = lp.select(F.count(F.lit(1))).scalar()
+    out = split_by_ratio(lp, "ord", total, SPLIT_RATIOS)
+    return out.select("ord", F.col("question1").alias("sentence1"), F.col("question2").alias("sentence2"),
+                      "label", "split")
+
+
 def paraphrase_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ord, text, paraphrases, category, source): each conversation sentence that has a
     follower, with the next 5 as a list literal. category 'sentence' for assistant turns."""
