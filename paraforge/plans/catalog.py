@@ -342,3 +342,148 @@ def q_write_read_splits(spark, sf):
     path = IO.write_splits(out.withColumn("overlap", r6("overlap")), scratch_path(spark, "splits_v6"))
     back = IO.read_splits(spark, path)
     return back.filter(F.col("split") != "train").select("split", "source_rank", "ord", "sentence1", "sentence2", "overlap")
+
+
+# ---- selection (C1-C7, F4-F7, A7, A8, J4, J6, B7, B8) ----------------------------------------
+
+from paraforge.operators import select as C  # noqa: E402
+
+FIXTURE_SIM = 0.3            # term-frequency cosine of neighbouring sentences is low: C4 at 0.3
+SWEEP = (0.85, 0.5, 0.3)
+
+
+def _scored(spark, sf, source="conversations", k=X.FOLLOWERS):
+    return C.candidate_scores(X.candidates(spark, sf, source, k))
+
+
+def _selected_out(sel: DataFrame) -> DataFrame:
+    out = C.confident_or_original(sel)
+    return out.select("sentence_id", "original", "paraphrased", "confident",
+                      F.coalesce(F.col("sel.gen_idx"), F.lit(-1)).alias("gen_idx"), r6(F.col("sel.overlap")).alias("overlap"))
+
+
+@register("candidate_scores", f"""WITH {O.cte_scored()}
+SELECT sentence_id, gen_idx, text, round(overlap, 6) AS overlap, round(similarity, 6) AS similarity FROM scored""")
+def q_candidate_scores(spark, sf):
+    s = _scored(spark, sf)
+    return s.select("sentence_id", "gen_idx", "text", r6("overlap").alias("overlap"), r6("similarity").alias("similarity"))
+
+
+@register("select_lowest_overlap", f"""WITH {O.cte_scored()}, {O.select_sql('overlap > 0.05', True)}
+SELECT * FROM selected""")
+def q_select_lowest_overlap(spark, sf):
+    return _selected_out(C.select_long(_scored(spark, sf), "lowest_overlap"))
+
+
+@register("select_meaning_gate", f"""WITH {O.cte_scored('documents')}, {O.select_sql('similarity >= 0.75 AND overlap <= 0.6', False)}
+SELECT * FROM selected""")
+def q_select_meaning_gate(spark, sf):
+    return _selected_out(C.select_long(_scored(spark, sf, "documents"), "meaning_gate"))
+
+
+@register("select_or_lowest", f"""WITH {O.cte_scored()}, {O.select_sql(f'similarity >= {FIXTURE_SIM} AND overlap <= 0.6', True)}
+SELECT * FROM selected""")
+def q_select_or_lowest(spark, sf):
+    return _selected_out(C.select_long(_scored(spark, sf), "or_lowest", sim=FIXTURE_SIM))
+
+
+_GROUNDED = (f"similarity >= {FIXTURE_SIM} AND overlap >= 0.1 AND overlap <= 0.55 "
+             f"AND NOT {O.new_entities('original', 'text')}")
+
+
+@register("select_grounded", f"""WITH {O.cte_scored()}, {O.select_sql(_GROUNDED, False)}
+SELECT * FROM selected""")
+def q_select_grounded(spark, sf):
+    return _selected_out(C.select_long(_scored(spark, sf), "grounded", sim=FIXTURE_SIM))
+
+
+@register("select_grounded_nested", f"""WITH {O.cte_scored()}, {O.select_sql(_GROUNDED, False)}
+SELECT * FROM selected""")
+def q_select_grounded_nested(spark, sf):
+    nested = C.nest_candidates(_scored(spark, sf))
+    return _selected_out(C.select_nested(nested, "grounded", sim=FIXTURE_SIM))
+
+
+@register("confidence_rate", f"""WITH {O.cte_scored()}, {O.select_sql(_GROUNDED, False)}
+SELECT count_if(confident)::BIGINT AS confident, count(*)::BIGINT AS total,
+       round(count_if(confident)::DOUBLE / count(*), 6) AS rate FROM selected""")
+def q_confidence_rate(spark, sf):
+    sel = C.confident_or_original(C.select_long(_scored(spark, sf), "grounded", sim=FIXTURE_SIM))
+    return A.confidence_rate(sel).withColumn("rate", r6("rate"))
+
+
+def _sweep_sql() -> str:
+    parts = []
+    for t in SWEEP:
+        cond = (f"similarity >= {t} AND overlap >= 0.1 AND overlap <= 0.55 "
+                f"AND NOT {O.new_entities('original', 'text')}")
+        parts.append(f"SELECT {t}::DOUBLE AS threshold, count(DISTINCT sentence_id) FILTER (WHERE {cond})::BIGINT AS confident, "
+                     f"count(DISTINCT sentence_id)::BIGINT AS total FROM scored")
+    body = " UNION ALL ".join(parts)
+    return f"""WITH {O.cte_scored()}, sw AS ({body})
+SELECT threshold, confident, total, round(confident::DOUBLE / total, 6) AS rate FROM sw"""
+
+
+@register("threshold_sweep", _sweep_sql())
+def q_threshold_sweep(spark, sf):
+    """A8 via J6: every candidate against every threshold (a Generate, not a join), then the
+    grounded rule and the confidence rate per threshold, from one pass over the candidates."""
+    scored = A.threshold_cross(_scored(spark, sf), SWEEP)
+    # the grounded rule with the similarity bound taken from the row's threshold
+    cond = (F.col("similarity") >= F.col("threshold")) & (F.col("overlap") >= C.FINAL_LO) & \
+           (F.col("overlap") <= C.FINAL_HI) & ~T.introduces_new_entities("original", "text")
+    per = scored.groupBy("threshold", "sentence_id").agg(F.max(cond.cast("int")).alias("ok"))
+    out = per.groupBy("threshold").agg(F.sum("ok").cast("long").alias("confident"),
+                                       F.count(F.lit(1)).cast("long").alias("total"))
+    return out.withColumn("rate", r6(F.col("confident") / F.col("total")))
+
+
+@register("compare_models", f"""WITH {O.cte_scored()}, {O.select_sql(f'similarity >= 0.75 AND overlap <= 0.6', True)},
+sel8 AS (SELECT sentence_id, paraphrased AS paraphrased_a, confident AS confident_a FROM selected),
+sel4 AS (
+  SELECT sentence_id, text AS paraphrased_b, true AS confident_b FROM (
+    SELECT *, row_number() OVER (PARTITION BY sentence_id ORDER BY
+      CASE WHEN similarity >= 0.75 AND overlap <= 0.6 THEN 0 ELSE 1 END, overlap, gen_idx) AS rk
+    FROM scored WHERE gen_idx < 4) WHERE rk = 1)
+SELECT * FROM sel8 JOIN sel4 USING (sentence_id)""")
+def q_compare_models(spark, sf):
+    """Two runs (8 candidates vs 4 candidates per sentence) through C3, side by side."""
+    scored = _scored(spark, sf)
+    a = C.confident_or_original(C.select_long(scored, "or_lowest"))
+    b = C.confident_or_original(C.select_long(scored.filter(F.col("gen_idx") < 4), "or_lowest"))
+    return A.compare_models(a, b)
+
+
+@register("proper_nouns", f"""WITH {O.cte_sentences()}
+SELECT doc_id, pos, array_to_string(list_sort({O.proper_nouns('sentence')}), '|') AS proper_nouns,
+       array_to_string(list_sort({O.numbers('sentence')}), '|') AS numbers FROM sentences""")
+def q_proper_nouns(spark, sf):
+    s = X.sentences(spark, sf)
+    return s.select("doc_id", "pos", F.array_join(F.array_sort(T.proper_nouns("sentence")), "|").alias("proper_nouns"),
+                    F.array_join(F.array_sort(T.numbers("sentence")), "|").alias("numbers"))
+
+
+@register("introduces_new_entities", f"""WITH {O.cte_candidates('documents')}
+SELECT sentence_id, gen_idx, {O.new_entities('original', 'text')} AS new_entities FROM candidates""")
+def q_introduces_new_entities(spark, sf):
+    c = X.candidates(spark, sf, "documents")
+    return c.select("sentence_id", "gen_idx", T.introduces_new_entities("original", "text").alias("new_entities"))
+
+
+@register("cosine_similarity", """WITH
+dims AS (SELECT e.vec_id, e.label, u.i AS i, e.embedding[u.i]::DOUBLE AS x FROM embeddings e, range(1, len(e.embedding) + 1) u(i)),
+cent AS (SELECT label, i, avg(x) AS m FROM dims GROUP BY label, i),
+agg AS (SELECT d.vec_id, d.label, sum(d.x * c.m) AS dot, sqrt(sum(d.x * d.x)) AS nu, sqrt(sum(c.m * c.m)) AS nv
+        FROM dims d JOIN cent c ON c.label = d.label AND c.i = d.i - 1 + 1 GROUP BY d.vec_id, d.label)
+SELECT vec_id, label, round(CASE WHEN nu = 0 OR nv = 0 THEN 0.0 ELSE dot / (nu * nv) END, 6) AS similarity FROM agg""")
+def q_cosine_similarity(spark, sf):
+    out = C.centroid_similarity(X.vectors(spark, sf))
+    return out.withColumn("similarity", r6("similarity"))
+
+
+@register("evaluate_selection", f"""WITH {O.cte_scored()}, {O.select_sql(_GROUNDED, False)}
+SELECT sentence_id, paraphrased, confident FROM selected""")
+def q_evaluate_selection(spark, sf):
+    """Candidates -> C7 -> C4 -> C5 (the per-sentence report behind A7/A8)."""
+    sel = C.confident_or_original(C.select_long(_scored(spark, sf), "grounded", sim=FIXTURE_SIM))
+    return sel.select("sentence_id", "paraphrased", "confident")

@@ -176,3 +176,39 @@ dpairs AS (SELECT ord, text AS sentence1, {parse_list('paraphrases')}[1] AS sent
 dsrc AS (SELECT 1 AS source_rank, ord, sentence1, sentence2, {overlap('sentence1', 'sentence2')} AS overlap FROM dpairs
          WHERE {overlap('sentence1', 'sentence2')} BETWEEN {lo} AND {hi}),
 both_src AS (SELECT * FROM qsrc UNION ALL SELECT * FROM dsrc)"""
+
+
+def cte_scored(source: str = "conversations") -> str:
+    """candidates + overlap + term-frequency cosine similarity."""
+    return cte_candidates(source) + f""",
+cpairs AS (SELECT DISTINCT original, text FROM candidates),
+texts AS (SELECT original AS t FROM cpairs UNION SELECT text FROM cpairs),
+tf AS (SELECT t, tok, count(*) AS c FROM (SELECT t, unnest({words('lower(t)')}) AS tok FROM texts) GROUP BY t, tok),
+nrm AS (SELECT t, sqrt(sum(c * c)) AS nrm FROM tf GROUP BY t),
+dots AS (SELECT p.original, p.text, sum(a.c * b.c) AS dot FROM cpairs p JOIN tf a ON a.t = p.original
+         JOIN tf b ON b.t = p.text AND b.tok = a.tok GROUP BY p.original, p.text),
+sims AS (SELECT p.original, p.text,
+           CASE WHEN na.nrm IS NULL OR nb.nrm IS NULL OR na.nrm = 0 OR nb.nrm = 0 THEN 0.0
+                ELSE coalesce(d.dot, 0)::DOUBLE / (na.nrm * nb.nrm) END AS similarity
+         FROM cpairs p LEFT JOIN dots d ON d.original = p.original AND d.text = p.text
+         LEFT JOIN nrm na ON na.t = p.original LEFT JOIN nrm nb ON nb.t = p.text),
+scored AS (SELECT c.sentence_id, c.original, c.gen_idx, c.text, {overlap('c.original', 'c.text')} AS overlap, s.similarity
+           FROM candidates c JOIN sims s ON s.original = c.original AND s.text = c.text)"""
+
+
+def select_sql(cond: str, fallback: bool) -> str:
+    """Selection over ``scored``: lowest (overlap, gen_idx) among passing candidates."""
+    fb_join = "LEFT JOIN lowest l USING (sentence_id)" if fallback else ""
+    fb = "l." if fallback else "b."
+    return f"""passing AS (SELECT *, row_number() OVER (PARTITION BY sentence_id ORDER BY overlap, gen_idx) AS rn
+            FROM scored WHERE {cond}),
+best AS (SELECT * FROM passing WHERE rn = 1),
+lowest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sentence_id ORDER BY overlap, gen_idx) AS rn FROM scored) WHERE rn = 1),
+sents AS (SELECT DISTINCT sentence_id, original FROM scored),
+selected AS (
+  SELECT s.sentence_id, s.original,
+         coalesce(b.text, {fb}text, s.original) AS paraphrased,
+         (b.sentence_id IS NOT NULL {'OR l.sentence_id IS NOT NULL' if fallback else ''}) AS confident,
+         coalesce(b.gen_idx, {fb}gen_idx, -1)::INTEGER AS gen_idx,
+         round(coalesce(b.overlap, {fb}overlap), 6) AS overlap
+  FROM sents s LEFT JOIN best b USING (sentence_id) {fb_join})"""
