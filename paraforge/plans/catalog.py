@@ -487,3 +487,83 @@ def q_evaluate_selection(spark, sf):
     """Candidates -> C7 -> C4 -> C5 (the per-sentence report behind A7/A8)."""
     sel = C.confident_or_original(C.select_long(_scored(spark, sf), "grounded", sim=FIXTURE_SIM))
     return sel.select("sentence_id", "paraphrased", "confident")
+
+
+# ---- lexicon (J2, J3, A6, K9-K11, F8-F10, U4, H4 default, R3) --------------------------------
+
+from paraforge.operators import lexicon as LX  # noqa: E402
+
+
+def _lex(spark, sf):
+    return X.word_synsets(spark, sf), X.synset_lemmas(spark, sf)
+
+
+@register("lexicon_lookup", f"""WITH {O.cte_lexicon()}
+SELECT DISTINCT r.request_id, lower(replace(l.lemma, '_', ' ')) AS candidate
+FROM requests r JOIN word_synsets ws ON ws.word = lower(r.word) JOIN synset_lemmas l ON l.synset_id = ws.synset_id
+WHERE lower(replace(l.lemma, '_', ' ')) <> lower(r.word) AND NOT contains(replace(l.lemma, '_', ' '), ' ')""")
+def q_lexicon_lookup(spark, sf):
+    ws, sl = _lex(spark, sf)
+    return LX.lexicon_candidates(X.synonym_requests(spark, sf), ws, sl)
+
+
+@register("synonym_frequency", f"""WITH {O.cte_lexicon()},
+w AS (SELECT DISTINCT word FROM requests)
+SELECT w.word, replace(l.lemma, '_', ' ') AS name, sum(l.lemma_count)::BIGINT AS freq, min(l.ord)::BIGINT AS first_ord
+FROM w JOIN word_synsets ws ON ws.word = lower(w.word) JOIN synset_lemmas l ON l.synset_id = ws.synset_id
+WHERE lower(replace(l.lemma, '_', ' ')) <> lower(w.word)
+GROUP BY w.word, replace(l.lemma, '_', ' ')""")
+def q_synonym_frequency(spark, sf):
+    ws, sl = _lex(spark, sf)
+    return LX.synonym_frequency(X.synonym_requests(spark, sf), ws, sl)
+
+
+@register("topk_synonyms", f"""WITH {O.cte_lexicon()},
+w AS (SELECT DISTINCT word FROM requests),
+f AS (SELECT w.word, replace(l.lemma, '_', ' ') AS name, sum(l.lemma_count) AS freq, min(l.ord) AS first_ord
+      FROM w JOIN word_synsets ws ON ws.word = lower(w.word) JOIN synset_lemmas l ON l.synset_id = ws.synset_id
+      WHERE lower(replace(l.lemma, '_', ' ')) <> lower(w.word) GROUP BY w.word, replace(l.lemma, '_', ' ')),
+r AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY freq DESC, first_ord) AS rank FROM f)
+SELECT word, rank::INTEGER AS rank, name, freq::BIGINT AS freq FROM r WHERE rank <= 8""")
+def q_topk_synonyms(spark, sf):
+    ws, sl = _lex(spark, sf)
+    top = LX.topk_synonyms(LX.synonym_frequency(X.synonym_requests(spark, sf), ws, sl))
+    return top.select("word", "rank", "name", "freq")
+
+
+@register("mask_word", f"""WITH {O.cte_lexicon()}
+SELECT request_id, {O.mask_sql('text', 'word')} AS masked FROM requests""")
+def q_mask_word(spark, sf):
+    return LX.mask_requests(X.synonym_requests(spark, sf)).select("request_id", "masked")
+
+
+_PRED_SQL = f"""masked AS (SELECT request_id, {O.mask_sql('text', 'word')} AS masked FROM requests),
+ctx AS (SELECT request_id, regexp_replace(lower(regexp_extract(masked, '([^' || {O.q(O.WS[1:-1])} || ']+)' || {O.q(O.WS)} || '+\\[MASK\\]', 1)), '[^\\pL]', '', 'g') AS prev
+        FROM masked WHERE contains(masked, '[MASK]')),
+topb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY prev ORDER BY score DESC, token) AS rk FROM bigram) WHERE rk <= 100),
+preds AS (SELECT c.request_id, t.token, t.score FROM ctx c JOIN topb t ON t.prev = c.prev WHERE c.prev <> '')"""
+
+
+@register("predict_masked", f"""WITH {O.cte_lexicon()}, {_PRED_SQL}
+SELECT request_id, token, round(score, 6) AS score FROM preds""")
+def q_predict_masked(spark, sf):
+    """H4 default + K11: top-100 left-neighbour predictions for every masked request."""
+    predict = LX.bigram_predictor(X.bigram_shares(spark, sf))
+    masked = LX.mask_requests(X.synonym_requests(spark, sf)).filter(F.col("masked").contains(T.MASK_TOKEN))
+    return predict(masked).withColumn("score", r6("score"))
+
+
+@register("contextual_synonyms", f"""WITH {O.cte_lexicon()}, {_PRED_SQL},
+cands AS (SELECT DISTINCT r.request_id, lower(replace(l.lemma, '_', ' ')) AS candidate
+          FROM requests r JOIN word_synsets ws ON ws.word = lower(r.word) JOIN synset_lemmas l ON l.synset_id = ws.synset_id
+          WHERE lower(replace(l.lemma, '_', ' ')) <> lower(r.word) AND NOT contains(replace(l.lemma, '_', ' '), ' ')),
+scored AS (SELECT c.request_id, c.candidate, coalesce(p.score, 0.0) AS score FROM cands c
+           JOIN ctx USING (request_id) LEFT JOIN preds p ON p.request_id = c.request_id AND p.token = c.candidate),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, candidate) AS rk FROM scored),
+syn AS (SELECT request_id, string_agg(candidate, ',' ORDER BY rk) AS synonyms FROM ranked WHERE rk <= 5 AND score > 0 GROUP BY request_id)
+SELECT r.request_id, r.word, coalesce(s.synonyms, '') AS synonyms FROM requests r LEFT JOIN syn s USING (request_id)""")
+def q_contextual_synonyms(spark, sf):
+    """R3 over every synonym request: lexicon candidates re-ranked by the context predictor."""
+    ws, sl = _lex(spark, sf)
+    out = LX.contextual_synonyms(X.synonym_requests(spark, sf), ws, sl, LX.bigram_predictor(X.bigram_shares(spark, sf)))
+    return out.select("request_id", "word", F.array_join("synonyms", ",").alias("synonyms"))

@@ -212,3 +212,34 @@ selected AS (
          coalesce(b.gen_idx, {fb}gen_idx, -1)::INTEGER AS gen_idx,
          round(coalesce(b.overlap, {fb}overlap), 6) AS overlap
   FROM sents s LEFT JOIN best b USING (sentence_id) {fb_join})"""
+
+
+def clean_words(x: str) -> str:
+    return f"list_filter(list_transform({words(x)}, lambda w: regexp_replace(lower(w), '[^\\pL]', '', 'g')), lambda w: w <> '')"
+
+
+def cte_lexicon() -> str:
+    from paraforge.sources.fixtures import EXTRA_LEMMAS
+    extra = ", ".join(f"({q(a)}, {q(b)}, {c})" for a, b, c in EXTRA_LEMMAS)
+    return cte_conv_sentences() + f""",
+cw AS (SELECT c.conv_id, c.pos, u.i - 1 AS i, c.ws[u.i] AS w
+       FROM (SELECT conv_id, pos, {clean_words('sentence')} AS ws FROM conv_sentences) c, range(1, len(c.ws) + 1) u(i)),
+lexwords AS (SELECT DISTINCT w AS word FROM cw WHERE length(w) >= 3),
+word_synsets AS (SELECT word, 'p:' || substr(word, 1, 3) AS synset_id FROM lexwords
+                 UNION ALL SELECT word, 's:' || right(word, 4) FROM lexwords),
+freq AS (SELECT w AS word, count(*) AS lemma_count FROM cw WHERE length(w) >= 3 GROUP BY w),
+lem0 AS (SELECT ws.synset_id, ws.word AS lemma, f.lemma_count FROM word_synsets ws JOIN freq f USING (word)
+         UNION ALL SELECT * FROM (VALUES {extra}) v(synset_id, lemma, lemma_count)),
+synset_lemmas AS (SELECT synset_id, lemma, lemma_count, row_number() OVER (ORDER BY synset_id, lemma) - 1 AS ord FROM lem0),
+bg AS (SELECT a.w AS prev, b.w AS token, count(*) AS n FROM cw a JOIN cw b ON a.conv_id = b.conv_id AND a.pos = b.pos AND b.i = a.i + 1
+       GROUP BY a.w, b.w),
+bigram AS (SELECT prev, token, n::DOUBLE / sum(n) OVER (PARTITION BY prev) AS score FROM bg),
+req AS (SELECT 'c' || CAST(conv_id AS VARCHAR) || ':' || CAST(pos AS VARCHAR) AS request_id, sentence AS text,
+               regexp_replace({words('sentence')}[2], '[^\\pL]', '', 'g') AS word
+        FROM conv_sentences WHERE len({words('sentence')}) >= 2),
+requests AS (SELECT * FROM req WHERE word <> '')"""
+
+
+def mask_sql(text: str, word: str) -> str:
+    pat = f"'(?is)^(.*?)(^|{NONWORD})\\Q' || {word} || '\\E({NONWORD}|$)'"
+    return f"regexp_replace({text}, {pat}, '\\1\\2[MASK]\\3')"
