@@ -567,3 +567,116 @@ def q_contextual_synonyms(spark, sf):
     ws, sl = _lex(spark, sf)
     out = LX.contextual_synonyms(X.synonym_requests(spark, sf), ws, sl, LX.bigram_predictor(X.bigram_shares(spark, sf)))
     return out.select("request_id", "word", F.array_join("synonyms", ",").alias("synonyms"))
+
+
+# ---- model hooks (H1-H6) and request jobs (R1, R2, R4, R5) -----------------------------------
+
+from paraforge.operators import infer as H  # noqa: E402
+from paraforge.plans import requests as R  # noqa: E402
+from paraforge.streaming import requests as ST  # noqa: E402
+
+_GROUNDED_DEFAULT = (f"similarity >= {C.FINAL_SIM} AND overlap >= {C.FINAL_LO} AND overlap <= {C.FINAL_HI} "
+                     f"AND NOT {O.new_entities('original', 'text')}")
+
+
+@register("generate_candidates", f"""WITH {O.cte_user_requests()}, {O.drop_word_candidates('req', 'request_id', 'text')}
+SELECT sentence_id AS request_id, gen_idx, text FROM candidates""")
+def q_generate_candidates(spark, sf):
+    """H1 through mapInPandas (stub generator), on the distinct request texts, joined back."""
+    reqs = X.requests(spark, sf).select("request_id", F.col("text").alias("original"))
+    out = H.generate_candidates(reqs, H.drop_word_generator(8), "request_id", "original")
+    return out.select("request_id", "gen_idx", "text")
+
+
+@register("paraphrase_requests", f"""WITH {O.cte_user_requests()}, {O.drop_word_candidates('req', 'request_id', 'text')},
+{O.scoring_ctes()}, {O.select_sql(_GROUNDED_DEFAULT, False)}
+SELECT r.request_id, r.text AS original, coalesce(s.paraphrased, r.text) AS paraphrased, coalesce(s.confident, false) AS confident
+FROM req r LEFT JOIN selected s ON s.sentence_id = r.request_id""")
+def q_paraphrase_requests(spark, sf):
+    """R1 with reference thresholds (0.85 / 0.10-0.55 / grounded) over every user turn."""
+    return R.paraphrase_requests(X.requests(spark, sf), H.drop_word_generator(8))
+
+
+@register("paragraph_requests", f"""WITH {O.cte_user_requests()},
+rs AS (SELECT r.request_id, u.i - 1 AS pos, r.arr[u.i] AS sentence
+       FROM (SELECT request_id, {O.split_sentences('text')} AS arr FROM req) r, range(1, len(r.arr) + 1) u(i)),
+rsid AS (SELECT request_id, pos, request_id || '#' || CAST(pos AS VARCHAR) AS sid, sentence FROM rs),
+{O.drop_word_candidates('rsid', 'sid', 'sentence')},
+{O.scoring_ctes()}, {O.select_sql(_GROUNDED_DEFAULT, False)},
+per AS (SELECT s.request_id, s.pos, coalesce(x.paraphrased, s.sentence) AS paraphrased, coalesce(x.confident, false) AS confident
+        FROM rsid s LEFT JOIN selected x ON x.sentence_id = s.sid),
+agg AS (SELECT request_id, string_agg(paraphrased, ' ' ORDER BY pos) AS paraphrased, count(*)::INTEGER AS n_sentences,
+               count_if(confident)::INTEGER AS n_confident FROM per GROUP BY request_id)
+SELECT r.request_id, r.text AS original, coalesce(a.paraphrased, '') AS paraphrased,
+       coalesce(a.n_sentences, 0)::INTEGER AS n_sentences, coalesce(a.n_confident, 0)::INTEGER AS n_confident
+FROM req r LEFT JOIN agg a USING (request_id)""")
+def q_paragraph_requests(spark, sf):
+    """R2: split each user turn into sentences, R1 per sentence, rejoin in order."""
+    out = R.paragraph_requests(X.requests(spark, sf), H.drop_word_generator(8))
+    return out.select("request_id", "original", "paraphrased", F.size("sentences").alias("n_sentences"),
+                      F.size(F.filter("sentences", lambda s: s["confident"])).alias("n_confident"))
+
+
+_GRAMMAR_SQL = f"""WITH req AS (SELECT 'r' || CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS request_id, text FROM conversations),
+fx AS (SELECT request_id, text, {O.trim_ws('coalesce(text, ' + chr(39) + chr(39) + ')')} = '' AS blank, {O.tidy_sql('text')} AS fixed FROM req)
+SELECT request_id, text AS original, CASE WHEN blank THEN coalesce(text, '') ELSE fixed END AS corrected,
+       CASE WHEN blank THEN false ELSE {O.overlap('text', 'fixed')} >= 0.5 END AS confident FROM fx"""
+
+
+def _all_turns(spark, sf):
+    conv = X.read_supplied(spark, sf, "conversations")
+    return conv.select(F.concat(F.lit("r"), F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string")).alias("request_id"), "text")
+
+
+@register("grammar_requests", _GRAMMAR_SQL)
+def q_grammar_requests(spark, sf):
+    """Blank guard, corrector hook (stub) on distinct texts, overlap gate."""
+    return R.grammar_requests(_all_turns(spark, sf), H.tidy_corrector())
+
+
+@register("stream_requests", _GRAMMAR_SQL)
+def q_stream_requests(spark, sf):
+    """R4 as a Structured Streaming query over a folder of request files (availableNow),
+    read back from its Parquet sink. Equals the batch output."""
+    folder = ST.stage_requests(_all_turns(spark, sf))
+    stream = ST.request_stream(spark, folder)
+    out = ST.run_stream(spark, stream, lambda s: R.grammar_requests_stream(s, H.tidy_corrector()), name="grammar")
+    return spark.read.schema("request_id string, original string, corrected string, confident boolean").parquet(out)
+
+
+@register("acceptability", f"""WITH {O.cte_sentences()}
+SELECT doc_id, pos, CASE WHEN regexp_matches({O.trim_ws('sentence')}, '(?s)^[A-Z].*[.!?]$') THEN 'acceptable' ELSE 'unacceptable' END AS label,
+       CASE WHEN regexp_matches({O.trim_ws('sentence')}, '(?s)^[A-Z].*[.!?]$') THEN 1.0 ELSE 0.0 END AS score FROM sentences""")
+def q_acceptability(spark, sf):
+    """H5 (stub classifier) beside every document sentence."""
+    out = H.acceptability(X.sentences(spark, sf), H.punctuation_acceptability(), "sentence")
+    return out.select("doc_id", "pos", "label", "score")
+
+
+@register("strategy_report", f"""WITH {O.cte_conv_sentences()},
+src AS (SELECT sentence AS t, {O.words('sentence')} AS ws FROM (SELECT DISTINCT sentence FROM conv_sentences)),
+outs AS (
+  SELECT t, 'beam' AS strategy, array_to_string(ws[2:], ' ') AS o FROM src WHERE len(ws) > 0
+  UNION ALL SELECT t, 'diverse', array_to_string(ws[:len(ws) - 1], ' ') FROM src WHERE len(ws) > 0
+  UNION ALL SELECT t, 'sample', array_to_string(list_filter(ws, lambda w, j: j <> g.i + 2), ' ')
+            FROM src, range(0, 3) g(i) WHERE g.i + 1 < len(ws)),
+joined AS (SELECT c.sentence, o.strategy, o.o FROM conv_sentences c JOIN outs o ON o.t = c.sentence),
+sc AS (SELECT strategy, {O.overlap('sentence', 'o')} AS overlap FROM joined)
+SELECT strategy, count(*)::BIGINT AS outputs, round(avg(overlap), 6) AS mean_overlap,
+       round(min(overlap), 6) AS min_overlap, round(max(overlap), 6) AS max_overlap FROM sc GROUP BY strategy""")
+def q_strategy_report(spark, sf):
+    """H6: several decoding strategies per conversation sentence, overlap report per strategy."""
+    cs = X.conv_sentences(spark, sf).select(F.concat_ws(":", "conv_id", "pos").alias("sentence_id"),
+                                            F.col("sentence").alias("original"))
+    rep = H.strategy_report(H.strategy_outputs(cs, H.stub_strategies()))
+    return rep.select("strategy", "outputs", *[r6(c).alias(c) for c in ("mean_overlap", "min_overlap", "max_overlap")])
+
+
+@register("embed_texts")
+def q_embed_texts(spark, sf):
+    """H2 through mapInPandas (stub hashed bag-of-words embedder), similarity of each candidate
+    to its sentence by F7 on the embeddings (rows-only: the hash is not in DuckDB)."""
+    cands = X.candidates(spark, sf, "conversations")
+    texts = cands.select(F.col("original").alias("text")).union(cands.select("text"))
+    sims = H.embedding_similarity(cands, H.embed_texts(texts, H.hashed_bow_embedder(64)))
+    return cands.join(sims, ["original", "text"]).select("sentence_id", "gen_idx", r6("similarity").alias("similarity"))

@@ -180,8 +180,12 @@ both_src AS (SELECT * FROM qsrc UNION ALL SELECT * FROM dsrc)"""
 
 def cte_scored(source: str = "conversations") -> str:
     """candidates + overlap + term-frequency cosine similarity."""
-    return cte_candidates(source) + f""",
-cpairs AS (SELECT DISTINCT original, text FROM candidates),
+    return cte_candidates(source) + ",\n" + scoring_ctes()
+
+
+def scoring_ctes() -> str:
+    """Scores for a ``candidates`` CTE (sentence_id, original, gen_idx, text)."""
+    return f"""cpairs AS (SELECT DISTINCT original, text FROM candidates),
 texts AS (SELECT original AS t FROM cpairs UNION SELECT text FROM cpairs),
 tf AS (SELECT t, tok, count(*) AS c FROM (SELECT t, unnest({words('lower(t)')}) AS tok FROM texts) GROUP BY t, tok),
 nrm AS (SELECT t, sqrt(sum(c * c)) AS nrm FROM tf GROUP BY t),
@@ -243,3 +247,21 @@ requests AS (SELECT * FROM req WHERE word <> '')"""
 def mask_sql(text: str, word: str) -> str:
     pat = f"'(?is)^(.*?)(^|{NONWORD})\\Q' || {word} || '\\E({NONWORD}|$)'"
     return f"regexp_replace({text}, {pat}, '\\1\\2[MASK]\\3')"
+
+
+def cte_user_requests() -> str:
+    return """req AS (SELECT 'r' || CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS request_id, text
+        FROM conversations WHERE role = 'user')"""
+
+
+def drop_word_candidates(src: str, key: str, text: str, n: int = 8) -> str:
+    """The stub generator in SQL: candidate g drops the g-th word."""
+    return f"""rw AS (SELECT {key} AS k, {text} AS t, {words(text)} AS ws FROM {src}),
+candidates AS (SELECT k AS sentence_id, t AS original, g.i::INTEGER AS gen_idx,
+                      array_to_string(list_filter(ws, lambda w, j: j <> g.i + 1), ' ') AS text
+               FROM rw, range(0, least(len(ws), {n})) g(i))"""
+
+
+def tidy_sql(x: str) -> str:
+    c = f"array_to_string({words(x)}, ' ')"
+    return f"(CASE WHEN {c} = '' OR regexp_matches({c}, '[.!?]$') THEN {c} ELSE {c} || '.' END)"
