@@ -35,10 +35,11 @@ def keep_rate(bucketed: DataFrame, bucket: str = "bucket") -> DataFrame:
     ).withColumn("kept_rate", F.try_divide(F.col("kept").cast("double"), F.col("total").cast("double")))
 
 
-def index_quantiles(df: DataFrame, col: str = "overlap", order: str = "ord") -> DataFrame:
+def index_quantiles(df: DataFrame, col: str = "overlap", order: str = "ord", extra=()) -> DataFrame:
     """A4: min, s[n//4], s[n//2], s[3n//4], max of the sorted values (the reference's index
     rule, not an interpolating percentile). Sorting is a distributed global rank; n is a scalar
-    subquery; the five picks are one aggregate."""
+    subquery; the five picks are one aggregate. ``extra`` adds aggregate expressions over the
+    value column ``_v`` to the same pass (e.g. keep-rate counts)."""
     vals = df.select(F.col(col).alias("_v"), F.col(order).alias("_o"))
     n = vals.select(F.count(F.lit(1))).scalar()
     ranked = with_global_rank(vals, ["_v", "_o"], "_r")
@@ -53,6 +54,7 @@ def index_quantiles(df: DataFrame, col: str = "overlap", order: str = "ord") ->
         at(F.floor(n / 2)).alias("median"),
         at(F.floor(n * 3 / 4)).alias("q3"),
         F.max("_v").alias("max"),
+        *extra,
     )
 
 

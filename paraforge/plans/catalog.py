@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paraforge.plans import oracle as O
@@ -680,3 +680,183 @@ def q_embed_texts(spark, sf):
     texts = cands.select(F.col("original").alias("text")).union(cands.select("text"))
     sims = H.embedding_similarity(cands, H.embed_texts(texts, H.hashed_bow_embedder(64)))
     return cands.join(sims, ["original", "text"]).select("sentence_id", "gen_idx", r6("similarity").alias("similarity"))
+
+
+# ---- remaining inventory keys ----------------------------------------------------------------
+
+@register("tokens", f"""WITH {O.cte_sentences()}
+SELECT doc_id, pos, len({O.tokens('sentence')})::INTEGER AS n_tokens,
+       array_to_string(list_sort({O.tokens('sentence')}), ' ') AS tokens FROM sentences""")
+def q_tokens(spark, sf):
+    """token sets of every document sentence."""
+    s = X.sentences(spark, sf).withColumn("t", T.tokens("sentence"))
+    return s.select("doc_id", "pos", F.size("t").alias("n_tokens"), F.array_join(F.array_sort("t"), " ").alias("tokens"))
+
+
+@register("token_set_ops", f"""WITH {O.cte_labelled_pairs()},
+t AS (SELECT ord, {O.tokens('question1')} AS a, {O.tokens('question2')} AS b FROM labelled_pairs)
+SELECT ord, len(list_intersect(a, b))::INTEGER AS n_intersect,
+       (len(a) + len(b) - len(list_intersect(a, b)))::INTEGER AS n_union FROM t""")
+def q_token_set_ops(spark, sf):
+    """Intersection and union sizes of the token sets of every labelled pair."""
+    lp = X.labelled_pairs(spark, sf).select("ord", T.tokens("question1").alias("a"), T.tokens("question2").alias("b"))
+    inter = F.size(F.array_intersect("a", "b"))
+    return lp.select("ord", inter.alias("n_intersect"), (F.size("a") + F.size("b") - inter).alias("n_union"))
+
+
+@register("entity_difference", f"""WITH {O.cte_candidates('documents')}
+SELECT sentence_id, gen_idx,
+  array_to_string(list_sort(list_filter({O.proper_nouns('text')}, lambda e: NOT list_contains({O.proper_nouns('original')}, e))), '|') AS new_nouns,
+  array_to_string(list_sort(list_filter({O.numbers('text')}, lambda e: NOT list_contains({O.numbers('original')}, e))), '|') AS new_numbers
+FROM candidates""")
+def q_entity_difference(spark, sf):
+    """Candidate entities minus the original's, for every document candidate."""
+    c = X.candidates(spark, sf, "documents")
+    nn = F.array_except(T.proper_nouns("text"), T.proper_nouns("original"))
+    nm = F.array_except(T.numbers("text"), T.numbers("original"))
+    return c.select("sentence_id", "gen_idx", F.array_join(F.array_sort(nn), "|").alias("new_nouns"),
+                    F.array_join(F.array_sort(nm), "|").alias("new_numbers"))
+
+
+@register("paragraph_rejoin", f"""WITH {O.cte_sentences()}
+SELECT doc_id, string_agg(sentence, ' ' ORDER BY pos) AS paragraph FROM sentences GROUP BY doc_id""")
+def q_paragraph_rejoin(spark, sf):
+    """A9 (long form): sentences of each document joined back with single spaces, in order."""
+    return A.paragraph_rejoin(X.sentences(spark, sf), "doc_id", "pos", "sentence")
+
+
+@register("prompt_prefix", """SELECT 'r' || CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS request_id,
+       'grammar: ' || text AS model_input, 'paraphrase: ' || text AS generator_input FROM conversations""")
+def q_prompt_prefix(spark, sf):
+    """Corrector and generator inputs for every turn."""
+    t = _all_turns(spark, sf)
+    return t.select("request_id", T.prompt_prefix("text", T.GRAMMAR_PREFIX).alias("model_input"),
+                    T.prompt_prefix("text", T.PARAPHRASE_PREFIX).alias("generator_input"))
+
+
+@register("blank_guard", f"""SELECT 'r' || CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS request_id,
+       (text IS NULL OR {O.trim_ws('text')} = '') AS blank FROM conversations""")
+def q_blank_guard(spark, sf):
+    """P10 over every turn."""
+    return _all_turns(spark, sf).select("request_id", T.is_blank("text").alias("blank"))
+
+
+@register("threshold_cross", f"""WITH {O.cte_candidates()}
+SELECT sentence_id, gen_idx, t.threshold FROM candidates, (VALUES {', '.join(f'({x}::DOUBLE)' for x in SWEEP)}) t(threshold)""")
+def q_threshold_cross(spark, sf):
+    """Every candidate against every threshold (Generate over a literal array)."""
+    return A.threshold_cross(X.candidates(spark, sf), SWEEP).select("sentence_id", "gen_idx", "threshold")
+
+
+_LEX_CANDS = """cands AS (SELECT DISTINCT r.request_id, lower(replace(l.lemma, '_', ' ')) AS candidate
+          FROM requests r JOIN word_synsets ws ON ws.word = lower(r.word) JOIN synset_lemmas l ON l.synset_id = ws.synset_id
+          WHERE lower(replace(l.lemma, '_', ' ')) <> lower(r.word) AND NOT contains(replace(l.lemma, '_', ' '), ' '))"""
+
+
+@register("score_lookup", f"""WITH {O.cte_lexicon()}, {_PRED_SQL}, {_LEX_CANDS}
+SELECT c.request_id, c.candidate, round(coalesce(p.score, 0.0), 6) AS score FROM cands c
+JOIN ctx USING (request_id) LEFT JOIN preds p ON p.request_id = c.request_id AND p.token = c.candidate""")
+def q_score_lookup(spark, sf):
+    """Each lexicon candidate of a masked request with its context score, 0.0 when the
+    predictor did not rank it."""
+    ws, sl = _lex(spark, sf)
+    reqs = X.synonym_requests(spark, sf)
+    cands = LX.lexicon_candidates(reqs, ws, sl)
+    masked = LX.mask_requests(reqs).filter(F.col("masked").contains(T.MASK_TOKEN))
+    preds = LX.bigram_predictor(X.bigram_shares(spark, sf))(masked)
+    out = cands.join(masked.select("request_id"), "request_id", "left_semi") \
+               .join(preds.withColumnRenamed("token", "candidate"), ["request_id", "candidate"], "left")
+    return out.select("request_id", "candidate", r6(F.coalesce("score", F.lit(0.0))).alias("score"))
+
+
+@register("topk_context", f"""WITH {O.cte_lexicon()}, {_PRED_SQL}, {_LEX_CANDS},
+scored AS (SELECT c.request_id, c.candidate, coalesce(p.score, 0.0) AS score FROM cands c
+           JOIN ctx USING (request_id) LEFT JOIN preds p ON p.request_id = c.request_id AND p.token = c.candidate),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, candidate) AS rank FROM scored)
+SELECT request_id, rank::INTEGER AS rank, candidate, round(score, 6) AS score FROM ranked WHERE rank <= 5 AND score > 0""")
+def q_topk_context(spark, sf):
+    """The 5 best candidates by context score, zero scores dropped."""
+    base = q_score_lookup(spark, sf)
+    w = Window.partitionBy("request_id").orderBy(F.desc("score"), "candidate")
+    ranked = base.withColumn("rank", F.row_number().over(w))
+    return ranked.filter((F.col("rank") <= 5) & (F.col("score") > 0)).select("request_id", "rank", "candidate", "score")
+
+
+@register("expected_vs_model", f"""WITH {O.cte_sentence_pairs()},
+tr AS (SELECT ord, sentence1, sentence2 FROM sentence_pairs WHERE split = 'train' AND label = 1 ORDER BY ord LIMIT 10)
+SELECT ord, 'paraphrase: ' || sentence1 AS input_text, sentence2 AS expected,
+       array_to_string({O.words('sentence1')}[2:], ' ') AS model_output FROM tr""")
+def q_expected_vs_model(spark, sf):
+    """The first 10 training examples, expected target beside the model output (stub
+    generator: its first candidate)."""
+    tr = P.build_pairs_v1(X.sentence_pairs(spark, sf)).filter(F.col("split") == "train")
+    first10 = P.first_n_per_source(tr, 10, source=None)
+    gen = H.generate_candidates(first10.select("ord", F.col("sentence1").alias("original")),
+                                H.drop_word_generator(1), "ord", "original")
+    outputs = gen.select("ord", F.col("text").alias("model_output"))
+    ex = first10.select("ord", T.prompt_prefix("sentence1").alias("input_text"), F.col("sentence2").alias("expected"))
+    return A.expected_vs_model(ex, outputs, "ord", 10)
+
+
+@register("overlap_report", f"""WITH {O.cte_sources(*P.BAND)},
+r AS (SELECT overlap, row_number() OVER (ORDER BY overlap, ord) - 1 AS rk, count(*) OVER () AS n FROM qpairs)
+SELECT count(*)::BIGINT AS n, round(min(overlap), 6) AS min,
+       round(max(CASE WHEN rk = n // 4 THEN overlap END), 6) AS q1,
+       round(max(CASE WHEN rk = n // 2 THEN overlap END), 6) AS median,
+       round(max(CASE WHEN rk = (3 * n) // 4 THEN overlap END), 6) AS q3,
+       round(max(overlap), 6) AS max,
+       count_if(overlap <= 0.5)::BIGINT AS kept, count_if(overlap > 0.5)::BIGINT AS dropped,
+       round(count_if(overlap <= 0.5)::DOUBLE / count(*), 6) AS kept_rate FROM r""")
+def q_overlap_report(spark, sf):
+    """Quantiles (A4) and keep rate (A3) of the positive pairs, one row."""
+    pos = P.filter_positive(X.labelled_pairs(spark, sf))
+    scored = P.with_overlap(P.normalise_pair_columns(pos, "question1", "question2", ["ord"]))
+    kept = F.count_if(F.col("_v") <= P.KEEP_THRESHOLD).cast("long")
+    out = A.index_quantiles(scored, "overlap", "ord", extra=[
+        kept.alias("kept"), F.count_if(F.col("_v") > P.KEEP_THRESHOLD).cast("long").alias("dropped"),
+        F.try_divide(kept.cast("double"), F.count(F.lit(1)).cast("double")).alias("kept_rate")])
+    return out.select("n", *[r6(c).alias(c) for c in ("min", "q1", "median", "q3", "max")],
+                      "kept", "dropped", r6("kept_rate").alias("kept_rate"))
+
+
+@register("overlap_quantiles_declarative", f"""WITH {O.cte_sources(*P.BAND)},
+dp AS (SELECT ord, {O.overlap('sentence1', 'sentence2')} AS overlap FROM dpairs),
+r AS (SELECT overlap, row_number() OVER (ORDER BY overlap, ord) - 1 AS rk, count(*) OVER () AS n FROM dp)
+SELECT count(*)::BIGINT AS n, round(min(overlap), 6) AS min,
+       round(max(CASE WHEN rk = n // 4 THEN overlap END), 6) AS q1,
+       round(max(CASE WHEN rk = n // 2 THEN overlap END), 6) AS median,
+       round(max(CASE WHEN rk = (3 * n) // 4 THEN overlap END), 6) AS q3,
+       round(max(overlap), 6) AS max FROM r""")
+def q_overlap_quantiles_declarative(spark, sf):
+    """A4 on the declarative lists: text against its first paraphrase."""
+    decl = P.filter_category(X.paraphrase_lists(spark, sf), "==", "sentence")
+    first = T.first_paraphrase(T.parse_paraphrase_list("paraphrases"))
+    scored = P.with_overlap(P.normalise_pair_columns(decl, "text", first, ["ord"]))
+    out = A.index_quantiles(scored, "overlap", "ord")
+    return out.select("n", *[r6(c).alias(c) for c in ("min", "q1", "median", "q3", "max")])
+
+
+@register("category_profile", f"""WITH {O.cte_paraphrase_lists()}
+SELECT 'category' AS column_name, category AS value, count(*)::BIGINT AS count, min(ord)::BIGINT AS first_ord FROM paraphrase_lists GROUP BY category
+UNION ALL
+SELECT 'source', source, count(*)::BIGINT, min(ord)::BIGINT FROM paraphrase_lists GROUP BY source""")
+def q_category_profile(spark, sf):
+    """Value counts of category and source in one table."""
+    pl = X.paraphrase_lists(spark, sf)
+    a = A.value_counts(pl, "category").select(F.lit("category").alias("column_name"), "*")
+    b = A.value_counts(pl, "source").select(F.lit("source").alias("column_name"), "*")
+    return a.unionByName(b)
+
+
+QUERIES["compare_runs"] = QUERIES["compare_models"]
+ORACLES["compare_runs"] = ORACLES["compare_models"]
+
+
+@register("scan_text_lines")
+def q_scan_text_lines(spark, sf):
+    """Conversation sentences staged as text files (one sentence per line), scanned back
+    with each line's position in its file (rows-only: file layout is Spark's)."""
+    lines = X.conv_sentences(spark, sf).select(F.regexp_replace("sentence", r"[\r\n]+", " ").alias("value"))
+    path = scratch_path(spark, "text-lines")
+    lines.write.mode("overwrite").text(path)
+    return IO.scan_text_lines(spark, path).select("line_no", "sentence")
