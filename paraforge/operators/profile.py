@@ -41,8 +41,8 @@ def index_quantiles(df: DataFrame, col: str = "overlap", order: str = "ord", ext
     subquery; the five picks are one aggregate. ``extra`` adds aggregate expressions over the
     value column ``_v`` to the same pass (e.g. keep-rate counts)."""
     vals = df.select(F.col(col).alias("_v"), F.col(order).alias("_o"))
-    n = vals.select(F.count(F.lit(1))).scalar()
     ranked = with_global_rank(vals, ["_v", "_o"], "_r")
+    n = ranked.select(F.count(F.lit(1))).scalar()   # counted from the checkpointed ranking
 
     def at(idx) -> F.Column:
         return F.max(F.when(F.col("_r") == idx, F.col("_v")))

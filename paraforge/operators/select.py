@@ -10,8 +10,9 @@ Two physical forms of the same rules:
 * **nested** (``select_nested``): candidates are an array per sentence (as a model hook or a
   request produces them); the rule is ``array_min(filter(...))``, no shuffle, works on streams.
 
-Similarity defaults to the cosine of term-frequency vectors, computed relationally: each
-distinct text is tokenised once, the dot product is a join on (text, token) and a sum.
+Similarity defaults to the cosine of term-frequency vectors: per row in an Arrow-batched pandas
+UDF (linear, no shuffle), or relationally (``tf_cosine``: each distinct text tokenised once, the
+dot product a join on (text, token) and a sum) when texts repeat a lot.
 """
 
 from __future__ import annotations
@@ -123,14 +124,46 @@ def tf_cosine(pairs: DataFrame, a: str = "original", b: str = "text") -> DataFra
     return out.select(a, b, sim.alias("similarity"))
 
 
+def _tf_cosine_batch(a, b):
+    """Term-frequency cosine for two pandas Series of texts (Arrow batch)."""
+    import math
+    from collections import Counter
+
+    import pandas as pd
+
+    out = []
+    for x, y in zip(a, b):
+        ca, cb = Counter((x or "").lower().split()), Counter((y or "").lower().split())
+        na = math.sqrt(sum(v * v for v in ca.values()))
+        nb = math.sqrt(sum(v * v for v in cb.values()))
+        if not na or not nb:
+            out.append(0.0)
+            continue
+        if len(cb) < len(ca):
+            ca, cb = cb, ca
+        out.append(sum(v * cb.get(t, 0) for t, v in ca.items()) / (na * nb))
+    return pd.Series(out, dtype="float64")
+
+
+def tf_cosine_column(a, b) -> Column:
+    """Term-frequency cosine of two text columns, per row: a vectorised (Arrow-batched) pandas
+    UDF, linear in the text length, no shuffle. The relational ``tf_cosine`` computes the same
+    value with joins when each distinct text should be tokenised only once."""
+    udf = F.pandas_udf(_tf_cosine_batch, "double")
+    return udf(F.col(a) if isinstance(a, str) else a, F.col(b) if isinstance(b, str) else b)
+
+
 def candidate_scores(cands: DataFrame, similarity: DataFrame | None = None) -> DataFrame:
     """Attach overlap (F2) and similarity to each candidate.
 
     ``similarity`` may be a user table (original, text, similarity), e.g. the output of the
-    ``embed_texts`` hook joined as cosine; by default the term-frequency cosine is used.
+    ``embed_texts`` hook joined as cosine. By default the term-frequency cosine is computed in
+    the row (Arrow-batched), which avoids shuffling every candidate by its text.
     """
-    sims = similarity if similarity is not None else tf_cosine(cands.select("original", "text"))
-    scored = cands.join(sims, ["original", "text"], "left")
+    if similarity is not None:
+        scored = cands.join(similarity, ["original", "text"], "left")
+    else:
+        scored = cands.withColumn("similarity", tf_cosine_column("original", "text"))
     return scored.select("*", F.explode(F.array(T.word_overlap("original", "text"))).alias("overlap")) \
                  .withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
 

@@ -18,13 +18,35 @@ from paraforge.sources.io import read_supplied, spread
 FOLLOWERS = 8          # candidates / labelled pairs: each sentence with the next 8
 LIST_FOLLOWERS = 5     # paraphrase lists: the next 5 sentences
 
+# Base fixtures built once per query: a query that needs conversation sentences for its
+# requests, its lexicon and its predictor binds one table (and one checkpoint) for all three.
+_MEMO: dict = {}
 
+
+def reset_memo() -> None:
+    """Forget fixtures built for the previous query."""
+    _MEMO.clear()
+
+
+def _memo(fn):
+    def wrapper(spark: SparkSession, sf_dir: str, *args, **kwargs):
+        key = (fn.__name__, id(spark), sf_dir, args, tuple(sorted(kwargs.items())))
+        if key not in _MEMO:
+            _MEMO[key] = fn(spark, sf_dir, *args, **kwargs)
+        return _MEMO[key]
+    wrapper.__name__ = fn.__name__
+    wrapper.__doc__ = fn.__doc__
+    return wrapper
+
+
+@_memo
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents -> F3 -> posexplode: (doc_id, pos, sentence)."""
     docs = spread(read_supplied(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     return docs.select("doc_id", F.posexplode(T.split_sentences("text")).alias("pos", "sentence"))
 
 
+@_memo
 def conv_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conversations -> F3 per turn; ``pos`` = rank by (turn, position in turn) in the conversation."""
     conv = spread(read_supplied(spark, sf_dir, "conversations"), "conv_id")
@@ -52,6 +74,7 @@ def _next_k(items: DataFrame, key: str, k: int, text: str, pos: str = "pos", car
     return a.join(b, [key, "fpos"])
 
 
+@_memo
 def labelled_pairs(spark: SparkSession, sf_dir: str, with_ord: bool = True) -> DataFrame:
     """(ord, doc_id, question1, question2, label): each sentence of a labelled document with the
     next 8; ``label`` = the document's quality; ``ord`` by (doc_id, pos, follower pos)."""
@@ -69,6 +92,7 @@ def labelled_pairs(spark: SparkSession, sf_dir: str, with_ord: bool = True) -> D
 SPLIT_RATIOS = (("train", 0.8), ("validation", 0.1))  # sentence_pairs: the rest is test
 
 
+@_memo
 def sentence_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ord, sentence1, sentence2, label, split): labelled pairs with positional splits
     (first 80% train, next 10% validation, rest test), like a dataset's pre-made splits."""
@@ -79,6 +103,7 @@ def sentence_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "label", "split")
 
 
+@_memo
 def paraphrase_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ord, text, paraphrases, category, source): each conversation sentence that has a
     follower, with the next 5 as a list literal. category 'sentence' for assistant turns."""
@@ -120,12 +145,14 @@ def _clean_words(sentence_col) -> F.Column:
                     lambda w: w != "")
 
 
+@_memo
 def corpus_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(conv_id, pos, i, w): cleaned words of conversation sentences, in order."""
     cs = conv_sentences(spark, sf_dir)
     return cs.select("conv_id", "pos", F.posexplode(_clean_words(F.col("sentence"))).alias("i", "w"))
 
 
+@_memo
 def word_synsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(word, synset_id): each corpus word of >= 3 letters in a prefix and a suffix synset."""
     w = corpus_words(spark, sf_dir).filter(F.length("w") >= 3).select(F.col("w").alias("word")).distinct()
@@ -144,6 +171,7 @@ EXTRA_LEMMAS = [
 ]
 
 
+@_memo
 def synset_lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(synset_id, lemma, lemma_count, ord): inverse of word_synsets with corpus frequencies."""
     freq = corpus_words(spark, sf_dir).filter(F.length("w") >= 3).groupBy(F.col("w").alias("word")) \
@@ -154,6 +182,7 @@ def synset_lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_global_rank(both, ["synset_id", "lemma"], "ord")
 
 
+@_memo
 def bigram_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(prev, token, score): share of ``token`` among the words that follow ``prev``."""
     w = corpus_words(spark, sf_dir)
