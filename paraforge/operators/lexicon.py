@@ -92,22 +92,37 @@ def bigram_predictor(bigrams: DataFrame, k: int = TOP_PREDICTIONS) -> Callable[[
     return predict
 
 
+def word_candidates(words: DataFrame, word_synsets: DataFrame, synset_lemmas: DataFrame,
+                    word: str = "word") -> DataFrame:
+    """J3 -> F9 -> U4 per distinct word: (lword, candidate), ``lword`` the lower-cased word.
+    Computed once per word, not once per request that uses it."""
+    w = words.select(F.lower(F.col(word)).alias("lword")).distinct()
+    e = lexicon_entries(w, word_synsets, synset_lemmas, "lword")
+    e = e.filter(T.usable_synonym("lemma", F.col("lword")))
+    return e.select("lword", F.lower(T.lemma_surface("lemma")).alias("candidate")).distinct()
+
+
 def contextual_synonyms(requests: DataFrame, word_synsets: DataFrame, synset_lemmas: DataFrame,
                         predictor: Callable[[DataFrame], DataFrame], key: str = "request_id",
                         k: int = TOP_CONTEXT) -> DataFrame:
     """(key, word, synonyms array<string>) ranked by the context score, cut to k, zero
     scores dropped. Requests whose word has no lexicon entry, or does not occur as a whole word,
-    get an empty list without any prediction work."""
-    cands = lexicon_candidates(requests, word_synsets, synset_lemmas, key)
-    masked = mask_requests(requests.join(cands.select(key).distinct(), key, "left_semi"))
+    get an empty list without any prediction work.
+
+    "Sort all candidates by score, cut to k, drop zeros" equals "the k best candidates with a
+    positive score", so only candidates the predictor ranked (at most its top 100 per request)
+    are joined: the lexicon is expanded once per distinct word, never per request x lemma.
+    """
+    reqs = requests.select(key, "word", "text").withColumn("lword", F.lower("word"))
+    cands = word_candidates(reqs, word_synsets, synset_lemmas)
+    masked = mask_requests(reqs.join(cands.select("lword").distinct(), "lword", "left_semi"))
     masked = masked.filter(F.col("masked").contains(T.MASK_TOKEN))
-    preds = predictor(masked)
-    scored = cands.join(masked.select(key), key, "left_semi") \
-                  .join(preds.withColumnRenamed("token", "candidate"), [key, "candidate"], "left") \
-                  .withColumn("score", F.coalesce("score", F.lit(0.0)))
-    w = Window.partitionBy(key).orderBy(F.desc("score"), "candidate")
-    ranked = scored.withColumn("rank", F.row_number().over(w)).filter((F.col("rank") <= k) & (F.col("score") > 0))
+    preds = predictor(masked).filter(F.col("score") > 0)
+    scored = preds.join(masked.select(key, "lword"), key) \
+                  .join(cands.withColumnRenamed("candidate", "token"), ["lword", "token"])
+    w = Window.partitionBy(key).orderBy(F.desc("score"), "token")
+    ranked = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     lists = ranked.groupBy(key).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("rank", "candidate"))), lambda s: s["candidate"]).alias("synonyms"))
+        F.transform(F.sort_array(F.collect_list(F.struct("rank", "token"))), lambda s: s["token"]).alias("synonyms"))
     out = requests.select(key, "word").join(lists, key, "left")
     return out.withColumn("synonyms", F.coalesce("synonyms", F.array().cast("array<string>")))

@@ -569,7 +569,7 @@ syn AS (SELECT request_id, string_agg(candidate, ',' ORDER BY rk) AS synonyms FR
 SELECT r.request_id, r.word, coalesce(s.synonyms, '') AS synonyms FROM requests r LEFT JOIN syn s USING (request_id)""")
 def q_contextual_synonyms(spark, sf):
     """R3 over every synonym request: lexicon candidates re-ranked by the context predictor."""
-    ws, sl = _lex(spark, sf)
+    ws, sl = X.word_synsets(spark, sf), X.synset_lemmas(spark, sf, with_ord=False)
     out = LX.contextual_synonyms(X.synonym_requests(spark, sf), ws, sl, LX.bigram_predictor(X.bigram_shares(spark, sf)))
     return out.select("request_id", "word", F.array_join("synonyms", ",").alias("synonyms"))
 
@@ -865,3 +865,199 @@ def q_scan_text_lines(spark, sf):
     path = scratch_path(spark, "text-lines")
     lines.write.mode("overwrite").text(path)
     return IO.scan_text_lines(spark, path).select("line_no", "sentence")
+
+
+# ---- inventory keys registered under their own names ----------------------------------------
+
+@register("select_pair_columns", f"""WITH {O.cte_sentence_pairs()}
+SELECT sentence1, sentence2 FROM sentence_pairs WHERE label = 1""")
+def q_select_pair_columns(spark, sf):
+    """The two text columns of the positive sentence pairs."""
+    return P.select_pair_columns(P.filter_positive(X.sentence_pairs(spark, sf)))
+
+
+@register("normalise_pair_columns", f"""WITH {O.cte_sources(*P.BAND)}
+SELECT 0 AS source_rank, ord, question1 AS sentence1, question2 AS sentence2 FROM labelled_pairs
+UNION ALL SELECT 1, ord, sentence1, sentence2 FROM dpairs""")
+def q_normalise_pair_columns(spark, sf):
+    """Question pairs and declarative (text, first paraphrase) pairs under one schema."""
+    q = P.normalise_pair_columns(X.labelled_pairs(spark, sf), "question1", "question2", ["ord"])
+    decl = P.filter_category(X.paraphrase_lists(spark, sf), "==", "sentence")
+    d = P.normalise_pair_columns(decl, "text", T.first_paraphrase(T.parse_paraphrase_list("paraphrases")), ["ord"])
+    return P.union_sources([q, d]).select("source_rank", "ord", "sentence1", "sentence2")
+
+
+@register("first_paraphrase", f"""WITH {O.cte_paraphrase_lists()}
+SELECT ord, {O.parse_list('paraphrases')}[1] AS first_paraphrase FROM paraphrase_lists""")
+def q_first_paraphrase(spark, sf):
+    """Element 0 of every parsed list."""
+    pl = X.paraphrase_lists(spark, sf)
+    return pl.select("ord", T.first_paraphrase(T.parse_paraphrase_list("paraphrases")).alias("first_paraphrase"))
+
+
+@register("drop_empty_sentences", f"""WITH {O.cte_sentences()}
+SELECT d.doc_id, coalesce(s.n, 0)::INTEGER AS n_sentences FROM documents d
+LEFT JOIN (SELECT doc_id, count(*) AS n FROM sentences GROUP BY doc_id) s USING (doc_id)""")
+def q_drop_empty_sentences(spark, sf):
+    """Sentences per document after empty pieces are dropped (0 for blank documents)."""
+    docs = X.read_supplied(spark, sf, "documents")
+    return docs.select("doc_id", F.size(T.split_sentences("text")).alias("n_sentences"))
+
+
+@register("cluster_pairs", f"""WITH {O.cte_band_pairs(0.5, 1.0, 'documents')}
+SELECT cluster_id, pos1, pos2, sentence1, sentence2, round(overlap, 6) AS overlap FROM band""")
+def q_cluster_pairs(spark, sf):
+    """J1 with a near-duplicate band (overlap 0.5-1.0) inside every document, found by the
+    prefix-filter join (never all pairs)."""
+    pairs = mine_cluster_pairs(X.clusters(spark, sf, "documents"), 0.5, 1.0)
+    return pairs.withColumn("overlap", r6("overlap"))
+
+
+@register("value_counts", """SELECT lang AS value, count(*)::BIGINT AS count, min(doc_id)::BIGINT AS first_ord
+FROM documents GROUP BY lang""")
+def q_value_counts(spark, sf):
+    """A1: documents per language, first document id for tie order."""
+    return A.value_counts(X.read_supplied(spark, sf, "documents"), "lang", "doc_id")
+
+
+@register("row_counts", _v5_sql(P.V6_TARGET).replace(
+    "SELECT CASE WHEN rk", "SELECT split, count(*)::BIGINT AS num_rows FROM (SELECT CASE WHEN rk", 1) + ") GROUP BY split")
+def q_row_counts(spark, sf):
+    """A2: rows per split of the v6 build, one aggregate."""
+    out = P.build_pairs_v6(X.labelled_pairs(spark, sf), X.paraphrase_lists(spark, sf))
+    return out.groupBy("split").agg(F.count(F.lit(1)).cast("long").alias("num_rows"))
+
+
+K3_FIXTURE_CAPS = (("train", 1000), ("validation", 100), ("test", 100))
+
+
+@register("cap_split", f"""WITH {O.cte_sentence_pairs()},
+r AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY ord) AS rn FROM sentence_pairs)
+SELECT split, ord FROM r WHERE rn <= CASE split WHEN 'train' THEN 1000 WHEN 'validation' THEN 100 WHEN 'test' THEN 100 END""")
+def q_cap_split(spark, sf):
+    """K3: the first N rows of each split (1000/100/100)."""
+    return P.cap_split(X.sentence_pairs(spark, sf), K3_FIXTURE_CAPS).select("split", "ord")
+
+
+@register("split_by_counts", f"""WITH {O.cte_sources(*P.BAND)},
+r AS (SELECT *, row_number() OVER (ORDER BY {O.md5_key('source_rank', 'ord')}, source_rank, ord) - 1 AS rk FROM both_src)
+SELECT CASE WHEN rk < 100 THEN 'train' WHEN rk < 120 THEN 'validation' ELSE 'test' END AS split, source_rank, ord
+FROM r WHERE rk < 140""")
+def q_split_by_counts(spark, sf):
+    """K7: shuffled union cut at absolute positions 100/20/20."""
+    from paraforge.operators.ranking import split_by_counts
+    sh = seeded_shuffle(_both(spark, sf), ["source_rank", "ord"], P.SEED, "r")
+    return split_by_counts(sh, "r", [("train", 100), ("validation", 20), ("test", 20)]).select("split", "source_rank", "ord")
+
+
+@register("topk_predictions", f"""WITH {O.cte_lexicon()}
+SELECT prev, token, round(score, 6) AS score FROM
+  (SELECT *, row_number() OVER (PARTITION BY prev ORDER BY score DESC, token) AS rk FROM bigram) WHERE rk <= 100""")
+def q_topk_predictions(spark, sf):
+    """The default predictor's 100 best tokens per left neighbour."""
+    return LX.top_predictions(X.bigram_shares(spark, sf), "prev", 100).select("prev", "token", r6("score").alias("score"))
+
+
+@register("token_intersect", f"""WITH {O.cte_labelled_pairs()}
+SELECT ord, array_to_string(list_sort(list_intersect({O.tokens('question1')}, {O.tokens('question2')})), ' ') AS common
+FROM labelled_pairs""")
+def q_token_intersect(spark, sf):
+    """Shared tokens of every labelled pair."""
+    lp = X.labelled_pairs(spark, sf)
+    return lp.select("ord", F.array_join(F.array_sort(F.array_intersect(T.tokens("question1"), T.tokens("question2"))), " ").alias("common"))
+
+
+@register("token_union", f"""WITH {O.cte_labelled_pairs()}
+SELECT ord, array_to_string(list_sort(list_distinct(list_concat({O.tokens('question1')}, {O.tokens('question2')}))), ' ') AS all_tokens
+FROM labelled_pairs""")
+def q_token_union(spark, sf):
+    """Union of the token sets of every labelled pair."""
+    lp = X.labelled_pairs(spark, sf)
+    return lp.select("ord", F.array_join(F.array_sort(F.array_union(T.tokens("question1"), T.tokens("question2"))), " ").alias("all_tokens"))
+
+
+@register("distinct_candidates", f"""WITH {O.cte_lexicon()}
+SELECT DISTINCT lower(r.word) AS lword, lower(replace(l.lemma, '_', ' ')) AS candidate
+FROM requests r JOIN word_synsets ws ON ws.word = lower(r.word) JOIN synset_lemmas l ON l.synset_id = ws.synset_id
+WHERE lower(replace(l.lemma, '_', ' ')) <> lower(r.word) AND NOT contains(replace(l.lemma, '_', ' '), ' ')""")
+def q_distinct_candidates(spark, sf):
+    """U4: distinct lower-cased single-word synonyms of each distinct request word."""
+    return LX.word_candidates(X.synonym_requests(spark, sf), X.word_synsets(spark, sf),
+                              X.synset_lemmas(spark, sf, with_ord=False))
+
+
+@register("numbers", f"""WITH {O.cte_sentences()}
+SELECT doc_id, pos, array_to_string(list_sort({O.numbers('sentence')}), '|') AS numbers FROM sentences""")
+def q_numbers(spark, sf):
+    """distinct digit runs of every document sentence."""
+    s = X.sentences(spark, sf)
+    return s.select("doc_id", "pos", F.array_join(F.array_sort(T.numbers("sentence")), "|").alias("numbers"))
+
+
+@register("lemma_surface", f"""WITH {O.cte_lexicon()}
+SELECT synset_id, lemma, replace(lemma, '_', ' ') AS name, NOT contains(replace(lemma, '_', ' '), ' ') AS single_word
+FROM synset_lemmas""")
+def q_lemma_surface(spark, sf):
+    """surface text of every lexicon lemma and whether it is a single word."""
+    sl = X.synset_lemmas(spark, sf, with_ord=False)
+    name = T.lemma_surface("lemma")
+    return sl.select("synset_id", "lemma", name.alias("name"), (~name.contains(" ")).alias("single_word"))
+
+
+@register("prediction_token", f"""WITH {O.cte_conv_sentences()}
+SELECT conv_id, pos, lower({O.trim_ws(O.words('sentence') + '[2]')}) AS token
+FROM conv_sentences WHERE len({O.words('sentence')}) >= 2""")
+def q_prediction_token(spark, sf):
+    """strip + lower of raw second words (the token form predictions are compared in)."""
+    cs = X.conv_sentences(spark, sf)
+    ws = T.words(F.col("sentence"))
+    return cs.filter(F.size(ws) >= 2).select("conv_id", "pos", T.prediction_token(F.get(ws, 1)).alias("token"))
+
+
+@register("confident_or_original", f"""WITH {O.cte_scored('documents')}, {O.select_sql(_GROUNDED, False)}
+SELECT sentence_id, paraphrased, confident FROM selected""")
+def q_confident_or_original(spark, sf):
+    """C5 on the grounded pick over every document sentence."""
+    sel = C.confident_or_original(C.select_long(_scored(spark, sf, "documents"), "grounded", sim=FIXTURE_SIM))
+    return sel.select("sentence_id", "paraphrased", "confident")
+
+
+@register("grammar_gate", f"""WITH req AS (SELECT 'r' || CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS request_id, text FROM conversations),
+fx AS (SELECT request_id, text, {O.tidy_sql('text')} AS fixed FROM req WHERE NOT (text IS NULL OR {O.trim_ws('text')} = ''))
+SELECT request_id, round({O.overlap('text', 'fixed')}, 6) AS overlap, {O.overlap('text', 'fixed')} >= 0.5 AS confident FROM fx""")
+def q_grammar_gate(spark, sf):
+    """Overlap of each non-blank turn with its correction, and the 0.5 gate."""
+    t = _all_turns(spark, sf).filter(~T.is_blank("text"))
+    fixed = H.apply_hook(t, "text", H.tidy_corrector(), H.CORRECTED).select(F.col("text").alias("_t"), "corrected")
+    j = t.join(fixed, F.col("text") == F.col("_t"))
+    return j.select("request_id", r6(T.word_overlap("text", "corrected")).alias("overlap"),
+                    C.grammar_gate(F.col("text"), F.col("corrected")).alias("confident"))
+
+
+@register("correct_text", f"""SELECT 'r' || CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS request_id, {O.tidy_sql('text')} AS corrected
+FROM conversations WHERE NOT (text IS NULL OR {O.trim_ws('text')} = '')""")
+def q_correct_text(spark, sf):
+    """H3: the corrector hook (stub) on the distinct non-blank turns, joined back."""
+    t = _all_turns(spark, sf).filter(~T.is_blank("text"))
+    fixed = H.apply_hook(t, "text", H.tidy_corrector(), H.CORRECTED)
+    return t.join(fixed, "text").select("request_id", "corrected")
+
+
+QUERIES["synonym_requests"] = QUERIES["contextual_synonyms"]
+ORACLES["synonym_requests"] = ORACLES["contextual_synonyms"]
+
+
+@register("write_splits", _v5_sql(P.V6_TARGET))
+def q_write_splits(spark, sf):
+    """The v6 split set written as Parquet partitioned by split, read back whole."""
+    out = P.build_pairs_v6(X.labelled_pairs(spark, sf), X.paraphrase_lists(spark, sf)).withColumn("overlap", r6("overlap"))
+    path = IO.write_splits(out, scratch_path(spark, "write-splits"))
+    return IO.read_splits(spark, path).select("split", "source_rank", "ord", "sentence1", "sentence2", "overlap")
+
+
+@register("read_splits", _v5_sql(P.V6_TARGET).replace("FROM r", "FROM r WHERE rk < floor(n * 0.85)"))
+def q_read_splits(spark, sf):
+    """Load one split (train) of a saved split set; the filter prunes the other folders."""
+    out = P.build_pairs_v6(X.labelled_pairs(spark, sf), X.paraphrase_lists(spark, sf)).withColumn("overlap", r6("overlap"))
+    path = IO.write_splits(out, scratch_path(spark, "read-splits"))
+    return IO.read_splits(spark, path, "train").select("split", "source_rank", "ord", "sentence1", "sentence2", "overlap")

@@ -172,13 +172,16 @@ EXTRA_LEMMAS = [
 
 
 @_memo
-def synset_lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(synset_id, lemma, lemma_count, ord): inverse of word_synsets with corpus frequencies."""
+def synset_lemmas(spark: SparkSession, sf_dir: str, with_ord: bool = True) -> DataFrame:
+    """(synset_id, lemma, lemma_count, ord): inverse of word_synsets with corpus frequencies.
+    ``ord`` (the lexicon's own order, for first-seen ties) is only ranked when asked for."""
     freq = corpus_words(spark, sf_dir).filter(F.length("w") >= 3).groupBy(F.col("w").alias("word")) \
         .agg(F.count(F.lit(1)).alias("lemma_count"))
     base = word_synsets(spark, sf_dir).join(freq, "word").select("synset_id", F.col("word").alias("lemma"), "lemma_count")
     extra = spark.createDataFrame(EXTRA_LEMMAS, "synset_id string, lemma string, lemma_count long")
     both = base.unionByName(extra)
+    if not with_ord:
+        return both.withColumn("ord", F.lit(None).cast("long"))
     return with_global_rank(both, ["synset_id", "lemma"], "ord")
 
 
