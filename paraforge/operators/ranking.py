@@ -60,6 +60,32 @@ def with_global_rank(df: DataFrame, order: Sequence, name: str = "rank",
     return out.withColumn(name, (F.col("_pf_off") + local).cast("long")).drop("_pf_mid", "_pf_pid", "_pf_off")
 
 
+def with_running_sum(df: DataFrame, order: Sequence, value: str, name: str = "offset",
+                     num_partitions: int | None = None) -> DataFrame:
+    """Add the exclusive running sum of ``value`` along ``order`` (a total order).
+
+    Meant for narrow tables (one row per text or turn): range-partition, sum inside each range
+    partition with a Window partitioned by the partition id (partition sizes are balanced by the
+    range bounds, so a hot group spans many of them), then add per-partition offsets from a
+    table of one row per partition (broadcast, bounded by the partition count). The tagged table
+    is checkpointed so that both reads see one partitioning.
+    """
+    n = _num_partitions(df, num_partitions)
+    order_cols = _cols(order)
+    tagged = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+              .withColumn("_pf_pid", F.spark_partition_id()))
+    checkpoint_dir(df.sparkSession)
+    tagged = tagged.checkpoint(eager=True)
+    inside = Window.partitionBy("_pf_pid").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
+    summed = tagged.withColumn("_pf_in", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    totals = tagged.groupBy("_pf_pid").agg(F.sum(value).alias("_pf_tot"))
+    # One row per range partition (bounded by n): an unpartitioned Window is fine here.
+    before = Window.orderBy("_pf_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_pf_pid", F.coalesce(F.sum("_pf_tot").over(before), F.lit(0)).alias("_pf_off"))
+    out = summed.join(F.broadcast(offsets), "_pf_pid")
+    return out.withColumn(name, (F.col("_pf_off") + F.col("_pf_in")).cast("long")).drop("_pf_pid", "_pf_in", "_pf_off")
+
+
 def with_rank_in_group(df: DataFrame, group: Sequence[str], order: Sequence, name: str = "pos",
                        num_partitions: int | None = None) -> DataFrame:
     """Add a dense 0-based position inside each group, ordered by ``order``.

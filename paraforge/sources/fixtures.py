@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paraforge.functions import text as T
-from paraforge.operators.ranking import split_by_ratio, with_global_rank, with_rank_in_group
+from paraforge.operators.ranking import split_by_ratio, with_global_rank, with_running_sum
 from paraforge.sources.io import read_supplied, spread
 
 FOLLOWERS = 8          # candidates / labelled pairs: each sentence with the next 8
@@ -46,14 +46,34 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.posexplode(T.split_sentences("text")).alias("pos", "sentence"))
 
 
+@_memo
+def _conv_sentences_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation sentences with their position in the conversation (``pos``), in the whole
+    table (``gpos``) and the conversation's index among non-empty conversations (``conv_index``).
+
+    Positions come from a narrow per-turn table (one row per turn: its sentence count): the
+    exclusive running sum over (conv_id, turn) is where each turn starts; the wide sentence table
+    is never sorted, only joined to its turn's start on the unique key (conv_id, turn).
+    """
+    conv = spread(read_supplied(spark, sf_dir, "conversations"), "conv_id")
+    turns = conv.select("conv_id", "turn", F.size(T.split_sentences("text")).alias("ns"))
+    starts = with_running_sum(turns, ["conv_id", "turn"], "ns", "g0")
+    firsts = starts.groupBy("conv_id").agg(F.min("g0").alias("c0"), F.sum("ns").alias("total"))
+    convs = with_running_sum(firsts.filter(F.col("total") > 0).withColumn("one", F.lit(1)), ["conv_id"], "one",
+                             "conv_index").select("conv_id", "c0", "conv_index")
+    turn_pos = starts.join(convs, "conv_id").select("conv_id", "turn", "g0", (F.col("g0") - F.col("c0")).alias("t0"),
+                                                     "conv_index")
+    exploded = conv.select("conv_id", "turn", "role", F.posexplode(T.split_sentences("text")).alias("spos", "sentence"))
+    out = exploded.join(turn_pos, ["conv_id", "turn"])
+    return out.select("conv_id", (F.col("t0") + F.col("spos")).cast("long").alias("pos"),
+                      (F.col("g0") + F.col("spos")).cast("long").alias("gpos"), "conv_index",
+                      "turn", "role", "sentence")
+
+
 @_memo
 def conv_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conversations -> F3 per turn; ``pos`` = rank by (turn, position in turn) in the conversation."""
-    conv = spread(read_supplied(spark, sf_dir, "conversations"), "conv_id")
-    exploded = conv.select("conv_id", "turn", "role",
-                           F.posexplode(T.split_sentences("text")).alias("spos", "sentence"))
-    ranked = with_rank_in_group(exploded, ["conv_id"], ["turn", "spos"], "pos")
-    return ranked.select("conv_id", "pos", "turn", "role", "sentence")
+    return _conv_sentences_ranked(spark, sf_dir).select("conv_id", "pos", "turn", "role", "sentence")
 
 
 def clusters(spark: SparkSession, sf_dir: str, source: str = "conversations") -> DataFrame:
@@ -74,19 +94,45 @@ def _next_k(items: DataFrame, key: str, k: int, text: str, pos: str = "pos", car
     return a.join(b, [key, "fpos"])
 
 
+def _pairs_before(pos, n) -> F.Column:
+    """Pairs (q, q+k), k = 1..8, q < pos, in a text of n sentences: sum of min(8, n-1-q)."""
+    k0 = F.greatest(F.lit(0), F.least(pos, n - FOLLOWERS))
+    rest = (pos - k0) * (n - 1) - ((k0 + pos - 1) * (pos - k0) / 2).cast("long")
+    return (k0 * FOLLOWERS + rest).cast("long")
+
+
+def _pairs_total(n) -> F.Column:
+    """All (q, q+k) pairs, k = 1..8, in a text of n sentences."""
+    small = (n * (n - 1) / 2).cast("long")
+    return F.when(n <= FOLLOWERS + 1, small).otherwise(
+        F.lit(FOLLOWERS * (FOLLOWERS + 1) // 2) + (n - FOLLOWERS - 1) * FOLLOWERS).cast("long")
+
+
 @_memo
-def labelled_pairs(spark: SparkSession, sf_dir: str, with_ord: bool = True) -> DataFrame:
-    """(ord, doc_id, question1, question2, label): each sentence of a labelled document with the
-    next 8; ``label`` = the document's quality; ``ord`` by (doc_id, pos, follower pos)."""
+def _labelled_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, label, n, d0): labelled documents with their sentence count and the number of
+    labelled pairs in all earlier documents (a running sum over a one-row-per-document table)."""
     labels = read_supplied(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    lab = sentences(spark, sf_dir).join(labels, "doc_id")
-    pairs = _next_k(lab, "doc_id", FOLLOWERS, "sentence", carry=["label"])
-    pairs = pairs.select("doc_id", "pos", "fpos", F.col("original").alias("question1"),
-                         F.col("follower").alias("question2"), "label")
-    if with_ord:
-        pairs = with_global_rank(pairs, ["doc_id", "pos", "fpos"], "ord")
-    return pairs.select("ord" if with_ord else F.lit(None).cast("long").alias("ord"),
-                        "doc_id", "question1", "question2", "label")
+    docs = spread(read_supplied(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    narrow = docs.join(labels, "doc_id").select("doc_id", "label", F.size(T.split_sentences("text")).alias("n"))
+    narrow = narrow.withColumn("np", _pairs_total(F.col("n")))
+    return with_running_sum(narrow, ["doc_id"], "np", "d0")
+
+
+@_memo
+def labelled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ord, doc_id, question1, question2, label): each sentence of a labelled document with the
+    next 8; ``label`` = the document's quality; ``ord`` by (doc_id, pos, follower pos).
+
+    ``ord`` is arithmetic: pairs of earlier documents (``d0``) + pairs of earlier sentences in
+    this document (closed form in the sentence count) + the follower step. The pair table is
+    never sorted."""
+    docs = _labelled_docs(spark, sf_dir)
+    lab = sentences(spark, sf_dir).join(docs, "doc_id")
+    pairs = _next_k(lab, "doc_id", FOLLOWERS, "sentence", carry=["label", "n", "d0"])
+    ord_ = F.col("d0") + _pairs_before(F.col("pos").cast("long"), F.col("n").cast("long")) + F.col("step") - 1
+    return pairs.select(ord_.cast("long").alias("ord"), "doc_id", F.col("original").alias("question1"),
+                        F.col("follower").alias("question2"), "label")
 
 
 SPLIT_RATIOS = (("train", 0.8), ("validation", 0.1))  # sentence_pairs: the rest is test
@@ -97,7 +143,7 @@ def sentence_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ord, sentence1, sentence2, label, split): labelled pairs with positional splits
     (first 80% train, next 10% validation, rest test), like a dataset's pre-made splits."""
     lp = labelled_pairs(spark, sf_dir)
-    total = lp.select(F.count(F.lit(1))).scalar()
+    total = _labelled_docs(spark, sf_dir).select(F.sum("np")).scalar()
     out = split_by_ratio(lp, "ord", total, SPLIT_RATIOS)
     return out.select("ord", F.col("question1").alias("sentence1"), F.col("question2").alias("sentence2"),
                       "label", "split")
@@ -107,13 +153,14 @@ def sentence_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def paraphrase_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ord, text, paraphrases, category, source): each conversation sentence that has a
     follower, with the next 5 as a list literal. category 'sentence' for assistant turns."""
-    cs = conv_sentences(spark, sf_dir)
+    cs = _conv_sentences_ranked(spark, sf_dir)
     nxt = _next_k(cs, "conv_id", LIST_FOLLOWERS, "sentence")
     # At most 5 rows per group: a bounded collect.
     lists = nxt.groupBy("conv_id", "pos").agg(
         F.sort_array(F.collect_list(F.struct("step", "follower"))).alias("f"))
     out = cs.join(lists, ["conv_id", "pos"])
-    out = with_global_rank(out, ["conv_id", "pos"], "ord")
+    # every earlier non-empty conversation lost exactly its last sentence (no follower)
+    out = out.withColumn("ord", (F.col("gpos") - F.col("conv_index")).cast("long"))
     return out.select(
         "ord", F.col("sentence").alias("text"),
         T.list_literal(F.transform("f", lambda s: s["follower"])).alias("paraphrases"),

@@ -50,3 +50,25 @@ def test_split_by_counts(spark):
     got = {r.split: r.c for r in split_by_counts(df, "r", [("train", 6), ("validation", 2), ("test", 5)])
            .groupBy("split").agg(F.count("*").alias("c")).collect()}
     assert got == {"train": 6, "validation": 2, "test": 2}
+
+
+def test_running_sum_matches_cumsum(spark):
+    from paraforge.operators.ranking import with_running_sum
+    rows = [(0 if i % 10 < 7 else i % 4, i, (i * 37) % 11) for i in range(2000)]   # group 0 is hot
+    df = spark.createDataFrame(rows, "g long, t long, v long")
+    got = {(r.g, r.t): r.off for r in with_running_sum(df, ["g", "t"], "v", "off", num_partitions=5).collect()}
+    acc, want = 0, {}
+    for g, t, v in sorted(rows):
+        want[(g, t)] = acc
+        acc += v
+    assert got == want
+
+
+def test_pair_offsets_closed_form(spark):
+    from paraforge.sources.fixtures import FOLLOWERS, _pairs_before, _pairs_total
+    rows = [(n, p) for n in range(0, 25) for p in range(0, max(n, 1))]
+    df = spark.createDataFrame(rows, "n long, p long")
+    out = df.select("n", "p", _pairs_before(F.col("p"), F.col("n")).alias("b"), _pairs_total(F.col("n")).alias("t")).collect()
+    for r in out:
+        assert r.b == sum(min(FOLLOWERS, r.n - 1 - q) for q in range(r.p))
+        assert r.t == sum(min(FOLLOWERS, j) for j in range(r.n))
