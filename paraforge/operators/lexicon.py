@@ -110,16 +110,22 @@ def contextual_synonyms(requests: DataFrame, word_synsets: DataFrame, synset_lem
     get an empty list without any prediction work.
 
     "Sort all candidates by score, cut to k, drop zeros" equals "the k best candidates with a
-    positive score", so only candidates the predictor ranked (at most its top 100 per request)
-    are joined: the lexicon is expanded once per distinct word, never per request x lemma.
+    positive score", so the join runs from the predictions (at most the predictor's top 100 per
+    request): a predicted token is kept when it is a usable lemma (F9) of one of the word's
+    synsets. The lexicon is never expanded to every candidate of every request.
     """
     reqs = requests.select(key, "word", "text").withColumn("lword", F.lower("word"))
-    cands = word_candidates(reqs, word_synsets, synset_lemmas)
-    masked = mask_requests(reqs.join(cands.select("lword").distinct(), "lword", "left_semi"))
+    senses = word_synsets.select(F.col("word").alias("lword"), "synset_id")
+    masked = mask_requests(reqs.join(senses.select("lword").distinct(), "lword", "left_semi"))
     masked = masked.filter(F.col("masked").contains(T.MASK_TOKEN))
     preds = predictor(masked).filter(F.col("score") > 0)
-    scored = preds.join(masked.select(key, "lword"), key) \
-                  .join(cands.withColumnRenamed("candidate", "token"), ["lword", "token"])
+    name = T.lemma_surface("lemma")
+    lemmas = synset_lemmas.filter(~name.contains(" ")).select("synset_id", F.lower(name).alias("token")).distinct()
+    scored = (preds.join(masked.select(key, "lword"), key)
+              .join(senses, "lword")
+              .join(lemmas, ["synset_id", "token"])
+              .filter(F.col("token") != F.col("lword"))
+              .select(key, "token", "score").distinct())
     w = Window.partitionBy(key).orderBy(F.desc("score"), "token")
     ranked = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     lists = ranked.groupBy(key).agg(

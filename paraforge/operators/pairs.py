@@ -162,7 +162,8 @@ def build_pairs_v5(labelled_pairs: DataFrame, lists: DataFrame, target: int = V5
         both = both.withColumn("_pf_d", F.row_number().over(w)).filter("_pf_d = 1").drop("_pf_d")
     capped = first_n_per_source(both, target)
     shuffled = seeded_shuffle(capped, ["source_rank", "ord"], seed, "r1")
-    total = capped.select(F.count(F.lit(1))).scalar()
+    # counted from the shuffled table, which is materialised by the ranking checkpoint
+    total = shuffled.select(F.count(F.lit(1))).scalar()
     out = split_by_ratio(shuffled, "r1", total, ratios)
     return out.select("split", "source_rank", "ord", "sentence1", "sentence2", "overlap")
 
