@@ -164,8 +164,13 @@ def candidate_scores(cands: DataFrame, similarity: DataFrame | None = None) -> D
         scored = cands.join(similarity, ["original", "text"], "left")
     else:
         scored = cands.withColumn("similarity", tf_cosine_column("original", "text"))
-    return scored.select("*", F.explode(F.array(T.word_overlap("original", "text"))).alias("overlap")) \
-                 .withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
+    if "original_tokens" in cands.columns and "text_tokens" in cands.columns:
+        # token sets computed once per sentence upstream (e.g. the candidates fixture)
+        ov = T.overlap_from_tokens("original_tokens", "text_tokens")
+        scored = scored.select("*", F.explode(F.array(ov)).alias("overlap")).drop("original_tokens", "text_tokens")
+    else:
+        scored = scored.select("*", F.explode(F.array(T.word_overlap("original", "text"))).alias("overlap"))
+    return scored.withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
 
 
 def cosine(u, v) -> Column:

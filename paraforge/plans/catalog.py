@@ -358,7 +358,7 @@ SWEEP = (0.85, 0.5, 0.3)
 
 
 def _scored(spark, sf, source="conversations", k=X.FOLLOWERS):
-    return C.candidate_scores(X.candidates(spark, sf, source, k))
+    return C.candidate_scores(X.candidates(spark, sf, source, k, with_tokens=True))
 
 
 def _selected_out(sel: DataFrame) -> DataFrame:

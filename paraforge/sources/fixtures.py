@@ -172,19 +172,33 @@ def paraphrase_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def candidates(spark: SparkSession, sf_dir: str, source: str = "conversations", k: int = FOLLOWERS) -> DataFrame:
+def candidates(spark: SparkSession, sf_dir: str, source: str = "conversations", k: int = FOLLOWERS,
+               with_tokens: bool = False) -> DataFrame:
     """(sentence_id, original, gen_idx, text): each sentence with the next 8 of the same
-    conversation or document, standing in for 8 generated rewrites."""
+    conversation or document, standing in for 8 generated rewrites. ``with_tokens`` adds the
+    token sets of both sides (``original_tokens``, ``text_tokens``), computed once per sentence
+    before the follower join."""
     if source == "conversations":
         items = conv_sentences(spark, sf_dir).select(F.col("conv_id").alias("tid"), "pos", "sentence")
         prefix = "c"
     else:
         items = sentences(spark, sf_dir).select(F.col("doc_id").alias("tid"), F.col("pos").cast("long"), "sentence")
         prefix = "d"
-    nxt = _next_k(items, "tid", k, "sentence")
+    if with_tokens:
+        items = items.withColumn("toks", T.tokens("sentence"))
+        a = items.select("tid", "pos", F.col("sentence").alias("original"), F.col("toks").alias("original_tokens"),
+                         F.explode(F.sequence(F.lit(1), F.lit(k))).alias("step"))
+        a = a.withColumn("fpos", F.col("pos") + F.col("step"))
+        b = items.select("tid", F.col("pos").alias("fpos"), F.col("sentence").alias("follower"),
+                         F.col("toks").alias("text_tokens"))
+        nxt = a.join(b, ["tid", "fpos"])
+        extra = ["original_tokens", "text_tokens"]
+    else:
+        nxt = _next_k(items, "tid", k, "sentence")
+        extra = []
     return nxt.select(
         F.concat(F.lit(prefix), F.col("tid").cast("string"), F.lit(":"), F.col("pos").cast("string")).alias("sentence_id"),
-        "original", (F.col("step") - 1).cast("int").alias("gen_idx"), F.col("follower").alias("text"))
+        "original", (F.col("step") - 1).cast("int").alias("gen_idx"), F.col("follower").alias("text"), *extra)
 
 
 # ---- lexicon fixtures ------------------------------------------------------------------------
