@@ -52,11 +52,20 @@ def normalise_pair_columns(df: DataFrame, first: str | Column, second: str | Col
     """Map source-specific columns to sentence1/sentence2."""
     a = F.col(first) if isinstance(first, str) else first
     b = F.col(second) if isinstance(second, str) else second
-    return df.select(*keep, a.alias("sentence1"), b.alias("sentence2"))
+    toks = []
+    if isinstance(first, str) and isinstance(second, str) and \
+            f"{first}_tokens" in df.columns and f"{second}_tokens" in df.columns:
+        # token sets computed upstream travel with the texts
+        toks = [F.col(f"{first}_tokens").alias("sentence1_tokens"), F.col(f"{second}_tokens").alias("sentence2_tokens")]
+    return df.select(*keep, a.alias("sentence1"), b.alias("sentence2"), *toks)
 
 
 def with_overlap(df: DataFrame, a: str = "sentence1", b: str = "sentence2", name: str = "overlap") -> DataFrame:
-    """F2 as a column, computed once: the Generate keeps later filters from re-inlining it."""
+    """F2 as a column, computed once: the Generate keeps later filters from re-inlining it.
+    Uses ``{a}_tokens``/``{b}_tokens`` when the token sets came precomputed (and drops them)."""
+    ta, tb = f"{a}_tokens", f"{b}_tokens"
+    if ta in df.columns and tb in df.columns:
+        return df.select("*", F.explode(F.array(T.overlap_from_tokens(ta, tb))).alias(name)).drop(ta, tb)
     return df.select("*", F.explode(F.array(T.word_overlap(a, b))).alias(name))
 
 

@@ -109,11 +109,11 @@ K1_FIXTURE_N = 100
 
 
 def _qsource(spark, sf):
-    return P.question_source(X.labelled_pairs(spark, sf), *P.BAND)
+    return P.question_source(X.labelled_pairs(spark, sf, with_tokens=True), *P.BAND)
 
 
 def _both(spark, sf):
-    return P.union_sources([P.question_source(X.labelled_pairs(spark, sf), *P.BAND),
+    return P.union_sources([P.question_source(X.labelled_pairs(spark, sf, with_tokens=True), *P.BAND),
                             P.declarative_source(X.paraphrase_lists(spark, sf), *P.BAND)])
 
 
@@ -146,7 +146,7 @@ def q_overlap_band(spark, sf):
 @register("partition_by_threshold", f"""WITH {O.cte_sources(*P.BAND)}
 SELECT ord, round(overlap, 6) AS overlap, CASE WHEN overlap <= 0.5 THEN 'kept' ELSE 'dropped' END AS bucket FROM qpairs""")
 def q_partition_by_threshold(spark, sf):
-    pos = P.filter_positive(X.labelled_pairs(spark, sf))
+    pos = P.filter_positive(X.labelled_pairs(spark, sf, with_tokens=True))
     scored = P.with_overlap(P.normalise_pair_columns(pos, "question1", "question2", ["ord"]))
     return P.partition_by_threshold(scored).select("ord", r6("overlap").alias("overlap"), "bucket")
 
@@ -155,7 +155,7 @@ def q_partition_by_threshold(spark, sf):
 SELECT count_if(overlap <= 0.5)::BIGINT AS kept, count_if(overlap > 0.5)::BIGINT AS dropped, count(*)::BIGINT AS total,
        round(count_if(overlap <= 0.5)::DOUBLE / count(*), 6) AS kept_rate FROM qpairs""")
 def q_keep_rate(spark, sf):
-    pos = P.filter_positive(X.labelled_pairs(spark, sf))
+    pos = P.filter_positive(X.labelled_pairs(spark, sf, with_tokens=True))
     scored = P.with_overlap(P.normalise_pair_columns(pos, "question1", "question2", ["ord"]))
     return A.keep_rate(P.partition_by_threshold(scored)).withColumn("kept_rate", r6("kept_rate"))
 
@@ -168,7 +168,7 @@ SELECT count(*)::BIGINT AS n, round(min(overlap), 6) AS min,
        round(max(CASE WHEN rk = (3 * n) // 4 THEN overlap END), 6) AS q3,
        round(max(overlap), 6) AS max FROM r""")
 def q_overlap_quantiles(spark, sf):
-    pos = P.filter_positive(X.labelled_pairs(spark, sf))
+    pos = P.filter_positive(X.labelled_pairs(spark, sf, with_tokens=True))
     scored = P.with_overlap(P.normalise_pair_columns(pos, "question1", "question2", ["ord"]))
     out = A.index_quantiles(scored, "overlap", "ord")
     return out.select("n", *[r6(c).alias(c) for c in ("min", "q1", "median", "q3", "max")])
@@ -186,7 +186,7 @@ def q_sample_first_n(spark, sf):
 @register("preview_k", f"""WITH {O.cte_sources(*P.BAND)}
 SELECT ord, sentence1, sentence2, round(overlap, 6) AS overlap FROM qpairs WHERE overlap <= 0.5 ORDER BY ord LIMIT 10""")
 def q_preview_k(spark, sf):
-    pos = P.filter_positive(X.labelled_pairs(spark, sf))
+    pos = P.filter_positive(X.labelled_pairs(spark, sf, with_tokens=True))
     scored = P.with_overlap(P.normalise_pair_columns(pos, "question1", "question2", ["ord"]))
     kept = P.partition_by_threshold(scored).filter(F.col("bucket") == "kept")
     return P.first_n_per_source(kept, 10, source=None).select("ord", "sentence1", "sentence2", r6("overlap").alias("overlap"))
@@ -269,13 +269,13 @@ SELECT CASE WHEN rk < {a} THEN 'train' WHEN rk < {a + b} THEN 'validation' ELSE
 
 @register("build_pairs_v2", _v2_sql(V2_FIXTURE_COUNTS, P.V2_TARGET, f"{P.SEED}:split", "v2"))
 def q_build_pairs_v2(spark, sf):
-    out = P.build_pairs_v2(X.labelled_pairs(spark, sf), counts=V2_FIXTURE_COUNTS)
+    out = P.build_pairs_v2(X.labelled_pairs(spark, sf, with_tokens=True), counts=V2_FIXTURE_COUNTS)
     return out.withColumn("overlap", r6("overlap"))
 
 
 @register("build_pairs_v4", _v2_sql(V4_FIXTURE_COUNTS, P.V4_TARGET, str(P.SEED), "v4"))
 def q_build_pairs_v4(spark, sf):
-    out = P.build_pairs_v4(X.labelled_pairs(spark, sf), counts=V4_FIXTURE_COUNTS)
+    out = P.build_pairs_v4(X.labelled_pairs(spark, sf, with_tokens=True), counts=V4_FIXTURE_COUNTS)
     return out.withColumn("overlap", r6("overlap"))
 
 
@@ -310,13 +310,13 @@ SELECT CASE WHEN rk < floor(n * 0.85) THEN 'train' WHEN rk < floor(n * 0.85) + f
 
 @register("build_pairs_v5", _v5_sql(P.V5_TARGET))
 def q_build_pairs_v5(spark, sf):
-    out = P.build_pairs_v5(X.labelled_pairs(spark, sf), X.paraphrase_lists(spark, sf))
+    out = P.build_pairs_v5(X.labelled_pairs(spark, sf, with_tokens=True), X.paraphrase_lists(spark, sf))
     return out.withColumn("overlap", r6("overlap"))
 
 
 @register("build_pairs_v6", _v5_sql(P.V6_TARGET))
 def q_build_pairs_v6(spark, sf):
-    out = P.build_pairs_v6(X.labelled_pairs(spark, sf), X.paraphrase_lists(spark, sf))
+    out = P.build_pairs_v6(X.labelled_pairs(spark, sf, with_tokens=True), X.paraphrase_lists(spark, sf))
     return out.withColumn("overlap", r6("overlap"))
 
 
@@ -336,14 +336,14 @@ UNION ALL SELECT 'declarative_rows', count(*)::BIGINT FROM dpairs
 UNION ALL SELECT 'declarative_in_band', count(*)::BIGINT FROM dsrc
 UNION ALL SELECT 'declarative_capped', least(count(*), {P.V5_TARGET})::BIGINT FROM dsrc""")
 def q_build_stage_counts(spark, sf):
-    return P.build_stage_counts(X.labelled_pairs(spark, sf), X.paraphrase_lists(spark, sf))
+    return P.build_stage_counts(X.labelled_pairs(spark, sf, with_tokens=True), X.paraphrase_lists(spark, sf))
 
 
 @register("write_read_splits", _v5_sql(P.V6_TARGET).replace("FROM r", "FROM r WHERE rk >= floor(n * 0.85)"))
 def q_write_read_splits(spark, sf):
     """S6 + S7: write the v6 split set partitioned by split into the shared folder, read the
     validation and test folders back (PartitionFilters prune the train folder)."""
-    out = P.build_pairs_v6(X.labelled_pairs(spark, sf), X.paraphrase_lists(spark, sf))
+    out = P.build_pairs_v6(X.labelled_pairs(spark, sf, with_tokens=True), X.paraphrase_lists(spark, sf))
     path = IO.write_splits(out.withColumn("overlap", r6("overlap")), scratch_path(spark, "splits_v6"))
     back = IO.read_splits(spark, path)
     return back.filter(F.col("split") != "train").select("split", "source_rank", "ord", "sentence1", "sentence2", "overlap")
@@ -814,7 +814,7 @@ SELECT count(*)::BIGINT AS n, round(min(overlap), 6) AS min,
        round(count_if(overlap <= 0.5)::DOUBLE / count(*), 6) AS kept_rate FROM r""")
 def q_overlap_report(spark, sf):
     """Quantiles (A4) and keep rate (A3) of the positive pairs, one row."""
-    pos = P.filter_positive(X.labelled_pairs(spark, sf))
+    pos = P.filter_positive(X.labelled_pairs(spark, sf, with_tokens=True))
     scored = P.with_overlap(P.normalise_pair_columns(pos, "question1", "question2", ["ord"]))
     kept = F.count_if(F.col("_v") <= P.KEEP_THRESHOLD).cast("long")
     out = A.index_quantiles(scored, "overlap", "ord", extra=[
@@ -924,7 +924,7 @@ def q_value_counts(spark, sf):
     "SELECT CASE WHEN rk", "SELECT split, count(*)::BIGINT AS num_rows FROM (SELECT CASE WHEN rk", 1) + ") GROUP BY split")
 def q_row_counts(spark, sf):
     """A2: rows per split of the v6 build, one aggregate."""
-    out = P.build_pairs_v6(X.labelled_pairs(spark, sf), X.paraphrase_lists(spark, sf))
+    out = P.build_pairs_v6(X.labelled_pairs(spark, sf, with_tokens=True), X.paraphrase_lists(spark, sf))
     return out.groupBy("split").agg(F.count(F.lit(1)).cast("long").alias("num_rows"))
 
 
@@ -1050,7 +1050,7 @@ ORACLES["synonym_requests"] = ORACLES["contextual_synonyms"]
 @register("write_splits", _v5_sql(P.V6_TARGET))
 def q_write_splits(spark, sf):
     """The v6 split set written as Parquet partitioned by split, read back whole."""
-    out = P.build_pairs_v6(X.labelled_pairs(spark, sf), X.paraphrase_lists(spark, sf)).withColumn("overlap", r6("overlap"))
+    out = P.build_pairs_v6(X.labelled_pairs(spark, sf, with_tokens=True), X.paraphrase_lists(spark, sf)).withColumn("overlap", r6("overlap"))
     path = IO.write_splits(out, scratch_path(spark, "write-splits"))
     return IO.read_splits(spark, path).select("split", "source_rank", "ord", "sentence1", "sentence2", "overlap")
 
@@ -1058,6 +1058,6 @@ def q_write_splits(spark, sf):
 @register("read_splits", _v5_sql(P.V6_TARGET).replace("FROM r", "FROM r WHERE rk < floor(n * 0.85)"))
 def q_read_splits(spark, sf):
     """Load one split (train) of a saved split set; the filter prunes the other folders."""
-    out = P.build_pairs_v6(X.labelled_pairs(spark, sf), X.paraphrase_lists(spark, sf)).withColumn("overlap", r6("overlap"))
+    out = P.build_pairs_v6(X.labelled_pairs(spark, sf, with_tokens=True), X.paraphrase_lists(spark, sf)).withColumn("overlap", r6("overlap"))
     path = IO.write_splits(out, scratch_path(spark, "read-splits"))
     return IO.read_splits(spark, path, "train").select("split", "source_rank", "ord", "sentence1", "sentence2", "overlap")

@@ -123,7 +123,7 @@ def _labelled_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_memo
-def labelled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def labelled_pairs(spark: SparkSession, sf_dir: str, with_tokens: bool = False) -> DataFrame:
     """(ord, doc_id, question1, question2, label): each sentence of a labelled document with the
     next 8; ``label`` = the document's quality; ``ord`` by (doc_id, pos, follower pos).
 
@@ -132,10 +132,21 @@ def labelled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     never sorted."""
     docs = _labelled_docs(spark, sf_dir)
     lab = sentences(spark, sf_dir).join(docs, "doc_id")
-    pairs = _next_k(lab, "doc_id", FOLLOWERS, "sentence", carry=["label", "n", "d0"])
     ord_ = F.col("d0") + _pairs_before(F.col("pos").cast("long"), F.col("n").cast("long")) + F.col("step") - 1
-    return pairs.select(ord_.cast("long").alias("ord"), "doc_id", F.col("original").alias("question1"),
-                        F.col("follower").alias("question2"), "label")
+    if not with_tokens:
+        pairs = _next_k(lab, "doc_id", FOLLOWERS, "sentence", carry=["label", "n", "d0"])
+        return pairs.select(ord_.cast("long").alias("ord"), "doc_id", F.col("original").alias("question1"),
+                            F.col("follower").alias("question2"), "label")
+    # token sets computed once per sentence, carried to both sides of each pair
+    lab = lab.withColumn("toks", T.tokens("sentence"))
+    a = lab.select("doc_id", "pos", "label", "n", "d0", F.col("sentence").alias("question1"),
+                   F.col("toks").alias("question1_tokens"), F.explode(F.sequence(F.lit(1), F.lit(FOLLOWERS))).alias("step"))
+    a = a.withColumn("fpos", F.col("pos") + F.col("step"))
+    b = lab.select("doc_id", F.col("pos").alias("fpos"), F.col("sentence").alias("question2"),
+                   F.col("toks").alias("question2_tokens"))
+    pairs = a.join(b, ["doc_id", "fpos"])
+    return pairs.select(ord_.cast("long").alias("ord"), "doc_id", "question1", "question2", "label",
+                        "question1_tokens", "question2_tokens")
 
 
 SPLIT_RATIOS = (("train", 0.8), ("validation", 0.1))  # sentence_pairs: the rest is test
