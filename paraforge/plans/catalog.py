@@ -1061,3 +1061,15 @@ def q_read_splits(spark, sf):
     out = P.build_pairs_v6(X.labelled_pairs(spark, sf, with_tokens=True), X.paraphrase_lists(spark, sf)).withColumn("overlap", r6("overlap"))
     path = IO.write_splits(out, scratch_path(spark, "read-splits"))
     return IO.read_splits(spark, path, "train").select("split", "source_rank", "ord", "sentence1", "sentence2", "overlap")
+
+
+
+@register("stream_paraphrase_requests", ORACLES["paraphrase_requests"])
+def q_stream_paraphrase_requests(spark, sf):
+    """R5 for R1: paraphrase requests as a Structured Streaming query (stateless, candidates
+    nested per request), read back from its Parquet sink. Equals the batch R1 output."""
+    folder = ST.stage_requests(X.requests(spark, sf))
+    stream = ST.request_stream(spark, folder)
+    out = ST.run_stream(spark, stream, lambda s: R.paraphrase_requests_stream(s, H.drop_word_generator(8)),
+                        name="paraphrase")
+    return spark.read.schema("request_id string, original string, paraphrased string, confident boolean").parquet(out)

@@ -82,3 +82,48 @@ def grammar_requests_stream(requests: DataFrame, corrector: Callable, key: str =
     fixed = staged.mapInPandas(run, f"{key} string, {text} string, _pf_blank boolean, corrected string")
     confident = F.when(F.col("_pf_blank"), F.lit(False)).otherwise(C.grammar_gate(F.col(text), F.col("corrected")))
     return fixed.select(key, F.col(text).alias("original"), "corrected", confident.alias("confident"))
+
+
+def _tf_cosine_many(originals, candidate_lists):
+    """Term-frequency cosine of each original against each of its candidates (Arrow batch)."""
+    import pandas as pd
+
+    from paraforge.operators.select import _tf_cosine_batch
+
+    out = []
+    for o, cands in zip(originals, candidate_lists):
+        cands = list(cands) if cands is not None else []
+        out.append(_tf_cosine_batch([o] * len(cands), cands).tolist() if cands else [])
+    return pd.Series(out)
+
+
+def paraphrase_requests_stream(requests: DataFrame, generator: Callable, key: str = "request_id",
+                               text: str = "text", **rule_params) -> DataFrame:
+    """R1 for an unbounded input, with no state: the generator runs per micro-batch and its
+    candidates stay nested per request; overlap (array expressions), similarity (Arrow UDF over
+    the candidate array) and the grounded pick (``array_min(filter(...))``) are all row-local."""
+
+    def run(batches):
+        fn = H._model(generator)
+        import pandas as pd
+        for pdf in batches:
+            texts = pdf[text].dropna().unique()
+            gen = fn(pd.DataFrame({"text": texts})) if len(texts) else pd.DataFrame(
+                columns=["text", "gen_idx", "candidate"])
+            by_text = {}
+            for t, g, c in zip(gen["text"], gen["gen_idx"], gen["candidate"]):
+                by_text.setdefault(t, []).append({"gen_idx": int(g), "text": c})
+            cands = [sorted(by_text.get(t, []), key=lambda d: d["gen_idx"]) for t in pdf[text]]
+            yield pd.DataFrame({key: pdf[key], "original": pdf[text], "cands": cands})
+
+    nested = requests.select(key, text).mapInPandas(
+        run, f"{key} string, original string, cands array<struct<gen_idx:int,text:string>>")
+    sims = F.pandas_udf(_tf_cosine_many, "array<double>")(
+        F.col("original"), F.transform("cands", lambda c: c["text"]))
+    nested = nested.withColumn("_pf_sims", sims)
+    scored = F.transform("cands", lambda c, i: F.struct(
+        T.word_overlap(F.col("original"), c["text"]).alias("overlap"), c["gen_idx"].alias("gen_idx"),
+        c["text"].alias("text"), F.get(F.col("_pf_sims"), i).alias("similarity")))
+    picked = C.select_nested(nested.withColumn("scored", scored), "grounded", cands="scored", **rule_params)
+    out = C.confident_or_original(picked)
+    return out.select(key, "original", "paraphrased", "confident")
