@@ -1073,3 +1073,18 @@ def q_stream_paraphrase_requests(spark, sf):
     out = ST.run_stream(spark, stream, lambda s: R.paraphrase_requests_stream(s, H.drop_word_generator(8)),
                         name="paraphrase")
     return spark.read.schema("request_id string, original string, paraphrased string, confident boolean").parquet(out)
+
+
+
+@register("stream_paragraph_requests", ORACLES["paragraph_requests"])
+def q_stream_paragraph_requests(spark, sf):
+    """R5 for R2: paragraph requests as a Structured Streaming query; sentences and candidates
+    stay nested per request (no state), read back from the Parquet sink. Equals batch R2."""
+    folder = ST.stage_requests(X.requests(spark, sf))
+    stream = ST.request_stream(spark, folder)
+    job = lambda s: R.paragraph_requests_stream(s, H.drop_word_generator(8)).select(
+        "request_id", "original", "paraphrased", F.size("sentences").alias("n_sentences"),
+        F.size(F.filter("sentences", lambda r: r["confident"])).alias("n_confident"))
+    out = ST.run_stream(spark, stream, job, name="paragraph")
+    return spark.read.schema("request_id string, original string, paraphrased string, n_sentences int, "
+                             "n_confident int").parquet(out)

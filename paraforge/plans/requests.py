@@ -127,3 +127,63 @@ def paraphrase_requests_stream(requests: DataFrame, generator: Callable, key: st
     picked = C.select_nested(nested.withColumn("scored", scored), "grounded", cands="scored", **rule_params)
     out = C.confident_or_original(picked)
     return out.select(key, "original", "paraphrased", "confident")
+
+
+def _tf_cosine_nested(sentence_lists, candidate_lists):
+    """Per request: for each sentence, the term-frequency cosine against each of its candidates."""
+    import pandas as pd
+
+    from paraforge.operators.select import _tf_cosine_batch
+
+    out = []
+    for sents, cands in zip(sentence_lists, candidate_lists):
+        sents = list(sents) if sents is not None else []
+        cands = list(cands) if cands is not None else []
+        row = []
+        for s, cs in zip(sents, cands):
+            cs = list(cs) if cs is not None else []
+            row.append(_tf_cosine_batch([s] * len(cs), cs).tolist() if cs else [])
+        out.append(row)
+    return pd.Series(out)
+
+
+def paragraph_requests_stream(requests: DataFrame, generator: Callable, key: str = "request_id",
+                              text: str = "text", **rule_params) -> DataFrame:
+    """R2 for an unbounded input, with no state: each request keeps its sentences and their
+    candidates nested; scoring, the grounded pick and the rejoin (A9) are row-local."""
+
+    def run(batches):
+        fn = H._model(generator)
+        import pandas as pd
+        for pdf in batches:
+            sent_lists = [list(s) if s is not None else [] for s in pdf["sents"]]
+            texts = sorted({s for ss in sent_lists for s in ss})
+            gen = fn(pd.DataFrame({"text": texts})) if texts else pd.DataFrame(columns=["text", "gen_idx", "candidate"])
+            by_text = {}
+            for t, g, c in zip(gen["text"], gen["gen_idx"], gen["candidate"]):
+                by_text.setdefault(t, []).append({"gen_idx": int(g), "text": c})
+            nested = [[{"sentence": s, "cands": sorted(by_text.get(s, []), key=lambda d: d["gen_idx"])} for s in ss]
+                      for ss in sent_lists]
+            yield pd.DataFrame({key: pdf[key], "original": pdf["original"], "sents": nested})
+
+    staged = requests.select(key, F.col(text).alias("original"), T.split_sentences(text).alias("sents"))
+    nested = staged.mapInPandas(run, f"{key} string, original string, "
+                                     "sents array<struct<sentence:string,cands:array<struct<gen_idx:int,text:string>>>>")
+    sims = F.pandas_udf(_tf_cosine_nested, "array<array<double>>")(
+        F.transform("sents", lambda s: s["sentence"]),
+        F.transform("sents", lambda s: F.transform(s["cands"], lambda c: c["text"])))
+    nested = nested.withColumn("_pf_sims", sims)
+
+    def per_sentence(s, i):
+        sim_i = F.get(F.col("_pf_sims"), i)
+        scored = F.transform(s["cands"], lambda c, j: F.struct(
+            T.word_overlap(s["sentence"], c["text"]).alias("overlap"), c["gen_idx"].alias("gen_idx"),
+            c["text"].alias("text"), F.get(sim_i, j).alias("similarity")))
+        sel = F.array_min(F.filter(scored, lambda x: C.rule_predicate("grounded", x, s["sentence"], **rule_params)))
+        return F.struct(s["sentence"].alias("original"), F.coalesce(sel["text"], s["sentence"]).alias("paraphrased"),
+                        sel.isNotNull().alias("confident"))
+
+    results = nested.withColumn("sentences", F.transform("sents", per_sentence))
+    return results.select(key, "original",
+                          F.array_join(F.transform("sentences", lambda r: r["paraphrased"]), " ").alias("paraphrased"),
+                          "sentences")

@@ -43,3 +43,17 @@ def test_stream_equals_batch(spark):
     batch = {tuple(r) for r in E.queries()["grammar_requests"](spark, SF_SMALL).collect()}
     stream = {tuple(r) for r in E.queries()["stream_requests"](spark, SF_SMALL).collect()}
     assert batch == stream and len(batch) > 0
+
+
+@pytest.mark.parametrize("batch,stream", [("paraphrase_requests", "stream_paraphrase_requests"),
+                                          ("paragraph_requests", "stream_paragraph_requests")])
+def test_stream_jobs_equal_batch(spark, batch, stream):
+    qs = E.queries()
+    b = {tuple(r) for r in qs[batch](spark, SF_SMALL).select(*_cols(stream)).collect()}
+    s = {tuple(r) for r in qs[stream](spark, SF_SMALL).collect()}
+    assert b == s and len(b) > 0
+
+
+def _cols(name):
+    return {"stream_paraphrase_requests": ["request_id", "original", "paraphrased", "confident"],
+            "stream_paragraph_requests": ["request_id", "original", "paraphrased", "n_sentences", "n_confident"]}[name]
