@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paraforge.operators.ranking import with_global_rank
+from paraforge.operators.ranking import with_running_sum
 
 QUANTILE_SAMPLE = 2000      # the reference measures the first 2,000 positives
 CONFIDENCE_THRESHOLDS = (0.85,)
@@ -37,18 +37,24 @@ def keep_rate(bucketed: DataFrame, bucket: str = "bucket") -> DataFrame:
 
 def index_quantiles(df: DataFrame, col: str = "overlap", order: str = "ord", extra=()) -> DataFrame:
     """A4: min, s[n//4], s[n//2], s[3n//4], max of the sorted values (the reference's index
-    rule, not an interpolating percentile). Sorting is a distributed global rank; n is a scalar
-    subquery; the five picks are one aggregate. ``extra`` adds aggregate expressions over the
-    value column ``_v`` to the same pass (e.g. keep-rate counts)."""
-    vals = df.select(F.col(col).alias("_v"), F.col(order).alias("_o"))
-    ranked = with_global_rank(vals, ["_v", "_o"], "_r")
-    n = ranked.select(F.count(F.lit(1))).scalar()   # counted from the checkpointed ranking
+    rule, not an interpolating percentile).
+
+    The full table is never sorted: values are counted (``groupBy(value)``, map-side combined;
+    the distinct values are usually few), a running sum over that narrow table gives the index
+    range each value covers, and the value covering each wanted index is picked. ``order`` is
+    not needed (equal values are interchangeable). ``extra`` adds aggregates over the counted
+    table, whose columns are ``_v`` (value) and ``_c`` (its count)."""
+    counts = df.select(F.col(col).alias("_v")).filter(F.col("_v").isNotNull()) \
+               .groupBy("_v").agg(F.count(F.lit(1)).alias("_c"))
+    cum = with_running_sum(counts, ["_v"], "_c", "_before")   # checkpointed narrow table
+    n = cum.select(F.sum("_c")).scalar()
 
     def at(idx) -> F.Column:
-        return F.max(F.when(F.col("_r") == idx, F.col("_v")))
+        covers = (F.col("_before") <= idx) & (idx < F.col("_before") + F.col("_c"))
+        return F.max(F.when(covers, F.col("_v")))
 
-    return ranked.agg(
-        F.count(F.lit(1)).cast("long").alias("n"),
+    return cum.agg(
+        F.coalesce(F.sum("_c"), F.lit(0)).cast("long").alias("n"),
         F.min("_v").alias("min"),
         at(F.floor(n / 4)).alias("q1"),
         at(F.floor(n / 2)).alias("median"),

@@ -816,10 +816,11 @@ def q_overlap_report(spark, sf):
     """Quantiles (A4) and keep rate (A3) of the positive pairs, one row."""
     pos = P.filter_positive(X.labelled_pairs(spark, sf, with_tokens=True))
     scored = P.with_overlap(P.normalise_pair_columns(pos, "question1", "question2", ["ord"]))
-    kept = F.count_if(F.col("_v") <= P.KEEP_THRESHOLD).cast("long")
+    kept = F.coalesce(F.sum(F.when(F.col("_v") <= P.KEEP_THRESHOLD, F.col("_c"))), F.lit(0)).cast("long")
+    dropped = F.coalesce(F.sum(F.when(F.col("_v") > P.KEEP_THRESHOLD, F.col("_c"))), F.lit(0)).cast("long")
     out = A.index_quantiles(scored, "overlap", "ord", extra=[
-        kept.alias("kept"), F.count_if(F.col("_v") > P.KEEP_THRESHOLD).cast("long").alias("dropped"),
-        F.try_divide(kept.cast("double"), F.count(F.lit(1)).cast("double")).alias("kept_rate")])
+        kept.alias("kept"), dropped.alias("dropped"),
+        F.try_divide(kept.cast("double"), F.sum("_c").cast("double")).alias("kept_rate")])
     return out.select("n", *[r6(c).alias(c) for c in ("min", "q1", "median", "q3", "max")],
                       "kept", "dropped", r6("kept_rate").alias("kept_rate"))
 

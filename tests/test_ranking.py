@@ -72,3 +72,13 @@ def test_pair_offsets_closed_form(spark):
     for r in out:
         assert r.b == sum(min(FOLLOWERS, r.n - 1 - q) for q in range(r.p))
         assert r.t == sum(min(FOLLOWERS, j) for j in range(r.n))
+
+
+@pytest.mark.parametrize("n", [1, 4, 2000])
+def test_index_quantiles_rule(spark, n):
+    from paraforge.operators.profile import index_quantiles
+    vals = [((i * 7919) % 97) / 97.0 for i in range(n)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "ord long, overlap double")
+    r = index_quantiles(df).first()
+    s = sorted(vals)
+    assert (r.n, r.min, r.q1, r.median, r.q3, r.max) == (n, s[0], s[n // 4], s[n // 2], s[3 * n // 4], s[-1])
