@@ -125,17 +125,26 @@ def tf_cosine(pairs: DataFrame, a: str = "original", b: str = "text") -> DataFra
 
 
 def _tf_cosine_batch(a, b):
-    """Term-frequency cosine for two pandas Series of texts (Arrow batch)."""
+    """Term-frequency cosine for two pandas Series of texts (Arrow batch). Term counts and norms
+    are built once per distinct text in the batch (an original repeats once per candidate)."""
     import math
     from collections import Counter
 
     import pandas as pd
 
+    memo = {}
+
+    def vec(t):
+        v = memo.get(t)
+        if v is None:
+            c = Counter((t or "").lower().split())
+            v = (c, math.sqrt(sum(x * x for x in c.values())))
+            memo[t] = v
+        return v
+
     out = []
     for x, y in zip(a, b):
-        ca, cb = Counter((x or "").lower().split()), Counter((y or "").lower().split())
-        na = math.sqrt(sum(v * v for v in ca.values()))
-        nb = math.sqrt(sum(v * v for v in cb.values()))
+        (ca, na), (cb, nb) = vec(x), vec(y)
         if not na or not nb:
             out.append(0.0)
             continue
