@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paraforge.functions import text as T
+from paraforge.session import materialise
 from paraforge.operators.ranking import (first_n_per_group, seeded_shuffle, split_by_counts,
                                          split_by_ratio)
 
@@ -110,6 +111,13 @@ def cap_split(df: DataFrame, caps: Sequence[tuple[str, int]] = V1_CAPS, order: s
     return ranked.filter(F.col("_pf_rn") <= F.col("cap")).drop("_pf_rn", "cap")
 
 
+def _materialise(capped: DataFrame) -> DataFrame:
+    """Write a capped table (its size is bounded by the cap, not by the input) once, so that the
+    seeded shuffle's range sampling and ranking passes do not each recompute the scan, split and
+    pair join upstream."""
+    return materialise(capped)
+
+
 def _require(df: DataFrame, n: int, what: str) -> None:
     have = df.count()
     if have < n:
@@ -147,7 +155,7 @@ def build_pairs_v2(labelled_pairs: DataFrame, target: int = V2_TARGET, counts=V2
     """B2: positives in band, first ``target`` in source order, shuffled at build and shuffled
     again at split, then cut by counts. Both shuffles order by a keyed hash, so the result of
     the pair is the second (salted) permutation alone and only that one is computed."""
-    qual = first_n_per_source(question_source(labelled_pairs, lo, hi), target, source=None)
+    qual = _materialise(first_n_per_source(question_source(labelled_pairs, lo, hi), target, source=None))
     again = seeded_shuffle(qual, ["ord"], f"{seed}:split", "r2")
     if strict:
         _require(again, sum(c for _, c in counts), "build_pairs_v2")
@@ -157,7 +165,7 @@ def build_pairs_v2(labelled_pairs: DataFrame, target: int = V2_TARGET, counts=V2
 def build_pairs_v4(labelled_pairs: DataFrame, target: int = V4_TARGET, counts=V4_COUNTS,
                    lo: float = BAND[0], hi: float = BAND[1], seed: int = SEED, strict: bool = False) -> DataFrame:
     """Like v2 with one shuffle."""
-    qual = first_n_per_source(question_source(labelled_pairs, lo, hi), target, source=None)
+    qual = _materialise(first_n_per_source(question_source(labelled_pairs, lo, hi), target, source=None))
     built = seeded_shuffle(qual, ["ord"], seed, "r1")
     if strict:
         _require(built, sum(c for _, c in counts), "build_pairs_v4")
@@ -172,7 +180,7 @@ def build_pairs_v5(labelled_pairs: DataFrame, lists: DataFrame, target: int = V5
     if dedupe:
         w = Window.partitionBy("sentence1", "sentence2").orderBy("source_rank", "ord")
         both = both.withColumn("_pf_d", F.row_number().over(w)).filter("_pf_d = 1").drop("_pf_d")
-    capped = first_n_per_source(both, target)
+    capped = _materialise(first_n_per_source(both, target))   # at most 2 x target rows
     shuffled = seeded_shuffle(capped, ["source_rank", "ord"], seed, "r1")
     # counted from the shuffled table, which is materialised by the ranking checkpoint
     total = shuffled.select(F.count(F.lit(1))).scalar()

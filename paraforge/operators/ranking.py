@@ -26,7 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paraforge.session import checkpoint_dir
+from paraforge.session import materialise
 
 _LOCAL_BITS = 33  # monotonically_increasing_id = partition index << 33 | row index in partition
 
@@ -49,8 +49,7 @@ def with_global_rank(df: DataFrame, order: Sequence, name: str = "rank",
     ranged = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
     tagged = ranged.withColumn("_pf_mid", F.monotonically_increasing_id())
     tagged = tagged.withColumn("_pf_pid", F.shiftright("_pf_mid", _LOCAL_BITS))
-    checkpoint_dir(df.sparkSession)
-    tagged = tagged.checkpoint(eager=True)
+    tagged = materialise(tagged)
     counts = tagged.groupBy("_pf_pid").agg(F.count(F.lit(1)).alias("_pf_n"))
     # One row per range partition (bounded by n): an unpartitioned Window is fine here.
     before = Window.orderBy("_pf_pid").rowsBetween(Window.unboundedPreceding, -1)
@@ -74,8 +73,7 @@ def with_running_sum(df: DataFrame, order: Sequence, value: str, name: str = "of
     order_cols = _cols(order)
     tagged = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
               .withColumn("_pf_pid", F.spark_partition_id()))
-    checkpoint_dir(df.sparkSession)
-    tagged = tagged.checkpoint(eager=True)
+    tagged = materialise(tagged)
     inside = Window.partitionBy("_pf_pid").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
     summed = tagged.withColumn("_pf_in", F.coalesce(F.sum(value).over(inside), F.lit(0)))
     totals = tagged.groupBy("_pf_pid").agg(F.sum(value).alias("_pf_tot"))

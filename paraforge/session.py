@@ -77,3 +77,19 @@ def apply_scale_confs(spark: SparkSession) -> None:
     for k, v in SCALE_CONFS.items():
         if k.startswith("spark.sql.adaptive") and spark.conf.get(k, None) is None:
             spark.conf.set(k, v)
+
+
+def materialise(df):
+    """Write ``df`` once to the shared checkpoint folder and return the table read from there.
+
+    A reliable checkpoint computes its input for the eager count and again for the file write
+    unless the input is persisted, so the input is persisted (memory and disk) for the duration
+    and released afterwards. The result's lineage starts at the checkpoint files."""
+    from pyspark import StorageLevel
+
+    checkpoint_dir(df.sparkSession)
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return kept.checkpoint(eager=True)
+    finally:
+        kept.unpersist()

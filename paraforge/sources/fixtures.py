@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from paraforge.functions import text as T
 from paraforge.operators.ranking import split_by_ratio, with_global_rank, with_running_sum
-from paraforge.session import checkpoint_dir
+from paraforge.session import materialise
 from paraforge.sources.io import read_supplied, spread
 
 FOLLOWERS = 8          # candidates / labelled pairs: each sentence with the next 8
@@ -69,8 +69,7 @@ def _conv_sentences_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", (F.col("t0") + F.col("spos")).cast("long").alias("pos"),
         (F.col("g0") + F.col("spos")).cast("long").alias("gpos"), "conv_index", "turn", "role", "sentence")
     # The request, lexicon and predictor tables are all derived from this one: write it once.
-    checkpoint_dir(spark)
-    return out.checkpoint(eager=True)
+    return materialise(out)
 
 
 @_memo
