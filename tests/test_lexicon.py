@@ -39,3 +39,25 @@ def test_fold_predictions_last_wins(spark):
                                   "request_id string, token string, score double")
     got = {r.token: r.score for r in LX.fold_predictions(preds).collect()}
     assert got == {"glad": 0.3, "x": 0.1}
+
+
+def test_predict_masked_hook_folds_and_cuts(spark):
+    from paraforge.operators import infer as H
+
+    def factory():
+        def fn(pdf):
+            import pandas as pd
+            rows = []
+            for m in pdf["masked"]:
+                rows += [(m, " Glad", 0.5), (m, "glad ", 0.2), (m, "HAPPY", 0.4)] + [(m, f"t{i}", 0.001 * i) for i in range(150)]
+            return pd.DataFrame(rows, columns=["masked", "token", "score"])
+        return fn
+
+    masked = spark.createDataFrame([("r1", "I am [MASK] now"), ("r2", "I am [MASK] now")], "request_id string, masked string")
+    out = H.predict_masked(masked, factory, k=100).collect()
+    by = {}
+    for r in out:
+        by.setdefault(r.request_id, {})[r.token] = r.score
+    assert set(by) == {"r1", "r2"}
+    assert by["r1"]["glad"] == 0.2 and by["r1"]["happy"] == 0.4   # folded; the later-ranked duplicate wins
+    assert len(by["r1"]) == 100                                  # cut to the top 100
