@@ -58,3 +58,18 @@ def test_tf_cosine_matches_python(spark):
         na, nb = math.sqrt(sum(v * v for v in ca.values())), math.sqrt(sum(v * v for v in cb.values()))
         want = 0.0 if not na or not nb else sum(ca[t] * cb[t] for t in ca) / (na * nb)
         assert abs(got[(a, b)] - want) < 1e-12
+
+
+def test_paraphrase_requests_with_embedder_hook(spark):
+    from paraforge.operators import infer as H
+    from paraforge.plans import requests as R
+
+    reqs = spark.createDataFrame([("a", "The cat sat on the mat today"), ("b", ""), ("c", "Short one")],
+                                 "request_id string, text string")
+    out = {r.request_id: (r.paraphrased, r.confident) for r in
+           R.paraphrase_requests(reqs, H.drop_word_generator(4), embedder=H.hashed_bow_embedder(16),
+                                 sim=0.5, lo=0.1, hi=0.9).collect()}
+    assert set(out) == {"a", "b", "c"}
+    assert out["b"] == ("", False)                      # no words, no candidates: original kept
+    text, ok = out["a"]
+    assert ok and len(text.split()) == 6                # one word dropped, grounded, confident
