@@ -41,12 +41,20 @@ def _num_partitions(df: DataFrame, num_partitions: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _range(df: DataFrame, order_cols, num_partitions: int | None) -> DataFrame:
+    """Range-partition on the order. Without an explicit count the session's shuffle partitions
+    apply and AQE may coalesce neighbouring ranges (still contiguous ranges, so partition index
+    order is the global order); the tagged result is materialised before it is read twice."""
+    if num_partitions:
+        return df.repartitionByRange(num_partitions, *order_cols)
+    return df.repartitionByRange(*order_cols)
+
+
 def with_global_rank(df: DataFrame, order: Sequence, name: str = "rank",
                      num_partitions: int | None = None) -> DataFrame:
     """Add a dense 0-based rank by ``order`` (which must be a total order on the rows)."""
-    n = _num_partitions(df, num_partitions)
     order_cols = _cols(order)
-    ranged = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+    ranged = _range(df, order_cols, num_partitions).sortWithinPartitions(*order_cols)
     tagged = ranged.withColumn("_pf_mid", F.monotonically_increasing_id())
     tagged = tagged.withColumn("_pf_pid", F.shiftright("_pf_mid", _LOCAL_BITS))
     tagged = materialise(tagged)
@@ -69,9 +77,8 @@ def with_running_sum(df: DataFrame, order: Sequence, value: str, name: str = "of
     table of one row per partition (broadcast, bounded by the partition count). The tagged table
     is checkpointed so that both reads see one partitioning.
     """
-    n = _num_partitions(df, num_partitions)
     order_cols = _cols(order)
-    tagged = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+    tagged = (_range(df, order_cols, num_partitions).sortWithinPartitions(*order_cols)
               .withColumn("_pf_pid", F.spark_partition_id()))
     tagged = materialise(tagged)
     inside = Window.partitionBy("_pf_pid").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)

@@ -61,7 +61,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not path:
         path = tempfile.mkdtemp(prefix="pf-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # remote session: the server reads spark.checkpoint.dir itself
+        return path
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
     return path

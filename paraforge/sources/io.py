@@ -21,8 +21,12 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     splitting) would then run on one core. On a real lake with many splits this is a no-op.
     """
     spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
+    try:
+        cores = spark.sparkContext.defaultParallelism
+        scan_parts = df.rdd.getNumPartitions()
+    except Exception:  # no RDD API (e.g. a remote session): leave the scan as planned
+        return df
+    if scan_parts < cores:
         return df.repartition(cores, key)
     return df
 
