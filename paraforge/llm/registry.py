@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from paraforge.llm import mixing
+from paraforge.llm import mixing, token_files
 
 QUERIES = {
     "op4_mix_sources": mixing.op4_mix_sources,
+    "op9_token_files": token_files.op9_token_files,
 }
 
 ORACLES: dict[str, str] = {}
