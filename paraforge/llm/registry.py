@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from paraforge.llm import mixing, near_dup, substrings, token_files
+from paraforge.llm import language, mixing, near_dup, substrings, token_files
 
 QUERIES = {
     "op3_substring_dedup": substrings.op3_substring_dedup,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op5_near_duplicates": near_dup.op5_near_duplicates,
+    "op6_language_id": language.op6_language_id,
     "op9_token_files": token_files.op9_token_files,
 }
 
