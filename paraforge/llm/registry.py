@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from paraforge.llm import language, mixing, near_dup, substrings, token_files
+from paraforge.llm import language, mixing, near_dup, site_tree, substrings, token_files, urls
 
 QUERIES = {
+    "op1_main_text": site_tree.op1_main_text,
+    "op2_url_filter": urls.op2_url_filter,
     "op3_substring_dedup": substrings.op3_substring_dedup,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op5_near_duplicates": near_dup.op5_near_duplicates,
