@@ -319,7 +319,8 @@ def _split(chunk: int, path: str):
                 for at in range(0, len(parts), 64):
                     some = parts[at:at + 64]
                     yield pa.RecordBatch.from_pylist([{"k1": batch.column(0)[i].as_py(), "k2": batch.column(1)[i].as_py(),
-                                                       "chunk": k, "text": t, "a": a, "z": z} for k, t, a, z in some])
+                                                       "chunk": k, "text": t, "a": a, "z": z} for k, t, a, z in some],
+                                                  _schema(("text", pa.string()), ("a", pa.int32()), ("z", pa.int32())))
     return run
 
 
@@ -332,12 +333,12 @@ def _matrices(path: str):
                 ins, outs, matrix = transfer(vocab, r["text"], r["a"], r["z"])
                 rows.append({"k1": r["k1"], "k2": r["k2"], "chunk": r["chunk"], "ins": [x for s in ins for x in s],
                              "outs": [x for s in outs for x in s], "cells": (matrix == 0).astype(np.uint8).tobytes()})
-            yield pa.RecordBatch.from_pylist(rows, _schema(batch, ("ins", pa.list_(pa.int32())), ("outs", pa.list_(pa.int32())),
+            yield pa.RecordBatch.from_pylist(rows, _schema(("ins", pa.list_(pa.int32())), ("outs", pa.list_(pa.int32())),
                                                            ("cells", pa.binary())))
     return run
 
 
-def _schema(batch, *more):
+def _schema(*more):
     return pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("chunk", pa.int32()), *more])
 
 
@@ -353,7 +354,7 @@ def _states(batches):
             for p, i, o in zip(parts, chosen[:-1], chosen[1:]):
                 rows.append({"k1": r["k1"], "k2": r["k2"], "chunk": p["chunk"],
                              "state": p["ins"][2 * i:2 * i + 2] + p["outs"][2 * o:2 * o + 2]})
-        yield pa.RecordBatch.from_pylist(rows, _schema(batch, ("state", pa.list_(pa.int32()))))
+        yield pa.RecordBatch.from_pylist(rows, _schema(("state", pa.list_(pa.int32()))))
 
 
 def _backtraced(path: str):
@@ -365,7 +366,7 @@ def _backtraced(path: str):
                 s = r["state"]
                 ids = backtrace(vocab, r["text"], r["a"], r["z"], tuple(s[:2]), tuple(s[2:]))
                 rows.append({"k1": r["k1"], "k2": r["k2"], "chunk": r["chunk"], "ids": ids})
-            yield pa.RecordBatch.from_pylist(rows, _schema(batch, ("ids", pa.list_(pa.int32()))))
+            yield pa.RecordBatch.from_pylist(rows, _schema(("ids", pa.list_(pa.int32()))))
     return run
 
 
