@@ -170,9 +170,10 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     return fit([(lang, np.asarray(lists[i].values)) for lang, _, i in picked])
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """Every row of ``docs`` with ``lang_pred`` and ``score`` added (they replace columns so named)."""
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+def predict(docs: DataFrame, model: Model | None, lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """Every row of ``docs`` with the predicted language and its score added under the names given
+    (they replace columns so named)."""
+    names = [c for c in docs.columns if c not in (lang_pred, score)]
 
     def run(batches):
         place = model.lookup() if model else None
@@ -191,10 +192,10 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(i).slice(at, n) for i in range(1, batch.num_columns)),
                      pa.array(lang, pa.string()), pa.array(np.where(known, top, 0.0))],
-                    names=[*batch.schema.names[1:], "lang_pred", "score"])
+                    names=[*batch.schema.names[1:], lang_pred, score])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names]
-    schema = ", ".join([*fields, "lang_pred string", "score double"])
+    schema = ", ".join([*fields, f"{lang_pred} string", f"{score} double"])
     return docs.select(F.col("text").alias("_t"), *names).mapInArrow(run, schema)
 
 

@@ -32,12 +32,17 @@ MAX_REPEATS = 3.0
 SEED = 42
 
 
+def _tie() -> Column:
+    """A seeded order of documents by id and text."""
+    return F.xxhash64(F.lit(SEED), "doc_id", F.xxhash64("text"))
+
+
 def document_sizes(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size, tie): the words of each whole text and a seeded order."""
     return docs.select(
         "doc_id", "source",
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(F.lit(SEED), "doc_id", F.xxhash64("text")).alias("tie"))
+        _tie().alias("tie"))
 
 
 def targets(sources: DataFrame, max_repeats: float = MAX_REPEATS) -> DataFrame:
@@ -181,6 +186,18 @@ def mix(docs: DataFrame, blocks: int = BLOCKS, shard_blocks: int = SHARD_BLOCKS,
                     "tie"))
 
 
+def mixed_rows(docs: DataFrame, **settings) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them (taken / size, rounded): the rows of the mix."""
+    taken = mix(docs.select("doc_id", "text", "source"), **settings)
+    copies = (taken.filter("size > 0").groupBy("doc_id", "tie")
+              .agg(F.sum(F.round(F.col("taken") / F.col("size"))).cast("int").alias("_copies"))
+              .filter("_copies > 0").select(F.col("doc_id").alias("_id"), F.col("tie").alias("_t"), "_copies"))
+    keyed = docs.withColumn("_tie", _tie()).dropDuplicates(["doc_id", "_tie"])
+    return (keyed.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tie") == F.col("_t")))
+            .withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+            .select(*docs.columns))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken of every row of documents."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")

@@ -196,7 +196,8 @@ def _full_sets(batches):
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, k1) for every row of ``docs`` (doc_id, text)."""
+    """(doc_id, n_shingles, component_id, kept, k1, root) for every row of ``docs`` (doc_id, text); ``root``
+    names the component (null for empty sets) and ``k1`` the text."""
     keyed = docs.select("doc_id", F.xxhash64("text").alias("k1"), "text")
     signed = stored(keyed.mapInArrow(_sign, "doc_id long, k1 long, n long, d1 long, d2 long, regs binary"), "near-signed")
     classes = stored(signed.filter("n > 0").groupBy("d1", "d2").agg(
@@ -225,11 +226,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ids = classes.select("d1", "d2", "first_id").join(groups.withColumnRenamed("id", "d1"), "d1", "left")
     ids = ids.withColumn("root", F.coalesce("root", "d1"))
     least = ids.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_class = ids.join(least, "root").select("d1", "d2", "component_id")
+    of_class = ids.join(least, "root").select("d1", "d2", "component_id", "root")
     out = signed.select("doc_id", "k1", "n", "d1", "d2").join(of_class, ["d1", "d2"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
-                      F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), "k1")
+                      F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), "k1", "root")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and any other columns) that stay: of each component the one with
+    the least id (null ids last, then by text hash), and one of each repeated row with an empty set."""
+    found = near_duplicates(docs.select("doc_id", "text"))
+    best = (found.filter("root IS NOT NULL").groupBy("root")
+            .agg(F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "k1")).alias("b")).select("b.doc_id", "b.k1"))
+    empty = found.filter("root IS NULL").select("doc_id", "k1").distinct()
+    keys = stored(best.unionByName(empty).select(F.col("doc_id").alias("_id"), F.col("k1").alias("_k")), "near-kept")
+    keyed = docs.withColumn("_k1", F.xxhash64("text"))
+    return (keyed.join(keys, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_k1") == F.col("_k")), "left_semi")
+            .dropDuplicates(["doc_id", "_k1"]).drop("_k1"))
 
 
 def _by_group(dealt: DataFrame, key: str, *columns: str) -> DataFrame:
@@ -239,4 +253,4 @@ def _by_group(dealt: DataFrame, key: str, *columns: str) -> DataFrame:
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document at similarity 0.75."""
-    return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text")).drop("k1")
+    return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text")).drop("k1", "root")
