@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paraforge.llm import language, mixing, near_dup, neighbours, sentencepiece_scan, site_tree, substrings, token_files, urls
+from paraforge.llm import language, mixing, near_dup, neighbours, search, sentencepiece_scan, site_tree, substrings, token_files, urls
 
 QUERIES = {
     "op1_main_text": site_tree.op1_main_text,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_near_duplicates": near_dup.op5_near_duplicates,
     "op6_language_id": language.op6_language_id,
     "op7_sentencepiece": sentencepiece_scan.op7_sentencepiece,
+    "op8_search": search.op8_search,
     "op9_token_files": token_files.op9_token_files,
     "op10_near_vectors": neighbours.op10_near_vectors,
 }
