@@ -60,26 +60,32 @@ def read_runs(data, off):
     return data.copy().view(U64), off // 8
 
 
-def _anchors(key: str, reader, length: int, window: int):
-    """mapInArrow over (key, binary or text): one (h, key, pos) per representative."""
+def _anchors(keys: list[str], reader, length: int, window: int):
+    """mapInArrow over (two key columns, binary or text): one (h, keys, pos) per representative."""
     def emit(batches):
         for batch in batches:
-            keys = np.asarray(batch.column(0))
-            for at, data, off in slices(batch.column(1)):
+            both = [np.asarray(batch.column(i)) for i in (0, 1)]
+            for at, data, off in slices(batch.column(2)):
                 words, first = reader(data, off)
                 row = row_of(first, len(words))
                 ok, least, short = representatives(words, first[1:][row], length, window)
                 place = np.unique(least[ok])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(as_signed(short[place])), pa.array(keys[at + row[place]]),
-                     pa.array((place - first[row[place]]).astype(np.int32))], names=["h", key, "pos"])
+                    [pa.array(as_signed(short[place])), *[pa.array(k[at + row[place]]) for k in both],
+                     pa.array((place - first[row[place]]).astype(np.int32))], names=["h", *keys, "pos"])
     return emit
 
 
+def _many(places: DataFrame, hashes: list[str]) -> DataFrame:
+    """The hashes that occur twice or more; written, so that a join with them reads plain exchanges
+    on both sides, whose hot keys adaptive execution can split."""
+    return stored(places.groupBy(*hashes).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*hashes),
+                  "substr-many")
+
+
 def _repeated(places: DataFrame, keys: list[str], hashes: list[str]) -> DataFrame:
     """The places whose hash occurs at two or more places."""
-    many = places.groupBy(*hashes).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*hashes)
-    return places.join(many, hashes).select(*keys, "pos")
+    return places.join(_many(places, hashes), hashes).select(*keys, "pos")
 
 
 def _alive_lists(places: DataFrame, keys: list[str]) -> DataFrame:
@@ -99,10 +105,10 @@ def _alive_starts(words, first, alive, at, length, window):
 
 
 def _runs(length: int, window: int):
-    """mapInArrow over (text, k1, k2, alive): one row per run with its 128-bit hash and its words."""
+    """mapInArrow over (text, k1, k2, alive, copies): one row per run with its 128-bit hash and words."""
     def emit(batches):
         for batch in batches:
-            k1, k2 = np.asarray(batch.column(1)), np.asarray(batch.column(2))
+            k1, k2, copies = (np.asarray(batch.column(i)) for i in (1, 2, 4))
             for at, data, off in slices(batch.column(0)):
                 words, first = read_words(data, off)
                 row, live = _alive_starts(words, first, batch.column(3), at, length, window)
@@ -116,12 +122,12 @@ def _runs(length: int, window: int):
                 both = [_range_hash(words, begin, stop, seed) for seed in (3, 4)]
                 owner = at + row[begin]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(k1[owner]), pa.array(k2[owner]), pa.array((begin - first[row[begin]]).astype(np.int32)),
+                    [pa.array(k1[owner]), pa.array(k2[owner]), pa.array(copies[owner]), pa.array((begin - first[row[begin]]).astype(np.int32)),
                      pa.array(sizes.astype(np.int32)), pa.array(both[0]), pa.array(both[1]),
                      pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [
                          None, pa.py_buffer(np.concatenate([[0], upto * 8]).astype(np.int64)),
                          pa.py_buffer(packed)]).cast(pa.binary())],
-                    names=["k1", "k2", "a", "n", "r1", "r2", "words"])
+                    names=["k1", "k2", "copies", "a", "n", "r1", "r2", "words"])
     return emit
 
 
@@ -158,19 +164,21 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     short, half = level_lengths(window)
     texts = docs.select(*text_key(F.col("text")), "text")
 
-    first = texts.select("k1", "text").mapInArrow(_anchors("k1", read_words, short, window), "h long, k1 long, pos int")
-    alive = _alive_lists(_repeated(first, ["k1"], ["h"]), ["k1"])
-    runs = stored(texts.join(alive, "k1").select("text", "k1", "k2", "alive").mapInArrow(
-        _runs(short, window), "k1 long, k2 long, a int, n int, r1 long, r2 long, words binary"), "substr-runs")
+    first = texts.mapInArrow(_anchors(["k1", "k2"], read_words, short, window), "h long, k1 long, k2 long, pos int")
+    alive = _alive_lists(_repeated(first, ["k1", "k2"], ["h"]), ["k1", "k2"])
+    # texts are merged in the exchange of the join: a text that many rows repeat is one row from here on
+    distinct = texts.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"), F.first("text").alias("text"))
+    runs = stored(distinct.join(alive, ["k1", "k2"]).select("text", "k1", "k2", "alive", "copies").mapInArrow(
+        _runs(short, window), "k1 long, k2 long, copies long, a int, n int, r1 long, r2 long, words binary"), "substr-runs")
 
-    merged = stored(runs.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("times"), F.first("n").alias("n"),
+    merged = stored(runs.groupBy("r1", "r2").agg(F.sum("copies").alias("times"), F.first("n").alias("n"),
                                                  F.first("words").alias("words")), "substr-merged")
-    second = merged.select("r1", "words").mapInArrow(_anchors("r1", read_runs, half, window), "h long, r1 long, pos int")
-    alive = _alive_lists(_repeated(second, ["r1"], ["h"]), ["r1"])
-    full = merged.join(alive, "r1").select("words", "r1", "r2", (F.col("times") == 1).alias("single"), "alive").mapInArrow(
+    second = merged.select("r1", "r2", "words").mapInArrow(
+        _anchors(["r1", "r2"], read_runs, half, window), "h long, r1 long, r2 long, pos int")
+    alive = _alive_lists(_repeated(second, ["r1", "r2"], ["h"]), ["r1", "r2"])
+    full = merged.join(alive, ["r1", "r2"]).select("words", "r1", "r2", (F.col("times") == 1).alias("single"), "alive").mapInArrow(
         _full_windows(half, window), "h1 long, h2 long, r1 long, r2 long, single boolean, pos int")
-    many = full.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2")
-    hits = full.filter("single").join(many, ["h1", "h2"])
+    hits = full.filter("single").join(_many(full, ["h1", "h2"]), ["h1", "h2"])
     # consecutive places become one span: place minus rank is equal within it
     spans = (hits.groupBy("r1", "r2").agg(F.array_sort(F.collect_set("pos")).alias("p"))
              .select("r1", "r2", F.transform("p", lambda x: F.struct(x.alias("a"), (x + window).alias("b"))).alias("spans")))
@@ -178,10 +186,10 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     whole = merged.filter("times > 1").select(
         "r1", "r2", F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b"))).alias("spans"))
     of_run = spans.unionByName(whole)
-    placed = runs.select("k1", "k2", "a", "r1", "r2").distinct().join(of_run, ["r1", "r2"])
+    placed = runs.select("k1", "k2", "a", "r1", "r2").join(of_run, ["r1", "r2"])
     shifted = placed.select("k1", "k2", F.transform("spans", lambda s: F.struct(
         (s["a"] + F.col("a")).alias("a"), (s["b"] + F.col("a")).alias("b"))).alias("spans"))
-    return shifted.groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return stored(shifted.groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans")), "substr-spans")
 
 
 def _merge(spans):
@@ -210,8 +218,9 @@ def _strip(batches):
             gone = np.zeros(len(starts) + 1, dtype=np.int64)
             base = np.repeat(first[:-1], sizes)
             if len(flat):
-                np.add.at(gone, base + np.asarray(flat.field("a"), dtype=np.int64), 1)
-                np.add.at(gone, base + np.asarray(flat.field("b"), dtype=np.int64), -1)
+                begin, end = flat.flatten()  # unlike field(), this minds the slice
+                np.add.at(gone, base + np.asarray(begin, dtype=np.int64), 1)
+                np.add.at(gone, base + np.asarray(end, dtype=np.int64), -1)
             keep = np.cumsum(gone)[:-1] == 0
             upto = np.concatenate([[0], np.cumsum(keep)])[first]
             raw = data.tobytes()
@@ -228,12 +237,12 @@ def strip_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     space), ``n_words`` and ``n_removed`` added. The operator's columns win over input columns of the
     same names, apart from ``text``."""
     own = ["kept_text", "n_words", "n_removed"]
-    spans = repeated_spans(docs, window).withColumnRenamed("k1", "_k1").withColumnRenamed("k2", "_k2")
+    spans = repeated_spans(docs, window).toDF("_k1", "_k2", "_spans")
     names = [c for c in docs.columns if c not in own]
     k1, k2 = text_key(F.col("text"))
     keyed = docs.select(*names, k1.alias("_k1"), k2.alias("_k2")).join(spans, ["_k1", "_k2"], "left")
     empty = F.array().cast("array<struct<a:int,b:int>>")
-    rows = keyed.select(F.col("text").alias("_t"), F.coalesce("spans", empty).alias("_s"), *names)
+    rows = keyed.select(F.col("text").alias("_t"), F.coalesce("_spans", empty).alias("_s"), *names)
     schema = "kept_text string, n_words long, n_removed long, " + ", ".join(
         f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names)
     return rows.mapInArrow(_strip, schema).select(*names, *own)
