@@ -112,8 +112,11 @@ def _runs(length: int, window: int):
             for at, data, off in slices(batch.column(0)):
                 words, first = read_words(data, off)
                 row, live = _alive_starts(words, first, batch.column(3), at, length, window)
-                edge = np.diff(np.concatenate([[0], live.astype(np.int8), [0]]))
-                begin, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) + window - 1
+                new_row = np.diff(row[:len(live)]) != 0
+                begin, stop = live.copy(), live.copy()
+                begin[1:] &= ~live[:-1] | new_row
+                stop[:-1] &= ~live[1:] | new_row
+                begin, stop = np.flatnonzero(begin), np.flatnonzero(stop) + window
                 if len(begin) == 0:
                     continue
                 sizes = stop - begin
