@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paraforge.llm import language, mixing, near_dup, neighbours, search, sentencepiece_scan, site_tree, substrings, token_files, urls
+from paraforge.llm import language, mixing, near_dup, neighbours, oracle, search, sentencepiece_scan, site_tree, substrings, token_files, urls
 
 QUERIES = {
     "op1_main_text": site_tree.op1_main_text,
@@ -17,4 +17,9 @@ QUERIES = {
     "op10_near_vectors": neighbours.op10_near_vectors,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_substring_dedup": oracle.OP3,
+    "op5_near_duplicates": oracle.OP5,
+    "op8_search": oracle.OP8,
+    "op10_near_vectors": oracle.OP10,
+}
