@@ -29,10 +29,12 @@ GRAMMAR_PREFIX = "grammar: "
 MASK_TOKEN = "[MASK]"
 # ---------------------------------------------------------------------------------------------
 
-WS_SPLIT = r"(?U)\s+"
-_TRIM = r"(?U)^\s+|\s+\z"
+# White space as a text's split() sees it: Unicode white space and the separators U+001C to U+001F.
+_WS = r"[\s\x1c-\x1f]"
+WS_SPLIT = rf"(?U){_WS}+"
+_TRIM = rf"(?U)^{_WS}+|{_WS}+\z"
 _ABBR_PATTERN = r"(?U)\b(" + "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS) + r")\."
-_SENTENCE_BREAK = r"(?U)(?<=[.!?])\s+(?=[A-Z])"
+_SENTENCE_BREAK = rf"(?U)(?<=[.!?]){_WS}+(?=[A-Z])"
 
 
 def _c(x) -> Column:
@@ -146,9 +148,13 @@ def prediction_token(token) -> Column:
 def parse_paraphrase_list(literal) -> Column:
     """P5: a list literal string (JSON or Python-style quotes) to array<string>.
 
-    ``\\xNN`` escapes, which JSON lacks, are rewritten to ``\\u00NN`` first.
+    ``\\xNN`` escapes, which JSON lacks, are rewritten to ``\\u00NN`` (an escaped backslash before an x
+    is none), tuples become lists, and a comma before the end goes. What still is no list literal gives
+    NULL.
     """
-    fixed = F.regexp_replace(_c(literal), r"\\x([0-9a-fA-F]{2})", r"\\u00$1")
+    fixed = F.regexp_replace(_c(literal), r"(?<!\\)((?:\\\\)*)\\x([0-9a-fA-F]{2})", r"$1\\u00$2")
+    fixed = F.regexp_replace(fixed, r"(?s)^\s*\((.*)\)\s*\z", "[$1]")
+    fixed = F.regexp_replace(fixed, r",\s*\]\s*\z", "]")
     return F.from_json(fixed, "array<string>")
 
 

@@ -14,6 +14,7 @@ them so that every downstream operator runs without a model.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -22,7 +23,8 @@ from pyspark.sql import types as Ty
 
 from paraforge.functions import text as T
 
-_MODELS: dict[str, Callable] = {}
+# The one model that this Python worker holds, under the id of the hook call that built it.
+_HELD: dict[str, Callable] = {}
 
 # Output schemas of the hooks (fixed contracts).
 GENERATED = "text string, gen_idx int, candidate string"
@@ -33,35 +35,50 @@ ACCEPTABILITY = "text string, label string, score double"
 STRATEGIES = "text string, strategy string, idx int, candidate string"
 
 
-def _model(factory: Callable) -> Callable:
-    """Build the model once per Python worker process and reuse it across tasks."""
-    key = f"{getattr(factory, '__module__', '')}.{getattr(factory, '__qualname__', repr(factory))}:{id(factory)}"
-    fn = _MODELS.get(key)
-    if fn is None:
-        fn = factory()
-        _MODELS[key] = fn
-    return fn
+def hook(factory: Callable) -> Callable[[], Callable]:
+    """A getter of the built model for use in tasks. The id is drawn on the driver and travels with the
+    closure, so a worker builds the model once per hook call, never takes another call's model, and
+    holds one model at a time."""
+    own = uuid.uuid4().hex
 
+    def get() -> Callable:
+        if own not in _HELD:
+            _HELD.clear()
+            _HELD[own] = factory()
+        return _HELD[own]
 
-def apply_hook(df: DataFrame, col: str, factory: Callable, schema: str, in_name: str = "text") -> DataFrame:
+    return get
+
+
+def apply_hook(df: DataFrame, col: str, factory: Callable, schema: str, in_name: str = "text",
+               prefix: str = "") -> DataFrame:
     """Run a hook over the distinct values of ``col`` (renamed ``in_name``); returns the hook's
-    output table, to be joined back on ``in_name``."""
+    output table, to be joined back on ``in_name``. The model sees ``prefix`` before each text (P9);
+    its output is mapped back to the text without it."""
     distinct = df.select(F.col(col).alias(in_name)).filter(F.col(in_name).isNotNull()).distinct()
+    get = hook(factory)
 
     def run(batches):
-        fn = _model(factory)
+        fn = get()
         for pdf in batches:
-            if len(pdf):
+            if not len(pdf):
+                continue
+            if not prefix:
                 yield fn(pdf)
+                continue
+            out = fn(pdf.assign(**{in_name: prefix + pdf[in_name]}))
+            yield out.assign(**{in_name: out[in_name].str.removeprefix(prefix)})
 
     return distinct.mapInPandas(run, schema)
 
 
 # ---- H1 generate_candidates ---------------------------------------------------------------
 
-def generate_candidates(df: DataFrame, factory: Callable, key: str = "sentence_id", text: str = "original") -> DataFrame:
-    """H1: (key, original, gen_idx, text) candidates from the generator, one call per distinct text."""
-    gen = apply_hook(df, text, factory, GENERATED)
+def generate_candidates(df: DataFrame, factory: Callable, key: str = "sentence_id", text: str = "original",
+                        prefix: str = "") -> DataFrame:
+    """H1: (key, original, gen_idx, text) candidates from the generator, one call per distinct text.
+    ``prefix`` is the model's task prefix (``T.PARAPHRASE_PREFIX`` for a prefixed generator)."""
+    gen = apply_hook(df, text, factory, GENERATED, prefix=prefix)
     return df.select(key, F.col(text).alias("original")).join(
         gen.withColumnRenamed("text", "original"), "original").select(
         key, "original", "gen_idx", F.col("candidate").alias("text"))
@@ -90,18 +107,20 @@ def embed_texts(df: DataFrame, factory: Callable, text: str = "text") -> DataFra
 
 
 def hashed_bow_embedder(dims: int = 64) -> Callable:
-    """Stub embedder: lower-cased whitespace tokens hashed (xxhash) into ``dims`` buckets."""
+    """Stub embedder: lower-cased whitespace tokens counted in ``dims`` buckets by the first two
+    hexadecimal digits of their md5."""
     def factory():
+        from hashlib import md5
+
         import numpy as np
         import pandas as pd
-        import xxhash
 
         def fn(pdf):
             vecs = []
             for t in pdf["text"]:
                 v = np.zeros(dims, dtype=np.float32)
                 for tok in t.lower().split():
-                    v[xxhash.xxh64_intdigest(tok) % dims] += 1.0
+                    v[int(md5(tok.encode()).hexdigest()[:2], 16) % dims] += 1.0
                 vecs.append(v)
             return pd.DataFrame({"text": pdf["text"], "vec": vecs})
         return fn
@@ -119,13 +138,13 @@ def embedding_similarity(pairs: DataFrame, embeddings: DataFrame, a: str = "orig
 
 # ---- H3 correct_text ------------------------------------------------------------------------
 
-def correct_texts(df: DataFrame, factory: Callable, text: str = "text") -> DataFrame:
+def correct_texts(df: DataFrame, factory: Callable, text: str = "text", prefix: str = "") -> DataFrame:
     """H3 + P10 + C6: (..., corrected, confident). Blank inputs skip the model: the response
     keeps the original text and is not confident."""
     from paraforge.operators.select import grammar_gate
     blank = T.is_blank(text)
     todo = df.filter(~blank)
-    fixed = apply_hook(todo, text, factory, CORRECTED).select(F.col("text").alias("_pf_t"), "corrected")
+    fixed = apply_hook(todo, text, factory, CORRECTED, prefix=prefix).select(F.col("text").alias("_pf_t"), "corrected")
     joined = df.join(fixed, F.col(text) == F.col("_pf_t"), "left").drop("_pf_t")
     corrected = F.when(blank, F.coalesce(F.col(text), F.lit(""))).otherwise(F.col("corrected"))
     confident = F.when(blank, F.lit(False)).otherwise(grammar_gate(F.col(text), F.col("corrected")))
@@ -151,11 +170,11 @@ def tidy_corrector() -> Callable:
 # ---- H4 predict_masked ----------------------------------------------------------------------
 
 def predict_masked(masked: DataFrame, factory: Callable, key: str = "request_id", k: int = 100) -> DataFrame:
-    """H4: (key, token, score) from a masked-word model, folded (F10) and cut to the top k."""
+    """H4: (key, token, score) from a masked-word model: the best k tokens, and those folded."""
     from paraforge.operators.lexicon import fold_predictions, top_predictions
     preds = apply_hook(masked, "masked", factory, PREDICTED, "masked")
     joined = masked.select(key, "masked").join(preds, "masked").select(key, "token", "score")
-    return top_predictions(fold_predictions(joined, key), key, k)
+    return fold_predictions(top_predictions(joined, key, k), key)
 
 
 # ---- H5 acceptability -----------------------------------------------------------------------

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from paraforge.functions import text as T
 from paraforge.session import materialise
-from paraforge.operators.ranking import (first_n_per_group, seeded_shuffle, split_by_counts,
+from paraforge.operators.ranking import (cut_before_rank, first_n_per_group, seeded_shuffle, split_by_counts,
                                          split_by_ratio)
 
 # Fixed values of the reference builds.
@@ -96,19 +96,21 @@ def union_sources(frames: Sequence[DataFrame]) -> DataFrame:
 
 
 def first_n_per_source(df: DataFrame, n: int, source: str | None = "source_rank", order: str = "ord") -> DataFrame:
-    """K1: the first n qualifying rows in source order, per source."""
-    return first_n_per_group(df, [source] if source else None, [order], n)
+    """K1: the first n qualifying rows in source order, per source; rows beyond a counted bound are
+    dropped where they are, so that no task ranks more than about n."""
+    group = [source] if source else []
+    return first_n_per_group(cut_before_rank(df, group, order, n), group or None, [order], n)
 
 
 def cap_split(df: DataFrame, caps: Sequence[tuple[str, int]] = V1_CAPS, order: str = "ord") -> DataFrame:
-    """K3: ``select(range(min(N, len)))`` per split. The caps are a literal table (a few rows)."""
-    caps_df = df.sparkSession.createDataFrame(list(caps), "split string, cap long")
+    """K3: ``select(range(min(N, len)))`` per split (a split without a cap is dropped). Rows beyond a
+    counted bound are dropped before ranking, as a split is few keys holding most of the rows."""
+    cap = F.lit(0)
+    for name, n in caps:
+        cap = F.when(F.col("split") == name, n).otherwise(cap)
     w = Window.partitionBy("split").orderBy(order)
-    # The literal bound lets Spark cut each map task to its first max(cap) rows per split
-    # (WindowGroupLimit) before the exchange; a split is few keys holding most of the rows.
-    top = df.withColumn("_pf_rn", F.row_number().over(w)).filter(F.col("_pf_rn") <= max(c for _, c in caps))
-    ranked = top.join(F.broadcast(caps_df), "split")
-    return ranked.filter(F.col("_pf_rn") <= F.col("cap")).drop("_pf_rn", "cap")
+    near = cut_before_rank(df, ["split"], order, cap)
+    return near.withColumn("_pf_rn", F.row_number().over(w)).filter(F.col("_pf_rn") <= cap).drop("_pf_rn")
 
 
 def _materialise(capped: DataFrame) -> DataFrame:
@@ -118,6 +120,11 @@ def _materialise(capped: DataFrame) -> DataFrame:
     return materialise(capped)
 
 
+def proportional_counts(n: int) -> tuple:
+    """Split counts of a build of any size in the reference's proportion of 10 : 1 : 1 (all rows used)."""
+    return (("train", n * 10 // 12), ("validation", n // 12), ("test", n - n * 10 // 12 - n // 12))
+
+
 def _require(df: DataFrame, n: int, what: str) -> None:
     have = df.count()
     if have < n:
@@ -151,22 +158,25 @@ def declarative_source(lists: DataFrame, lo: float, hi: float) -> DataFrame:
 
 
 def build_pairs_v2(labelled_pairs: DataFrame, target: int = V2_TARGET, counts=V2_COUNTS,
-                   lo: float = BAND[0], hi: float = BAND[1], seed: int = SEED, strict: bool = False) -> DataFrame:
+                   lo: float = BAND[0], hi: float = BAND[1], seed: int = SEED, strict: bool = True) -> DataFrame:
     """B2: positives in band, first ``target`` in source order, shuffled at build and shuffled
     again at split, then cut by counts. Both shuffles order by a keyed hash, so the result of
-    the pair is the second (salted) permutation alone and only that one is computed."""
+    the pair is the second (salted) permutation alone and only that one is computed. Too few rows
+    raise (``strict``); ``counts=None`` cuts whatever there is in the proportion of the counts."""
     qual = _materialise(first_n_per_source(question_source(labelled_pairs, lo, hi), target, source=None))
     again = seeded_shuffle(qual, ["ord"], f"{seed}:split", "r2")
+    counts = counts or proportional_counts(qual.count())
     if strict:
         _require(again, sum(c for _, c in counts), "build_pairs_v2")
     return split_by_counts(again, "r2", counts).select("split", "ord", "sentence1", "sentence2", "overlap")
 
 
 def build_pairs_v4(labelled_pairs: DataFrame, target: int = V4_TARGET, counts=V4_COUNTS,
-                   lo: float = BAND[0], hi: float = BAND[1], seed: int = SEED, strict: bool = False) -> DataFrame:
+                   lo: float = BAND[0], hi: float = BAND[1], seed: int = SEED, strict: bool = True) -> DataFrame:
     """Like v2 with one shuffle."""
     qual = _materialise(first_n_per_source(question_source(labelled_pairs, lo, hi), target, source=None))
     built = seeded_shuffle(qual, ["ord"], seed, "r1")
+    counts = counts or proportional_counts(qual.count())
     if strict:
         _require(built, sum(c for _, c in counts), "build_pairs_v4")
     return split_by_counts(built, "r1", counts).select("split", "ord", "sentence1", "sentence2", "overlap")

@@ -136,6 +136,25 @@ def first_n_per_group(df: DataFrame, group: Sequence[str] | None, order: Sequenc
     return df.withColumn("_pf_rn", F.row_number().over(w)).filter(F.col("_pf_rn") <= n).drop("_pf_rn")
 
 
+def cut_before_rank(df: DataFrame, group: Sequence[str], order: str, n) -> DataFrame:
+    """Drop rows that cannot be among the first ``n`` of their group by ``order`` (a position >= 0).
+
+    A plain top-n sends up to n rows from every task to one. Here rows are first counted per group and
+    bit length of their position (a partial aggregate with at most 64 rows per group), which gives each
+    group a power of two below which at least n rows lie; only rows below it are ranked afterwards. That
+    is no more than the rows between the half and the whole of that bound beyond n, whatever the
+    number of tasks. ``n`` is a number, or a Column of the group columns."""
+    bits = F.length(F.bin(F.greatest(F.col(order).cast("long"), F.lit(0).cast("long"))))
+    n = F.lit(n) if isinstance(n, int) else n
+    counts = df.groupBy(*group, bits.alias("_pf_b")).agg(F.count(F.lit(1)).alias("_pf_c"))
+    before = Window.partitionBy(*group).orderBy("_pf_b").rowsBetween(Window.unboundedPreceding, -1)
+    needed = counts.withColumn("_pf_s", F.coalesce(F.sum("_pf_c").over(before), F.lit(0))).filter(F.col("_pf_s") < n)
+    if not group:
+        return df.filter(bits <= needed.select(F.max("_pf_b")).scalar())
+    cuts = needed.groupBy(*group).agg(F.max("_pf_b").alias("_pf_cut"))
+    return df.join(cuts, list(group)).filter(bits <= F.col("_pf_cut")).drop("_pf_cut")
+
+
 def split_by_counts(ranked: DataFrame, rank_col: str, counts: Sequence[tuple[str, int]],
                     split_col: str = "split") -> DataFrame:
     """K7: cut a ranked table at absolute positions, e.g. [("train", 5000), ("validation", 500), ...].

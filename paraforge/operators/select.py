@@ -66,6 +66,12 @@ def select_long(scored: DataFrame, rule: str, key: str = "sentence_id", **params
     return scored.groupBy(key, "original").agg(best.alias("sel"))
 
 
+def with_all_sentences(selected: DataFrame, sentences: DataFrame, key: str = "sentence_id") -> DataFrame:
+    """Every sentence of (key, original) with its pick; ``sel`` is NULL where a sentence had no
+    candidate at all, so that it keeps its text and counts as not confident."""
+    return sentences.join(selected.select(key, "sel"), key, "left")
+
+
 # ---- nested form ------------------------------------------------------------------------------
 
 def nest_candidates(scored: DataFrame, key: str = "sentence_id") -> DataFrame:

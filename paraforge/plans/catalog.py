@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from paraforge import schemas
 from paraforge.plans import oracle as O
 from paraforge.plans.mining import group_clusters, mine_cluster_pairs, mining_counts, random_preview
 from paraforge.sources import fixtures as X
@@ -85,7 +86,10 @@ def q_group_clusters(spark, sf):
 @register("scan_clusters", f"""WITH {O.cte_clusters('conversations')}
 SELECT cluster_id, pos, sentence FROM clusters""")
 def q_scan_clusters(spark, sf):
-    return X.clusters(spark, sf, "conversations")
+    """S3: the clusters written as a table and scanned by the reader."""
+    path = scratch_path(spark, "clusters")
+    X.clusters(spark, sf, "conversations").write.parquet(path)
+    return IO.scan_clusters(spark, path)
 
 
 @register("split_sentences", f"""WITH {O.cte_sentences()}
@@ -98,13 +102,11 @@ def q_split_sentences(spark, sf):
 
 from paraforge.operators import pairs as P  # noqa: E402
 from paraforge.operators import profile as A  # noqa: E402
-from paraforge.operators.ranking import seeded_shuffle  # noqa: E402
+from paraforge.operators.ranking import first_n_per_group, seeded_shuffle  # noqa: E402
 from paraforge.functions import text as T  # noqa: E402
 from paraforge.sources import io as IO  # noqa: E402
 from paraforge.session import scratch_path  # noqa: E402
 
-V2_FIXTURE_COUNTS = (("train", 200), ("validation", 25), ("test", 25))
-V4_FIXTURE_COUNTS = (("train", 400), ("validation", 50), ("test", 50))
 K1_FIXTURE_N = 100
 
 
@@ -118,9 +120,21 @@ def _both(spark, sf):
 
 
 @register("scan_labelled_pairs", f"""WITH {O.cte_labelled_pairs()}
-SELECT ord, doc_id, question1, question2, label FROM labelled_pairs""")
+SELECT ord, question1, question2, label FROM labelled_pairs""")
 def q_scan_labelled_pairs(spark, sf):
-    return X.labelled_pairs(spark, sf)
+    """The labelled pairs written as a table and scanned by the reader."""
+    path = scratch_path(spark, "labelled-pairs")
+    X.labelled_pairs(spark, sf).select("ord", "question1", "question2", "label").write.parquet(path)
+    return IO.scan_labelled_pairs(spark, path)
+
+
+@register("scan_sentence_pairs_split", f"""WITH {O.cte_sentence_pairs()}
+SELECT ord, sentence1, sentence2, label, split FROM sentence_pairs WHERE split = 'validation'""")
+def q_scan_sentence_pairs_split(spark, sf):
+    """S1 in the sentence-pair shape, one split."""
+    path = scratch_path(spark, "sentence-pairs")
+    X.sentence_pairs(spark, sf).select("ord", "sentence1", "sentence2", "label", "split").write.parquet(path)
+    return IO.scan_labelled_pairs(spark, path, "validation", schema=schemas.SENTENCE_PAIRS)
 
 
 @register("filter_positive", f"""WITH {O.cte_labelled_pairs()}
@@ -189,13 +203,16 @@ def q_preview_k(spark, sf):
     pos = P.filter_positive(X.labelled_pairs(spark, sf, with_tokens=True))
     scored = P.with_overlap(P.normalise_pair_columns(pos, "question1", "question2", ["ord"]))
     kept = P.partition_by_threshold(scored).filter(F.col("bucket") == "kept")
-    return P.first_n_per_source(kept, 10, source=None).select("ord", "sentence1", "sentence2", r6("overlap").alias("overlap"))
+    return first_n_per_group(kept, None, ["ord"], 10).select("ord", "sentence1", "sentence2", r6("overlap").alias("overlap"))
 
 
 @register("scan_paraphrase_lists", f"""WITH {O.cte_paraphrase_lists()}
 SELECT ord, text, paraphrases, category, source FROM paraphrase_lists""")
 def q_scan_paraphrase_lists(spark, sf):
-    return X.paraphrase_lists(spark, sf)
+    """The paraphrase lists written as JSON lines and scanned by the reader."""
+    path = scratch_path(spark, "paraphrase-lists")
+    X.paraphrase_lists(spark, sf).write.json(path)
+    return IO.scan_paraphrase_lists(spark, path, "json")
 
 
 @register("parse_paraphrase_list", f"""WITH {O.cte_paraphrase_lists()}
@@ -234,7 +251,7 @@ def q_value_counts_source(spark, sf):
 SELECT ord, text, category FROM paraphrase_lists WHERE category IS DISTINCT FROM 'question' ORDER BY ord LIMIT 5""")
 def q_category_preview(spark, sf):
     comp = P.filter_category(X.paraphrase_lists(spark, sf), "!=", "question")
-    return P.first_n_per_source(comp, 5, source=None).select("ord", "text", "category")
+    return first_n_per_group(comp, None, ["ord"], 5).select("ord", "text", "category")
 
 
 @register("split_by_ratio", f"""WITH {O.cte_sentence_pairs()}
@@ -258,24 +275,23 @@ def q_build_pairs_v1(spark, sf):
     return P.build_pairs_v1(X.sentence_pairs(spark, sf))
 
 
-def _v2_sql(counts, target, salt, name):
-    a, b, c = (x[1] for x in counts)
+def _v2_sql(target, salt):
     return f"""WITH {O.cte_sources(*P.BAND)},
 capped AS (SELECT * FROM qsrc ORDER BY ord LIMIT {target}),
-r AS (SELECT *, row_number() OVER (ORDER BY {O.md5_key('ord', seed=salt)}, ord) - 1 AS rk FROM capped)
-SELECT CASE WHEN rk < {a} THEN 'train' WHEN rk < {a + b} THEN 'validation' ELSE 'test' END AS split,
-       ord, sentence1, sentence2, round(overlap, 6) AS overlap FROM r WHERE rk < {a + b + c}"""
+r AS (SELECT *, row_number() OVER (ORDER BY {O.md5_key('ord', seed=salt)}, ord) - 1 AS rk, count(*) OVER () AS n FROM capped)
+SELECT CASE WHEN rk < n * 10 // 12 THEN 'train' WHEN rk < n * 10 // 12 + n // 12 THEN 'validation' ELSE 'test' END AS split,
+       ord, sentence1, sentence2, round(overlap, 6) AS overlap FROM r"""
 
 
-@register("build_pairs_v2", _v2_sql(V2_FIXTURE_COUNTS, P.V2_TARGET, f"{P.SEED}:split", "v2"))
+@register("build_pairs_v2", _v2_sql(P.V2_TARGET, f"{P.SEED}:split"))
 def q_build_pairs_v2(spark, sf):
-    out = P.build_pairs_v2(X.labelled_pairs(spark, sf, with_tokens=True), counts=V2_FIXTURE_COUNTS)
+    out = P.build_pairs_v2(X.labelled_pairs(spark, sf, with_tokens=True), counts=None)
     return out.withColumn("overlap", r6("overlap"))
 
 
-@register("build_pairs_v4", _v2_sql(V4_FIXTURE_COUNTS, P.V4_TARGET, str(P.SEED), "v4"))
+@register("build_pairs_v4", _v2_sql(P.V4_TARGET, str(P.SEED)))
 def q_build_pairs_v4(spark, sf):
-    out = P.build_pairs_v4(X.labelled_pairs(spark, sf, with_tokens=True), counts=V4_FIXTURE_COUNTS)
+    out = P.build_pairs_v4(X.labelled_pairs(spark, sf, with_tokens=True), counts=None)
     return out.withColumn("overlap", r6("overlap"))
 
 
@@ -320,12 +336,11 @@ def q_build_pairs_v6(spark, sf):
     return out.withColumn("overlap", r6("overlap"))
 
 
-@register("training_examples", f"""WITH {O.cte_sentence_pairs()},
-r AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY ord) AS rn FROM sentence_pairs WHERE label = 1)
-SELECT split, 'paraphrase: ' || sentence1 AS input_text, sentence2 AS target_text FROM r
-WHERE rn <= CASE split WHEN 'train' THEN 5000 WHEN 'validation' THEN 500 WHEN 'test' THEN 500 END""")
+@register("training_examples", f"""WITH {O.cte_sentence_pairs()}
+SELECT split, 'paraphrase: ' || sentence1 AS input_text, sentence2 AS target_text FROM sentence_pairs WHERE label = 1""")
 def q_training_examples(spark, sf):
-    return P.training_examples(P.build_pairs_v1(X.sentence_pairs(spark, sf)))
+    """P8 over every positive sentence pair."""
+    return P.training_examples(P.filter_positive(X.sentence_pairs(spark, sf)))
 
 
 @register("build_stage_counts", f"""WITH {O.cte_sources(*P.BAND)}
@@ -339,14 +354,20 @@ def q_build_stage_counts(spark, sf):
     return P.build_stage_counts(X.labelled_pairs(spark, sf, with_tokens=True), X.paraphrase_lists(spark, sf))
 
 
-@register("write_read_splits", _v5_sql(P.V6_TARGET).replace("FROM r", "FROM r WHERE rk >= floor(n * 0.85)"))
+_SPLIT_SET = f"WITH {O.cte_sentence_pairs()} SELECT split, ord, sentence1, sentence2, label FROM sentence_pairs"
+
+
+def _written_splits(spark, sf) -> str:
+    """The whole split set of sentence pairs, written by split into the shared folder."""
+    return IO.write_splits(X.sentence_pairs(spark, sf), scratch_path(spark, "splits"))
+
+
+@register("write_read_splits", _SPLIT_SET + " WHERE split <> 'train'")
 def q_write_read_splits(spark, sf):
-    """S6 + S7: write the v6 split set partitioned by split into the shared folder, read the
-    validation and test folders back (PartitionFilters prune the train folder)."""
-    out = P.build_pairs_v6(X.labelled_pairs(spark, sf, with_tokens=True), X.paraphrase_lists(spark, sf))
-    path = IO.write_splits(out.withColumn("overlap", r6("overlap")), scratch_path(spark, "splits_v6"))
-    back = IO.read_splits(spark, path)
-    return back.filter(F.col("split") != "train").select("split", "source_rank", "ord", "sentence1", "sentence2", "overlap")
+    """S6 + S7: write the split set, read the validation and test folders back (PartitionFilters
+    prune the train folder)."""
+    back = IO.read_splits(spark, _written_splits(spark, sf))
+    return back.filter(F.col("split") != "train").select("split", "ord", "sentence1", "sentence2", "label")
 
 
 # ---- selection (C1-C7, F4-F7, A7, A8, J4, J6, B7, B8) ----------------------------------------
@@ -361,6 +382,12 @@ def _scored(spark, sf, source="conversations", k=X.FOLLOWERS):
     return C.candidate_scores(X.candidates(spark, sf, source, k, with_tokens=True))
 
 
+def _select(spark, sf, rule, source="conversations", **params) -> DataFrame:
+    """The pick of every sentence, those without candidates included."""
+    picked = C.select_long(_scored(spark, sf, source), rule, **params)
+    return C.with_all_sentences(picked, X.all_sentences(spark, sf, source))
+
+
 def _selected_out(sel: DataFrame) -> DataFrame:
     out = C.confident_or_original(sel)
     return out.select("sentence_id", "original", "paraphrased", "confident",
@@ -377,19 +404,19 @@ def q_candidate_scores(spark, sf):
 @register("select_lowest_overlap", f"""WITH {O.cte_scored()}, {O.select_sql('overlap > 0.05', True)}
 SELECT * FROM selected""")
 def q_select_lowest_overlap(spark, sf):
-    return _selected_out(C.select_long(_scored(spark, sf), "lowest_overlap"))
+    return _selected_out(_select(spark, sf, "lowest_overlap"))
 
 
-@register("select_meaning_gate", f"""WITH {O.cte_scored('documents')}, {O.select_sql('similarity >= 0.75 AND overlap <= 0.6', False)}
+@register("select_meaning_gate", f"""WITH {O.cte_scored('documents')}, {O.select_sql('similarity >= 0.75 AND overlap <= 0.6', False, 'documents')}
 SELECT * FROM selected""")
 def q_select_meaning_gate(spark, sf):
-    return _selected_out(C.select_long(_scored(spark, sf, "documents"), "meaning_gate"))
+    return _selected_out(_select(spark, sf, "meaning_gate", "documents"))
 
 
 @register("select_or_lowest", f"""WITH {O.cte_scored()}, {O.select_sql(f'similarity >= {FIXTURE_SIM} AND overlap <= 0.6', True)}
 SELECT * FROM selected""")
 def q_select_or_lowest(spark, sf):
-    return _selected_out(C.select_long(_scored(spark, sf), "or_lowest", sim=FIXTURE_SIM))
+    return _selected_out(_select(spark, sf, "or_lowest", sim=FIXTURE_SIM))
 
 
 _GROUNDED = (f"similarity >= {FIXTURE_SIM} AND overlap >= 0.1 AND overlap <= 0.55 "
@@ -399,21 +426,22 @@ _GROUNDED = (f"similarity >= {FIXTURE_SIM} AND overlap >= 0.1 AND overlap <= 0.5
 @register("select_grounded", f"""WITH {O.cte_scored()}, {O.select_sql(_GROUNDED, False)}
 SELECT * FROM selected""")
 def q_select_grounded(spark, sf):
-    return _selected_out(C.select_long(_scored(spark, sf), "grounded", sim=FIXTURE_SIM))
+    return _selected_out(_select(spark, sf, "grounded", sim=FIXTURE_SIM))
 
 
 @register("select_grounded_nested", f"""WITH {O.cte_scored()}, {O.select_sql(_GROUNDED, False)}
 SELECT * FROM selected""")
 def q_select_grounded_nested(spark, sf):
     nested = C.nest_candidates(_scored(spark, sf))
-    return _selected_out(C.select_nested(nested, "grounded", sim=FIXTURE_SIM))
+    picked = C.select_nested(nested, "grounded", sim=FIXTURE_SIM)
+    return _selected_out(C.with_all_sentences(picked, X.all_sentences(spark, sf)))
 
 
 @register("confidence_rate", f"""WITH {O.cte_scored()}, {O.select_sql(_GROUNDED, False)}
 SELECT count_if(confident)::BIGINT AS confident, count(*)::BIGINT AS total,
        round(count_if(confident)::DOUBLE / count(*), 6) AS rate FROM selected""")
 def q_confidence_rate(spark, sf):
-    sel = C.confident_or_original(C.select_long(_scored(spark, sf), "grounded", sim=FIXTURE_SIM))
+    sel = C.confident_or_original(_select(spark, sf, "grounded", sim=FIXTURE_SIM))
     return A.confidence_rate(sel).withColumn("rate", r6("rate"))
 
 
@@ -423,7 +451,7 @@ def _sweep_sql() -> str:
         cond = (f"similarity >= {t} AND overlap >= 0.1 AND overlap <= 0.55 "
                 f"AND NOT {O.new_entities('original', 'text')}")
         parts.append(f"SELECT {t}::DOUBLE AS threshold, count(DISTINCT sentence_id) FILTER (WHERE {cond})::BIGINT AS confident, "
-                     f"count(DISTINCT sentence_id)::BIGINT AS total FROM scored")
+                     f"(SELECT count(*) FROM ({O.all_sentences('conversations')}))::BIGINT AS total FROM scored")
     body = " UNION ALL ".join(parts)
     return f"""WITH {O.cte_scored()}, sw AS ({body})
 SELECT threshold, confident, total, round(confident::DOUBLE / total, 6) AS rate FROM sw"""
@@ -431,31 +459,33 @@ SELECT threshold, confident, total, round(confident::DOUBLE / total, 6) AS rate
 
 @register("threshold_sweep", _sweep_sql())
 def q_threshold_sweep(spark, sf):
-    """A8 via J6: every candidate against every threshold (a Generate, not a join), then the
-    grounded rule and the confidence rate per threshold, from one pass over the candidates."""
-    scored = A.threshold_cross(_scored(spark, sf), SWEEP)
-    # the grounded rule with the similarity bound taken from the row's threshold
-    cond = (F.col("similarity") >= F.col("threshold")) & (F.col("overlap") >= C.FINAL_LO) & \
-           (F.col("overlap") <= C.FINAL_HI) & ~T.introduces_new_entities("original", "text")
-    per = scored.groupBy("threshold", "sentence_id").agg(F.max(cond.cast("int")).alias("ok"))
-    out = per.groupBy("threshold").agg(F.sum("ok").cast("long").alias("confident"),
+    """A8 via J6: the best similarity among a sentence's grounded candidates is all that a threshold is
+    compared with, so grounding is judged once per candidate and every sentence (those without
+    candidates included) meets every threshold as one number."""
+    grounded = F.col("overlap").between(C.FINAL_LO, C.FINAL_HI) & ~T.introduces_new_entities("original", "text")
+    best = _scored(spark, sf).groupBy("sentence_id").agg(F.max(F.when(grounded, F.col("similarity"))).alias("best"))
+    every = X.all_sentences(spark, sf).select("sentence_id").join(best, "sentence_id", "left")
+    met = A.threshold_cross(every, SWEEP).withColumn("ok", F.coalesce(F.col("best") >= F.col("threshold"), F.lit(False)))
+    out = met.groupBy("threshold").agg(F.count_if("ok").cast("long").alias("confident"),
                                        F.count(F.lit(1)).cast("long").alias("total"))
     return out.withColumn("rate", r6(F.col("confident") / F.col("total")))
 
 
-@register("compare_models", f"""WITH {O.cte_scored()}, {O.select_sql(f'similarity >= 0.75 AND overlap <= 0.6', True)},
-sel8 AS (SELECT sentence_id, paraphrased AS paraphrased_a, confident AS confident_a FROM selected),
-sel4 AS (
-  SELECT sentence_id, text AS paraphrased_b, true AS confident_b FROM (
-    SELECT *, row_number() OVER (PARTITION BY sentence_id ORDER BY
-      CASE WHEN similarity >= 0.75 AND overlap <= 0.6 THEN 0 ELSE 1 END, overlap, gen_idx) AS rk
-    FROM scored WHERE gen_idx < 4) WHERE rk = 1)
-SELECT * FROM sel8 JOIN sel4 USING (sentence_id)""")
+_OR_LOWEST = "CASE WHEN similarity >= {} AND overlap <= {} THEN 0 ELSE 1 END, overlap, gen_idx"
+
+
+@register("compare_models", f"""WITH {O.cte_scored()},
+ra AS (SELECT *, row_number() OVER (PARTITION BY sentence_id ORDER BY {_OR_LOWEST.format(0.75, 0.6)}) AS rk FROM scored),
+rb AS (SELECT *, row_number() OVER (PARTITION BY sentence_id ORDER BY {_OR_LOWEST.format(FIXTURE_SIM, 0.4)}) AS rk FROM scored),
+s AS ({O.all_sentences('conversations')})
+SELECT s.sentence_id, coalesce(a.text, s.original) AS paraphrased_a, a.text IS NOT NULL AS confident_a,
+       coalesce(b.text, s.original) AS paraphrased_b, b.text IS NOT NULL AS confident_b
+FROM s LEFT JOIN (SELECT * FROM ra WHERE rk = 1) a USING (sentence_id)
+LEFT JOIN (SELECT * FROM rb WHERE rk = 1) b USING (sentence_id)""")
 def q_compare_models(spark, sf):
-    """Two runs (8 candidates vs 4 candidates per sentence) through C3, side by side."""
-    scored = _scored(spark, sf)
-    a = C.confident_or_original(C.select_long(scored, "or_lowest"))
-    b = C.confident_or_original(C.select_long(scored.filter(F.col("gen_idx") < 4), "or_lowest"))
+    """Two settings of the selection rule over all candidates of every sentence, side by side."""
+    a = C.confident_or_original(_select(spark, sf, "or_lowest"))
+    b = C.confident_or_original(_select(spark, sf, "or_lowest", sim=FIXTURE_SIM, hi=0.4))
     return A.compare_models(a, b)
 
 
@@ -490,7 +520,7 @@ def q_cosine_similarity(spark, sf):
 SELECT sentence_id, paraphrased, confident FROM selected""")
 def q_evaluate_selection(spark, sf):
     """Candidates -> C7 -> C4 -> C5 (the per-sentence report behind A7/A8)."""
-    sel = C.confident_or_original(C.select_long(_scored(spark, sf), "grounded", sim=FIXTURE_SIM))
+    sel = C.confident_or_original(_select(spark, sf, "grounded", sim=FIXTURE_SIM))
     return sel.select("sentence_id", "paraphrased", "confident")
 
 
@@ -594,11 +624,11 @@ def q_generate_candidates(spark, sf):
 
 
 @register("paraphrase_requests", f"""WITH {O.cte_user_requests()}, {O.drop_word_candidates('req', 'request_id', 'text')},
-{O.scoring_ctes()}, {O.select_sql(_GROUNDED_DEFAULT, False)}
+{O.scoring_ctes()}, {O.select_sql(_GROUNDED_DEFAULT, False, 'scored')}
 SELECT r.request_id, r.text AS original, coalesce(s.paraphrased, r.text) AS paraphrased, coalesce(s.confident, false) AS confident
 FROM req r LEFT JOIN selected s ON s.sentence_id = r.request_id""")
 def q_paraphrase_requests(spark, sf):
-    """R1 with reference thresholds (0.85 / 0.10-0.55 / grounded) over every user turn."""
+    """R1 with reference thresholds (0.85 / 0.10-0.55 / grounded) over every turn."""
     return R.paraphrase_requests(X.requests(spark, sf), H.drop_word_generator(8))
 
 
@@ -607,7 +637,7 @@ rs AS (SELECT r.request_id, u.i - 1 AS pos, r.arr[u.i] AS sentence
        FROM (SELECT request_id, {O.split_sentences('text')} AS arr FROM req) r, range(1, len(r.arr) + 1) u(i)),
 rsid AS (SELECT request_id, pos, request_id || '#' || CAST(pos AS VARCHAR) AS sid, sentence FROM rs),
 {O.drop_word_candidates('rsid', 'sid', 'sentence')},
-{O.scoring_ctes()}, {O.select_sql(_GROUNDED_DEFAULT, False)},
+{O.scoring_ctes()}, {O.select_sql(_GROUNDED_DEFAULT, False, 'scored')},
 per AS (SELECT s.request_id, s.pos, coalesce(x.paraphrased, s.sentence) AS paraphrased, coalesce(x.confident, false) AS confident
         FROM rsid s LEFT JOIN selected x ON x.sentence_id = s.sid),
 agg AS (SELECT request_id, string_agg(paraphrased, ' ' ORDER BY pos) AS paraphrased, count(*)::INTEGER AS n_sentences,
@@ -616,7 +646,7 @@ SELECT r.request_id, r.text AS original, coalesce(a.paraphrased, '') AS paraphra
        coalesce(a.n_sentences, 0)::INTEGER AS n_sentences, coalesce(a.n_confident, 0)::INTEGER AS n_confident
 FROM req r LEFT JOIN agg a USING (request_id)""")
 def q_paragraph_requests(spark, sf):
-    """R2: split each user turn into sentences, R1 per sentence, rejoin in order."""
+    """R2: split each turn into sentences, R1 per sentence, rejoin in order."""
     out = R.paragraph_requests(X.requests(spark, sf), H.drop_word_generator(8))
     return out.select("request_id", "original", "paraphrased", F.size("sentences").alias("n_sentences"),
                       F.size(F.filter("sentences", lambda s: s["confident"])).alias("n_confident"))
@@ -677,10 +707,19 @@ def q_strategy_report(spark, sf):
     return rep.select("strategy", "outputs", *[r6(c).alias(c) for c in ("mean_overlap", "min_overlap", "max_overlap")])
 
 
-@register("embed_texts")
+@register("embed_texts", f"""WITH {O.cte_candidates()},
+texts AS (SELECT original AS t FROM candidates UNION SELECT text FROM candidates),
+tok AS (SELECT t, unnest({O.words('lower(t)')}) AS w FROM texts),
+vec AS (SELECT t, ('0x' || substr(md5(w), 1, 2))::INTEGER % 64 AS d, count(*)::DOUBLE AS x FROM tok GROUP BY ALL),
+nrm AS (SELECT t, sqrt(sum(x * x)) AS n FROM vec GROUP BY t),
+p AS (SELECT DISTINCT original, text FROM candidates),
+dot AS (SELECT p.original, p.text, sum(a.x * b.x) AS dot FROM p JOIN vec a ON a.t = p.original JOIN vec b ON b.t = p.text AND b.d = a.d GROUP BY ALL)
+SELECT c.sentence_id, c.gen_idx, round(CASE WHEN na.n IS NULL OR nb.n IS NULL THEN 0.0 ELSE coalesce(d.dot, 0) / (na.n * nb.n) END, 6) AS similarity
+FROM candidates c LEFT JOIN nrm na ON na.t = c.original LEFT JOIN nrm nb ON nb.t = c.text
+LEFT JOIN dot d ON d.original = c.original AND d.text = c.text""")
 def q_embed_texts(spark, sf):
     """H2 through mapInPandas (stub hashed bag-of-words embedder), similarity of each candidate
-    to its sentence by F7 on the embeddings (rows-only: the hash is not in DuckDB)."""
+    to its sentence by F7 on the embeddings."""
     cands = X.candidates(spark, sf, "conversations")
     texts = cands.select(F.col("original").alias("text")).union(cands.select("text"))
     sims = H.embedding_similarity(cands, H.embed_texts(texts, H.hashed_bow_embedder(64)))
@@ -854,18 +893,17 @@ def q_category_profile(spark, sf):
     return a.unionByName(b)
 
 
-QUERIES["compare_runs"] = QUERIES["compare_models"]
-ORACLES["compare_runs"] = ORACLES["compare_models"]
-
-
-@register("scan_text_lines")
+@register("scan_text_lines", f"""WITH {O.cte_conv_sentences()},
+l AS (SELECT regexp_replace(sentence, '[\r\n]+', ' ', 'g') AS sentence FROM conv_sentences)
+SELECT sentence, count(*)::BIGINT AS lines FROM l GROUP BY sentence""")
 def q_scan_text_lines(spark, sf):
-    """Conversation sentences staged as text files (one sentence per line), scanned back
-    with each line's position in its file (rows-only: file layout is Spark's)."""
+    """Conversation sentences staged as text files (one sentence per line), scanned back; which
+    file holds a line is Spark's layout, so the lines are compared by content and count."""
     lines = X.conv_sentences(spark, sf).select(F.regexp_replace("sentence", r"[\r\n]+", " ").alias("value"))
     path = scratch_path(spark, "text-lines")
     lines.write.mode("overwrite").text(path)
-    return IO.scan_text_lines(spark, path).select("line_no", "sentence")
+    found = IO.scan_text_lines(spark, path)
+    return found.groupBy("sentence").agg(F.countDistinct("file", "line_no").alias("lines"))
 
 
 # ---- inventory keys registered under their own names ----------------------------------------
@@ -921,11 +959,10 @@ def q_value_counts(spark, sf):
     return A.value_counts(X.read_supplied(spark, sf, "documents"), "lang", "doc_id")
 
 
-@register("row_counts", _v5_sql(P.V6_TARGET).replace(
-    "SELECT CASE WHEN rk", "SELECT split, count(*)::BIGINT AS num_rows FROM (SELECT CASE WHEN rk", 1) + ") GROUP BY split")
+@register("row_counts", f"WITH {O.cte_sentence_pairs()} SELECT split, count(*)::BIGINT AS num_rows FROM sentence_pairs GROUP BY split")
 def q_row_counts(spark, sf):
-    """A2: rows per split of the v6 build, one aggregate."""
-    out = P.build_pairs_v6(X.labelled_pairs(spark, sf, with_tokens=True), X.paraphrase_lists(spark, sf))
+    """A2: rows per split of the whole split set, one aggregate."""
+    out = X.sentence_pairs(spark, sf)
     return out.groupBy("split").agg(F.count(F.lit(1)).cast("long").alias("num_rows"))
 
 
@@ -941,14 +978,14 @@ def q_cap_split(spark, sf):
 
 
 @register("split_by_counts", f"""WITH {O.cte_sources(*P.BAND)},
-r AS (SELECT *, row_number() OVER (ORDER BY {O.md5_key('source_rank', 'ord')}, source_rank, ord) - 1 AS rk FROM both_src)
-SELECT CASE WHEN rk < 100 THEN 'train' WHEN rk < 120 THEN 'validation' ELSE 'test' END AS split, source_rank, ord
-FROM r WHERE rk < 140""")
+r AS (SELECT *, row_number() OVER (ORDER BY {O.md5_key('source_rank', 'ord')}, source_rank, ord) - 1 AS rk, count(*) OVER () AS n FROM both_src)
+SELECT CASE WHEN rk < n * 10 // 12 THEN 'train' WHEN rk < n * 10 // 12 + n // 12 THEN 'validation' ELSE 'test' END AS split, source_rank, ord
+FROM r""")
 def q_split_by_counts(spark, sf):
-    """K7: shuffled union cut at absolute positions 100/20/20."""
+    """K7: the whole shuffled union cut at absolute positions in the proportion 10 : 1 : 1."""
     from paraforge.operators.ranking import split_by_counts
     sh = seeded_shuffle(_both(spark, sf), ["source_rank", "ord"], P.SEED, "r")
-    return split_by_counts(sh, "r", [("train", 100), ("validation", 20), ("test", 20)]).select("split", "source_rank", "ord")
+    return split_by_counts(sh, "r", P.proportional_counts(sh.count())).select("split", "source_rank", "ord")
 
 
 @register("topk_predictions", f"""WITH {O.cte_lexicon()}
@@ -1015,11 +1052,11 @@ def q_prediction_token(spark, sf):
     return cs.filter(F.size(ws) >= 2).select("conv_id", "pos", T.prediction_token(F.get(ws, 1)).alias("token"))
 
 
-@register("confident_or_original", f"""WITH {O.cte_scored('documents')}, {O.select_sql(_GROUNDED, False)}
+@register("confident_or_original", f"""WITH {O.cte_scored('documents')}, {O.select_sql(_GROUNDED, False, 'documents')}
 SELECT sentence_id, paraphrased, confident FROM selected""")
 def q_confident_or_original(spark, sf):
     """C5 on the grounded pick over every document sentence."""
-    sel = C.confident_or_original(C.select_long(_scored(spark, sf, "documents"), "grounded", sim=FIXTURE_SIM))
+    sel = C.confident_or_original(_select(spark, sf, "grounded", "documents", sim=FIXTURE_SIM))
     return sel.select("sentence_id", "paraphrased", "confident")
 
 
@@ -1044,24 +1081,16 @@ def q_correct_text(spark, sf):
     return t.join(fixed, "text").select("request_id", "corrected")
 
 
-QUERIES["synonym_requests"] = QUERIES["contextual_synonyms"]
-ORACLES["synonym_requests"] = ORACLES["contextual_synonyms"]
-
-
-@register("write_splits", _v5_sql(P.V6_TARGET))
+@register("write_splits", _SPLIT_SET)
 def q_write_splits(spark, sf):
-    """The v6 split set written as Parquet partitioned by split, read back whole."""
-    out = P.build_pairs_v6(X.labelled_pairs(spark, sf, with_tokens=True), X.paraphrase_lists(spark, sf)).withColumn("overlap", r6("overlap"))
-    path = IO.write_splits(out, scratch_path(spark, "write-splits"))
-    return IO.read_splits(spark, path).select("split", "source_rank", "ord", "sentence1", "sentence2", "overlap")
+    """The split set written as Parquet partitioned by split, read back whole."""
+    return IO.read_splits(spark, _written_splits(spark, sf)).select("split", "ord", "sentence1", "sentence2", "label")
 
 
-@register("read_splits", _v5_sql(P.V6_TARGET).replace("FROM r", "FROM r WHERE rk < floor(n * 0.85)"))
+@register("read_splits", _SPLIT_SET + " WHERE split = 'train'")
 def q_read_splits(spark, sf):
     """Load one split (train) of a saved split set; the filter prunes the other folders."""
-    out = P.build_pairs_v6(X.labelled_pairs(spark, sf, with_tokens=True), X.paraphrase_lists(spark, sf)).withColumn("overlap", r6("overlap"))
-    path = IO.write_splits(out, scratch_path(spark, "read-splits"))
-    return IO.read_splits(spark, path, "train").select("split", "source_rank", "ord", "sentence1", "sentence2", "overlap")
+    return IO.read_splits(spark, _written_splits(spark, sf), "train").select("split", "ord", "sentence1", "sentence2", "label")
 
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from paraforge.functions.text import ABBREVIATIONS, PERIOD_PLACEHOLDER
 
 # Unicode White_Space, the class Java's (?U)\s uses.
-WS = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+WS = r"[\t-\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 NONWORD = r"[^\pL\pN_]"
 
 
@@ -200,15 +200,25 @@ scored AS (SELECT c.sentence_id, c.original, c.gen_idx, c.text, {overlap('c.orig
            FROM candidates c JOIN sims s ON s.original = c.original AND s.text = c.text)"""
 
 
-def select_sql(cond: str, fallback: bool) -> str:
-    """Selection over ``scored``: lowest (overlap, gen_idx) among passing candidates."""
+def all_sentences(source: str) -> str:
+    """Every sentence of a source; ``scored``: those that have candidates (the caller joins the rest)."""
+    if source == "scored":
+        return "SELECT DISTINCT sentence_id, original FROM scored"
+    table, tid, prefix = ("conv_sentences", "conv_id", "c") if source == "conversations" else ("sentences", "doc_id", "d")
+    return (f"SELECT '{prefix}' || CAST({tid} AS VARCHAR) || ':' || CAST(pos AS VARCHAR) AS sentence_id, "
+            f"sentence AS original FROM {table}")
+
+
+def select_sql(cond: str, fallback: bool, source: str = "conversations") -> str:
+    """Selection over ``scored``: lowest (overlap, gen_idx) among passing candidates, for every
+    sentence; one without candidates keeps its text and is not confident."""
     fb_join = "LEFT JOIN lowest l USING (sentence_id)" if fallback else ""
     fb = "l." if fallback else "b."
     return f"""passing AS (SELECT *, row_number() OVER (PARTITION BY sentence_id ORDER BY overlap, gen_idx) AS rn
             FROM scored WHERE {cond}),
 best AS (SELECT * FROM passing WHERE rn = 1),
 lowest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sentence_id ORDER BY overlap, gen_idx) AS rn FROM scored) WHERE rn = 1),
-sents AS (SELECT DISTINCT sentence_id, original FROM scored),
+sents AS ({all_sentences(source)}),
 selected AS (
   SELECT s.sentence_id, s.original,
          coalesce(b.text, {fb}text, s.original) AS paraphrased,
@@ -229,8 +239,8 @@ def cte_lexicon() -> str:
 cw AS (SELECT c.conv_id, c.pos, u.i - 1 AS i, c.ws[u.i] AS w
        FROM (SELECT conv_id, pos, {clean_words('sentence')} AS ws FROM conv_sentences) c, range(1, len(c.ws) + 1) u(i)),
 lexwords AS (SELECT DISTINCT w AS word FROM cw WHERE length(w) >= 3),
-word_synsets AS (SELECT word, 'p:' || substr(word, 1, 3) AS synset_id FROM lexwords
-                 UNION ALL SELECT word, 's:' || right(word, 4) FROM lexwords),
+word_synsets AS (SELECT word, 'p:' || substr(word, 1, 5) AS synset_id FROM lexwords
+                 UNION ALL SELECT word, 's:' || right(word, 5) FROM lexwords),
 freq AS (SELECT w AS word, count(*) AS lemma_count FROM cw WHERE length(w) >= 3 GROUP BY w),
 lem0 AS (SELECT ws.synset_id, ws.word AS lemma, f.lemma_count FROM word_synsets ws JOIN freq f USING (word)
          UNION ALL SELECT * FROM (VALUES {extra}) v(synset_id, lemma, lemma_count)),
@@ -251,7 +261,7 @@ def mask_sql(text: str, word: str) -> str:
 
 def cte_user_requests() -> str:
     return """req AS (SELECT 'r' || CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS request_id, text
-        FROM conversations WHERE role = 'user')"""
+        FROM conversations)"""
 
 
 def drop_word_candidates(src: str, key: str, text: str, n: int = 8) -> str:

@@ -62,24 +62,32 @@ def grammar_requests(requests: DataFrame, corrector: Callable, key: str = "reque
     return out.select(key, "original", "corrected", "confident")
 
 
+def _typed(df: DataFrame, name: str) -> str:
+    """The column's name and type for a schema string."""
+    return f"{name} {df.schema[name].dataType.simpleString()}"
+
+
 def grammar_requests_stream(requests: DataFrame, corrector: Callable, key: str = "request_id",
                             text: str = "text") -> DataFrame:
     """R4 for an unbounded input: the same rule, one hook call per row (a streaming
     ``distinct`` would need state), no join."""
     blank = T.is_blank(text)
+    get = H.hook(corrector)
 
     def run(batches):
-        fn = H._model(corrector)
+        import pandas as pd
+        fn = get()
         for pdf in batches:
-            todo = pdf[~pdf["_pf_blank"]]
-            res = fn(todo[[text]].rename(columns={text: "text"})) if len(todo) else None
-            corrected = pdf[text].fillna("").astype(str)
-            if res is not None:
-                corrected.loc[todo.index] = res["corrected"].values
-            yield pdf.assign(corrected=corrected)[[key, text, "_pf_blank", "corrected"]]
+            todo = pdf.loc[~pdf["_pf_blank"], text].unique()
+            by_text = {}
+            if len(todo):  # the answer is found by text: a hook may reorder or drop rows
+                res = fn(pd.DataFrame({"text": todo}))
+                by_text = dict(zip(res["text"], res["corrected"]))
+            corrected = [(t or "") if b else by_text.get(t) for t, b in zip(pdf[text], pdf["_pf_blank"])]
+            yield pdf.assign(corrected=pd.Series(corrected, index=pdf.index, dtype=object))[[key, text, "_pf_blank", "corrected"]]
 
     staged = requests.select(key, text, blank.alias("_pf_blank"))
-    fixed = staged.mapInPandas(run, f"{key} string, {text} string, _pf_blank boolean, corrected string")
+    fixed = staged.mapInPandas(run, f"{_typed(requests, key)}, {text} string, _pf_blank boolean, corrected string")
     confident = F.when(F.col("_pf_blank"), F.lit(False)).otherwise(C.grammar_gate(F.col(text), F.col("corrected")))
     return fixed.select(key, F.col(text).alias("original"), "corrected", confident.alias("confident"))
 
@@ -103,8 +111,10 @@ def paraphrase_requests_stream(requests: DataFrame, generator: Callable, key: st
     candidates stay nested per request; overlap (array expressions), similarity (Arrow UDF over
     the candidate array) and the grounded pick (``array_min(filter(...))``) are all row-local."""
 
+    get = H.hook(generator)
+
     def run(batches):
-        fn = H._model(generator)
+        fn = get()
         import pandas as pd
         for pdf in batches:
             texts = pdf[text].dropna().unique()
@@ -117,7 +127,7 @@ def paraphrase_requests_stream(requests: DataFrame, generator: Callable, key: st
             yield pd.DataFrame({key: pdf[key], "original": pdf[text], "cands": cands})
 
     nested = requests.select(key, text).mapInPandas(
-        run, f"{key} string, original string, cands array<struct<gen_idx:int,text:string>>")
+        run, f"{_typed(requests, key)}, original string, cands array<struct<gen_idx:int,text:string>>")
     sims = F.pandas_udf(_tf_cosine_many, "array<double>")(
         F.col("original"), F.transform("cands", lambda c: c["text"]))
     nested = nested.withColumn("_pf_sims", sims)
@@ -152,8 +162,10 @@ def paragraph_requests_stream(requests: DataFrame, generator: Callable, key: str
     """R2 for an unbounded input, with no state: each request keeps its sentences and their
     candidates nested; scoring, the grounded pick and the rejoin (A9) are row-local."""
 
+    get = H.hook(generator)
+
     def run(batches):
-        fn = H._model(generator)
+        fn = get()
         import pandas as pd
         for pdf in batches:
             sent_lists = [list(s) if s is not None else [] for s in pdf["sents"]]
@@ -167,7 +179,7 @@ def paragraph_requests_stream(requests: DataFrame, generator: Callable, key: str
             yield pd.DataFrame({key: pdf[key], "original": pdf["original"], "sents": nested})
 
     staged = requests.select(key, F.col(text).alias("original"), T.split_sentences(text).alias("sents"))
-    nested = staged.mapInPandas(run, f"{key} string, original string, "
+    nested = staged.mapInPandas(run, f"{_typed(requests, key)}, original string, "
                                      "sents array<struct<sentence:string,cands:array<struct<gen_idx:int,text:string>>>>")
     sims = F.pandas_udf(_tf_cosine_nested, "array<array<double>>")(
         F.transform("sents", lambda s: s["sentence"]),

@@ -29,29 +29,9 @@ SUPPLIED = {
 # Labelled question pairs (label 1 = paraphrase) with an explicit source order.
 LABELLED_PAIRS = _struct(("ord", L), ("question1", S), ("question2", S), ("label", I))
 # Sentence pairs by split.
-SENTENCE_PAIRS = _struct(("sentence1", S), ("sentence2", S), ("split", S))
+SENTENCE_PAIRS = _struct(("ord", L), ("sentence1", S), ("sentence2", S), ("label", I), ("split", S))
+LABELLED_PAIRS_BY_SPLIT = _struct(("ord", L), ("question1", S), ("question2", S), ("label", I), ("split", S))
 # D3: paraphrase lists; ``paraphrases`` holds a list literal.
 PARAPHRASE_LISTS = _struct(("ord", L), ("text", S), ("paraphrases", S), ("category", S), ("source", S))
 # Clusters in long form (the grouped form is never materialised: a hot cluster would be a row).
 CLUSTERS = _struct(("cluster_id", L), ("pos", L), ("sentence", S))
-# Candidates in long form.
-CANDIDATES = _struct(("sentence_id", S), ("original", S), ("gen_idx", I), ("text", S))
-CANDIDATE_SCORES = _struct(("sentence_id", S), ("original", S), ("gen_idx", I), ("text", S),
-                           ("overlap", D), ("similarity", D))
-CANDIDATE_STRUCT = T.StructType([
-    T.StructField("overlap", D), T.StructField("gen_idx", I),
-    T.StructField("text", S), T.StructField("similarity", D),
-])
-# Lexicon tables.
-WORD_SYNSETS = _struct(("word", S), ("synset_id", S))
-SYNSET_LEMMAS = _struct(("synset_id", S), ("lemma", S), ("lemma_count", L), ("ord", L))
-# Masked-word predictions.
-PREDICTIONS = _struct(("sentence_id", S), ("token", S), ("score", D))
-# Acceptability.
-ACCEPTABILITY = _struct(("text_id", S), ("label", S), ("score", D))
-# Evaluation sentences.
-EVAL_SENTENCES = _struct(("eval_id", I), ("category", S), ("sentence", S))
-# request/response records.
-PARAPHRASE_RESPONSE = _struct(("request_id", S), ("original", S), ("paraphrased", S), ("confident", B))
-SENTENCE_RESULT = T.StructType([T.StructField("original", S), T.StructField("paraphrased", S),
-                                T.StructField("confident", B)])

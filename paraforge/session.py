@@ -58,13 +58,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     fresh temp folder chosen and set.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    path = path or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="pf-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
-    try:
-        sc = spark.sparkContext
-    except Exception:  # remote session: the server reads spark.checkpoint.dir itself
-        return path
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
     return path

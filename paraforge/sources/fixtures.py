@@ -96,6 +96,19 @@ def _next_k(items: DataFrame, key: str, k: int, text: str, pos: str = "pos", car
     return a.join(b, [key, "fpos"])
 
 
+def _doc_followers(docs: DataFrame, k: int, with_tokens: bool, *carry: str) -> DataFrame:
+    """(doc_id, *carry, pos, x, step, y) for each sentence x of a document and its next k sentences y
+    (step from 0), as structs of text ``s`` and, if asked for, token set ``t``. Sentences are split
+    and tokenised once per document and paired within the row: no shuffle. A row grows to k + 1
+    times its text before it is unrolled."""
+    split = T.split_sentences("text")
+    one = F.transform(split, lambda s: F.struct(s.alias("s"), T.tokens(s).alias("t")) if with_tokens else F.struct(s.alias("s")))
+    rows = docs.select("doc_id", *carry, F.explode(F.array(one)).alias("all"))  # evaluated once
+    near = F.transform("all", lambda x, i: F.struct(i.alias("pos"), x.alias("x"), F.slice("all", i + 2, k).alias("next")))
+    rows = rows.select("doc_id", *carry, F.inline(near))
+    return rows.select("doc_id", *carry, "pos", "x", F.posexplode("next").alias("step", "y"))
+
+
 def _pairs_before(pos, n) -> F.Column:
     """Pairs (q, q+k), k = 1..8, q < pos, in a text of n sentences: sum of min(8, n-1-q)."""
     k0 = F.greatest(F.lit(0), F.least(pos, n - FOLLOWERS))
@@ -130,22 +143,12 @@ def labelled_pairs(spark: SparkSession, sf_dir: str, with_tokens: bool = False)
     this document (closed form in the sentence count) + the follower step. The pair table is
     never sorted."""
     docs = _labelled_docs(spark, sf_dir)
-    lab = sentences(spark, sf_dir).join(docs, "doc_id")
-    ord_ = F.col("d0") + _pairs_before(F.col("pos").cast("long"), F.col("n").cast("long")) + F.col("step") - 1
-    if not with_tokens:
-        pairs = _next_k(lab, "doc_id", FOLLOWERS, "sentence", carry=["label", "n", "d0"])
-        return pairs.select(ord_.cast("long").alias("ord"), "doc_id", F.col("original").alias("question1"),
-                            F.col("follower").alias("question2"), "label")
-    # token sets computed once per sentence, carried to both sides of each pair
-    lab = lab.withColumn("toks", T.tokens("sentence"))
-    a = lab.select("doc_id", "pos", "label", "n", "d0", F.col("sentence").alias("question1"),
-                   F.col("toks").alias("question1_tokens"), F.explode(F.sequence(F.lit(1), F.lit(FOLLOWERS))).alias("step"))
-    a = a.withColumn("fpos", F.col("pos") + F.col("step"))
-    b = lab.select("doc_id", F.col("pos").alias("fpos"), F.col("sentence").alias("question2"),
-                   F.col("toks").alias("question2_tokens"))
-    pairs = a.join(b, ["doc_id", "fpos"])
-    return pairs.select(ord_.cast("long").alias("ord"), "doc_id", "question1", "question2", "label",
-                        "question1_tokens", "question2_tokens")
+    text = spread(read_supplied(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").join(docs, "doc_id")
+    pairs = _doc_followers(text, FOLLOWERS, with_tokens, "label", "n", "d0")
+    ord_ = F.col("d0") + _pairs_before(F.col("pos").cast("long"), F.col("n").cast("long")) + F.col("step")
+    extra = [F.col("x.t").alias("question1_tokens"), F.col("y.t").alias("question2_tokens")] if with_tokens else []
+    return pairs.select(ord_.cast("long").alias("ord"), "doc_id", F.col("x.s").alias("question1"),
+                        F.col("y.s").alias("question2"), "label", *extra)
 
 
 SPLIT_RATIOS = (("train", 0.8), ("validation", 0.1))  # sentence_pairs: the rest is test
@@ -192,8 +195,12 @@ def candidates(spark: SparkSession, sf_dir: str, source: str = "conversations",
         items = conv_sentences(spark, sf_dir).select(F.col("conv_id").alias("tid"), "pos", "sentence")
         prefix = "c"
     else:
-        items = sentences(spark, sf_dir).select(F.col("doc_id").alias("tid"), F.col("pos").cast("long"), "sentence")
-        prefix = "d"
+        docs = spread(read_supplied(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+        rows = _doc_followers(docs, k, with_tokens)
+        extra = [F.col("x.t").alias("original_tokens"), F.col("y.t").alias("text_tokens")] if with_tokens else []
+        return rows.select(
+            F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(":"), F.col("pos").cast("string")).alias("sentence_id"),
+            F.col("x.s").alias("original"), F.col("step").cast("int").alias("gen_idx"), F.col("y.s").alias("text"), *extra)
     if with_tokens:
         items = items.withColumn("toks", T.tokens("sentence"))
         a = items.select("tid", "pos", F.col("sentence").alias("original"), F.col("toks").alias("original_tokens"),
@@ -211,6 +218,14 @@ def candidates(spark: SparkSession, sf_dir: str, source: str = "conversations",
         "original", (F.col("step") - 1).cast("int").alias("gen_idx"), F.col("follower").alias("text"), *extra)
 
 
+def all_sentences(spark: SparkSession, sf_dir: str, source: str = "conversations") -> DataFrame:
+    """(sentence_id, original): every sentence, with the ids that ``candidates`` gives."""
+    items, tid, prefix = ((conv_sentences(spark, sf_dir), "conv_id", "c") if source == "conversations"
+                          else (sentences(spark, sf_dir), "doc_id", "d"))
+    return items.select(F.concat(F.lit(prefix), F.col(tid).cast("string"), F.lit(":"), F.col("pos").cast("string"))
+                        .alias("sentence_id"), F.col("sentence").alias("original"))
+
+
 # ---- lexicon fixtures ------------------------------------------------------------------------
 
 def _clean_words(sentence_col) -> F.Column:
@@ -228,11 +243,12 @@ def corpus_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_memo
 def word_synsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(word, synset_id): each corpus word of >= 3 letters in a prefix and a suffix synset."""
+    """(word, synset_id): each corpus word of >= 3 letters in a synset of its first five and one of its last
+    five letters, which few words share."""
     w = corpus_words(spark, sf_dir).filter(F.length("w") >= 3).select(F.col("w").alias("word")).distinct()
     return w.select("word", F.explode(F.array(
-        F.concat(F.lit("p:"), F.substring("word", 1, 3)),
-        F.concat(F.lit("s:"), F.substring("word", -4, 4)))).alias("synset_id"))
+        F.concat(F.lit("p:"), F.substring("word", 1, 5)),
+        F.concat(F.lit("s:"), F.substring("word", -5, 5)))).alias("synset_id"))
 
 
 # A few lexicon rows in the lexical database's own style (multi-word names with underscores,
@@ -262,9 +278,9 @@ def synset_lemmas(spark: SparkSession, sf_dir: str, with_ord: bool = True) -> Da
 @_memo
 def bigram_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(prev, token, score): share of ``token`` among the words that follow ``prev``."""
-    w = corpus_words(spark, sf_dir)
-    nxt = w.select("conv_id", "pos", (F.col("i") - 1).alias("i"), F.col("w").alias("token"))
-    pairs = w.join(nxt, ["conv_id", "pos", "i"]).select(F.col("w").alias("prev"), "token")
+    words = F.explode(F.array(_clean_words(F.col("sentence")))).alias("w")  # evaluated once
+    near = F.transform(F.slice("w", 2, F.size("w")), lambda x, i: F.struct(F.get("w", i).alias("prev"), x.alias("token")))
+    pairs = conv_sentences(spark, sf_dir).select(words).filter(F.size("w") > 1).select(F.inline(near))
     counts = pairs.groupBy("prev", "token").agg(F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy("prev").agg(F.sum("n").alias("total"))
     return counts.join(totals, "prev").select("prev", "token", (F.col("n") / F.col("total")).alias("score"))
@@ -284,9 +300,9 @@ def synonym_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(request_id, text): user turns of the conversations."""
+    """(request_id, text): every turn of the conversations."""
     conv = read_supplied(spark, sf_dir, "conversations")
-    return conv.filter(F.col("role") == "user").select(
+    return conv.select(
         F.concat(F.lit("r"), F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string")).alias("request_id"),
         "text")
 

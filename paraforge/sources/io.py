@@ -15,24 +15,16 @@ def read_supplied(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-spread a scan that produced fewer partitions than the cluster has cores.
-
-    A large file written as one row group is one scan task; per-row text work (sentence
-    splitting) would then run on one core. On a real lake with many splits this is a no-op.
-    """
-    spark = df.sparkSession
-    try:
-        cores = spark.sparkContext.defaultParallelism
-        scan_parts = df.rdd.getNumPartitions()
-    except Exception:  # no RDD API (e.g. a remote session): leave the scan as planned
-        return df
-    if scan_parts < cores:
-        return df.repartition(cores, key)
-    return df
+    """Hash-spread rows by ``key`` before per-row text work, always: input files may be few and large,
+    or one text table may lie in a few row groups. Adaptive execution picks the partition count from the
+    shuffled size, and readers of one spread table share its exchange."""
+    return df.repartition(key)
 
 
 def _read(spark: SparkSession, path: str, schema, fmt: str) -> DataFrame:
     reader = spark.read.schema(schema)
+    if fmt in ("csv", "json"):
+        reader = reader.option("mode", "FAILFAST")
     if fmt == "csv":
         reader = reader.option("header", "true").option("multiLine", "true").option("escape", '"')
     return reader.format(fmt).load(path)
@@ -40,9 +32,12 @@ def _read(spark: SparkSession, path: str, schema, fmt: str) -> DataFrame:
 
 def scan_labelled_pairs(spark: SparkSession, path: str, split: str | None = None,
                         fmt: str = "parquet", schema=None) -> DataFrame:
-    """A labelled pair table (question1/question2/label or sentence1/sentence2/label),
-    optionally one split. The split filter reaches the scan (PartitionFilters/PushedFilters)."""
-    df = _read(spark, path, schema or schemas.LABELLED_PAIRS, fmt)
+    """A labelled pair table, optionally one split of it. The default shape is question pairs (with a
+    ``split`` column if one is asked for); pass ``schemas.SENTENCE_PAIRS`` for sentence pairs. The split
+    filter reaches the scan. Malformed CSV or JSON rows raise."""
+    if schema is None:
+        schema = schemas.LABELLED_PAIRS if split is None else schemas.LABELLED_PAIRS_BY_SPLIT
+    df = _read(spark, path, schema, fmt)
     return df.filter(F.col("split") == split) if split is not None else df
 
 

@@ -39,9 +39,9 @@ def run_stream(spark: SparkSession, stream: DataFrame, job: Callable[[DataFrame]
     return out
 
 
-def stage_requests(requests: DataFrame, folder: str | None = None, files: int = 8) -> str:
-    """Write a request table as a folder of small Parquet files (the stream's input)."""
+def stage_requests(requests: DataFrame, folder: str | None = None) -> str:
+    """Write a request table as a folder of Parquet files (the stream's input), one per task."""
     spark = requests.sparkSession
     folder = folder or scratch_path(spark, "stream-requests-in")
-    requests.repartition(files).write.mode("overwrite").parquet(folder)
+    requests.write.mode("overwrite").parquet(folder)
     return folder

@@ -3,12 +3,18 @@ import random
 
 from pyspark.sql import functions as F
 
-from brute import jaccard
 from paraforge.operators.simjoin import band_pairs
 
 VOCAB = ["the", "a", "cat", "dog", "sat", "ran", "on", "mat", "x.", "y", "Le", "été"]
 
 
+def jaccard(a, b):
+    """By counting: words of either text, and words of both."""
+    either = {w for t in (a, b) for w in t.lower().split()}
+    both = [w for w in either if all(w in t.lower().split() for t in (a, b))]
+    return len(both) / len(either) if a.split() and b.split() else 0.0
+
+
 def brute_pairs(rows, lo, hi):
     by = {}
     for g, p, s in rows:
