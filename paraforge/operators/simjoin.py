@@ -8,7 +8,7 @@ from an exact set-similarity join (prefix filtering):
   J(A, B) >= lo share at least ceil(lo * |A|) tokens, so they share a token among the first
   ``|A| - ceil(lo * |A|) + 1`` tokens of A (its *prefix*) and likewise for B. Joining prefix
   tokens on (group, token) therefore finds every qualifying pair; rare tokens come first, so the
-  most common words of a group (the hot join keys) are mostly left out of the prefixes.
+  most common words of a group are the first to be left out (at a low ``lo`` few are).
 * A length filter (lo * |A| <= |B| <= |A| / lo) drops pairs that cannot reach ``lo``.
 * Candidate pairs are de-duplicated, then verified with the exact Jaccard on the full token sets.
 
@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paraforge.functions import text as T
+from paraforge.session import write_once
 
 _EPS = 1e-9  # keeps the prefix bound conservative against float rounding of lo * n
 
@@ -32,9 +33,11 @@ def band_pairs(items: DataFrame, group: str, pos: str, text: str, lo: float, hi:
     with lo <= overlap <= hi (both ends inclusive)."""
     if lo <= 0:
         raise ValueError("band_pairs needs lo > 0; with lo <= 0 every pair in a group qualifies")
+    # Split and tokenised once: every branch below reads this table. Tokens are 64-bit hashes.
     base = items.select(F.col(group).alias("g"), F.col(pos).alias("p"), F.col(text).alias("s"))
-    base = base.withColumn("toks", T.tokens("s")).withColumn("n", F.size("toks"))
-    base = base.filter(F.col("n") > 0)  # an empty side has overlap 0.0 < lo
+    hashed = F.array_distinct(F.transform(T.word_tokens("s"), lambda w: F.xxhash64(w)))
+    base = base.select("*", F.explode(F.array(hashed)).alias("toks")).withColumn("n", F.size("toks"))
+    base = write_once(base.filter(F.col("n") > 0), "pair-items")  # an empty side has overlap 0.0 < lo
 
     exploded = base.select("g", "p", "n", F.explode("toks").alias("tok"))
     freq = exploded.groupBy("g", "tok").agg(F.count(F.lit(1)).alias("df"))
@@ -42,7 +45,9 @@ def band_pairs(items: DataFrame, group: str, pos: str, text: str, lo: float, hi:
     # Prefix: the first n - ceil(lo*n) + 1 tokens of the item by (group frequency, token).
     w = Window.partitionBy("g", "p").orderBy("df", "tok")
     plen = F.col("n") - F.ceil(F.col("n") * F.lit(float(lo)) - F.lit(_EPS)) + 1
-    prefix = ranked.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= plen).select("g", "p", "n", "tok")
+    # a token of one sentence counts as a place in its prefix but meets nothing
+    prefix = (ranked.withColumn("rn", F.row_number().over(w)).filter((F.col("rn") <= plen) & (F.col("df") > 1))
+              .select("g", "p", "n", "tok"))
 
     a = prefix.select("g", "tok", F.col("p").alias("p1"), F.col("n").alias("n1"))
     b = prefix.select("g", "tok", F.col("p").alias("p2"), F.col("n").alias("n2"))
@@ -52,13 +57,16 @@ def band_pairs(items: DataFrame, group: str, pos: str, text: str, lo: float, hi:
         & (F.col("n1") >= F.col("n2") * F.lit(float(lo)) - F.lit(_EPS))
     ).select("g", "p1", "p2").distinct()
 
-    left = base.select("g", F.col("p").alias("p1"), F.col("s").alias("sentence1"), F.col("toks").alias("t1"))
-    right = base.select("g", F.col("p").alias("p2"), F.col("s").alias("sentence2"), F.col("toks").alias("t2"))
-    verified = cand.join(left, ["g", "p1"]).join(right, ["g", "p2"])
+    # verified on the hashed sets alone; texts join only the pairs that stay
+    left = base.select("g", F.col("p").alias("p1"), F.col("toks").alias("t1"))
+    right = base.select("g", F.col("p").alias("p2"), F.col("toks").alias("t2"))
     # explode(array(x)) keeps the Jaccard in one Generate, so the band filter above it does not
     # get the expression inlined (and evaluated) once per comparison.
-    scored = verified.select("g", "p1", "p2", "sentence1", "sentence2",
-                             F.explode(F.array(T.overlap_from_tokens("t1", "t2"))).alias("overlap"))
-    return scored.filter(F.col("overlap").between(float(lo), float(hi))).select(
+    scored = cand.join(left, ["g", "p1"]).join(right, ["g", "p2"]).select(
+        "g", "p1", "p2", F.explode(F.array(T.overlap_from_tokens("t1", "t2"))).alias("overlap"))
+    kept = scored.filter(F.col("overlap").between(float(lo), float(hi)))
+    first = base.select("g", F.col("p").alias("p1"), F.col("s").alias("sentence1"))
+    second = base.select("g", F.col("p").alias("p2"), F.col("s").alias("sentence2"))
+    return kept.join(first, ["g", "p1"]).join(second, ["g", "p2"]).select(
         F.col("g").alias(group), F.col("p1").alias("pos1"), F.col("p2").alias("pos2"),
         "sentence1", "sentence2", "overlap")
