@@ -17,7 +17,7 @@ import pandas as pd
 from paraforge.llm.words import U64, mix, powers
 
 LETTER, NUMBER, WHITE, OTHER = 1, 2, 3, 0
-MEMO_PIECES = 600_000
+MEMO_PIECES = 400_000
 
 
 @lru_cache(maxsize=1)

@@ -384,6 +384,20 @@ def encode_giants(texts: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
     return traced.groupBy("k1", "k2").agg(F.flatten(F.transform(parts, lambda p: p["ids"])).alias("ids"))
 
 
+def _is_giant(giant: int):
+    return F.coalesce(F.length("text") > giant, F.lit(False))
+
+
+def _with_giant_ids(docs: DataFrame, names: list[str], path: str, giant: int, chunk: int) -> DataFrame:
+    """The giant documents of ``docs`` with their ids; equal texts are encoded once."""
+    k1, k2 = text_key(F.col("text"))
+    giants = docs.filter(_is_giant(giant)).select(*names, k1.alias("_k1"), k2.alias("_k2"))
+    distinct = (docs.filter(_is_giant(giant)).select(k1.alias("k1"), k2.alias("k2"), "text").groupBy("k1", "k2")
+                .agg(F.first("text").alias("text")))
+    found = stored(encode_giants(distinct, path, chunk).toDF("_k1", "_k2", "ids"), "sp-giants")
+    return giants.join(found, ["_k1", "_k2"]).select(*names, "ids")
+
+
 def encode(docs: DataFrame, path: str, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
     """Every row of ``docs`` (column ``text``) with ``ids`` (array of int) added."""
     names = [c for c in docs.columns if c != "ids"]
@@ -399,46 +413,64 @@ def encode(docs: DataFrame, path: str, giant: int = GIANT, chunk: int = CHUNK) -
                                                   lists], names=[*batch.schema.names[1:], "ids"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names)
-    is_giant = F.coalesce(F.length("text") > giant, F.lit(False))
-    direct = docs.filter(~is_giant).select(F.col("text").alias("_t"), *names).mapInArrow(small, f"{fields}, ids array<int>")
-    k1, k2 = text_key(F.col("text"))
-    giants = docs.filter(is_giant).select(*names, k1.alias("_k1"), k2.alias("_k2"))
-    distinct = giants.select(F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), "text").groupBy("k1", "k2").agg(F.first("text").alias("text"))
-    found = stored(encode_giants(distinct, path, chunk).withColumnRenamed("k1", "_k1").withColumnRenamed("k2", "_k2"), "sp-giants")
-    return direct.unionByName(giants.join(found, ["_k1", "_k2"]).select(*names, "ids"))
+    direct = (docs.filter(~_is_giant(giant)).select(F.col("text").alias("_t"), *names)
+              .mapInArrow(small, f"{fields}, ids array<int>"))
+    return direct.unionByName(_with_giant_ids(docs, names, path, giant, chunk))
 
 
-def _digest(path: str):
-    """mapInArrow over (text, ids, doc_id): counts, a checksum, and whether decoding gives the text back."""
+DIGEST = "doc_id long, n_tokens long, ids_crc32 long, n_chars long, round_trip boolean"
+
+
+def digest_rows(decoder: Decoder, doc_ids: pa.Array, texts: list[bytes], ids: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """Counts, a checksum, and whether decoding gives the text back, from the ids of some documents."""
+    ids = ids.astype("<u4")
+    decoded = decoder.texts(ids, counts)
+    cut = np.concatenate([[0], np.cumsum(counts)]).tolist()
+    space = SPACE.encode()
+    return pa.RecordBatch.from_arrays(
+        [doc_ids, pa.array(np.asarray(counts, dtype=np.int64)),
+         pa.array([zlib.crc32(ids[a:z]) for a, z in zip(cut[:-1], cut[1:])], pa.int64()),
+         pa.array([len(d.decode()) for d in decoded], pa.int64()),
+         pa.array([d == t.replace(space, b" ") for d, t in zip(decoded, texts)], pa.bool_())],
+        names=["doc_id", "n_tokens", "ids_crc32", "n_chars", "round_trip"])
+
+
+def _digest_small(path: str):
+    """mapInArrow over (text, doc_id): documents encoded, decoded and digested slice by slice."""
+    def run(batches):
+        vocab = vocabulary(path)
+        decoder = Decoder(vocab)
+        for batch in batches:
+            for at, data, off in slices(batch.column(0)):
+                ids, counts = encode_slice(vocab, data, off)
+                raw = data.tobytes()
+                texts = [raw[a:z] for a, z in zip(off[:-1].tolist(), off[1:].tolist())]
+                yield digest_rows(decoder, batch.column(1).slice(at, len(counts)), texts, ids, counts)
+    return run
+
+
+def _digest_ids(path: str):
+    """mapInArrow over (text, doc_id, ids)."""
     def run(batches):
         decoder = Decoder(vocabulary(path))
         for batch in batches:
-            lists, texts = batch.column(1), batch.column(0)
-            edges = np.asarray(lists.offsets, dtype=np.int64)
-            at = 0
-            while at < batch.num_rows:
-                end = max(at + 1, min(batch.num_rows, int(np.searchsorted(edges, edges[at] + (1 << 20), side="right")) - 1))
-                ids = np.asarray(lists.slice(at, end - at).flatten()).astype("<u4")
-                counts = np.diff(edges[at:end + 1])
-                decoded = decoder.texts(ids, counts)
-                own = texts.slice(at, end - at).fill_null("").to_pylist()
-                cut = np.concatenate([[0], np.cumsum(counts)]).tolist()
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(2).slice(at, end - at), pa.array(counts),
-                     pa.array([zlib.crc32(ids[a:z]) for a, z in zip(cut[:-1], cut[1:])], pa.int64()),
-                     pa.array([len(d.decode()) for d in decoded], pa.int64()),
-                     pa.array([d == t.replace(SPACE, " ").encode() for d, t in zip(decoded, own)])],
-                    names=["doc_id", "n_tokens", "ids_crc32", "n_chars", "round_trip"])
-                at = end
+            for i in range(batch.num_rows):
+                ids = np.asarray(batch.column(2)[i].values)
+                yield digest_rows(decoder, batch.column(1).slice(i, 1), [(batch.column(0)[i].as_py() or "").encode()],
+                                  ids, np.array([len(ids)]))
     return run
 
 
+def digests(docs: DataFrame, path: str, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
+    """doc_id, n_tokens, ids_crc32, n_chars and round_trip of every row of ``docs`` (doc_id, text)."""
+    direct = docs.filter(~_is_giant(giant)).select("text", "doc_id").mapInArrow(_digest_small(path), DIGEST)
+    giants = _with_giant_ids(docs, ["text", "doc_id"], path, giant, chunk)
+    return direct.unionByName(giants.select("text", "doc_id", "ids").mapInArrow(_digest_ids(path), DIGEST))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_crc32 (ids as little-endian unsigned 32-bit), n_chars of the decoded text and
     round_trip of every document."""
     import public_tokenizers
 
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    rows = encode(table(spark, sf_dir, "documents", "doc_id", "text"), path)
-    return rows.select("text", "ids", "doc_id").mapInArrow(
-        _digest(path), "doc_id long, n_tokens long, ids_crc32 long, n_chars long, round_trip boolean")
+    return digests(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
