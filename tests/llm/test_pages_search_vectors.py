@@ -90,7 +90,6 @@ def brute_search(rows, queries, k):
 def test_search_is_exact(edge_docs, edge_rows, no_docs, shard, monkeypatch):
     from pyspark.sql import functions as F
 
-    monkeypatch.setattr(search, "FEW", 3)
     monkeypatch.setattr(search, "FIRST_TERMS", 4)
     picked = [i for i, (d, _) in enumerate(edge_rows) if d is not None and d % 4 == 0]
     queries = edge_docs.filter(F.col("doc_id") % 4 == 0).select(F.col("doc_id").alias("id"), "text")
