@@ -61,17 +61,17 @@ def read_runs(data, off):
 
 
 def _anchors(keys: list[str], reader, length: int, window: int):
-    """mapInArrow over (two key columns, binary or text): one (h, keys, pos) per representative."""
+    """mapInArrow over (key columns, binary or text): one (h, keys, pos) per representative."""
     def emit(batches):
         for batch in batches:
-            both = [np.asarray(batch.column(i)) for i in (0, 1)]
-            for at, data, off in slices(batch.column(2)):
+            own = [np.asarray(batch.column(i)) for i in range(len(keys))]
+            for at, data, off in slices(batch.column(len(keys))):
                 words, first = reader(data, off)
                 row = row_of(first, len(words))
                 ok, least, short = representatives(words, first[1:][row], length, window)
                 place = np.unique(least[ok])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(as_signed(short[place])), *[pa.array(k[at + row[place]]) for k in both],
+                    [pa.array(as_signed(short[place])), *[pa.array(k[at + row[place]]) for k in own],
                      pa.array((place - first[row[place]]).astype(np.int32))], names=["h", *keys, "pos"])
     return emit
 
@@ -144,20 +144,19 @@ def _range_hash(words, begin, stop, seed):
 
 
 def _full_windows(length: int, window: int):
-    """mapInArrow over (words, r1, r2, single, alive): a 128-bit hash per surviving full window."""
+    """mapInArrow over (words, run, single, alive): a 128-bit hash per surviving full window."""
     def emit(batches):
         for batch in batches:
-            r1, r2, single = (np.asarray(batch.column(i).to_numpy(zero_copy_only=False)) for i in (1, 2, 3))
+            run, single = (np.asarray(batch.column(i).to_numpy(zero_copy_only=False)) for i in (1, 2))
             for at, data, off in slices(batch.column(0)):
                 words, first = read_runs(data, off)
-                row, live = _alive_starts(words, first, batch.column(4), at, length, window)
+                row, live = _alive_starts(words, first, batch.column(3), at, length, window)
                 place = np.flatnonzero(live)
                 owner = at + row[place]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(as_signed(window_hashes(words, window, seed)[place])) for seed in (5, 6)]
-                    + [pa.array(r1[owner]), pa.array(r2[owner]), pa.array(single[owner]),
-                       pa.array((place - first[row[place]]).astype(np.int32))],
-                    names=["h1", "h2", "r1", "r2", "single", "pos"])
+                    + [pa.array(run[owner]), pa.array(single[owner]), pa.array((place - first[row[place]]).astype(np.int32))],
+                    names=["h1", "h2", "run", "single", "pos"])
     return emit
 
 
@@ -174,21 +173,21 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     runs = stored(distinct.join(alive, ["k1", "k2"]).select("text", "k1", "k2", "alive", "copies").mapInArrow(
         _runs(short, window), "k1 long, k2 long, copies long, a int, n int, r1 long, r2 long, words binary"), "substr-runs")
 
+    # the number is fixed by the written table, and short beside the run's hash in the exchanges below
     merged = stored(runs.groupBy("r1", "r2").agg(F.sum("copies").alias("times"), F.first("n").alias("n"),
-                                                 F.first("words").alias("words")), "substr-merged")
-    second = merged.select("r1", "r2", "words").mapInArrow(
-        _anchors(["r1", "r2"], read_runs, half, window), "h long, r1 long, r2 long, pos int")
-    alive = _alive_lists(_repeated(second, ["r1", "r2"], ["h"]), ["r1", "r2"])
-    full = merged.join(alive, ["r1", "r2"]).select("words", "r1", "r2", (F.col("times") == 1).alias("single"), "alive").mapInArrow(
-        _full_windows(half, window), "h1 long, h2 long, r1 long, r2 long, single boolean, pos int")
-    hits = full.filter("single").join(_many(full, ["h1", "h2"]), ["h1", "h2"])
-    # consecutive places become one span: place minus rank is equal within it
-    spans = (hits.groupBy("r1", "r2").agg(F.array_sort(F.collect_set("pos")).alias("p"))
-             .select("r1", "r2", F.transform("p", lambda x: F.struct(x.alias("a"), (x + window).alias("b"))).alias("spans")))
-    spans = spans.select("r1", "r2", _merge(F.col("spans")).alias("spans"))
+                                                 F.first("words").alias("words"))
+                    .withColumn("run", F.monotonically_increasing_id()), "substr-merged")
+    second = merged.select("run", "words").mapInArrow(_anchors(["run"], read_runs, half, window), "h long, run long, pos int")
+    alive = _alive_lists(_repeated(second, ["run"], ["h"]), ["run"])
+    full = merged.join(alive, "run").select("words", "run", (F.col("times") == 1).alias("single"), "alive").mapInArrow(
+        _full_windows(half, window), "h1 long, h2 long, run long, single boolean, pos int")
+    hits = full.filter("single").select("h1", "h2", "run", "pos").join(_many(full, ["h1", "h2"]), ["h1", "h2"])
+    spans = (hits.groupBy("run").agg(F.array_sort(F.collect_set("pos")).alias("p"))
+             .select("run", F.transform("p", lambda x: F.struct(x.alias("a"), (x + window).alias("b"))).alias("spans")))
+    spans = spans.select("run", _merge(F.col("spans")).alias("spans"))
     whole = merged.filter("times > 1").select(
-        "r1", "r2", F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b"))).alias("spans"))
-    of_run = spans.unionByName(whole)
+        "run", F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b"))).alias("spans"))
+    of_run = merged.select("r1", "r2", "run").join(spans.unionByName(whole), "run").select("r1", "r2", "spans")
     placed = runs.select("k1", "k2", "a", "r1", "r2").join(of_run, ["r1", "r2"])
     shifted = placed.select("k1", "k2", F.transform("spans", lambda s: F.struct(
         (s["a"] + F.col("a")).alias("a"), (s["b"] + F.col("a")).alias("b"))).alias("spans"))
