@@ -31,7 +31,3 @@ def text_key(text) -> list:
     text, and rows with null or repeated ids, need no row number."""
     full = F.coalesce(text, F.lit(""))
     return [F.xxhash64(full).alias("k1"), F.xxhash64(F.lit(7), full).alias("k2")]
-
-
-def is_empty(df: DataFrame) -> bool:
-    return df.isEmpty()

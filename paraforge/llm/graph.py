@@ -31,7 +31,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = (both.filter("v > u").join(least, "u")
                  .select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct())
-        large = stored(large, "edges")
         lowest = large.groupBy("hi").agg(F.min("lo").alias("m"))
         moved = large.join(lowest, "hi").filter("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         then = stored(moved.unionByName(lowest.select("hi", F.col("m").alias("lo"))).distinct(), "edges")

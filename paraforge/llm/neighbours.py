@@ -174,23 +174,25 @@ def _best(pairs: DataFrame) -> DataFrame:
     return top.groupBy("a", "b").agg(F.max("s").alias("s"), F.min("fresh").alias("fresh"))
 
 
-def _round(graph: DataFrame, classes: DataFrame, kind: str) -> DataFrame:
-    """One neighbours-of-neighbours join: the new graph, with ``fresh`` for pairs not seen before."""
+def _round(graph: DataFrame, classes: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
+    """One neighbours-of-neighbours join: the pairs it proposes, and the new graph, with ``fresh`` for pairs
+    that were not in the old one."""
     both = graph.select(F.col("a").alias("v"), F.col("b").alias("c"), "fresh").unionByName(
         graph.select(F.col("b").alias("v"), F.col("a").alias("c"), "fresh"))
     active = both.groupBy("v").agg(F.max("fresh").alias("any")).filter("any").select("v")
     members = both.select("v", "c").join(active, "v")
-    found = _in_blocks(members, "v", classes, kind).groupBy("a", "b").agg(F.max("s").alias("s"))
-    merged = (graph.select("a", "b", "s", F.lit(False).alias("fresh"))
-              .unionByName(found.withColumn("fresh", F.lit(True)))
-              .groupBy("a", "b").agg(F.max("s").alias("s"), F.min("fresh").alias("fresh")))
-    # links stay, whatever their rank: lists only limit what takes part in the next join
-    return stored(_best(merged).unionByName(merged.filter(F.col("s") >= THRESHOLD)).groupBy("a", "b").agg(
-        F.max("s").alias("s"), F.min("fresh").alias("fresh")), "graph")
+    found = stored(_in_blocks(members, "v", classes, kind).groupBy("a", "b").agg(F.max("s").alias("s")), "proposed")
+    return found, stored(_best(_merged(graph, found)), "graph")
 
 
-def _audit(classes: DataFrame, graph: DataFrame, kind: str, size: int) -> float:
-    """Share of the true links of ``AUDIT`` classes that lie within one component of the graph."""
+def _merged(graph: DataFrame, found: DataFrame) -> DataFrame:
+    return (graph.select("a", "b", "s", F.lit(False).alias("fresh"))
+            .unionByName(found.withColumn("fresh", F.lit(True)))
+            .groupBy("a", "b").agg(F.max("s").alias("s"), F.min("fresh").alias("fresh")))
+
+
+def _audit(classes: DataFrame, roots: DataFrame, kind: str, size: int) -> float:
+    """Share of the true links of ``AUDIT`` classes that lie within one component (c, root)."""
     step = max(1, size // AUDIT)
     sample = classes.filter(F.pmod(F.xxhash64(F.lit(9), "c"), F.lit(step)) == 0).select("c", "vec").orderBy("c").limit(2 * AUDIT)
     rows = sample.collect()  # at most 2 * AUDIT vectors
@@ -211,36 +213,39 @@ def _audit(classes: DataFrame, graph: DataFrame, kind: str, size: int) -> float:
     if not rows:
         return 1.0
     true = classes.select("c", "vec").mapInArrow(true_links, "a long, b long")
-    roots = components(graph.filter(F.col("s") >= THRESHOLD))
-    joined = (true.join(roots.select(F.col("id").alias("a"), F.col("root").alias("ra")), "a", "left")
-              .join(roots.select(F.col("id").alias("b"), F.col("root").alias("rb")), "b", "left"))
+    joined = (true.join(roots.select(F.col("c").alias("a"), F.col("root").alias("ra")), "a", "left")
+              .join(roots.select(F.col("c").alias("b"), F.col("root").alias("rb")), "b", "left"))
     n, hit = joined.agg(F.count(F.lit(1)), F.count(F.when(F.col("ra") == F.col("rb"), 1))).first()
     return hit / n if n else 1.0
 
 
-def neighbour_graph(classes: DataFrame, kind: str) -> DataFrame:
-    """Pairs (a, b, s) of the neighbour graph over (c, vec), refined until the audit is passed."""
+def linked_components(classes: DataFrame, kind: str) -> DataFrame:
+    """(c, root) of the components of all links that the refined graph over (c, vec) proposed, for vertices
+    with a link. The graph itself keeps the best ``K`` pairs of a vertex; links that drop out of it still
+    connect, but take no part in later joins."""
     size = classes.count()
     bits = int(max(1, min(60, np.ceil(np.log2(max(2, size / BLOCK))))))
-    graph = None
+    graph = links = roots = None
     for step in range(MAX_PASSES):
         tables = range(step * TABLES, (step + 1) * TABLES)
         buckets = classes.select("c", "vec").mapInArrow(_sign_buckets(kind, bits, tables), "bucket long, c long")
-        found = (_in_blocks(buckets, "bucket", classes, kind).groupBy("a", "b").agg(F.max("s").alias("s"))
-                 .withColumn("fresh", F.lit(True)))
-        if graph is not None:
-            found = (graph.withColumn("fresh", F.lit(False)).unionByName(found)
-                     .groupBy("a", "b").agg(F.max("s").alias("s"), F.min("fresh").alias("fresh")))
-        graph = stored(found, "graph")
+        found = stored(_in_blocks(buckets, "bucket", classes, kind).groupBy("a", "b").agg(F.max("s").alias("s")), "proposed")
+        graph = stored(_best(found.withColumn("fresh", F.lit(True)) if graph is None else _merged(graph, found)), "graph")
+        proposed = [found]
         for _ in range(MAX_ROUNDS):
-            graph = _round(graph, classes, kind)
-            links, fresh = graph.filter(F.col("s") >= THRESHOLD).agg(
+            found, graph = _round(graph, classes, kind)
+            proposed.append(found)
+            pairs, fresh = graph.filter(F.col("s") >= THRESHOLD).agg(
                 F.count(F.lit(1)), F.count(F.when(F.col("fresh"), 1))).first()
-            if fresh <= FRESH_SHARE * links:
+            if fresh <= FRESH_SHARE * pairs:
                 break
-        if _audit(classes, graph, kind, size) >= RECALL:
+        for found in proposed:
+            near = found.filter(F.col("s") >= THRESHOLD).select("a", "b")
+            links = near if links is None else links.unionByName(near)
+        roots = stored(components(links).withColumnRenamed("id", "c"), "vector-roots")
+        if _audit(classes, roots, kind, size) >= RECALL:
             break
-    return graph
+    return roots
 
 
 def near_vectors(rows: DataFrame) -> DataFrame:
@@ -250,8 +255,7 @@ def near_vectors(rows: DataFrame) -> DataFrame:
                     .select("vec_id", "vec", F.when(F.col("vec").isNotNull(), F.xxhash64("vec")).alias("c")), "vectors")
     classes = stored(packed.filter("c IS NOT NULL").groupBy("c").agg(
         F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("w"), F.first("vec").alias("vec")), "vector-classes")
-    graph = neighbour_graph(classes, kind)
-    roots = stored(components(graph.filter(F.col("s") >= THRESHOLD)).withColumnRenamed("id", "c"), "vector-roots")
+    roots = linked_components(classes, kind)
 
     sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
     inside = roots.join(sizes, "root").join(classes.select("c", "w", "vec"), "c")
