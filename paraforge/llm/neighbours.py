@@ -4,13 +4,16 @@
    components or of length 0, are left out: they link with nothing.
 2. The first graph comes from random projections: in each of ``TABLES`` tables a class falls into the
    bucket of its sign bits (as many that buckets hold about ``BLOCK`` classes); buckets are dealt to blocks of bounded size,
-   and a block proposes the best ``K`` partners of each member (cosine of at least ``FLOOR``).
+   and a block proposes the best ``K`` partners of each member (cosine of at least ``FLOOR``) and a spanning
+   forest of all its links, so members with more links than ``K`` lose no connection within the block.
 3. A round of NN-descent joins each vertex's neighbours and reverse neighbours with each other (in bounded
    blocks, all of them: popular vertices have several blocks) and keeps the best ``K`` of the old and new ones. Only
    vertices with a fresh neighbour take part. Rounds go on until hardly any new link appears.
-4. Recall is audited: ``AUDIT`` vertices chosen by hash are compared with all vectors. Below
+4. Lists full of links of their own group hide links to other groups. So further passes with new tables propose
+   only pairs of different components found so far, joined with the graph kept, until a pass finds no link.
+5. Recall is audited: ``AUDIT`` vertices chosen by hash are compared with all vectors. Below
    ``RECALL``, new tables and rounds follow (``MAX_PASSES`` at most).
-5. A list whose ``K`` entries are all links is saturated and may hide more. So the lists of linked vertices
+6. A list whose ``K`` entries are all links is saturated and may hide more. So the lists of linked vertices
    are enlarged to their whole component: members are compared in pairs of bounded blocks, which
    counts every link inside the component exactly and returns counts, not pairs.
 
@@ -37,7 +40,7 @@ BLOCK = 256
 TABLES = 16
 AUDIT = 200
 RECALL = 0.98
-MAX_PASSES = 4
+MAX_PASSES = 8
 MAX_ROUNDS = 6
 FRESH_SHARE = 0.01
 PAIR = "a long, b long, s double"
@@ -90,14 +93,15 @@ def _sign_buckets(kind: str, bits: int, tables: range):
 
 
 def _propose(kind: str):
-    """mapInArrow over sorted (group, block, c, vec): the best partners of each member of a block."""
+    """mapInArrow over sorted (group, block, c, root, vec): the best partners of each member of a block in other
+    components, and a spanning forest of all such links."""
     def run(batches):
         held = []
         for _, group in each_group(batches, 2):
             if group.num_rows < 2:
                 continue
             vectors = group.column("vec").to_pylist()
-            ids = np.asarray(group.column("c").combine_chunks())
+            ids, roots = (np.asarray(group.column(x).combine_chunks()) for x in ("c", "root"))
             sizes = np.array([len(v) for v in vectors])
             for size in np.unique(sizes):
                 own = np.flatnonzero(sizes == size)
@@ -105,11 +109,15 @@ def _propose(kind: str):
                     continue
                 rows = unit_rows([vectors[i] for i in own], kind)
                 like = rows @ rows.T
-                np.fill_diagonal(like, -2)
+                like[roots[own][:, None] == roots[own][None, :]] = -2
                 k = min(K, len(own) - 1)
                 best = np.argpartition(-like, k - 1, axis=1)[:, :k]
                 x = np.repeat(np.arange(len(own)), k)
                 y = best.ravel()
+                near = like >= THRESHOLD
+                if (near.sum(axis=1) > k).any():
+                    more = _forest(near)
+                    x, y = np.concatenate([x, more[0]]), np.concatenate([y, more[1]])
                 s = like[x, y]
                 good = s >= FLOOR
                 x, y, s = ids[own[x[good]]], ids[own[y[good]]], s[good]
@@ -122,6 +130,23 @@ def _propose(kind: str):
     return run
 
 
+def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The edges of a spanning forest of a symmetric adjacency matrix."""
+    left = near.any(axis=1)
+    xs, ys = [], []
+    while left.any():
+        todo = [int(left.argmax())]
+        left[todo[0]] = False
+        while todo:
+            x = todo.pop()
+            y = np.flatnonzero(near[x] & left)
+            left[y] = False
+            xs.append(np.full(len(y), x))
+            ys.append(y)
+            todo += y.tolist()
+    return np.concatenate(xs), np.concatenate(ys)
+
+
 def _pair_batch(held) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate([h[i] for h in held])) for i in range(3)],
                                       names=["a", "b", "s"])
@@ -161,7 +186,7 @@ def _in_blocks(members: DataFrame, group: str, classes: DataFrame, kind: str) ->
     sizes = members.groupBy(group).agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     dealt = (members.join(sizes, group)
              .select(F.col(group).alias("g"), F.pmod(F.xxhash64("c", group), F.ceil(F.col("size") / BLOCK)).alias("block"), "c")
-             .join(classes.select("c", "vec"), "c").select("g", "block", "c", "vec"))
+             .join(classes.select("c", "root", "vec"), "c").select("g", "block", "c", "root", "vec"))
     return dealt.repartition("g", "block").sortWithinPartitions("g", "block").mapInArrow(_propose(kind), PAIR)
 
 
@@ -174,13 +199,14 @@ def _best(pairs: DataFrame) -> DataFrame:
     return top.groupBy("a", "b").agg(F.max("s").alias("s"), F.min("fresh").alias("fresh"))
 
 
-def _round(graph: DataFrame, classes: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
-    """One neighbours-of-neighbours join: the pairs it proposes, and the new graph, with ``fresh`` for pairs
-    that were not in the old one."""
-    both = graph.select(F.col("a").alias("v"), F.col("b").alias("c"), "fresh").unionByName(
-        graph.select(F.col("b").alias("v"), F.col("a").alias("c"), "fresh"))
+def _round(graph: DataFrame, kept: DataFrame | None, classes: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
+    """One neighbours-of-neighbours join over the graph and the pairs ``kept`` of earlier passes: the pairs it
+    proposes, and the new graph, with ``fresh`` for pairs that were not in the old one."""
+    every = graph if kept is None else graph.unionByName(kept.withColumn("fresh", F.lit(False)))
+    both = every.select(F.col("a").alias("v"), F.col("b").alias("c"), "fresh").unionByName(
+        every.select(F.col("b").alias("v"), F.col("a").alias("c"), "fresh"))
     active = both.groupBy("v").agg(F.max("fresh").alias("any")).filter("any").select("v")
-    members = both.select("v", "c").join(active, "v")
+    members = both.select("v", "c").distinct().join(active, "v")
     found = stored(_in_blocks(members, "v", classes, kind).groupBy("a", "b").agg(F.max("s").alias("s")), "proposed")
     return found, stored(_best(_merged(graph, found)), "graph")
 
@@ -222,30 +248,36 @@ def _audit(classes: DataFrame, roots: DataFrame, kind: str, size: int) -> float:
 def linked_components(classes: DataFrame, kind: str) -> DataFrame:
     """(c, root) of the components of all links that the refined graph over (c, vec) proposed, for vertices
     with a link. The graph itself keeps the best ``K`` pairs of a vertex; links that drop out of it still
-    connect, but take no part in later joins."""
+    connect, but take no part in later joins. The first pass takes each vertex as a component; the later ones
+    propose pairs of different components, until no link is left to find and the audit is met."""
     size = classes.count()
     bits = int(max(1, min(60, np.ceil(np.log2(max(2, size / BLOCK))))))
-    graph = links = roots = None
+    kept = links = roots = None
     for step in range(MAX_PASSES):
         tables = range(step * TABLES, (step + 1) * TABLES)
+        rooted = classes.select("c", "vec", F.col("c").alias("root")) if roots is None else (
+            classes.select("c", "vec").join(roots, "c", "left").select("c", "vec", F.coalesce("root", "c").alias("root")))
         buckets = classes.select("c", "vec").mapInArrow(_sign_buckets(kind, bits, tables), "bucket long, c long")
-        found = stored(_in_blocks(buckets, "bucket", classes, kind).groupBy("a", "b").agg(F.max("s").alias("s")), "proposed")
-        graph = stored(_best(found.withColumn("fresh", F.lit(True)) if graph is None else _merged(graph, found)), "graph")
+        found = stored(_in_blocks(buckets, "bucket", rooted, kind).groupBy("a", "b").agg(F.max("s").alias("s")), "proposed")
+        graph = stored(_best(found.withColumn("fresh", F.lit(True))), "graph")
         proposed = [found]
         for _ in range(MAX_ROUNDS):
-            found, graph = _round(graph, classes, kind)
+            found, graph = _round(graph, kept, rooted, kind)
             proposed.append(found)
             pairs, fresh = graph.filter(F.col("s") >= THRESHOLD).agg(
                 F.count(F.lit(1)), F.count(F.when(F.col("fresh"), 1))).first()
             if fresh <= FRESH_SHARE * pairs:
                 break
-        for found in proposed:
-            near = found.filter(F.col("s") >= THRESHOLD).select("a", "b")
+        kept = graph if kept is None else stored(_best(_merged(kept, graph.select("a", "b", "s"))), "kept")
+        new = [found.filter(F.col("s") >= THRESHOLD).select("a", "b") for found in proposed]
+        for near in new:
             links = near if links is None else links.unionByName(near)
-        roots = stored(components(links).withColumnRenamed("id", "c"), "vector-roots")
-        if _audit(classes, roots, kind, size) >= RECALL:
-            break
-    return roots
+        settled = roots is not None and all(near.isEmpty() for near in new)
+        if not settled:
+            roots = stored(components(links).withColumnRenamed("id", "c"), "vector-roots")
+        if settled and _audit(classes, roots, kind, size) >= RECALL:
+            return roots
+    raise RuntimeError(f"near vectors: links were still found, or recall was below {RECALL}, after {MAX_PASSES} passes")
 
 
 def near_vectors(rows: DataFrame) -> DataFrame:

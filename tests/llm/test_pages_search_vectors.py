@@ -135,3 +135,16 @@ def test_vectors_match_brute_force(spark, monkeypatch):
     got = neighbours.near_vectors(df.repartition(3)).collect()
     assert Counter(map(tuple, got)) == brute_vectors(typed)
     assert neighbours.near_vectors(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", [15, 40])
+def test_tight_groups_that_link_are_one_component(spark, n):
+    rng = np.random.default_rng(n)
+    axes = np.linalg.qr(rng.standard_normal((64, 64)))[0]
+    ends = [axes[0], 0.925 * axes[0] + math.sqrt(1 - 0.925 ** 2) * axes[1]]
+    rows = [(1000 * g + i, (end + 0.0005 * rng.standard_normal(64)).tolist()) for g, end in enumerate(ends) for i in range(n)]
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert (x[:n] @ x[:n].T).min() > 0.97 and 0.9 < (x[:n] @ x[n:].T).max() < 0.95
+    got = neighbours.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert Counter(map(tuple, got)) == brute_vectors(rows)
