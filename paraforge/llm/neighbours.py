@@ -2,8 +2,10 @@
 
 1. Equal vectors become one class with a weight. Null vectors, and vectors with null or non-finite
    components or of length 0, are left out: they link with nothing.
-2. The first graph comes from random projections: in each of ``TABLES`` tables a class falls into the
-   bucket of its sign bits (as many that buckets hold about ``BLOCK`` classes); buckets are dealt to blocks of bounded size,
+2. The first graph comes from random projections: in each table a class falls into the bucket of its sign
+   bits (as many that buckets hold about ``BLOCK`` classes). The number of tables follows the bits, so that two
+   vectors at cosine ``THRESHOLD`` share no bucket of a pass with probability ``MISS`` at most. Buckets that a
+   dense region fills are cut by further sign bits, and then dealt to blocks of bounded size,
    and a block proposes the best ``K`` partners of each member (cosine of at least ``FLOOR``) and a spanning
    forest of all its links, so members with more links than ``K`` lose no connection within the block.
 3. A round of NN-descent joins each vertex's neighbours and reverse neighbours with each other (in bounded
@@ -11,8 +13,9 @@
    vertices with a fresh neighbour take part. Rounds go on until hardly any new link appears.
 4. Lists full of links of their own group hide links to other groups. So further passes with new tables propose
    only pairs of different components found so far, joined with the graph kept, until a pass finds no link.
-5. Recall is audited: ``AUDIT`` vertices chosen by hash are compared with all vectors. Below
-   ``RECALL``, new tables and rounds follow (``MAX_PASSES`` at most).
+5. Recall is audited: ``AUDIT`` vertices chosen by hash, and as many of small groups, are compared with all
+   vectors. The mean over the vertices of either sample must reach ``RECALL``; else more passes follow, and after
+   ``MAX_PASSES`` the job fails.
 6. A list whose ``K`` entries are all links is saturated and may hide more. So the lists of linked vertices
    are enlarged to their whole component: members are compared in pairs of bounded blocks, which
    counts every link inside the component exactly and returns counts, not pairs.
@@ -37,7 +40,9 @@ THRESHOLD = 0.9
 FLOOR = 0.5
 K = 10
 BLOCK = 256
-TABLES = 16
+LEAST_TABLES = 16
+MISS = 1e-3
+FINER = 16
 AUDIT = 200
 RECALL = 0.98
 MAX_PASSES = 8
@@ -71,7 +76,7 @@ def _pack(kind: str):
 
 
 def _sign_buckets(kind: str, bits: int, tables: range):
-    """mapInArrow over (c, vec): one (bucket, c) per table."""
+    """mapInArrow over (c, vec): one (bucket, finer, c) per table; ``finer`` are ``FINER`` further sign bits."""
     def run(batches):
         planes: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -82,16 +87,34 @@ def _sign_buckets(kind: str, bits: int, tables: range):
                 rows = unit_rows([vectors[i] for i in own], kind)
                 dim = rows.shape[1]
                 if dim not in planes:
-                    planes[dim] = np.stack([np.random.default_rng([t, dim]).standard_normal((dim, bits)) for t in tables])
-                weights = 1 << np.arange(bits, dtype=np.uint64)
+                    planes[dim] = np.stack([np.random.default_rng([t, dim]).standard_normal((dim, bits + FINER)) for t in tables])
+                weights = np.uint64(1) << np.arange(bits, dtype=np.uint64)
+                fine = 1 << np.arange(FINER, dtype=np.int64)
                 for t, plane in zip(tables, planes[dim]):
-                    code = ((rows @ plane) > 0).astype(np.uint64) @ weights
+                    signs = (rows @ plane) > 0
+                    code = signs[:, :bits].astype(np.uint64) @ weights
                     bucket = mix(code ^ mix(np.full(len(code), t * 100_003 + dim, dtype=np.uint64)))
-                    yield pa.RecordBatch.from_arrays([pa.array(as_signed(bucket)), pa.array(ids[own])],
-                                                     names=["bucket", "c"])
+                    finer = signs[:, bits:].astype(np.int64) @ fine
+                    yield pa.RecordBatch.from_arrays([pa.array(as_signed(bucket)), pa.array(finer), pa.array(ids[own])],
+                                                     names=["bucket", "finer", "c"])
     return run
 
 
+def n_tables(bits: int) -> int:
+    """Tables of ``bits`` sign bits after which a pair at cosine ``THRESHOLD`` shared none with probability ``MISS``."""
+    shared = (1 - np.arccos(THRESHOLD) / np.pi) ** bits
+    return max(LEAST_TABLES, int(np.ceil(np.log(MISS) / np.log1p(-shared))))
+
+
+def _cut_full(buckets: DataFrame) -> DataFrame:
+    """(bucket, c) of (bucket, finer, c): buckets beyond ``BLOCK`` are cut by as many further sign bits as they need."""
+    full = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK)
+    mask = F.pow(F.lit(2.0), F.least(F.lit(FINER), F.ceil(F.log2(F.col("n") / BLOCK)))).cast("long")
+    return buckets.join(full, "bucket", "left").select(
+        F.when(F.col("n").isNull(), F.col("bucket"))
+        .otherwise(F.xxhash64("bucket", F.pmod(F.col("finer"), mask))).alias("bucket"), "c")
+
+
 def _propose(kind: str):
     """mapInArrow over sorted (group, block, c, root, vec): the best partners of each member of a block in other
     components, and a spanning forest of all such links."""
@@ -217,32 +240,57 @@ def _merged(graph: DataFrame, found: DataFrame) -> DataFrame:
             .groupBy("a", "b").agg(F.max("s").alias("s"), F.min("fresh").alias("fresh")))
 
 
-def _audit(classes: DataFrame, roots: DataFrame, kind: str, size: int) -> float:
-    """Share of the true links of ``AUDIT`` classes that lie within one component (c, root)."""
-    step = max(1, size // AUDIT)
-    sample = classes.filter(F.pmod(F.xxhash64(F.lit(9), "c"), F.lit(step)) == 0).select("c", "vec").orderBy("c").limit(2 * AUDIT)
-    rows = sample.collect()  # at most 2 * AUDIT vectors
-    ids, vectors = np.array([r["c"] for r in rows], dtype=np.int64), [bytes(r["vec"]) for r in rows]
+def _audit(rooted: DataFrame, kind: str, salt: int) -> float:
+    """The mean over sampled classes with true links of the share of these links within one component, over (c,
+    vec, root): the lower one of a sample of all classes and a sample of those in components of at most ``K``."""
+    sizes = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    small = rooted.join(sizes.filter(F.col("size") <= K).select("root"), "root").select("c", "vec", "root")
+    order = F.xxhash64(F.lit(salt), "c")
+    return min(_mean_recall(rooted, some.orderBy(order, "c").limit(AUDIT).collect(), kind)
+               for some in (rooted.select("c", "vec", "root"), small))
+
+
+def _mean_recall(rooted: DataFrame, sample: list, kind: str) -> float:
+    """The audit of at most ``AUDIT`` rows (c, vec, root) against all; their links are only counted."""
+    ids, own_roots = (np.array([r[x] for r in sample], dtype=np.int64) for x in ("c", "root"))
+    vectors = [bytes(r["vec"]) for r in sample]
 
     def true_links(batches):
+        n, hit = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
         for batch in batches:
-            own, some = np.asarray(batch.column(0)), batch.column(1).to_pylist()
+            own, roots, some = np.asarray(batch.column(0)), np.asarray(batch.column(1)), batch.column(2).to_pylist()
             for size in {len(v) for v in vectors}:
                 left = [i for i, v in enumerate(vectors) if len(v) == size]
                 right = [i for i, v in enumerate(some) if len(v) == size]
                 if right:
-                    near = unit_rows([vectors[i] for i in left], kind) @ unit_rows([some[i] for i in right], kind).T
-                    x, y = np.nonzero(near >= THRESHOLD)
-                    a, b = ids[left][x], own[right][y]
-                    yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], names=["a", "b"])
+                    near = unit_rows([vectors[i] for i in left], kind) @ unit_rows([some[i] for i in right], kind).T >= THRESHOLD
+                    near &= ids[left][:, None] != own[right][None, :]
+                    n[left] += near.sum(axis=1)
+                    hit[left] += (near & (own_roots[left][:, None] == roots[right][None, :])).sum(axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n), pa.array(hit)], names=["c", "n", "hit"])
 
-    if not rows:
+    if not sample:
         return 1.0
-    true = classes.select("c", "vec").mapInArrow(true_links, "a long, b long")
-    joined = (true.join(roots.select(F.col("c").alias("a"), F.col("root").alias("ra")), "a", "left")
-              .join(roots.select(F.col("c").alias("b"), F.col("root").alias("rb")), "b", "left"))
-    n, hit = joined.agg(F.count(F.lit(1)), F.count(F.when(F.col("ra") == F.col("rb"), 1))).first()
-    return hit / n if n else 1.0
+    counts = (rooted.select("c", "root", "vec").mapInArrow(true_links, "c long, n long, hit long")
+              .groupBy("c").agg(F.sum("n").alias("n"), F.sum("hit").alias("hit")).filter("n > 0"))
+    mean = counts.agg(F.avg(F.col("hit") / F.col("n"))).first()[0]
+    return 1.0 if mean is None else mean
+
+
+def _still_fresh(graph: DataFrame) -> bool:
+    """Whether more than ``FRESH_SHARE`` of the linked vertices with room in their lists have a fresh link."""
+    near = graph.filter(F.col("s") >= THRESHOLD)
+    ends = near.select(F.col("a").alias("v"), "fresh").unionByName(near.select(F.col("b").alias("v"), "fresh"))
+    vertices = ends.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.max("fresh").alias("fresh")).filter(F.col("n") < K)
+    n, fresh = vertices.agg(F.count(F.lit(1)), F.count(F.when(F.col("fresh"), 1))).first()
+    return fresh > FRESH_SHARE * n
+
+
+def _rooted(classes: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """(c, vec, root); a class without a link is its own component."""
+    if roots is None:
+        return classes.select("c", "vec", F.col("c").alias("root"))
+    return classes.select("c", "vec").join(roots, "c", "left").select("c", "vec", F.coalesce("root", "c").alias("root"))
 
 
 def linked_components(classes: DataFrame, kind: str) -> DataFrame:
@@ -254,19 +302,17 @@ def linked_components(classes: DataFrame, kind: str) -> DataFrame:
     bits = int(max(1, min(60, np.ceil(np.log2(max(2, size / BLOCK))))))
     kept = links = roots = None
     for step in range(MAX_PASSES):
-        tables = range(step * TABLES, (step + 1) * TABLES)
-        rooted = classes.select("c", "vec", F.col("c").alias("root")) if roots is None else (
-            classes.select("c", "vec").join(roots, "c", "left").select("c", "vec", F.coalesce("root", "c").alias("root")))
-        buckets = classes.select("c", "vec").mapInArrow(_sign_buckets(kind, bits, tables), "bucket long, c long")
+        tables = range(step * n_tables(bits), (step + 1) * n_tables(bits))
+        rooted = _rooted(classes, roots)
+        buckets = _cut_full(classes.select("c", "vec").mapInArrow(
+            _sign_buckets(kind, bits, tables), "bucket long, finer long, c long"))
         found = stored(_in_blocks(buckets, "bucket", rooted, kind).groupBy("a", "b").agg(F.max("s").alias("s")), "proposed")
         graph = stored(_best(found.withColumn("fresh", F.lit(True))), "graph")
         proposed = [found]
         for _ in range(MAX_ROUNDS):
             found, graph = _round(graph, kept, rooted, kind)
             proposed.append(found)
-            pairs, fresh = graph.filter(F.col("s") >= THRESHOLD).agg(
-                F.count(F.lit(1)), F.count(F.when(F.col("fresh"), 1))).first()
-            if fresh <= FRESH_SHARE * pairs:
+            if not _still_fresh(graph):
                 break
         kept = graph if kept is None else stored(_best(_merged(kept, graph.select("a", "b", "s"))), "kept")
         new = [found.filter(F.col("s") >= THRESHOLD).select("a", "b") for found in proposed]
@@ -275,7 +321,7 @@ def linked_components(classes: DataFrame, kind: str) -> DataFrame:
         settled = roots is not None and all(near.isEmpty() for near in new)
         if not settled:
             roots = stored(components(links).withColumnRenamed("id", "c"), "vector-roots")
-        if settled and _audit(classes, roots, kind, size) >= RECALL:
+        if settled and _audit(_rooted(classes, roots), kind, step) >= RECALL:
             return roots
     raise RuntimeError(f"near vectors: links were still found, or recall was below {RECALL}, after {MAX_PASSES} passes")
 

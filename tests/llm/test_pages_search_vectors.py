@@ -148,3 +148,29 @@ def test_tight_groups_that_link_are_one_component(spark, n):
     assert (x[:n] @ x[:n].T).min() > 0.97 and 0.9 < (x[:n] @ x[n:].T).max() < 0.95
     got = neighbours.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
     assert Counter(map(tuple, got)) == brute_vectors(rows)
+
+
+def test_tables_follow_the_bits():
+    for bits in (1, 5, 16, 30):
+        shared = (1 - math.acos(0.9) / math.pi) ** bits
+        assert (1 - shared) ** neighbours.n_tables(bits) <= 1e-3
+
+
+def test_audit_sees_lost_small_groups(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    hot = rng.standard_normal(32)
+    rows = [(i, hot + 0.01 * rng.standard_normal(32), 0) for i in range(400)]
+    for i in range(60):
+        centre = rng.standard_normal(32)
+        lost = i % 4 == 0
+        rows += [(1000 + 2 * i + j, centre + 0.01 * rng.standard_normal(32), 1000 + 2 * i + (j if lost else 0)) for j in range(2)]
+    packed = [(c, np.asarray(v, dtype="<f8").tobytes(), root) for c, v, root in rows]
+    df = spark.createDataFrame(packed, "c long, vec binary, root long")
+    assert neighbours._audit(df, "<f8", 1) < 0.9
+    assert neighbours._audit(df.withColumn("root", __import__("pyspark.sql.functions", fromlist=["x"]).expr(
+        "if(c < 1000, 0, c - c % 2)")), "<f8", 1) == 1.0
+
+    monkeypatch.setattr(neighbours, "MAX_PASSES", 2)
+    monkeypatch.setattr(neighbours, "_audit", lambda *a: 0.5)
+    with pytest.raises(RuntimeError, match="recall"):
+        neighbours.linked_components(df.select("c", "vec"), "<f8")
