@@ -17,6 +17,7 @@ for, and checks each frame's checksum.
 Writing: documents are range-partitioned and sorted by doc_id (ties by text), each task streams
 its share into one file of the shared folder, and a manifest row per file is written by Spark.
 Only files of the manifest belong to the data, so a repeated or lost task leaves no trace in it.
+Added tokens of the tokenizer file that stand in a text get their ids, as by the library's default settings.
 Null texts are empty documents (only the end id); null ids come first; repeated rows are
 documents of their own; an empty table gives an empty manifest.
 """
@@ -175,7 +176,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         system.create_dir(base, recursive=True)
         part = TaskContext.get().partitionId()
         name = f"tokens-{part:06d}-{uuid.uuid4().hex}.ids.zst"
-        encoder, writer, sink = byte_level_encoder(tokenizer), None, None
+        encoder, writer, sink = byte_level_encoder(tokenizer, added_tokens=True), None, None
         for batch in batches:
             for at, data, off in slices(batch.column(1)):
                 if writer is None:

@@ -43,6 +43,27 @@ def test_byte_level_pieces_equal_the_library(bpe):
             assert ids[edge[i]:edge[i + 1]].tolist() == bpe(texts[at + i]), texts[at + i]
 
 
+def test_added_tokens_get_their_ids_as_in_the_library():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(BPE)
+    encoder, mark, rng = byte_level_encoder(BPE, added_tokens=True), "<|endoftext|>", random.Random(4)
+    texts = ["a <|endoftext|> b", mark, mark * 2, f"x{mark}'s", f"  {mark}\n\n", "<|endoftext", "|>", f"<{mark}>", "", "plain"]
+    texts += ["".join(rng.choices([mark, " ", "a", "\n", "'s", "\u65e5", "<|endof", "text|>", "\u00e9"], k=9)) for _ in range(300)]
+    for at, data, off in slices(pa.array(texts), 2000):
+        ids, counts = encoder.ids(data, off)
+        edge = np.concatenate([[0], np.cumsum(counts)])
+        for i in range(len(counts)):
+            assert ids[edge[i]:edge[i + 1]].tolist() == library.encode(texts[at + i], add_special_tokens=False).ids, texts[at + i]
+
+
+def test_files_hold_the_ids_of_added_tokens(spark):
+    docs = spark.createDataFrame([(1, "a <|endoftext|> b"), (2, "c")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in token_files.token_file_rows(docs, scratch_path(spark, "t"), BPE).collect()}
+    ids = np.array([64, 220, 50256, 275, 0], dtype="<u4")
+    assert (got[1]["n_tokens"], got[1]["ids_crc32"], got[2]["start"]) == (5, zlib.crc32(ids.tobytes()), 5)
+
+
 def test_files_hold_every_document_in_order(spark, edge_docs, edge_rows, no_docs, bpe):
     got = token_files.token_file_rows(edge_docs, scratch_path(spark, "t"), BPE).collect()
     rows = sorted(edge_rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
