@@ -98,6 +98,21 @@ def test_search_is_exact(edge_docs, edge_rows, no_docs, shard, monkeypatch):
     assert search.top_documents(no_docs, no_docs.select(F.col("doc_id").alias("id"), "text")).count() == 0
 
 
+def test_single_precision_and_small_scores_drop_nothing():
+    import pyarrow as pa
+
+    index = search.ShardIndex(4.0)
+    for _, data, off in search.slices(pa.array(["a b c d"] * 40)):
+        index.add(data, off)
+    index.finish()
+    weights = np.full(4, 1e5)
+    where, weights = index.places(index.terms, weights)
+    common = (weights[:, None] * index.dense[index.column[where]]).sum(axis=0)
+    common[0] *= 1 - 1e-6  # as a product in single precision may be off
+    assert len(index.search(where, weights, common, 3)[0]) == 40
+    assert len(next(index.search_batch([(index.terms, np.full(4, 1e-8))], 3))[0]) == 40
+
+
 def brute_vectors(rows):
     good = [(i, np.array(v, dtype=np.float64)) for i, (_, v) in enumerate(rows)
             if v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
