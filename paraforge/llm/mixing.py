@@ -29,6 +29,7 @@ from paraforge.llm.common import WORD, stored, table
 BLOCKS = 100_000
 SHARD_BLOCKS = 64
 MAX_REPEATS = 3.0
+CELL_DOCS = 4096
 SEED = 42
 
 
@@ -186,14 +187,33 @@ def mix(docs: DataFrame, blocks: int = BLOCKS, shard_blocks: int = SHARD_BLOCKS,
                     "tie"))
 
 
+def whole_copies(taken: DataFrame) -> DataFrame:
+    """(doc_id, tie, source, copies) of the rows of a mix. Each document comes taken div size times; the tokens that
+    are left in a cell (about ``CELL_DOCS`` documents of a source) go to one more copy of documents in seeded order, up
+    to the document that comes nearest to them. So a cell is off by half a document at most."""
+    docs = taken.filter("size > 0").withColumn("whole", F.floor(F.col("taken") / F.col("size")).cast("int"))
+    docs = stored(docs.withColumn("rest", F.col("taken") - F.col("whole") * F.col("size"))
+                  .select("doc_id", "tie", "source", "size", "whole", "rest"), "mix-copies")
+    open_ = docs.filter("rest > 0")
+    cells = open_.groupBy(F.col("source").alias("_s")).agg(F.ceil(F.count(F.lit(1)) / CELL_DOCS).alias("cells"))
+    dealt = (open_.join(cells, F.col("source").eqNullSafe(F.col("_s")))
+             .withColumn("cell", F.pmod(F.xxhash64(F.lit(SEED + 4), "tie"), F.col("cells"))))
+    cell = Window.partitionBy("source", "cell")
+    seeded = cell.orderBy(F.xxhash64(F.lit(SEED + 5), "tie", "doc_id"), "rest").rowsBetween(Window.unboundedPreceding, -1)
+    more = (dealt.withColumn("left", F.sum("rest").over(cell)).withColumn("before", F.coalesce(F.sum("size").over(seeded), F.lit(0)))
+            .select("doc_id", "tie", "source", (F.col("whole") + (2 * F.col("before") + F.col("size") <= 2 * F.col("left")).cast("int"))
+                    .alias("copies")))
+    return (docs.filter("rest = 0").select("doc_id", "tie", "source", F.col("whole").alias("copies")).unionByName(more)
+            .groupBy("doc_id", "tie", "source").agg(F.sum("copies").cast("int").alias("copies")).filter("copies > 0"))
+
+
 def mixed_rows(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them (taken / size, rounded): the rows of the mix."""
-    taken = mix(docs.select("doc_id", "text", "source"), **settings)
-    copies = (taken.filter("size > 0").groupBy("doc_id", "tie")
-              .agg(F.sum(F.round(F.col("taken") / F.col("size"))).cast("int").alias("_copies"))
-              .filter("_copies > 0").select(F.col("doc_id").alias("_id"), F.col("tie").alias("_t"), "_copies"))
-    keyed = docs.withColumn("_tie", _tie()).dropDuplicates(["doc_id", "_tie"])
-    return (keyed.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tie") == F.col("_t")))
+    """The rows of the mix: each row of ``docs`` as often as ``whole_copies`` says."""
+    copies = whole_copies(mix(docs.select("doc_id", "text", "source"), **settings)).select(
+        F.col("doc_id").alias("_id"), F.col("tie").alias("_t"), F.col("source").alias("_s"), F.col("copies").alias("_copies"))
+    keyed = docs.withColumn("_tie", _tie()).dropDuplicates(["doc_id", "_tie", "source"])
+    return (keyed.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tie") == F.col("_t"))
+                       & F.col("source").eqNullSafe(F.col("_s")))
             .withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
             .select(*docs.columns))
 

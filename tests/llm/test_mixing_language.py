@@ -62,6 +62,17 @@ def test_mix_of_nothing(no_docs, edge_docs):
     assert {r["taken"] for r in mixing.mix(blank).collect()} == {0}
 
 
+def test_emitted_rows_meet_the_targets(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    words = lambda df: {r["source"]: r["n"] for r in mixing.document_sizes(df).groupBy("source").agg({"size": "sum"})
+                        .withColumnRenamed("sum(size)", "n").collect()}
+    sizes, emitted = words(docs), words(mixing.mixed_rows(docs))
+    largest = {r["source"]: r["m"] for r in mixing.document_sizes(docs).groupBy("source").agg({"size": "max"})
+               .withColumnRenamed("max(size)", "m").collect()}
+    for s, target in filled(sizes).items():
+        assert abs(emitted.get(s, 0) - target) <= 0.01 * target + largest[s] / 2, s
+
+
 def test_seats_are_sainte_lague(spark):
     votes = {"a": 53, "b": 24, "c": 23, "d": 7, "e": 1}
     seats = 17
