@@ -16,8 +16,13 @@ from paraforge.llm.common import stored, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter (undetermined) go; a missing ``lang`` becomes the predicted one."""
-    found = language.predict(docs, language.train(docs), "_lang_pred", "_score").filter(F.col("_lang_pred") != language.UNKNOWN)
+    """Documents without a letter, or with score 0 (they share nothing with the language found), go; a missing ``lang``
+    becomes the predicted one. With no labelled document to learn from, all documents with a letter stay."""
+    model = language.train(docs)
+    if model is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}")).withColumn("lang", F.coalesce("lang", F.lit(language.UNKNOWN)))
+    found = language.predict(docs, model, "_lang_pred", "_score").filter(
+        (F.col("_lang_pred") != language.UNKNOWN) & (F.col("_score") > 0))
     return found.withColumn("lang", F.coalesce("lang", "_lang_pred")).select(*docs.columns)
 
 

@@ -48,3 +48,14 @@ def test_stages_on_edge_rows(spark, which, request):
         docs = stored(stage(spark, docs, SF), name)
     assert docs.columns == ["doc_id", "source", "lang", "n_tokens", "ids"]
     assert (docs.count() > 0) == (which == "edge_docs")
+
+
+def test_language_stage_goes_by_the_classifier(spark):
+    schema = "doc_id long, text string, lang string"
+    rows = [(i, f"the house and the tree {i}" if i % 2 else f"das Haus und der Baum {i}", "en" if i % 2 else "de") for i in range(80)]
+    rows += [(900, "\u65e5\u672c\u8a9e", None), (901, "the tree", None), (902, "12", None)]
+    got = {r["doc_id"]: r["lang"] for r in corpus_pipeline.language_id(spark, spark.createDataFrame(rows, schema), SF).collect()}
+    assert got.keys() == {*range(80), 901} and got[901] == "en"
+    unlabelled = spark.createDataFrame([(i, t, None) for i, t, _ in rows], schema)
+    got = {r["doc_id"] for r in corpus_pipeline.language_id(spark, unlabelled, SF).collect()}
+    assert got == {*range(80), 900, 901}
