@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from paraforge.llm import language, mixing, near_dup, neighbours, oracle, search, sentencepiece_scan, site_tree, substrings, token_files, urls
+from paraforge.llm import (collocations, language, lines, merkle, mixing, near_dup, neighbours, oracle, search, sentencepiece_scan,
+                           site_tree, substrings, token_files, urls)
 
 QUERIES = {
     "op1_main_text": site_tree.op1_main_text,
@@ -15,6 +16,9 @@ QUERIES = {
     "op8_search": search.op8_search,
     "op9_token_files": token_files.op9_token_files,
     "op10_near_vectors": neighbours.op10_near_vectors,
+    "op11_line_dedup": lines.op11_line_dedup,
+    "op12_merkle_manifest": merkle.op12_merkle_manifest,
+    "op13_collocations": collocations.op13_collocations,
 }
 
 ORACLES: dict[str, str] = {
@@ -22,4 +26,7 @@ ORACLES: dict[str, str] = {
     "op5_near_duplicates": oracle.OP5,
     "op8_search": oracle.OP8,
     "op10_near_vectors": oracle.OP10,
+    "op11_line_dedup": oracle.OP11,
+    "op12_merkle_manifest": oracle.OP12,
+    "op13_collocations": oracle.OP13,
 }
