@@ -111,7 +111,7 @@ class _Words:
         ids, levels = lang, []
         for m in range(max_words):
             word = np.zeros(len(code), dtype=np.int64)
-            end = len(code) - m
+            end = max(0, len(code) - m)
             inside = piece[m:] == piece[:end] if m else np.ones(end, dtype=bool)
             word[:end] = np.where(inside, code[m:] + 1, 0)
             level, ids, counts = np.unique(ids * base + word, return_inverse=True, return_counts=True)

@@ -110,8 +110,9 @@ class LineRuns:
 
 def _batch_of(docs: DataFrame, batches: int):
     """Batch 0 holds the greatest ids; the bounds are approximate quantiles, and any bounds give the same result."""
-    bounds = docs.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.02)
-    bounds = sorted(set(int(b) for b in bounds), reverse=True)
+    shares = [i / batches for i in range(1, batches)]
+    bounds = docs.agg(F.percentile_approx("doc_id", shares, 200)).first()[0] if shares else None
+    bounds = sorted(set(bounds or ()), reverse=True)
     batch = F.lit(0)
     for bound in bounds:
         batch = batch + F.when(F.coalesce(F.col("doc_id") <= bound, F.lit(True)), 1).otherwise(0)
@@ -136,7 +137,6 @@ def repeated_keys(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
     return stored(known.join(weights, ["h1", "h2"]), "line-repeats"), total
 
 
-@F.pandas_udf("struct<n_dropped:long,kept_text:string>")
 def _drop_lines(text: pd.Series, gone: pd.Series) -> pd.DataFrame:
     """Drop the lines whose keys are in ``gone`` (first halves of their hashes, then second halves)."""
     second = xxhash.xxh64_intdigest((7).to_bytes(4, "little"), SEED)
@@ -171,7 +171,8 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
     keyed = docs.withColumns({"r1": F.xxhash64(no_id, "doc_id", full), "r2": F.xxhash64(F.lit(7), no_id, "doc_id", full)})
     rows = keyed.join(stored(gone, "line-gone"), ["r1", "r2"], "left")
     touched = F.col("gone").isNotNull()
-    cut = rows.withColumn("cut", _drop_lines(F.when(touched, F.col("text")), F.col("gone")))
+    drop_lines = F.pandas_udf(_drop_lines, "struct<n_dropped:long,kept_text:string>")
+    cut = rows.withColumn("cut", drop_lines(F.when(touched, F.col("text")), F.col("gone")))
     breaks = F.length(full) - F.length(F.replace(full, F.lit("\n"), F.lit("")))
     return cut.select("doc_id", "text", (breaks + 1).cast("long").alias("n_lines"),
                       F.coalesce("cut.n_dropped", F.lit(0)).cast("long").alias("n_dropped"),
