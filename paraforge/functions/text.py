@@ -145,19 +145,54 @@ def prediction_token(token) -> Column:
     return F.lower(utrim(token))
 
 
-def parse_paraphrase_list(literal) -> Column:
-    """P5: a list literal string (JSON or Python-style quotes) to array<string>.
-
-    ``\\xNN`` escapes, which JSON lacks, are rewritten to ``\\u00NN`` (an escaped backslash before an x
-    is none), tuples become lists, and a comma before the end goes. What still is no list literal gives
-    NULL.
-    """
-    fixed = F.regexp_replace(_c(literal), r"(?<!\\)((?:\\\\)*)\\x([0-9a-fA-F]{2})", r"$1\\u00$2")
+def _json_list(literal) -> Column:
+    """A list literal as JSON reads it, or NULL: ``\\xNN`` escapes, which JSON lacks, are rewritten to ``\\u00NN`` (an escaped
+    backslash before an x is none), tuples become lists, and a comma before the end goes."""
+    fixed = F.regexp_replace(literal, r"(?<!\\)((?:\\\\)*)\\x([0-9a-fA-F]{2})", r"$1\\u00$2")
     fixed = F.regexp_replace(fixed, r"(?s)^\s*\((.*)\)\s*\z", "[$1]")
     fixed = F.regexp_replace(fixed, r",\s*\]\s*\z", "]")
     return F.from_json(fixed, "array<string>")
 
 
+def _literal_list(literals):
+    """Lists or tuples of strings, numbers and None by the language's own literal grammar, None for anything else."""
+    import ast
+    import warnings
+
+    import pandas as pd
+
+    def one(literal):
+        if literal is None:
+            return None
+        try:
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")  # unknown escapes stay as they are
+                value = ast.literal_eval(literal)
+        except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
+            return None
+        if not isinstance(value, (list, tuple)) or any(not isinstance(x, (str, int, float, complex, type(None))) for x in value):
+            return None
+        # A pair of surrogate escapes is one character; half a pair has no text form.
+        return [None if x is None else str(x).encode("utf-16", "surrogatepass").decode("utf-16", "replace") for x in value]
+
+    return pd.Series([one(x) for x in literals], dtype=object)
+
+
+def parse_paraphrase_list(literal) -> Column:
+    """P5: a list literal string to array<string>, NULL for what is no list or tuple of strings, numbers and None.
+
+    Two tiers: what JSON reads the same way stays in the JVM. Only other literals (numbers and None among the items, joined or
+    prefixed strings, triple quotes, octal, ``\\N{}`` and unknown escapes, surrogate pairs) are sent to an Arrow
+    batch that parses them by the literal grammar."""
+    text = _c(literal)
+    simple = _json_list(text)
+    rest = F.regexp_replace(text, r"""(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"|'[^'\\]*+(?:\\.[^'\\]*+)*+'""", "")
+    same = rest.rlike(r"^\s*(\[[\s,]*\]|\([\s,]*\))\s*\z") & ~text.rlike(r"\\/|\\u[dD][89a-fA-F]")
+    both = F.struct(F.when(same, simple).alias("simple"), text.alias("text"))
+    full = F.pandas_udf(_literal_list, "array<string>")
+    return F.coalesce(both["simple"], full(F.when(both["simple"].isNull(), both["text"])))
+
+
 def first_paraphrase(arr) -> Column:
     """Element 0, NULL when the list is empty."""
     return F.get(_c(arr), 0)

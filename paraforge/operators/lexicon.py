@@ -1,9 +1,14 @@
 """Synonyms: lexicon lookup (J3, F9, U4), frequency ranking (A6, K9), contextual re-ranking
 with masked-word predictions (F8, F10, H4 default, K11, J2, K10) and the request job R3.
 
-The lexicon is two tables, ``word_synsets(word, synset_id)`` and ``synset_lemmas(synset_id,
+The lexicon is two tables, ``word_synsets(word, synset_id[, pos])`` and ``synset_lemmas(synset_id,
 lemma, lemma_count, ord)``; both are joined, never collected. A word with no lexicon entry is
-dropped by a semi-join before any prediction work (the reference's empty short-circuit).
+dropped before any prediction work (the reference's empty short-circuit).
+
+A word is looked up by its base forms (``word_senses``): per part of speech an exception table comes first, else the
+word itself and what is left when an ending is detached; only where none of these is an entry, another ending is detached, up to
+``DETACH_DEPTH`` of them. Entries hold underscores for spaces, and so do the words looked up. Endings are rows and
+candidate forms meet the lexicon in an equi-join. A lexicon without ``pos`` is searched with all endings.
 """
 
 from __future__ import annotations
@@ -15,32 +20,105 @@ from pyspark.sql import functions as F
 
 from paraforge.functions import text as T
 
+# The endings that the lexical database detaches, by part of speech, and what takes their place.
+DETACHMENTS = {
+    "n": [("s", ""), ("ses", "s"), ("ves", "f"), ("xes", "x"), ("zes", "z"), ("ches", "ch"), ("shes", "sh"),
+          ("men", "man"), ("ies", "y")],
+    "v": [("s", ""), ("ies", "y"), ("es", "e"), ("es", ""), ("ed", "e"), ("ed", ""), ("ing", "e"), ("ing", "")],
+    "a": [("er", ""), ("est", ""), ("er", "e"), ("est", "e")],
+    "r": [],
+}
+DETACH_DEPTH = 2
+
 TOP_FREQUENCY = 8      # K9
 TOP_PREDICTIONS = 100  # K11
 TOP_CONTEXT = 5        # K10
 
 
+def entry_form(word) -> F.Column:
+    """A word as the lexicon spells it: lower case, underscores for spaces."""
+    return F.replace(F.lower(word), F.lit(" "), F.lit("_"))
+
+
+def _endings(tagged: bool) -> F.Column:
+    """All detachment rules as one array of (pos, old, new); pos is '' for a lexicon without parts of speech."""
+    rows = list(dict.fromkeys((pos if tagged else "", old, new) for pos, rules in DETACHMENTS.items() for old, new in rules))
+    return F.array(*[F.struct(F.lit(p).alias("pos"), F.lit(o).alias("old"), F.lit(n).alias("new")) for p, o, n in rows])
+
+
+def _swap_ending(forms: DataFrame, tagged: bool, take: str, put: str) -> DataFrame:
+    """Each form with one ending ``take`` replaced by ``put``, for all rules of its part of speech."""
+    fits = F.filter(_endings(tagged), lambda r: (r["pos"] == F.col("pos")) & F.endswith(F.col("form"), r[take]))
+    out = forms.withColumn("r", F.explode(fits))
+    cut = F.left("form", F.length("form") - F.length(F.col(f"r.{take}")))
+    return out.withColumn("form", F.concat(cut, F.col(f"r.{put}"))).drop("r")
+
+
+def _steps(forms: DataFrame, tagged: bool, take: str, put: str, depth: int) -> DataFrame:
+    """(..., form, step): the forms themselves (step 1) and after one (1) to ``depth`` swapped endings."""
+    out = now = forms.withColumn("step", F.lit(1))
+    for step in range(1, depth + 1):
+        now = _swap_ending(now, tagged, take, put).withColumn("step", F.lit(step)).distinct()
+        out = out.unionByName(now)
+    return out
+
+
+def _parts(df: DataFrame, tagged: bool) -> DataFrame:
+    return df.withColumn("pos", F.explode(F.array(*map(F.lit, DETACHMENTS if tagged else [""]))))
+
+
+def _exceptions(exceptions: DataFrame, tagged: bool) -> DataFrame:
+    """(pos, key, form): what an excepted form may stand for, itself included."""
+    rows = exceptions.select((F.col("pos") if tagged else F.lit("")).alias("pos"), entry_form("form").alias("key"),
+                             F.explode(F.array(entry_form("form"), entry_form("base"))).alias("form"))
+    return rows.distinct()
+
+
+def _nearest(found: DataFrame) -> DataFrame:
+    """Per key and part of speech, the senses at the least number of steps."""
+    least = found.groupBy("key", "pos").agg(F.min("step").alias("step"))
+    return found.join(least, ["key", "pos", "step"]).select("key", "pos", "form", "synset_id").distinct()
+
+
+def word_senses(words: DataFrame, word_synsets: DataFrame, exceptions: DataFrame | None = None, word: str = "word",
+                depth: int = DETACH_DEPTH) -> DataFrame:
+    """J3, first half: (lword, form, synset_id): for each distinct lower-cased word the synsets of its base
+    forms. ``exceptions`` is (pos, form, base). Two forms of a word that share a synset give it twice."""
+    tagged = "pos" in word_synsets.columns
+    entries = word_synsets.select(F.col("word").alias("form"), (F.col("pos") if tagged else F.lit("")).alias("pos"), "synset_id")
+    keys = words.select(F.lower(F.col(word)).alias("lword")).distinct().withColumn("key", entry_form("lword"))
+    parts = _parts(keys.select("key").distinct(), tagged)
+    if exceptions is None:
+        forms = _steps(parts.withColumn("form", F.col("key")), tagged, "old", "new", depth)
+    else:
+        table = _exceptions(exceptions, tagged)
+        ruled = parts.join(table.select("pos", "key"), ["pos", "key"], "left_anti").withColumn("form", F.col("key"))
+        forms = _steps(ruled, tagged, "old", "new", depth).unionByName(
+            parts.join(table, ["pos", "key"]).withColumn("step", F.lit(1)))
+    return keys.join(_nearest(forms.join(entries, ["form", "pos"])), "key").select("lword", "form", "synset_id")
+
+
 def lexicon_entries(words: DataFrame, word_synsets: DataFrame, synset_lemmas: DataFrame,
-                    word: str = "word") -> DataFrame:
-    """Each input row with every lemma of every synset of its (lower-cased) word."""
+                    word: str = "word", exceptions: DataFrame | None = None) -> DataFrame:
+    """Each input row with every lemma of every synset of its word's base forms."""
+    senses = word_senses(words, word_synsets, exceptions, word).select(F.col("lword").alias("_pf_w"), "synset_id")
     keyed = words.withColumn("_pf_w", F.lower(F.col(word)))
-    ws = word_synsets.select(F.col("word").alias("_pf_w"), "synset_id")
-    return keyed.join(ws, "_pf_w").join(synset_lemmas, "synset_id").drop("_pf_w")
+    return keyed.join(senses, "_pf_w").join(synset_lemmas, "synset_id").drop("_pf_w")
 
 
 def lexicon_candidates(words: DataFrame, word_synsets: DataFrame, synset_lemmas: DataFrame,
-                       key: str = "request_id", word: str = "word") -> DataFrame:
+                       key: str = "request_id", word: str = "word", exceptions: DataFrame | None = None) -> DataFrame:
     """J3 -> F9 -> U4: (key, candidate) distinct single-word lower-cased synonyms."""
-    e = lexicon_entries(words.select(key, word), word_synsets, synset_lemmas, word)
+    e = lexicon_entries(words.select(key, word), word_synsets, synset_lemmas, word, exceptions)
     e = e.filter(T.usable_synonym("lemma", F.col(word)))
     return e.select(key, F.lower(T.lemma_surface("lemma")).alias("candidate")).distinct()
 
 
 def synonym_frequency(words: DataFrame, word_synsets: DataFrame, synset_lemmas: DataFrame,
-                      word: str = "word") -> DataFrame:
+                      word: str = "word", exceptions: DataFrame | None = None) -> DataFrame:
     """Per word, summed lemma counts per surface name (underscores as spaces, case kept,
     the word itself skipped), with the first-seen order for ties."""
-    e = lexicon_entries(words.select(word).distinct(), word_synsets, synset_lemmas, word)
+    e = lexicon_entries(words.select(word).distinct(), word_synsets, synset_lemmas, word, exceptions)
     e = e.withColumn("name", T.lemma_surface("lemma")).filter(F.lower("name") != F.lower(F.col(word)))
     return e.groupBy(word, "name").agg(F.sum("lemma_count").cast("long").alias("freq"),
                                        F.min("ord").cast("long").alias("first_ord"))
@@ -93,18 +171,18 @@ def bigram_predictor(bigrams: DataFrame, k: int = TOP_PREDICTIONS) -> Callable[[
 
 
 def word_candidates(words: DataFrame, word_synsets: DataFrame, synset_lemmas: DataFrame,
-                    word: str = "word") -> DataFrame:
+                    word: str = "word", exceptions: DataFrame | None = None) -> DataFrame:
     """J3 -> F9 -> U4 per distinct word: (lword, candidate), ``lword`` the lower-cased word.
     Computed once per word, not once per request that uses it."""
     w = words.select(F.lower(F.col(word)).alias("lword")).distinct()
-    e = lexicon_entries(w, word_synsets, synset_lemmas, "lword")
+    e = lexicon_entries(w, word_synsets, synset_lemmas, "lword", exceptions)
     e = e.filter(T.usable_synonym("lemma", F.col("lword")))
     return e.select("lword", F.lower(T.lemma_surface("lemma")).alias("candidate")).distinct()
 
 
 def contextual_synonyms(requests: DataFrame, word_synsets: DataFrame, synset_lemmas: DataFrame,
                         predictor: Callable[[DataFrame], DataFrame], key: str = "request_id",
-                        k: int = TOP_CONTEXT) -> DataFrame:
+                        k: int = TOP_CONTEXT, exceptions: DataFrame | None = None) -> DataFrame:
     """(key, word, synonyms array<string>) ranked by the context score, cut to k, zero
     scores dropped. Requests whose word has no lexicon entry, or does not occur as a whole word,
     get an empty list without any prediction work.
@@ -115,7 +193,7 @@ def contextual_synonyms(requests: DataFrame, word_synsets: DataFrame, synset_lem
     synsets. The lexicon is never expanded to every candidate of every request.
     """
     reqs = requests.select(key, "word", "text").withColumn("lword", F.lower("word"))
-    senses = word_synsets.select(F.col("word").alias("lword"), "synset_id")
+    senses = word_senses(reqs, word_synsets, exceptions, "lword").select("lword", "synset_id").distinct()
     masked = mask_requests(reqs.join(senses.select("lword").distinct(), "lword", "left_semi"))
     masked = masked.filter(F.col("masked").contains(T.MASK_TOKEN))
     preds = predictor(masked).filter(F.col("score") > 0)
@@ -132,3 +210,44 @@ def contextual_synonyms(requests: DataFrame, word_synsets: DataFrame, synset_lem
         F.transform(F.sort_array(F.collect_list(F.struct("rank", "token"))), lambda s: s["token"]).alias("synonyms"))
     out = requests.select(key, "word").join(lists, key, "left")
     return out.withColumn("synonyms", F.coalesce("synonyms", F.array().cast("array<string>")))
+
+
+def known_forms(word_synsets: DataFrame, synset_lemmas: DataFrame, exceptions: DataFrame | None = None,
+                depth: int = DETACH_DEPTH) -> DataFrame:
+    """(key, candidates): every word form that ``word_senses`` finds, with its usable single-word lemmas. The endings are put
+    on the lexicon's entries instead of being taken off a word, so that a stream can look a form up by one join."""
+    tagged = "pos" in word_synsets.columns
+    entries = word_synsets.select(F.col("word").alias("base"), (F.col("pos") if tagged else F.lit("")).alias("pos"), "synset_id")
+    bases = entries.select("base", "pos").distinct().withColumn("form", F.col("base"))
+    if not tagged:
+        bases = bases.withColumn("pos", F.lit(""))
+    grown = _steps(bases, tagged, "new", "old", depth).select(F.col("form").alias("key"), "pos", F.col("base").alias("form"), "step")
+    if exceptions is not None:
+        table = _exceptions(exceptions, tagged)
+        grown = grown.join(table.select("pos", "key").distinct(), ["pos", "key"], "left_anti").unionByName(
+            table.withColumn("step", F.lit(1)).select("key", "pos", "form", "step"))
+    senses = _nearest(grown.join(entries.withColumnRenamed("base", "form"), ["form", "pos"]))
+    name = T.lemma_surface("lemma")
+    lemmas = synset_lemmas.filter(~name.contains(" ")).select("synset_id", F.lower(name).alias("token"))
+    return (senses.select("key", "synset_id").distinct().join(lemmas, "synset_id")
+            .groupBy("key").agg(F.collect_set("token").alias("candidates")))
+
+
+def ranked_predictions(bigrams: DataFrame, k: int = TOP_PREDICTIONS) -> DataFrame:
+    """(prev, predictions): the positive predictions of ``bigram_predictor`` for each left neighbour, best first."""
+    best = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("order"), "token")))
+    return top_predictions(bigrams, "prev", k).filter("score > 0").groupBy("prev").agg(
+        F.transform(best, lambda p: p["token"]).alias("predictions"))
+
+
+def contextual_synonyms_stream(requests: DataFrame, forms: DataFrame, predictions: DataFrame, key: str = "request_id",
+                               k: int = TOP_CONTEXT) -> DataFrame:
+    """R3 for an unbounded input: the request joins two static tables (``known_forms`` by its word, ``ranked_predictions``
+    by the mask's left neighbour), and the list is ranked and cut inside the row's array. No state; the result equals
+    ``contextual_synonyms`` with ``bigram_predictor``."""
+    masked = T.mask_word(F.col("text"), F.col("word"))
+    rows = requests.select(key, "word", F.lower("word").alias("lword"), entry_form("word").alias("key"),
+                           F.when(masked.contains(T.MASK_TOKEN), left_of_mask(masked)).alias("prev"))
+    met = rows.join(forms, "key", "left").join(predictions.filter("prev <> ''"), "prev", "left")
+    usable = F.filter("predictions", lambda t: F.array_contains("candidates", t) & (t != F.col("lword")))
+    return met.select(key, "word", F.coalesce(F.slice(usable, 1, k), F.array().cast("array<string>")).alias("synonyms"))

@@ -7,13 +7,14 @@ behind the seeded shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paraforge.functions import text as T
-from paraforge.session import materialise
+from paraforge.session import materialise, write_once
 from paraforge.operators.ranking import (cut_before_rank, first_n_per_group, seeded_shuffle, split_by_counts,
                                          split_by_ratio)
 
@@ -102,6 +103,35 @@ def first_n_per_source(df: DataFrame, n: int, source: str | None = "source_rank"
     return first_n_per_group(cut_before_rank(df, group, order, n), group or None, [order], n)
 
 
+@dataclass
+class Prefix:
+    """A source whose rows before any position can be had without the rest: ``rows(bound)`` gives those with ``ord`` below
+    it, ``total`` is a position that all rows are below."""
+    rows: Callable[[int], DataFrame]
+    total: int
+
+
+GROWTH = 8
+
+
+def first_n_of_prefix(source: Prefix, qualify: Callable[[DataFrame], DataFrame], n: int, order: str = "ord") -> DataFrame:
+    """K1 on a prefix: the first n qualifying rows, from ever longer prefixes until one holds them (or all rows). Each is
+    ``GROWTH`` times the one before, so the rows read in vain are about a seventh of those read at the end, and
+    what lies far beyond the n-th row is never evaluated. The qualifying rows are written once, then counted and cut."""
+    bound = GROWTH * n
+    while True:
+        found = write_once(qualify(source.rows(min(bound, source.total))), "prefix")
+        if bound >= source.total or found.count() >= n:
+            return first_n_per_source(found, n, source=None, order=order)
+        bound *= GROWTH
+
+
+def _first_in_band(source: DataFrame | Prefix, in_band: Callable, n: int, lo: float, hi: float) -> DataFrame:
+    if isinstance(source, Prefix):
+        return first_n_of_prefix(source, lambda rows: in_band(rows, lo, hi), n)
+    return first_n_per_source(in_band(source, lo, hi), n, source=None)
+
+
 def cap_split(df: DataFrame, caps: Sequence[tuple[str, int]] = V1_CAPS, order: str = "ord") -> DataFrame:
     """K3: ``select(range(min(N, len)))`` per split (a split without a cap is dropped). Rows beyond a
     counted bound are dropped before ranking, as a split is few keys holding most of the rows."""
@@ -157,13 +187,13 @@ def declarative_source(lists: DataFrame, lo: float, hi: float) -> DataFrame:
     return qualifying_pairs(decl, "text", first, ["ord"], lo, hi)
 
 
-def build_pairs_v2(labelled_pairs: DataFrame, target: int = V2_TARGET, counts=V2_COUNTS,
+def build_pairs_v2(labelled_pairs: DataFrame | Prefix, target: int = V2_TARGET, counts=V2_COUNTS,
                    lo: float = BAND[0], hi: float = BAND[1], seed: int = SEED, strict: bool = True) -> DataFrame:
     """B2: positives in band, first ``target`` in source order, shuffled at build and shuffled
     again at split, then cut by counts. Both shuffles order by a keyed hash, so the result of
     the pair is the second (salted) permutation alone and only that one is computed. Too few rows
     raise (``strict``); ``counts=None`` cuts whatever there is in the proportion of the counts."""
-    qual = _materialise(first_n_per_source(question_source(labelled_pairs, lo, hi), target, source=None))
+    qual = _materialise(_first_in_band(labelled_pairs, question_source, target, lo, hi))
     again = seeded_shuffle(qual, ["ord"], f"{seed}:split", "r2")
     counts = counts or proportional_counts(qual.count())
     if strict:
@@ -171,10 +201,10 @@ def build_pairs_v2(labelled_pairs: DataFrame, target: int = V2_TARGET, counts=V2
     return split_by_counts(again, "r2", counts).select("split", "ord", "sentence1", "sentence2", "overlap")
 
 
-def build_pairs_v4(labelled_pairs: DataFrame, target: int = V4_TARGET, counts=V4_COUNTS,
+def build_pairs_v4(labelled_pairs: DataFrame | Prefix, target: int = V4_TARGET, counts=V4_COUNTS,
                    lo: float = BAND[0], hi: float = BAND[1], seed: int = SEED, strict: bool = True) -> DataFrame:
     """Like v2 with one shuffle."""
-    qual = _materialise(first_n_per_source(question_source(labelled_pairs, lo, hi), target, source=None))
+    qual = _materialise(_first_in_band(labelled_pairs, question_source, target, lo, hi))
     built = seeded_shuffle(qual, ["ord"], seed, "r1")
     counts = counts or proportional_counts(qual.count())
     if strict:
@@ -182,15 +212,20 @@ def build_pairs_v4(labelled_pairs: DataFrame, target: int = V4_TARGET, counts=V4
     return split_by_counts(built, "r1", counts).select("split", "ord", "sentence1", "sentence2", "overlap")
 
 
-def build_pairs_v5(labelled_pairs: DataFrame, lists: DataFrame, target: int = V5_TARGET, ratios=RATIOS,
+def build_pairs_v5(labelled_pairs: DataFrame | Prefix, lists: DataFrame | Prefix, target: int = V5_TARGET, ratios=RATIOS,
                    lo: float = BAND[0], hi: float = BAND[1], seed: int = SEED, dedupe: bool = False) -> DataFrame:
     """B4 (v5 with 6,000 per source, v6 with 15,000): questions and declarative pairs, capped
     per source, unioned (questions first), shuffled, split 0.85 / 0.075 / rest."""
-    both = union_sources([question_source(labelled_pairs, lo, hi), declarative_source(lists, lo, hi)])
-    if dedupe:
+    if not dedupe:
+        both = union_sources([_first_in_band(labelled_pairs, question_source, target, lo, hi),
+                              _first_in_band(lists, declarative_source, target, lo, hi)])
+    else:  # a pair's first occurrence may lie anywhere, so all rows are needed
+        labelled_pairs, lists = (x.rows(x.total) if isinstance(x, Prefix) else x for x in (labelled_pairs, lists))
+        both = union_sources([question_source(labelled_pairs, lo, hi), declarative_source(lists, lo, hi)])
         w = Window.partitionBy("sentence1", "sentence2").orderBy("source_rank", "ord")
         both = both.withColumn("_pf_d", F.row_number().over(w)).filter("_pf_d = 1").drop("_pf_d")
-    capped = _materialise(first_n_per_source(both, target))   # at most 2 x target rows
+        both = first_n_per_source(both, target)
+    capped = _materialise(both)   # at most 2 x target rows
     shuffled = seeded_shuffle(capped, ["source_rank", "ord"], seed, "r1")
     # counted from the shuffled table, which is materialised by the ranking checkpoint
     total = shuffled.select(F.count(F.lit(1))).scalar()
@@ -198,7 +233,7 @@ def build_pairs_v5(labelled_pairs: DataFrame, lists: DataFrame, target: int = V5
     return out.select("split", "source_rank", "ord", "sentence1", "sentence2", "overlap")
 
 
-def build_pairs_v6(labelled_pairs: DataFrame, lists: DataFrame, **kw) -> DataFrame:
+def build_pairs_v6(labelled_pairs: DataFrame | Prefix, lists: DataFrame | Prefix, **kw) -> DataFrame:
     kw.setdefault("target", V6_TARGET)
     return build_pairs_v5(labelled_pairs, lists, **kw)
 

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from paraforge import schemas
 from paraforge.plans import oracle as O
-from paraforge.plans.mining import group_clusters, mine_cluster_pairs, mining_counts, random_preview
+from paraforge.plans import oracle_models as M
+from paraforge.plans.mining import group_clusters, mine_cluster_pairs, mine_row_pairs, mining_counts, random_preview
+from paraforge.session import write_once
 from paraforge.sources import fixtures as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,7 +56,8 @@ def q_mine_cluster_pairs(spark, sf):
 @register("mine_cluster_pairs_docs", f"""WITH {O.cte_band_pairs(LO, HI, 'documents')}
 SELECT cluster_id, pos1, pos2, sentence1, sentence2, round(overlap, 6) AS overlap FROM band""")
 def q_mine_cluster_pairs_docs(spark, sf):
-    pairs = mine_cluster_pairs(X.clusters(spark, sf, "documents"), LO, HI)
+    """B5 with documents as clusters: each lies in one row, so its pairs are found there."""
+    pairs = mine_row_pairs(X.document_sentences(spark, sf), LO, HI)
     return pairs.withColumn("overlap", r6("overlap"))
 
 
@@ -285,13 +288,13 @@ SELECT CASE WHEN rk < n * 10 // 12 THEN 'train' WHEN rk < n * 10 // 12 + n // 12
 
 @register("build_pairs_v2", _v2_sql(P.V2_TARGET, f"{P.SEED}:split"))
 def q_build_pairs_v2(spark, sf):
-    out = P.build_pairs_v2(X.labelled_pairs(spark, sf, with_tokens=True), counts=None)
+    out = P.build_pairs_v2(X.labelled_prefix(spark, sf), counts=None)
     return out.withColumn("overlap", r6("overlap"))
 
 
 @register("build_pairs_v4", _v2_sql(P.V4_TARGET, str(P.SEED)))
 def q_build_pairs_v4(spark, sf):
-    out = P.build_pairs_v4(X.labelled_pairs(spark, sf, with_tokens=True), counts=None)
+    out = P.build_pairs_v4(X.labelled_prefix(spark, sf), counts=None)
     return out.withColumn("overlap", r6("overlap"))
 
 
@@ -326,13 +329,13 @@ SELECT CASE WHEN rk < floor(n * 0.85) THEN 'train' WHEN rk < floor(n * 0.85) + f
 
 @register("build_pairs_v5", _v5_sql(P.V5_TARGET))
 def q_build_pairs_v5(spark, sf):
-    out = P.build_pairs_v5(X.labelled_pairs(spark, sf, with_tokens=True), X.paraphrase_lists(spark, sf))
+    out = P.build_pairs_v5(X.labelled_prefix(spark, sf), X.lists_prefix(spark, sf))
     return out.withColumn("overlap", r6("overlap"))
 
 
 @register("build_pairs_v6", _v5_sql(P.V6_TARGET))
 def q_build_pairs_v6(spark, sf):
-    out = P.build_pairs_v6(X.labelled_pairs(spark, sf, with_tokens=True), X.paraphrase_lists(spark, sf))
+    out = P.build_pairs_v6(X.labelled_prefix(spark, sf), X.lists_prefix(spark, sf))
     return out.withColumn("overlap", r6("overlap"))
 
 
@@ -533,40 +536,40 @@ def _lex(spark, sf):
     return X.word_synsets(spark, sf), X.synset_lemmas(spark, sf)
 
 
-@register("lexicon_lookup", f"""WITH {O.cte_lexicon()}
+@register("lexicon_lookup", f"""WITH RECURSIVE {O.cte_lexicon()}
 SELECT DISTINCT r.request_id, lower(replace(l.lemma, '_', ' ')) AS candidate
-FROM requests r JOIN word_synsets ws ON ws.word = lower(r.word) JOIN synset_lemmas l ON l.synset_id = ws.synset_id
+FROM requests r JOIN senses ws ON ws.word = lower(r.word) JOIN synset_lemmas l ON l.synset_id = ws.synset_id
 WHERE lower(replace(l.lemma, '_', ' ')) <> lower(r.word) AND NOT contains(replace(l.lemma, '_', ' '), ' ')""")
 def q_lexicon_lookup(spark, sf):
     ws, sl = _lex(spark, sf)
-    return LX.lexicon_candidates(X.synonym_requests(spark, sf), ws, sl)
+    return LX.lexicon_candidates(X.synonym_requests(spark, sf), ws, sl, exceptions=X.irregular_forms(spark, sf))
 
 
-@register("synonym_frequency", f"""WITH {O.cte_lexicon()},
+@register("synonym_frequency", f"""WITH RECURSIVE {O.cte_lexicon()},
 w AS (SELECT DISTINCT word FROM requests)
 SELECT w.word, replace(l.lemma, '_', ' ') AS name, sum(l.lemma_count)::BIGINT AS freq, min(l.ord)::BIGINT AS first_ord
-FROM w JOIN word_synsets ws ON ws.word = lower(w.word) JOIN synset_lemmas l ON l.synset_id = ws.synset_id
+FROM w JOIN senses ws ON ws.word = lower(w.word) JOIN synset_lemmas l ON l.synset_id = ws.synset_id
 WHERE lower(replace(l.lemma, '_', ' ')) <> lower(w.word)
 GROUP BY w.word, replace(l.lemma, '_', ' ')""")
 def q_synonym_frequency(spark, sf):
     ws, sl = _lex(spark, sf)
-    return LX.synonym_frequency(X.synonym_requests(spark, sf), ws, sl)
+    return LX.synonym_frequency(X.synonym_requests(spark, sf), ws, sl, exceptions=X.irregular_forms(spark, sf))
 
 
-@register("topk_synonyms", f"""WITH {O.cte_lexicon()},
+@register("topk_synonyms", f"""WITH RECURSIVE {O.cte_lexicon()},
 w AS (SELECT DISTINCT word FROM requests),
 f AS (SELECT w.word, replace(l.lemma, '_', ' ') AS name, sum(l.lemma_count) AS freq, min(l.ord) AS first_ord
-      FROM w JOIN word_synsets ws ON ws.word = lower(w.word) JOIN synset_lemmas l ON l.synset_id = ws.synset_id
+      FROM w JOIN senses ws ON ws.word = lower(w.word) JOIN synset_lemmas l ON l.synset_id = ws.synset_id
       WHERE lower(replace(l.lemma, '_', ' ')) <> lower(w.word) GROUP BY w.word, replace(l.lemma, '_', ' ')),
 r AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY freq DESC, first_ord) AS rank FROM f)
 SELECT word, rank::INTEGER AS rank, name, freq::BIGINT AS freq FROM r WHERE rank <= 8""")
 def q_topk_synonyms(spark, sf):
     ws, sl = _lex(spark, sf)
-    top = LX.topk_synonyms(LX.synonym_frequency(X.synonym_requests(spark, sf), ws, sl))
+    top = LX.topk_synonyms(LX.synonym_frequency(X.synonym_requests(spark, sf), ws, sl, exceptions=X.irregular_forms(spark, sf)))
     return top.select("word", "rank", "name", "freq")
 
 
-@register("mask_word", f"""WITH {O.cte_lexicon()}
+@register("mask_word", f"""WITH RECURSIVE {O.cte_lexicon()}
 SELECT request_id, {O.mask_sql('text', 'word')} AS masked FROM requests""")
 def q_mask_word(spark, sf):
     return LX.mask_requests(X.synonym_requests(spark, sf)).select("request_id", "masked")
@@ -579,7 +582,7 @@ topb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY prev ORDER BY
 preds AS (SELECT c.request_id, t.token, t.score FROM ctx c JOIN topb t ON t.prev = c.prev WHERE c.prev <> '')"""
 
 
-@register("predict_masked", f"""WITH {O.cte_lexicon()}, {_PRED_SQL}
+@register("predict_masked", f"""WITH RECURSIVE {O.cte_lexicon()}, {_PRED_SQL}
 SELECT request_id, token, round(score, 6) AS score FROM preds""")
 def q_predict_masked(spark, sf):
     """H4 default + K11: top-100 left-neighbour predictions for every masked request."""
@@ -588,9 +591,9 @@ def q_predict_masked(spark, sf):
     return predict(masked).withColumn("score", r6("score"))
 
 
-@register("contextual_synonyms", f"""WITH {O.cte_lexicon()}, {_PRED_SQL},
+@register("contextual_synonyms", f"""WITH RECURSIVE {O.cte_lexicon()}, {_PRED_SQL},
 cands AS (SELECT DISTINCT r.request_id, lower(replace(l.lemma, '_', ' ')) AS candidate
-          FROM requests r JOIN word_synsets ws ON ws.word = lower(r.word) JOIN synset_lemmas l ON l.synset_id = ws.synset_id
+          FROM requests r JOIN senses ws ON ws.word = lower(r.word) JOIN synset_lemmas l ON l.synset_id = ws.synset_id
           WHERE lower(replace(l.lemma, '_', ' ')) <> lower(r.word) AND NOT contains(replace(l.lemma, '_', ' '), ' ')),
 scored AS (SELECT c.request_id, c.candidate, coalesce(p.score, 0.0) AS score FROM cands c
            JOIN ctx USING (request_id) LEFT JOIN preds p ON p.request_id = c.request_id AND p.token = c.candidate),
@@ -600,12 +603,17 @@ SELECT r.request_id, r.word, coalesce(s.synonyms, '') AS synonyms FROM requests
 def q_contextual_synonyms(spark, sf):
     """R3 over every synonym request: lexicon candidates re-ranked by the context predictor."""
     ws, sl = X.word_synsets(spark, sf), X.synset_lemmas(spark, sf, with_ord=False)
-    out = LX.contextual_synonyms(X.synonym_requests(spark, sf), ws, sl, LX.bigram_predictor(X.bigram_shares(spark, sf)))
+    out = LX.contextual_synonyms(X.synonym_requests(spark, sf), ws, sl, LX.bigram_predictor(X.bigram_shares(spark, sf)),
+                                 exceptions=X.irregular_forms(spark, sf))
     return out.select("request_id", "word", F.array_join("synonyms", ",").alias("synonyms"))
 
 
 # ---- model hooks (H1-H6) and request jobs (R1, R2, R4, R5) -----------------------------------
 
+from paraforge.operators import acceptability as K  # noqa: E402
+from paraforge.operators import correct as E  # noqa: E402
+from paraforge.operators import decode as D  # noqa: E402
+from paraforge.operators import embed as V  # noqa: E402
 from paraforge.operators import infer as H  # noqa: E402
 from paraforge.plans import requests as R  # noqa: E402
 from paraforge.streaming import requests as ST  # noqa: E402
@@ -614,10 +622,23 @@ _GROUNDED_DEFAULT = (f"similarity >= {C.FINAL_SIM} AND overlap >= {C.FINAL_LO} A
                      f"AND NOT {O.new_entities('original', 'text')}")
 
 
-@register("generate_candidates", f"""WITH {O.cte_user_requests()}, {O.drop_word_candidates('req', 'request_id', 'text')}
-SELECT sentence_id AS request_id, gen_idx, text FROM candidates""")
+_ALL_TURNS = "SELECT 'r' || CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS request_id, text FROM conversations"
+
+
+@register("generate_candidates", f"""WITH RECURSIVE {O.cte_lexicon()}, turns AS ({_ALL_TURNS}), {M.cte_lattice('turns', 'text')}, {M.cte_samples(8)},
+made AS ({M.shown('sample_out')})
+SELECT request_id, number::INTEGER AS gen_idx, out AS text FROM turns JOIN made ON made.t = turns.text""")
 def q_generate_candidates(spark, sf):
-    """H1 through mapInPandas (stub generator), on the distinct request texts, joined back."""
+    """H1: eight sampled rewrites of every turn, decoded on the distinct texts, joined back."""
+    reqs = X.requests(spark, sf).select("request_id", F.col("text").alias("original"))
+    out = D.sampled_candidates(reqs, X.bigram_shares(spark, sf), "request_id", "original", 8)
+    return out.select("request_id", "gen_idx", "text")
+
+
+@register("generate_by_hook", f"""WITH {O.cte_user_requests()}, {O.drop_word_candidates('req', 'request_id', 'text')}
+SELECT sentence_id AS request_id, gen_idx, text FROM candidates""")
+def q_generate_by_hook(spark, sf):
+    """H1 with a caller's generator (mapInPandas) on the distinct request texts, joined back."""
     reqs = X.requests(spark, sf).select("request_id", F.col("text").alias("original"))
     out = H.generate_candidates(reqs, H.drop_word_generator(8), "request_id", "original")
     return out.select("request_id", "gen_idx", "text")
@@ -675,38 +696,44 @@ def q_stream_requests(spark, sf):
     read back from its Parquet sink. Equals the batch output."""
     folder = ST.stage_requests(_all_turns(spark, sf))
     stream = ST.request_stream(spark, folder)
-    out = ST.run_stream(spark, stream, lambda s: R.grammar_requests_stream(s, H.tidy_corrector()), name="grammar")
+    out = ST.run_stream(spark, stream, lambda s: R.grammar_requests(s, H.tidy_corrector()), name="grammar")
     return spark.read.schema("request_id string, original string, corrected string, confident boolean").parquet(out)
 
 
-@register("acceptability", f"""WITH {O.cte_sentences()}
-SELECT doc_id, pos, CASE WHEN regexp_matches({O.trim_ws('sentence')}, '(?s)^[A-Z].*[.!?]$') THEN 'acceptable' ELSE 'unacceptable' END AS label,
-       CASE WHEN regexp_matches({O.trim_ws('sentence')}, '(?s)^[A-Z].*[.!?]$') THEN 1.0 ELSE 0.0 END AS score FROM sentences""")
+@register("acceptability", f"""WITH {O.cte_sentences()}, {M.cte_kneser_ney('sentences', 'sentence')}
+SELECT doc_id, pos, label, round(score, 6) AS score FROM sentences JOIN kn_out ON t = sentence""")
 def q_acceptability(spark, sf):
-    """H5 (stub classifier) beside every document sentence."""
-    out = H.acceptability(X.sentences(spark, sf), H.punctuation_acceptability(), "sentence")
-    return out.select("doc_id", "pos", "label", "score")
-
-
-@register("strategy_report", f"""WITH {O.cte_conv_sentences()},
-src AS (SELECT sentence AS t, {O.words('sentence')} AS ws FROM (SELECT DISTINCT sentence FROM conv_sentences)),
-outs AS (
-  SELECT t, 'beam' AS strategy, array_to_string(ws[2:], ' ') AS o FROM src WHERE len(ws) > 0
-  UNION ALL SELECT t, 'diverse', array_to_string(ws[:len(ws) - 1], ' ') FROM src WHERE len(ws) > 0
-  UNION ALL SELECT t, 'sample', array_to_string(list_filter(ws, lambda w, j: j <> g.i + 2), ' ')
-            FROM src, range(0, 3) g(i) WHERE g.i + 1 < len(ws)),
-joined AS (SELECT c.sentence, o.strategy, o.o FROM conv_sentences c JOIN outs o ON o.t = c.sentence),
-sc AS (SELECT strategy, {O.overlap('sentence', 'o')} AS overlap FROM joined)
+    """H5: Kneser-Ney score of every document sentence, and a label by the threshold of the held-out fold."""
+    rows = write_once(X.sentences(spark, sf), "sentences")
+    found = K.acceptability_scores(rows).withColumnRenamed("text", "sentence")
+    return rows.join(found, "sentence").select("doc_id", "pos", "label", r6("score").alias("score"))
+
+
+@register("strategy_report", f"""WITH RECURSIVE {O.cte_lexicon()}, {M.cte_lattice('conv_sentences', 'sentence')}, {M.cte_searches()}, {M.cte_samples(3)},
+outs AS (SELECT t, 'beam' AS strategy, out FROM ({M.shown('beam_out')}) UNION ALL SELECT t, 'diverse', out FROM ({M.shown('diverse_out')})
+  UNION ALL SELECT t, 'sample', out FROM ({M.shown('sample_out')})),
+sc AS (SELECT strategy, {O.overlap('sentence', 'out')} AS overlap FROM conv_sentences JOIN outs ON t = sentence)
 SELECT strategy, count(*)::BIGINT AS outputs, round(avg(overlap), 6) AS mean_overlap,
        round(min(overlap), 6) AS min_overlap, round(max(overlap), 6) AS max_overlap FROM sc GROUP BY strategy""")
 def q_strategy_report(spark, sf):
-    """H6: several decoding strategies per conversation sentence, overlap report per strategy."""
+    """H6: beam, diverse beam and nucleus sampling per conversation sentence, overlap report per strategy."""
     cs = X.conv_sentences(spark, sf).select(F.concat_ws(":", "conv_id", "pos").alias("sentence_id"),
                                             F.col("sentence").alias("original"))
-    rep = H.strategy_report(H.strategy_outputs(cs, H.stub_strategies()))
+    rep = H.strategy_report(D.decoded_strategies(cs, X.bigram_shares(spark, sf)))
     return rep.select("strategy", "outputs", *[r6(c).alias(c) for c in ("mean_overlap", "min_overlap", "max_overlap")])
 
 
+@register("decoded_strategies", f"""WITH RECURSIVE {O.cte_lexicon()}, {M.cte_lattice('conv_sentences', 'sentence')}, {M.cte_searches()}, {M.cte_samples(3)},
+outs AS (SELECT t, 'beam' AS strategy, 0 AS idx, out FROM ({M.shown('beam_out')}) UNION ALL SELECT t, 'diverse', 0, out FROM ({M.shown('diverse_out')})
+  UNION ALL SELECT t, 'sample', number, out FROM ({M.shown('sample_out')}))
+SELECT conv_id, pos, strategy, idx::INTEGER AS idx, out AS text FROM conv_sentences JOIN outs ON t = sentence""")
+def q_decoded_strategies(spark, sf):
+    """H6: the outputs themselves."""
+    cs = X.conv_sentences(spark, sf).select("conv_id", "pos", F.col("sentence").alias("text"))
+    out = D.decode(cs.select("text"), X.bigram_shares(spark, sf))
+    return cs.join(out, "text").select("conv_id", "pos", "strategy", "idx", F.col("candidate").alias("text"))
+
+
 @register("embed_texts", f"""WITH {O.cte_candidates()},
 texts AS (SELECT original AS t FROM candidates UNION SELECT text FROM candidates),
 tok AS (SELECT t, unnest({O.words('lower(t)')}) AS w FROM texts),
@@ -726,6 +753,16 @@ def q_embed_texts(spark, sf):
     return cands.join(sims, ["original", "text"]).select("sentence_id", "gen_idx", r6("similarity").alias("similarity"))
 
 
+@register("embed_texts_svd")
+def q_embed_texts_svd(spark, sf):
+    """H2: latent semantic vectors of all conversation sentences and their followers, similarity of each candidate to
+    its sentence by F7. No SQL: an iterative decomposition, tested against a full one."""
+    cands = write_once(X.candidates(spark, sf, "conversations"), "candidates")
+    texts = cands.select(F.col("original").alias("text")).union(cands.select("text"))
+    sims = H.embedding_similarity(cands, V.latent_vectors(texts))
+    return cands.join(sims, ["original", "text"]).select("sentence_id", "gen_idx", r6("similarity").alias("similarity"))
+
+
 # ---- remaining inventory keys ----------------------------------------------------------------
 
 @register("tokens", f"""WITH {O.cte_sentences()}
@@ -793,11 +830,11 @@ def q_threshold_cross(spark, sf):
 
 
 _LEX_CANDS = """cands AS (SELECT DISTINCT r.request_id, lower(replace(l.lemma, '_', ' ')) AS candidate
-          FROM requests r JOIN word_synsets ws ON ws.word = lower(r.word) JOIN synset_lemmas l ON l.synset_id = ws.synset_id
+          FROM requests r JOIN senses ws ON ws.word = lower(r.word) JOIN synset_lemmas l ON l.synset_id = ws.synset_id
           WHERE lower(replace(l.lemma, '_', ' ')) <> lower(r.word) AND NOT contains(replace(l.lemma, '_', ' '), ' '))"""
 
 
-@register("score_lookup", f"""WITH {O.cte_lexicon()}, {_PRED_SQL}, {_LEX_CANDS}
+@register("score_lookup", f"""WITH RECURSIVE {O.cte_lexicon()}, {_PRED_SQL}, {_LEX_CANDS}
 SELECT c.request_id, c.candidate, round(coalesce(p.score, 0.0), 6) AS score FROM cands c
 JOIN ctx USING (request_id) LEFT JOIN preds p ON p.request_id = c.request_id AND p.token = c.candidate""")
 def q_score_lookup(spark, sf):
@@ -805,7 +842,7 @@ def q_score_lookup(spark, sf):
     predictor did not rank it."""
     ws, sl = _lex(spark, sf)
     reqs = X.synonym_requests(spark, sf)
-    cands = LX.lexicon_candidates(reqs, ws, sl)
+    cands = LX.lexicon_candidates(reqs, ws, sl, exceptions=X.irregular_forms(spark, sf))
     masked = LX.mask_requests(reqs).filter(F.col("masked").contains(T.MASK_TOKEN))
     preds = LX.bigram_predictor(X.bigram_shares(spark, sf))(masked)
     out = cands.join(masked.select("request_id"), "request_id", "left_semi") \
@@ -813,7 +850,7 @@ def q_score_lookup(spark, sf):
     return out.select("request_id", "candidate", r6(F.coalesce("score", F.lit(0.0))).alias("score"))
 
 
-@register("topk_context", f"""WITH {O.cte_lexicon()}, {_PRED_SQL}, {_LEX_CANDS},
+@register("topk_context", f"""WITH RECURSIVE {O.cte_lexicon()}, {_PRED_SQL}, {_LEX_CANDS},
 scored AS (SELECT c.request_id, c.candidate, coalesce(p.score, 0.0) AS score FROM cands c
            JOIN ctx USING (request_id) LEFT JOIN preds p ON p.request_id = c.request_id AND p.token = c.candidate),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, candidate) AS rank FROM scored)
@@ -946,9 +983,8 @@ def q_drop_empty_sentences(spark, sf):
 @register("cluster_pairs", f"""WITH {O.cte_band_pairs(0.5, 1.0, 'documents')}
 SELECT cluster_id, pos1, pos2, sentence1, sentence2, round(overlap, 6) AS overlap FROM band""")
 def q_cluster_pairs(spark, sf):
-    """J1 with a near-duplicate band (overlap 0.5-1.0) inside every document, found by the
-    prefix-filter join (never all pairs)."""
-    pairs = mine_cluster_pairs(X.clusters(spark, sf, "documents"), 0.5, 1.0)
+    """J1 with a near-duplicate band (overlap 0.5-1.0) inside every document."""
+    pairs = mine_row_pairs(X.document_sentences(spark, sf), 0.5, 1.0)
     return pairs.withColumn("overlap", r6("overlap"))
 
 
@@ -988,7 +1024,7 @@ def q_split_by_counts(spark, sf):
     return split_by_counts(sh, "r", P.proportional_counts(sh.count())).select("split", "source_rank", "ord")
 
 
-@register("topk_predictions", f"""WITH {O.cte_lexicon()}
+@register("topk_predictions", f"""WITH RECURSIVE {O.cte_lexicon()}
 SELECT prev, token, round(score, 6) AS score FROM
   (SELECT *, row_number() OVER (PARTITION BY prev ORDER BY score DESC, token) AS rk FROM bigram) WHERE rk <= 100""")
 def q_topk_predictions(spark, sf):
@@ -1014,14 +1050,14 @@ def q_token_union(spark, sf):
     return lp.select("ord", F.array_join(F.array_sort(F.array_union(T.tokens("question1"), T.tokens("question2"))), " ").alias("all_tokens"))
 
 
-@register("distinct_candidates", f"""WITH {O.cte_lexicon()}
+@register("distinct_candidates", f"""WITH RECURSIVE {O.cte_lexicon()}
 SELECT DISTINCT lower(r.word) AS lword, lower(replace(l.lemma, '_', ' ')) AS candidate
-FROM requests r JOIN word_synsets ws ON ws.word = lower(r.word) JOIN synset_lemmas l ON l.synset_id = ws.synset_id
+FROM requests r JOIN senses ws ON ws.word = lower(r.word) JOIN synset_lemmas l ON l.synset_id = ws.synset_id
 WHERE lower(replace(l.lemma, '_', ' ')) <> lower(r.word) AND NOT contains(replace(l.lemma, '_', ' '), ' ')""")
 def q_distinct_candidates(spark, sf):
     """U4: distinct lower-cased single-word synonyms of each distinct request word."""
     return LX.word_candidates(X.synonym_requests(spark, sf), X.word_synsets(spark, sf),
-                              X.synset_lemmas(spark, sf, with_ord=False))
+                              X.synset_lemmas(spark, sf, with_ord=False), exceptions=X.irregular_forms(spark, sf))
 
 
 @register("numbers", f"""WITH {O.cte_sentences()}
@@ -1032,7 +1068,7 @@ def q_numbers(spark, sf):
     return s.select("doc_id", "pos", F.array_join(F.array_sort(T.numbers("sentence")), "|").alias("numbers"))
 
 
-@register("lemma_surface", f"""WITH {O.cte_lexicon()}
+@register("lemma_surface", f"""WITH RECURSIVE {O.cte_lexicon()}
 SELECT synset_id, lemma, replace(lemma, '_', ' ') AS name, NOT contains(replace(lemma, '_', ' '), ' ') AS single_word
 FROM synset_lemmas""")
 def q_lemma_surface(spark, sf):
@@ -1072,10 +1108,23 @@ def q_grammar_gate(spark, sf):
                     C.grammar_gate(F.col("text"), F.col("corrected")).alias("confident"))
 
 
-@register("correct_text", f"""SELECT 'r' || CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS request_id, {O.tidy_sql('text')} AS corrected
-FROM conversations WHERE NOT (text IS NULL OR {O.trim_ws('text')} = '')""")
+def _word_counts(spark, sf):
+    return X.corpus_words(spark, sf).groupBy(F.col("w").alias("word")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("correct_text", f"""WITH RECURSIVE {O.cte_lexicon()}, turns AS ({_ALL_TURNS}), {M.cte_corrected('turns', 'text')}
+SELECT request_id, corrected FROM turns JOIN fixed ON t = text""")
 def q_correct_text(spark, sf):
-    """H3: the corrector hook (stub) on the distinct non-blank turns, joined back."""
+    """H3: every non-blank turn with its unknown words corrected by the words and bigrams of the conversations."""
+    t = _all_turns(spark, sf)
+    fixed = E.corrected_texts(t, _word_counts(spark, sf), X.bigram_shares(spark, sf))
+    return t.join(fixed, "text").select("request_id", "corrected")
+
+
+@register("correct_by_hook", f"""SELECT 'r' || CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS request_id, {O.tidy_sql('text')} AS corrected
+FROM conversations WHERE NOT (text IS NULL OR {O.trim_ws('text')} = '')""")
+def q_correct_by_hook(spark, sf):
+    """H3 with a caller's corrector on the distinct non-blank turns, joined back."""
     t = _all_turns(spark, sf).filter(~T.is_blank("text"))
     fixed = H.apply_hook(t, "text", H.tidy_corrector(), H.CORRECTED)
     return t.join(fixed, "text").select("request_id", "corrected")
@@ -1100,7 +1149,7 @@ def q_stream_paraphrase_requests(spark, sf):
     nested per request), read back from its Parquet sink. Equals the batch R1 output."""
     folder = ST.stage_requests(X.requests(spark, sf))
     stream = ST.request_stream(spark, folder)
-    out = ST.run_stream(spark, stream, lambda s: R.paraphrase_requests_stream(s, H.drop_word_generator(8)),
+    out = ST.run_stream(spark, stream, lambda s: R.paraphrase_requests(s, H.drop_word_generator(8)),
                         name="paraphrase")
     return spark.read.schema("request_id string, original string, paraphrased string, confident boolean").parquet(out)
 
@@ -1112,9 +1161,24 @@ def q_stream_paragraph_requests(spark, sf):
     stay nested per request (no state), read back from the Parquet sink. Equals batch R2."""
     folder = ST.stage_requests(X.requests(spark, sf))
     stream = ST.request_stream(spark, folder)
-    job = lambda s: R.paragraph_requests_stream(s, H.drop_word_generator(8)).select(
+    job = lambda s: R.paragraph_requests(s, H.drop_word_generator(8)).select(
         "request_id", "original", "paraphrased", F.size("sentences").alias("n_sentences"),
         F.size(F.filter("sentences", lambda r: r["confident"])).alias("n_confident"))
     out = ST.run_stream(spark, stream, job, name="paragraph")
     return spark.read.schema("request_id string, original string, paraphrased string, n_sentences int, "
                              "n_confident int").parquet(out)
+
+
+@register("stream_synonym_requests", ORACLES["contextual_synonyms"])
+def q_stream_synonym_requests(spark, sf):
+    """R5 for R3: synonym requests as a Structured Streaming query; each joins the lexicon's word forms and the
+    predictions as static tables and is ranked within its row (no state). Equals the batch R3."""
+    ws, sl = X.word_synsets(spark, sf), X.synset_lemmas(spark, sf, with_ord=False)
+    forms = write_once(LX.known_forms(ws, sl, X.irregular_forms(spark, sf)), "word-forms")
+    predictions = write_once(LX.ranked_predictions(X.bigram_shares(spark, sf)), "predictions")
+    folder = ST.stage_requests(X.synonym_requests(spark, sf).select("request_id", "text", "word"))
+    stream = ST.request_stream(spark, folder, "request_id string, text string, word string")
+    job = lambda s: LX.contextual_synonyms_stream(s, forms, predictions).select(
+        "request_id", "word", F.array_join("synonyms", ",").alias("synonyms"))
+    out = ST.run_stream(spark, stream, job, name="synonyms")
+    return spark.read.schema("request_id string, word string, synonyms string").parquet(out)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paraforge.operators.ranking import seeded_order_key
-from paraforge.operators.simjoin import band_pairs
+from paraforge.operators.simjoin import band_pairs, band_pairs_in_rows
 
 # Reference defaults for training-pair mining (both ends inclusive).
 BAND_LO = 0.15
@@ -18,6 +18,11 @@ def mine_cluster_pairs(clusters: DataFrame, lo: float = BAND_LO, hi: float = BAN
     return band_pairs(clusters, "cluster_id", "pos", "sentence", lo, hi)
 
 
+def mine_row_pairs(rows: DataFrame, lo: float = BAND_LO, hi: float = BAND_HI) -> DataFrame:
+    """The same for clusters that are one row each (cluster_id, sentences): no shuffle."""
+    return band_pairs_in_rows(rows, "cluster_id", "sentences", lo, hi)
+
+
 def group_clusters(clusters: DataFrame) -> DataFrame:
     """A5: per-cluster size and position range. The sentences stay in long form (cluster_id,
     pos, sentence); a cluster is never collected into one row."""

@@ -233,14 +233,18 @@ def clean_words(x: str) -> str:
 
 
 def cte_lexicon() -> str:
-    from paraforge.sources.fixtures import EXTRA_LEMMAS
+    from paraforge.operators.lexicon import DETACH_DEPTH, DETACHMENTS
+    from paraforge.sources.fixtures import EXTRA_LEMMAS, IRREGULAR
+    endings = ", ".join(f"({q(p)}, {q(o)}, {q(n)})" for p, rules in DETACHMENTS.items() for o, n in rules)
+    irregular = ", ".join(f"({q(p)}, {q(f)}, {q(b)})" for p, f, b in IRREGULAR)
+    parts = ", ".join(f"({q(p)})" for p in DETACHMENTS)
     extra = ", ".join(f"({q(a)}, {q(b)}, {c})" for a, b, c in EXTRA_LEMMAS)
     return cte_conv_sentences() + f""",
 cw AS (SELECT c.conv_id, c.pos, u.i - 1 AS i, c.ws[u.i] AS w
        FROM (SELECT conv_id, pos, {clean_words('sentence')} AS ws FROM conv_sentences) c, range(1, len(c.ws) + 1) u(i)),
 lexwords AS (SELECT DISTINCT w AS word FROM cw WHERE length(w) >= 3),
-word_synsets AS (SELECT word, 'p:' || substr(word, 1, 5) AS synset_id FROM lexwords
-                 UNION ALL SELECT word, 's:' || right(word, 5) FROM lexwords),
+word_synsets AS (SELECT word, 'n' AS pos, 'p:' || substr(word, 1, 5) AS synset_id FROM lexwords
+                 UNION ALL SELECT word, 'v', 's:' || right(word, 5) FROM lexwords),
 freq AS (SELECT w AS word, count(*) AS lemma_count FROM cw WHERE length(w) >= 3 GROUP BY w),
 lem0 AS (SELECT ws.synset_id, ws.word AS lemma, f.lemma_count FROM word_synsets ws JOIN freq f USING (word)
          UNION ALL SELECT * FROM (VALUES {extra}) v(synset_id, lemma, lemma_count)),
@@ -251,7 +255,20 @@ bigram AS (SELECT prev, token, n::DOUBLE / sum(n) OVER (PARTITION BY prev) AS sc
 req AS (SELECT 'c' || CAST(conv_id AS VARCHAR) || ':' || CAST(pos AS VARCHAR) AS request_id, sentence AS text,
                regexp_replace({words('sentence')}[2], '[^\\pL]', '', 'g') AS word
         FROM conv_sentences WHERE len({words('sentence')}) >= 2),
-requests AS (SELECT * FROM req WHERE word <> '')"""
+requests AS (SELECT * FROM req WHERE word <> ''),
+ending(pos, ends, put) AS (VALUES {endings}),
+irregular(pos, form, base) AS (VALUES {irregular}),
+plain AS (SELECT word, pos, replace(word, ' ', '_') AS form FROM (SELECT DISTINCT lower(word) AS word FROM requests), (VALUES {parts}) p(pos)),
+detached(word, pos, form, step) AS (
+  SELECT word, pos, form, 0 FROM plain ANTI JOIN irregular USING (pos, form)
+  UNION SELECT d.word, d.pos, d.form[:length(d.form) - length(ends)] || put, step + 1
+  FROM detached d JOIN ending e ON e.pos = d.pos AND ends_with(d.form, ends) WHERE step < {DETACH_DEPTH}),
+forms AS (SELECT word, pos, form, greatest(step, 1) AS step FROM detached
+          UNION SELECT word, pos, form, 1 FROM plain SEMI JOIN irregular USING (pos, form)
+          UNION SELECT word, p.pos, base, 1 FROM plain p JOIN irregular i ON i.pos = p.pos AND i.form = p.form),
+found AS (SELECT f.word, f.pos, f.form, f.step, s.synset_id FROM forms f JOIN word_synsets s ON s.word = f.form AND s.pos = f.pos),
+senses AS (SELECT DISTINCT word, form, synset_id FROM (SELECT *, min(step) OVER (PARTITION BY word, pos) AS least FROM found)
+           WHERE step = least)"""
 
 
 def mask_sql(text: str, word: str) -> str:

@@ -1,6 +1,10 @@
-"""Request jobs (R1, R2, R4): the reference's POST routes re-aimed as DataFrame functions over a
-request table. Each works on a static table; the stateless ones also run on a stream
-(``paraforge.streaming``).
+"""Request jobs (R1, R2, R4): the reference's POST routes re-aimed as DataFrame functions over a request table, static or
+streaming.
+
+The work on one text is row-local: a hook call for the distinct texts of an Arrow batch, then candidates as an array in the row, scored
+and picked by array expressions. A static table is answered once per distinct text and joined back; a stream is answered row by
+row, as its texts cannot be made distinct without state. R2 works on sentences, which a static table unrolls and a stream keeps nested
+(``paraforge.streaming`` runs the streams).
 """
 
 from __future__ import annotations
@@ -14,21 +18,66 @@ from paraforge.functions import text as T
 from paraforge.operators import infer as H
 from paraforge.operators import select as C
 
+CANDIDATES = "array<struct<gen_idx:int,text:string>>"
+
+
+def _once_per_text(requests: DataFrame, text: str, answer: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``requests`` with the columns that ``answer`` adds to a table with the column ``original``: for each distinct text of a static
+    table, for each row of a stream."""
+    rows = requests.withColumn("original", F.col(text))
+    if requests.isStreaming:
+        return answer(rows)
+    found = answer(rows.select("original").filter(F.col("original").isNotNull()).distinct())
+    return rows.join(found, "original", "left")
+
+
+def _generated(df: DataFrame, generator: Callable) -> DataFrame:
+    """``df`` with the generator's candidates of ``original`` as an array ``cands``."""
+    get = H.hook(generator)
+    names = df.columns
+
+    def run(batches):
+        import pandas as pd
+
+        fn = get()
+        for pdf in batches:
+            texts = pdf["original"].dropna().unique()
+            gen = fn(pd.DataFrame({"text": texts})) if len(texts) else pd.DataFrame(columns=["text", "gen_idx", "candidate"])
+            by_text: dict = {}
+            for t, g, c in zip(gen["text"], gen["gen_idx"], gen["candidate"]):
+                by_text.setdefault(t, []).append({"gen_idx": int(g), "text": c})
+            yield pdf.assign(cands=[sorted(by_text.get(t, []), key=lambda d: d["gen_idx"]) for t in pdf["original"]])[[*names, "cands"]]
+
+    return df.mapInPandas(run, ", ".join([*(_typed(df, c) for c in names), f"cands {CANDIDATES}"]))
+
+
+def _picked(df: DataFrame, generator: Callable, **rule_params) -> DataFrame:
+    """``df`` with paraphrased and confident for its column ``original``: H1 -> F2 and cosine -> C4 -> C5, all in the row."""
+    sims = F.pandas_udf(_tf_cosine_many, "array<double>")(F.col("original"), F.transform("cands", lambda c: c["text"]))
+    nested = _generated(df, generator).withColumn("_pf_sims", sims)
+    scored = F.transform("cands", lambda c, i: F.struct(
+        T.word_overlap(F.col("original"), c["text"]).alias("overlap"), c["gen_idx"].alias("gen_idx"),
+        c["text"].alias("text"), F.get(F.col("_pf_sims"), i).alias("similarity")))
+    picked = C.select_nested(nested.withColumn("scored", scored), "grounded", cands="scored", **rule_params)
+    return C.confident_or_original(picked).select(*df.columns, "paraphrased", "confident")
+
 
 def paraphrase_requests(requests: DataFrame, generator: Callable, key: str = "request_id", text: str = "text",
                         embedder: Callable | None = None, **rule_params) -> DataFrame:
     """Text -> H1 candidates -> C7 scores -> C4 grounded pick -> C5.
 
     Output (key, original, paraphrased, confident). Similarity is the term-frequency cosine
-    unless an embedder hook is given. Requests without candidates keep their text, not confident.
+    unless an embedder hook is given (static tables only: vectors are joined). Requests without candidates keep their text, not
+    confident.
     """
+    if embedder is None:
+        out = _once_per_text(requests.select(key, text), text, lambda df: _picked(df, generator, **rule_params))
+        return out.select(key, "original", F.coalesce("paraphrased", "original").alias("paraphrased"),
+                          F.coalesce("confident", F.lit(False)).alias("confident"))
     reqs = requests.select(key, F.col(text).alias("original"))
     cands = H.generate_candidates(reqs, generator, key, "original")
-    sims = None
-    if embedder is not None:
-        texts = cands.select(F.col("original").alias("text")).union(cands.select("text"))
-        sims = H.embedding_similarity(cands, H.embed_texts(texts, embedder))
-    scored = C.candidate_scores(cands, sims)
+    texts = cands.select(F.col("original").alias("text")).union(cands.select("text"))
+    scored = C.candidate_scores(cands, H.embedding_similarity(cands, H.embed_texts(texts, embedder)))
     sel = C.select_long(scored, "grounded", key=key, **rule_params).drop("original")
     out = C.confident_or_original(reqs.join(sel, key, "left"))
     return out.select(key, "original", "paraphrased", "confident")
@@ -37,14 +86,13 @@ def paraphrase_requests(requests: DataFrame, generator: Callable, key: str = "re
 def paragraph_requests(requests: DataFrame, generator: Callable, key: str = "request_id", text: str = "text",
                        **rule_params) -> DataFrame:
     """R2: F3 -> per-sentence R1 -> A9. Output (key, original, paraphrased, sentences) where
-    ``sentences`` is array<struct<original, paraphrased, confident>> in sentence order. The
-    regroup is by request: one group is one request's sentences (one input row's worth)."""
-    sents = requests.select(key, F.posexplode(T.split_sentences(text)).alias("pos", "sentence"))
-    sid = F.concat(F.col(key).cast("string"), F.lit("#"), F.col("pos").cast("string"))
-    per = paraphrase_requests(sents.select(sid.alias("_pf_sid"), F.col("sentence").alias("text")),
-                              generator, "_pf_sid", "text", **rule_params)
-    back = sents.select(key, "pos", sid.alias("_pf_sid")).join(per, "_pf_sid")
-    grouped = back.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(
+    ``sentences`` is array<struct<original, paraphrased, confident>> in sentence order. On a static table each distinct
+    sentence is answered once and joined back; the regroup is by request: one group is one request's sentences."""
+    if requests.isStreaming:
+        return _paragraphs_in_rows(requests, generator, key, text, **rule_params)
+    sents = requests.select(key, F.posexplode(T.split_sentences(text)).alias("pos", "original"))
+    found = _picked(sents.select("original").distinct(), generator, **rule_params)
+    grouped = sents.join(found, "original").groupBy(key).agg(F.sort_array(F.collect_list(F.struct(
         "pos", "original", "paraphrased", "confident"))).alias("_pf_s"))
     grouped = grouped.select(key, F.transform("_pf_s", lambda s: F.struct(
         s["original"].alias("original"), s["paraphrased"].alias("paraphrased"),
@@ -56,40 +104,40 @@ def paragraph_requests(requests: DataFrame, generator: Callable, key: str = "req
                       "sentences")
 
 
-def grammar_requests(requests: DataFrame, corrector: Callable, key: str = "request_id", text: str = "text") -> DataFrame:
-    """P10 -> H3 -> C6. Output (key, original, corrected, confident)."""
-    out = H.correct_texts(requests.select(key, F.col(text).alias("original")), corrector, "original")
-    return out.select(key, "original", "corrected", "confident")
-
-
-def _typed(df: DataFrame, name: str) -> str:
-    """The column's name and type for a schema string."""
-    return f"{name} {df.schema[name].dataType.simpleString()}"
-
-
-def grammar_requests_stream(requests: DataFrame, corrector: Callable, key: str = "request_id",
-                            text: str = "text") -> DataFrame:
-    """R4 for an unbounded input: the same rule, one hook call per row (a streaming
-    ``distinct`` would need state), no join."""
-    blank = T.is_blank(text)
+def _corrected(df: DataFrame, corrector: Callable) -> DataFrame:
+    """``df`` with corrected and confident for its column ``original``; blank texts skip the hook (P10)."""
     get = H.hook(corrector)
+    names = df.columns
 
     def run(batches):
         import pandas as pd
+
         fn = get()
         for pdf in batches:
-            todo = pdf.loc[~pdf["_pf_blank"], text].unique()
-            by_text = {}
+            todo, by_text = pdf.loc[~pdf["_pf_blank"], "original"].unique(), {}
             if len(todo):  # the answer is found by text: a hook may reorder or drop rows
                 res = fn(pd.DataFrame({"text": todo}))
                 by_text = dict(zip(res["text"], res["corrected"]))
-            corrected = [(t or "") if b else by_text.get(t) for t, b in zip(pdf[text], pdf["_pf_blank"])]
-            yield pdf.assign(corrected=pd.Series(corrected, index=pdf.index, dtype=object))[[key, text, "_pf_blank", "corrected"]]
+            corrected = [(t or "") if b else by_text.get(t) for t, b in zip(pdf["original"], pdf["_pf_blank"])]
+            yield pdf.assign(corrected=pd.Series(corrected, index=pdf.index, dtype=object))[[*names, "_pf_blank", "corrected"]]
+
+    staged = df.withColumn("_pf_blank", T.is_blank("original"))
+    fixed = staged.mapInPandas(run, ", ".join([*(_typed(df, c) for c in names), "_pf_blank boolean", "corrected string"]))
+    confident = F.when(F.col("_pf_blank"), F.lit(False)).otherwise(C.grammar_gate(F.col("original"), F.col("corrected")))
+    return fixed.select(*names, "corrected", confident.alias("confident"))
+
 
-    staged = requests.select(key, text, blank.alias("_pf_blank"))
-    fixed = staged.mapInPandas(run, f"{_typed(requests, key)}, {text} string, _pf_blank boolean, corrected string")
-    confident = F.when(F.col("_pf_blank"), F.lit(False)).otherwise(C.grammar_gate(F.col(text), F.col("corrected")))
-    return fixed.select(key, F.col(text).alias("original"), "corrected", confident.alias("confident"))
+def grammar_requests(requests: DataFrame, corrector: Callable, key: str = "request_id", text: str = "text") -> DataFrame:
+    """P10 -> H3 -> C6. Output (key, original, corrected, confident)."""
+    out = _once_per_text(requests.select(key, text), text, lambda df: _corrected(df, corrector))
+    none = F.col("original").isNull()
+    return out.select(key, "original", F.when(none, F.lit("")).otherwise(F.col("corrected")).alias("corrected"),
+                      F.when(none, F.lit(False)).otherwise(F.col("confident")).alias("confident"))
+
+
+def _typed(df: DataFrame, name: str) -> str:
+    """The column's name and type for a schema string."""
+    return f"{name} {df.schema[name].dataType.simpleString()}"
 
 
 def _tf_cosine_many(originals, candidate_lists):
@@ -105,40 +153,6 @@ def _tf_cosine_many(originals, candidate_lists):
     return pd.Series(out)
 
 
-def paraphrase_requests_stream(requests: DataFrame, generator: Callable, key: str = "request_id",
-                               text: str = "text", **rule_params) -> DataFrame:
-    """R1 for an unbounded input, with no state: the generator runs per micro-batch and its
-    candidates stay nested per request; overlap (array expressions), similarity (Arrow UDF over
-    the candidate array) and the grounded pick (``array_min(filter(...))``) are all row-local."""
-
-    get = H.hook(generator)
-
-    def run(batches):
-        fn = get()
-        import pandas as pd
-        for pdf in batches:
-            texts = pdf[text].dropna().unique()
-            gen = fn(pd.DataFrame({"text": texts})) if len(texts) else pd.DataFrame(
-                columns=["text", "gen_idx", "candidate"])
-            by_text = {}
-            for t, g, c in zip(gen["text"], gen["gen_idx"], gen["candidate"]):
-                by_text.setdefault(t, []).append({"gen_idx": int(g), "text": c})
-            cands = [sorted(by_text.get(t, []), key=lambda d: d["gen_idx"]) for t in pdf[text]]
-            yield pd.DataFrame({key: pdf[key], "original": pdf[text], "cands": cands})
-
-    nested = requests.select(key, text).mapInPandas(
-        run, f"{_typed(requests, key)}, original string, cands array<struct<gen_idx:int,text:string>>")
-    sims = F.pandas_udf(_tf_cosine_many, "array<double>")(
-        F.col("original"), F.transform("cands", lambda c: c["text"]))
-    nested = nested.withColumn("_pf_sims", sims)
-    scored = F.transform("cands", lambda c, i: F.struct(
-        T.word_overlap(F.col("original"), c["text"]).alias("overlap"), c["gen_idx"].alias("gen_idx"),
-        c["text"].alias("text"), F.get(F.col("_pf_sims"), i).alias("similarity")))
-    picked = C.select_nested(nested.withColumn("scored", scored), "grounded", cands="scored", **rule_params)
-    out = C.confident_or_original(picked)
-    return out.select(key, "original", "paraphrased", "confident")
-
-
 def _tf_cosine_nested(sentence_lists, candidate_lists):
     """Per request: for each sentence, the term-frequency cosine against each of its candidates."""
     import pandas as pd
@@ -157,10 +171,9 @@ def _tf_cosine_nested(sentence_lists, candidate_lists):
     return pd.Series(out)
 
 
-def paragraph_requests_stream(requests: DataFrame, generator: Callable, key: str = "request_id",
-                              text: str = "text", **rule_params) -> DataFrame:
-    """R2 for an unbounded input, with no state: each request keeps its sentences and their
-    candidates nested; scoring, the grounded pick and the rejoin (A9) are row-local."""
+def _paragraphs_in_rows(requests: DataFrame, generator: Callable, key: str, text: str, **rule_params) -> DataFrame:
+    """R2 with no state: each request keeps its sentences and their candidates nested; scoring, the grounded pick and
+    the rejoin (A9) are row-local."""
 
     get = H.hook(generator)
 

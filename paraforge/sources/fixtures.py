@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paraforge.functions import text as T
+from paraforge.operators.pairs import Prefix
 from paraforge.operators.ranking import split_by_ratio, with_global_rank, with_running_sum
 from paraforge.session import materialise
 from paraforge.sources.io import read_supplied, spread
@@ -47,6 +48,12 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.posexplode(T.split_sentences("text")).alias("pos", "sentence"))
 
 
+def document_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(cluster_id, sentences): each document's sentences as one row."""
+    docs = spread(read_supplied(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return docs.select(F.col("doc_id").alias("cluster_id"), T.split_sentences("text").alias("sentences"))
+
+
 @_memo
 def _conv_sentences_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation sentences with their position in the conversation (``pos``), in the whole
@@ -135,20 +142,36 @@ def _labelled_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_memo
-def labelled_pairs(spark: SparkSession, sf_dir: str, with_tokens: bool = False) -> DataFrame:
+def labelled_pairs(spark: SparkSession, sf_dir: str, with_tokens: bool = False, below: int | None = None) -> DataFrame:
     """(ord, doc_id, question1, question2, label): each sentence of a labelled document with the
     next 8; ``label`` = the document's quality; ``ord`` by (doc_id, pos, follower pos).
 
     ``ord`` is arithmetic: pairs of earlier documents (``d0``) + pairs of earlier sentences in
     this document (closed form in the sentence count) + the follower step. The pair table is
-    never sorted."""
+    never sorted. With ``below``, only pairs with a smaller ``ord``, and only documents that start before it are split."""
     docs = _labelled_docs(spark, sf_dir)
+    if below is not None:
+        docs = docs.filter(F.col("d0") < below)
     text = spread(read_supplied(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").join(docs, "doc_id")
     pairs = _doc_followers(text, FOLLOWERS, with_tokens, "label", "n", "d0")
     ord_ = F.col("d0") + _pairs_before(F.col("pos").cast("long"), F.col("n").cast("long")) + F.col("step")
     extra = [F.col("x.t").alias("question1_tokens"), F.col("y.t").alias("question2_tokens")] if with_tokens else []
-    return pairs.select(ord_.cast("long").alias("ord"), "doc_id", F.col("x.s").alias("question1"),
-                        F.col("y.s").alias("question2"), "label", *extra)
+    out = pairs.select(ord_.cast("long").alias("ord"), "doc_id", F.col("x.s").alias("question1"),
+                       F.col("y.s").alias("question2"), "label", *extra)
+    return out if below is None else out.filter(F.col("ord") < below)
+
+
+def labelled_prefix(spark: SparkSession, sf_dir: str) -> Prefix:
+    """The labelled pairs, with token sets, as a source that can be read from its beginning."""
+    total = _labelled_docs(spark, sf_dir).agg(F.max(F.col("d0") + F.col("np"))).first()[0] or 0
+    return Prefix(lambda bound: labelled_pairs(spark, sf_dir, with_tokens=True, below=bound), total)
+
+
+def lists_prefix(spark: SparkSession, sf_dir: str) -> Prefix:
+    """The paraphrase lists likewise."""
+    lists = materialise(paraphrase_lists(spark, sf_dir))
+    total = lists.agg(F.max("ord")).first()[0]
+    return Prefix(lambda bound: lists.filter(F.col("ord") < bound), 0 if total is None else total + 1)
 
 
 SPLIT_RATIOS = (("train", 0.8), ("validation", 0.1))  # sentence_pairs: the rest is test
@@ -243,12 +266,29 @@ def corpus_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_memo
 def word_synsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(word, synset_id): each corpus word of >= 3 letters in a synset of its first five and one of its last
-    five letters, which few words share."""
+    """(word, pos, synset_id): each corpus word of >= 3 letters in a synset of its first five letters, as a noun, and
+    one of its last five, as a verb; few words share them."""
     w = corpus_words(spark, sf_dir).filter(F.length("w") >= 3).select(F.col("w").alias("word")).distinct()
-    return w.select("word", F.explode(F.array(
-        F.concat(F.lit("p:"), F.substring("word", 1, 5)),
-        F.concat(F.lit("s:"), F.substring("word", -5, 5)))).alias("synset_id"))
+    rows = F.array(F.struct(F.lit("n").alias("pos"), F.concat(F.lit("p:"), F.substring("word", 1, 5)).alias("synset_id")),
+                   F.struct(F.lit("v").alias("pos"), F.concat(F.lit("s:"), F.substring("word", -5, 5)).alias("synset_id")))
+    return w.select("word", F.inline(rows))
+
+
+# A few irregular forms in the lexical database's own style (part of speech, form, base). Fixed test values.
+IRREGULAR = [
+    ("v", "was", "the"),
+    ("n", "les", "der"),
+    ("n", "les", "die"),
+    ("v", "had", "have"),
+    ("n", "men", "man"),
+    ("a", "better", "good"),
+]
+
+
+@_memo
+def irregular_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pos, form, base)."""
+    return spark.createDataFrame(IRREGULAR, "pos string, form string, base string")
 
 
 # A few lexicon rows in the lexical database's own style (multi-word names with underscores,

@@ -5,16 +5,13 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-SF_SMALL = "/root/testdata/sf0.001"
-
-
 @pytest.fixture(scope="session")
 def spark():
     from pyspark.sql import SparkSession
 
     from paraforge.session import SCALE_CONFS, checkpoint_dir
 
-    builder = (SparkSession.builder.master("local[*]").appName("paraforge-tests")
+    builder = (SparkSession.builder.master(os.environ.get("PARAFORGE_MASTER", "local[*]")).appName("paraforge-tests")
                .config("spark.sql.shuffle.partitions", "8")
                .config("spark.ui.enabled", "false")
                .config("spark.ui.showConsoleProgress", "false"))

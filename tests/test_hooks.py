@@ -41,14 +41,14 @@ def test_predictions_are_cut_before_they_are_folded(spark):
     assert len(got) == 100 and got["glad"] == 0.9
 
 
-def test_stream_corrections_are_found_by_text(spark):
+def test_corrections_are_found_by_text(spark):
     def reversed_rows():
         def fn(pdf):
             import pandas as pd
             return pd.DataFrame({"text": pdf["text"], "corrected": pdf["text"] + "."}).iloc[::-1]
         return fn
     df = spark.createDataFrame([(i, t) for i, t in enumerate(["a", "b", "a", " ", "c"])], "request_id long, text string").coalesce(1)
-    out = R.grammar_requests_stream(df, reversed_rows)
+    out = R.grammar_requests(df, reversed_rows)
     assert out.schema["request_id"].dataType.simpleString() == "bigint"
     assert {r.request_id: r.corrected for r in out.collect()} == {0: "a.", 1: "b.", 2: "a.", 3: " ", 4: "c."}
 
@@ -60,3 +60,26 @@ def test_short_builds_raise(spark):
         P.build_pairs_v4(df)
     assert P.build_pairs_v4(df, counts=None).groupBy("split").count().count() == 3
     assert P.build_pairs_v2(df, counts=None).count() == 30
+
+
+def test_a_prefix_holds_the_first_rows(spark):
+    reads = []
+    every = spark.range(5000).selectExpr("id AS ord", "id % 10 = 3 AS good")
+
+    def rows(bound):
+        reads.append(bound)
+        return every.filter(f"ord < {bound}")
+    for n, total in [(5, 5000), (40, 5000), (700, 5000), (3, 0)]:
+        reads.clear()
+        got = [r.ord for r in P.first_n_of_prefix(P.Prefix(rows, total), lambda df: df.filter("good"), n).orderBy("ord").collect()]
+        assert got == [i for i in range(total) if i % 10 == 3][:n]
+        assert reads[-1] <= min(total, max(P.GROWTH * n, P.GROWTH * 10 * n))
+    rows = [(i, f"w{i} a b c d e", f"x{i} a b c y z", 1) for i in range(90)]
+    pairs = spark.createDataFrame(rows, "ord long, question1 string, question2 string, label int")
+    lists = spark.createDataFrame([(i, f"w{i} a b c d e", f"['x{i} a b c y z']", "sentence") for i in range(50)],
+                                  "ord long, text string, paraphrases string, category string")
+    pre = [P.Prefix(lambda b, df=df: df.filter(df.ord < b), n) for df, n in ((pairs, 90), (lists, 50))]
+    for dedupe in (False, True):
+        whole, first = (P.build_pairs_v5(*s, target=4, dedupe=dedupe) for s in ((pairs, lists), pre))
+        assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, first.collect()))
+        assert whole.count() == (4 if dedupe else 8)

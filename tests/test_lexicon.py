@@ -61,3 +61,86 @@ def test_predict_masked_hook_folds_and_cuts(spark):
     assert set(by) == {"r1", "r2"}
     assert by["r1"]["glad"] == 0.2 and by["r1"]["happy"] == 0.4   # folded; the later-ranked duplicate wins
     assert len(by["r1"]) == 99                   # the best 100 are cut first, and two of them fold into one
+
+
+ENTRIES = {("happy", "a"): ["h1"], ("big", "a"): ["b1"], ("box", "n"): ["x1"], ("box", "v"): ["x2"], ("boxing", "n"): ["x3"], ("wolf", "n"): ["w1"],
+           ("man", "n"): ["m1"], ("berry", "n"): ["f1"], ("bake", "v"): ["k1"], ("run", "v"): ["r1"], ("running", "n"): ["r2"], ("ice_cream", "n"): ["i1"],
+           ("good", "a"): ["g1"], ("well", "r"): ["g2"], ("better", "v"): ["g3"], ("fine", "a"): ["fi"], ("finer", "n"): ["fn"], ("s", "n"): ["ss"],
+           ("bus", "n"): ["u1"], ("axe", "n"): ["a1"], ("ax", "n"): ["a1"], ("go", "v"): ["go"], ("happier", "n"): ["h9"]}
+EXCEPTED = [("a", "better", "good"), ("r", "better", "well"), ("v", "went", "go"), ("n", "geese", "goose"), ("a", "Happier", "happy")]
+LOOKED_UP = ["happy", "Happier", "happiest", "bigger", "boxes", "Boxing", "boxings", "wolves", "men", "berries", "bakes", "baked", "baking", "runs",
+             "running", "runnings", "ice cream", "Ice creams", "better", "went", "geese", "finer", "finest", "s", "ss", "buses", "axes", "goes", "xyz", "",
+             "boxingss", "finers"]
+
+
+def plain_senses(word):
+    """The lookup by loops over words, endings and parts of speech."""
+    key, out = word.lower().replace(" ", "_"), []
+    for pos, rules in LX.DETACHMENTS.items():
+        bases = [b for p, f, b in EXCEPTED if p == pos and f.lower() == key]
+        if bases:
+            steps = [[key, *bases]]
+        else:
+            steps, now = [], [key]
+            for depth in range(LX.DETACH_DEPTH):
+                then = [w[:len(w) - len(old)] + new for w in now for old, new in rules if w.endswith(old)]
+                steps.append([key, *then] if depth == 0 else then)
+                now = then
+        for forms in steps:
+            found = {(f, s) for f in forms for s in ENTRIES.get((f, pos), [])}
+            if found:
+                out += sorted(found)
+                break
+    return out
+
+
+def lexicon_tables(spark):
+    ws = spark.createDataFrame([(w, p, s) for (w, p), ss in ENTRIES.items() for s in ss], "word string, pos string, synset_id string")
+    return ws, spark.createDataFrame(EXCEPTED, "pos string, form string, base string")
+
+
+def test_base_forms_match_plain_lookup(spark):
+    ws, exc = lexicon_tables(spark)
+    words = spark.createDataFrame([(w,) for w in LOOKED_UP] + [(None,)], "word string")
+    got = {}
+    for r in LX.word_senses(words, ws, exc).collect():
+        got.setdefault(r.lword, []).append((r.form, r.synset_id))
+    assert {w: sorted(v) for w, v in got.items()} == {w.lower(): sorted(plain_senses(w)) for w in LOOKED_UP if plain_senses(w)}
+    assert got["happier"] and got["ice creams"] == [("ice_cream", "i1")] and ("box", "x2") in got["boxings"]
+    # without parts of speech all endings apply, without exceptions nothing stops them
+    flat = {r.lword for r in LX.word_senses(words, ws.drop("pos")).collect()}
+    assert {"wolves", "boxes", "finest", "baking"} <= flat and "went" not in flat
+
+
+def test_known_forms_invert_the_lookup(spark):
+    ws, exc = lexicon_tables(spark)
+    lemmas = spark.createDataFrame([(s, f"name-{s}", 1, 0) for ss in ENTRIES.values() for s in ss] + [("h1", "two_words", 1, 0)],
+                                   "synset_id string, lemma string, lemma_count long, ord long")
+    got = {r.key: set(r.candidates) for r in LX.known_forms(ws, lemmas, exc).collect()}
+    for w in LOOKED_UP:
+        want = {f"name-{s}" for _, s in plain_senses(w)}
+        assert got.get(w.lower().replace(" ", "_"), set()) == want, w
+
+
+def test_synonym_stream_equals_batch(spark):
+    from paraforge.streaming import requests as ST
+
+    ws, exc = lexicon_tables(spark)
+    lemmas = spark.createDataFrame([("h1", "glad", 1, 0), ("h1", "merry", 2, 1), ("h1", "happy", 3, 2), ("x1", "case", 1, 3), ("x2", "fight", 1, 4),
+                                    ("b1", "large", 1, 5)] + [("w1", f"t{i}", 1, 6) for i in range(9)],
+                                   "synset_id string, lemma string, lemma_count long, ord long")
+    bigrams = spark.createDataFrame([("so", "merry", 0.5), ("so", "glad", 0.5), ("so", "happy", 0.2), ("the", "case", 0.1), ("the", "fight", 0.3),
+                                     ("the", "large", 0.0)] + [("two", f"t{i}", 0.1 * (i % 3) + 0.1) for i in range(9)],
+                                    "prev string, token string, score double")
+    rows = [("1", "I am so happier now", "happier"), ("2", "the boxes", "Boxes"), ("3", "the big one", "big"), ("4", "two wolves", "wolves"),
+            ("5", "nothing", "absent"), ("6", "word is not in it", "boxes"), ("7", "boxes", "boxes"), ("8", None, "boxes"), ("9", "so happy", None),
+            ("10", "so happy", "happy"), ("10b", "so happy", "happy")]
+    reqs = spark.createDataFrame(rows, "request_id string, text string, word string")
+    batch = LX.contextual_synonyms(reqs, ws, lemmas, LX.bigram_predictor(bigrams), exceptions=exc)
+    forms, predictions = LX.known_forms(ws, lemmas, exc), LX.ranked_predictions(bigrams)
+    stream = ST.request_stream(spark, ST.stage_requests(reqs), "request_id string, text string, word string", 1)
+    out = ST.run_stream(spark, stream, lambda s: LX.contextual_synonyms_stream(s, forms, predictions), name="syn-test")
+    got = {(r.request_id, r.word, tuple(r.synonyms)) for r in spark.read.parquet(out).collect()}
+    assert got == {(r.request_id, r.word, tuple(r.synonyms)) for r in batch.collect()} and len(got) == len(rows)
+    by = {i: s for i, _, s in got}
+    assert by["1"] == ("glad", "merry", "happy") and by["10"] == ("glad", "merry") and by["2"] == ("fight", "case") and by["4"] == ("t2", "t5", "t8", "t1", "t4") and by["3"] == ()

@@ -1,4 +1,10 @@
+import ast
+import json
+import warnings
+
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from paraforge.functions import text as T
@@ -121,3 +127,41 @@ def test_list_literal_round_trip(spark):
     df = spark.createDataFrame([(arr,)], "a array<string>")
     lit = df.select(T.list_literal("a").alias("l"))
     assert lit.select(T.parse_paraphrase_list("l").alias("p")).first().p == arr
+
+
+PIECES = st.one_of(st.text(alphabet=st.characters(codec="utf-8", exclude_characters="\0"), max_size=8), st.integers(-10 ** 6, 10 ** 6), st.none(),
+                   st.sampled_from(["it's", 'say "x"', "a\\b", "tab\t", "é", "\U0001f600", "a/b", "line\nbreak", "\x07"]))
+SPELLINGS = [r"['\x41\102', 'b']", r"['\N{BULLET}']", "['a' 'b', \"c\" 'd']", "['''x''', \"\"\"y\"z\"\"\"]", "(1, 2.50, None)", "[1e3, -4, 1_000]", "['a',]", "('a',)", "()", "[]",
+             r"['\d', 'a\/b']", r"['😀', 'é']", "[u'a', r'\\n']", "['a\tb']", " ['lead']", r"['\0', '\a']", "[true]", "[null, 'a']", "['a', ['b']]", "{'a'}", "'a'",
+             "['a'] x", "[", "", "['a' , 'b' ]", r"['\\x41', '\x41']", "[b'a']", "[True, None]", "['open]"]
+
+
+def literal(text):
+    """What the language's own parser reads, as lists of strings."""
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            value = ast.literal_eval(text)
+    except (ValueError, SyntaxError, TypeError):
+        return None
+    if not isinstance(value, (list, tuple)) or any(isinstance(x, (list, tuple, dict, set, bytes)) for x in value):
+        return None
+    return [None if x is None else str(x).encode("utf-16", "surrogatepass").decode("utf-16", "replace") for x in value]
+
+
+def test_list_literals_read_like_the_language(spark):
+    found = []
+
+    @settings(max_examples=300, deadline=None, derandomize=True)
+    @given(st.lists(PIECES, max_size=4), st.sampled_from([repr, lambda x: repr(tuple(x)), json.dumps]))
+    def collect(items, render):
+        if render is json.dumps and (None in items or any("\x7f" in x for x in items if isinstance(x, str))):
+            return
+        found.append(render(items))
+    collect()
+    rows = sorted(set(found + SPELLINGS))
+    df = spark.createDataFrame([(s,) for s in rows] + [(None,)], "s string")
+    got = {r.s: (None if r.a is None else list(r.a)) for r in df.select("s", T.parse_paraphrase_list("s").alias("a")).collect()}
+    assert got.pop(None) is None
+    assert got == {s: literal(s) for s in rows}
+    assert len(rows) > 150 and sum(v is not None for v in got.values()) > 120
