@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from paraforge.llm.common import stored
 
 
-def _state(edges: DataFrame) -> tuple:
-    """Row count and an order-free hash of an edge table (two numbers reach the driver)."""
-    row = edges.agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(hi, lo))").alias("h")).first()
-    return row["n"], row["h"]
+def _unsettled(edges: DataFrame) -> bool:
+    """Whether a vertex hangs on two others, or on one and holds others itself: one aggregate over the vertices."""
+    ends = edges.select(F.col("hi").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        edges.select(F.col("lo").alias("v"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    counts = ends.groupBy("v").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return counts.agg(F.count_if(F.expr("up + down > 1"))).first()[0] > 0
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -24,8 +26,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     a, b = F.col(a), F.col(b)
     now = stored(edges.filter(a != b).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct(),
                  "edges")
-    state = _state(now)
-    while state[0]:
+    while _unsettled(now):
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
             now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -33,10 +34,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
                  .select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct())
         lowest = large.groupBy("hi").agg(F.min("lo").alias("m"))
         moved = large.join(lowest, "hi").filter("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        then = stored(moved.unionByName(lowest.select("hi", F.col("m").alias("lo"))).distinct(), "edges")
-        before, state, now = state, _state(then), then
-        if state == before:
-            break
+        now = stored(moved.unionByName(lowest.select("hi", F.col("m").alias("lo"))).distinct(), "edges")
     roots = now.select(F.col("lo").alias("id"), F.col("lo").alias("root")).distinct()
     return now.select(F.col("hi").alias("id"), F.col("lo").alias("root")).unionByName(roots)
 

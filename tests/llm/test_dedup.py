@@ -104,3 +104,56 @@ def test_register_estimates():
     assert abs(near_dup.estimate((ra == rb).sum()) - 0.6) < 0.15
     far = near_dup.registers([np.sort(pool[:1000]), np.sort(pool[1000:2000])])
     assert near_dup.estimate((far[0] == far[1]).sum()) < 0.02
+
+
+def near_copies(n, words=100):
+    """n texts that differ from one text in one word each."""
+    base = [f"w{i}" for i in range(words)]
+    return [(i, " ".join(base[:i % words] + [f"own{i}"] + base[i % words + 1:])) for i in range(n)]
+
+
+def test_edges_of_a_large_group_grow_with_its_size(spark, monkeypatch):
+    counts, real = {}, near_dup.stored
+
+    def counted(df, name):
+        out = real(df, name)
+        if name.endswith("-edges"):
+            counts[name] = counts.get(name, 0) + out.count()
+        return out
+    monkeypatch.setattr(near_dup, "stored", counted)
+    monkeypatch.setattr(near_dup, "BLOCK", 64)
+    seen = {}
+    for n in (400, 800, 1600):
+        counts.clear()
+        rows = near_copies(n)
+        got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert {r["component_id"] for r in got} == {0}
+        seen[n] = dict(counts)
+        # every band of a pass connects each member at most once, and a confirmed link connects two components
+        assert counts["near-links-edges"] <= 2 * n and counts["near-likely-edges"] <= (near_dup.REGISTERS // near_dup.BAND + 4) * n
+    for name in ("near-likely-edges", "near-links-edges"):
+        assert seen[1600][name] <= 2.3 * seen[800][name] and seen[800][name] <= 2.3 * seen[400][name], (name, seen)
+
+
+def test_groups_of_several_components_lose_no_link(spark, monkeypatch):
+    """Chains, two groups that touch in one pair, and outsiders, in blocks far smaller than the groups."""
+    import random
+
+    monkeypatch.setattr(near_dup, "BLOCK", 4)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(70):  # a chain: each differs a little more from the first
+        base = list(base)
+        base[rng.randrange(60)] = f"c{i}"
+        texts.append(" ".join(base))
+    other = [f"v{i}" for i in range(40)] + base[:20]
+    for i in range(60):
+        copy = list(other)
+        for _ in range(rng.randrange(1, 5)):
+            copy[rng.randrange(60)] = f"d{i}{rng.random()}"
+        texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).drop("k1", "root").collect()
+    assert Counter(map(tuple, got)) == linked(rows)
