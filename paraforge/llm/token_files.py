@@ -71,6 +71,8 @@ class TokenFileWriter:
 
     def add(self, doc_ids: list, ids: np.ndarray, counts: np.ndarray) -> None:
         """Add consecutive documents given all their ids and the number of ids of each."""
+        if len(ids) and int(ids.max()) >= 1 << (8 * self.width):
+            raise ValueError(f"id {int(ids.max())} does not fit {self.width} bytes")
         edge = np.concatenate([[0], np.cumsum(counts)])
         most = FRAME_BYTES // self.width
         at, n = 0, len(counts)
@@ -165,10 +167,21 @@ def read_documents(uri: str, doc_ids=None) -> Iterator[tuple[int | None, np.ndar
         yield from TokenFileReader(source).documents(doc_ids)
 
 
+def id_width(tokenizer: str, end_id: int = 0) -> int:
+    """Bytes per id: 2 if all ids of the tokenizer file and the end id fit, else 4."""
+    from tokenizers import Tokenizer
+
+    most = max(end_id, *Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values())
+    return 2 if most < 1 << 16 else 4
+
+
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
-                      width: int = 2) -> DataFrame:
+                      width: int | None = None) -> DataFrame:
     """Encode (doc_id, text) into token files under ``folder`` in ascending doc_id order, and return
-    the manifest table. The texts are shuffled once, by doc_id range; ids never are."""
+    the manifest table. The texts are shuffled once, by range of doc_id and beginning of the text, so that many rows of one id are
+    no single task; ids never are. ``width`` follows the vocabulary; with a narrower one, ids that do not fit raise."""
+    width = width or id_width(tokenizer, end_id)
+
     def write(batches):
         from pyspark import TaskContext
 
@@ -191,8 +204,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
             yield pa.RecordBatch.from_pylist([{"file": f"{folder}/{name}", "part": part, "n_docs": writer.n_docs,
                                                "n_tokens": writer.n_tokens, "n_bytes": writer.n_bytes}])
 
-    ordered = (docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first())
-               .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text"))
+    by_id = F.col("doc_id").asc_nulls_first()
+    ordered = (docs.select("doc_id", "text").repartitionByRange(by_id, F.substring("text", 1, 64))
+               .sortWithinPartitions(by_id, "text"))
     manifest = f"{folder}/manifest"
     ordered.mapInArrow(write, MANIFEST).write.parquet(manifest)
     return docs.sparkSession.read.schema(MANIFEST).parquet(manifest)

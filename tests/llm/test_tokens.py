@@ -139,3 +139,23 @@ def test_giant_documents_in_spark(edge_docs, edge_rows, no_docs):
     for r in rows:
         assert r["ids"] == vocab.model.encode(r["text"] or "")
     assert sp.encode(no_docs, PIECES).count() == 0
+
+
+def test_width_follows_the_vocabulary(spark):
+    assert token_files.id_width(BPE) == 2 and token_files.id_width(BPE, 1 << 16) == 4
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    wide = token_files.write_token_files(docs, scratch_path(spark, "t"), BPE, end_id=70_000).collect()
+    found = {i: ids.tolist() for m in wide for i, ids in token_files.read_documents(m["file"])}
+    assert found[2] == [70_000] and found[1][-1] == 70_000 and len(found[1]) == 3
+    import io
+
+    with pytest.raises(ValueError):
+        token_files.TokenFileWriter(io.BytesIO(), 2).add([1], np.array([70_000]), np.array([1]))
+
+
+def test_rows_of_one_id_are_spread(spark):
+    docs = spark.range(3000).selectExpr("CAST(7 AS LONG) AS doc_id", "concat('t', id * 7919 % 3000) AS text")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the ranges are small here
+    manifest = token_files.write_token_files(docs, scratch_path(spark, "t"), BPE)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert manifest.count() > 1 and manifest.agg({"n_docs": "max"}).first()[0] < 2000
