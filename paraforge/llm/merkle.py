@@ -35,7 +35,7 @@ FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 FAN = 16
 TAMPER_EVERY = 5
 
-DIGEST = 64
+DIGEST = 32  # bytes; tables hold digests as bytes, and H reads their hex text
 NODE = ("grp", "level", "place", "run", "up_grp", "up_level", "up_place", "up_at")
 CHUNK_LEVELS = 3
 ROW_LIMIT = "spark.sql.cteRecursionRowLimit"
@@ -65,8 +65,13 @@ class Manifest:
     root: str | None
 
 
-def _joined(column: str) -> Column:
-    return F.concat_ws("", column)
+def _hex(digests: Column) -> Column:
+    return F.lower(F.hex(digests))
+
+
+def _joined(digests: str) -> Column:
+    """An array of digests as one run of bytes."""
+    return F.unhex(F.concat_ws("", F.transform(digests, lambda d: F.hex(d))))
 
 
 def _levels(bottom: DataFrame, level: int, name: str) -> tuple[list[DataFrame], DataFrame | None]:
@@ -80,7 +85,7 @@ def _levels(bottom: DataFrame, level: int, name: str) -> tuple[list[DataFrame],
                 .agg(F.sort_array(F.collect_list(F.struct("place", "digest"))).alias("below"),
                      F.expr(f"max((n + {FAN - 1}) div {FAN})").alias("n"), F.max("total").alias("total")))
         now = stored(runs.select("grp", F.lit(level).alias("level"), "place", "n", "total", _joined("below.digest").alias("run"))
-                     .withColumn("digest", F.sha2("run", 256)), name)
+                     .withColumn("digest", F.unhex(F.sha2(_hex(F.col("run")), 256))), name)
         built.append(now)
         tops = tops.unionByName(now.filter("n = 1").select("grp", "digest"))
         most = -(-most // FAN)
@@ -99,8 +104,8 @@ def _parent() -> list[Column]:
 def build(docs: DataFrame, fields=FIELDS, changed: dict[str, Column] | None = None) -> Manifest:
     """The manifest of ``docs``, and beside each leaf the digest ``start`` of the row with the ``changed`` columns in place of its
     own (by default the leaf itself), from which ``climb`` goes up."""
-    rows = docs.select("doc_id", "source", leaf_digest(*(F.col(f) for f in fields)).alias("leaf"),
-                       leaf_digest(*((changed or {}).get(f, F.col(f)) for f in fields)).alias("start"))
+    rows = docs.select("doc_id", "source", F.unhex(leaf_digest(*(F.col(f) for f in fields))).alias("leaf"),
+                       F.unhex(leaf_digest(*((changed or {}).get(f, F.col(f)) for f in fields))).alias("start"))
     order = [F.col("source").asc_nulls_first(), F.col("doc_id").asc_nulls_first(), F.col("leaf")]
     ranked = with_global_rank(rows, order, "rank")
     ranked = ranked.withColumn("no_source", F.isnull("source")).withColumn("source", F.coalesce("source", F.lit("")))
@@ -117,7 +122,7 @@ def build(docs: DataFrame, fields=FIELDS, changed: dict[str, Column] | None = No
     over, root = _levels(subroots.select(F.lit(-1).cast("long").alias("grp"), F.col("grp").alias("place"),
                                          F.lit(n_groups).cast("long").alias("n"), "digest"), 0, "merkle-over")
     first = root.first()
-    nodes = docs.sparkSession.createDataFrame([], "grp long, level int, place long, n long, total long, run string")
+    nodes = docs.sparkSession.createDataFrame([], "grp long, level int, place long, n long, total long, run binary")
     for built in [*levels, *over]:
         nodes = nodes.unionByName(built.drop("digest"))
     nodes = nodes.withColumn("n_groups", F.lit(n_groups)).select("*", *_parent()).drop("n_groups")
@@ -129,7 +134,7 @@ def build(docs: DataFrame, fields=FIELDS, changed: dict[str, Column] | None = No
     leaves = stored(leaves.withColumn("n_groups", F.lit(n_groups)), "merkle-runs")
     sources = groups.select("grp", F.when(~F.col("no_source"), F.col("source")).alias("source"), "n").join(
         subroots.withColumnRenamed("digest", "subroot"), "grp")
-    return Manifest(leaves, nodes, sources, first["digest"] if first else None)
+    return Manifest(leaves, nodes, sources, bytes(first["digest"]).hex() if first else None)
 
 
 def _copies(manifest: Manifest) -> DataFrame:
@@ -154,12 +159,13 @@ def _copies(manifest: Manifest) -> DataFrame:
     return inside.unionByName(above.join(over, ["level", "place"]).select("of_grp", "chunk", *NODE))
 
 
-# SQL for a node's digests before and after the place ``at``, and for one step up.
-BEFORE, AFTER = f"left({{run}}, {DIGEST} * {{at}})", f"substr({{run}}, {DIGEST} * ({{at}} + 1) + 1)"
+# SQL for a node's digests before and after the place ``at``, for their parent over a digest between them, and for one step up.
+BEFORE, AFTER = f"substr({{run}}, 1, {DIGEST} * {{at}})", f"substr({{run}}, {DIGEST} * ({{at}} + 1) + 1)"
+FOLD = "unhex(sha2(lower(hex(concat({before}, {digest}, {after}))), 256))"
 CLIMB = """WITH RECURSIVE climb(grp, chunk, place, folded, proof, subroot, up_grp, up_level, up_place, up_at) AS (
 SELECT grp, chunk, place, folded, proof, subroot, up_grp, up_level, up_place, up_at FROM {leaves}
 UNION ALL
-SELECT c.grp, c.chunk, c.place, transform(c.folded, f -> sha2(concat({before}, f, {after}), 256)), concat(c.proof, {before}, {after}),
+SELECT c.grp, c.chunk, c.place, transform(c.folded, f -> {fold}), concat(c.proof, {before}, {after}),
   coalesce(c.subroot, CASE WHEN n.grp < 0 THEN substr(n.run, {digest} * c.up_at + 1, {digest}) END), n.up_grp, n.up_level, n.up_place, n.up_at
 FROM climb c JOIN {nodes} n
   ON c.grp = n.of_grp AND c.chunk = n.chunk AND c.up_grp = n.grp AND c.up_level = n.level AND c.up_place = n.place)
@@ -171,12 +177,12 @@ def climb(manifest: Manifest) -> DataFrame:
     follows from them and the leaf's ``start``."""
     spark = manifest.leaves.sparkSession
     own = {"run": "run", "at": "i"}
-    fold = f"sha2(concat({BEFORE.format(**own)}, items[i].start, {AFTER.format(**own)}), 256)"
+    fold = FOLD.format(before=BEFORE.format(**own), digest="items[i].start", after=AFTER.format(**own))
     runs = manifest.leaves.withColumn("run", _joined("items.leaf"))
     # A run of leaves is a node of level 1, or of level 0 where the source has one leaf, which starts as itself.
     lone = F.col("n") == 1
     base = runs.withColumns({
-        "chunk": F.expr(f"place div {FAN ** CHUNK_LEVELS}"), "proof": F.lit(""), "subroot": F.lit(None).cast("string"),
+        "chunk": F.expr(f"place div {FAN ** CHUNK_LEVELS}"), "proof": F.lit(b""), "subroot": F.lit(None).cast("binary"),
         "folded": F.when(lone, F.col("items.start")).otherwise(F.expr(f"transform(sequence(0, size(items) - 1), i -> {fold})")),
         "level": F.when(lone, 0).otherwise(1), "n": F.expr(f"(n + {FAN - 1}) div {FAN}")})
     base = stored(base.select("grp", "chunk", "place", "folded", "proof", "subroot", *_parent()), "merkle-base")
@@ -187,7 +193,8 @@ def climb(manifest: Manifest) -> DataFrame:
     limit = spark.conf.get(ROW_LIMIT, None)
     spark.conf.set(ROW_LIMIT, "-1")
     try:
-        top = stored(spark.sql(CLIMB.format(before=BEFORE.format(**step), after=AFTER.format(**step), digest=DIGEST, **names)),
+        around = {"before": BEFORE.format(**step), "after": AFTER.format(**step)}
+        top = stored(spark.sql(CLIMB.format(fold=FOLD.format(digest="f", **around), digest=DIGEST, **around, **names)),
                      "merkle-climbed")
     finally:
         if limit is None:
@@ -196,11 +203,11 @@ def climb(manifest: Manifest) -> DataFrame:
             spark.conf.set(ROW_LIMIT, limit)
         for name in names.values():
             spark.catalog.dropTempView(name)
-    siblings = F.when(lone, F.lit("")).otherwise(F.concat(F.expr(BEFORE.format(run="run", at="at")), F.expr(AFTER.format(run="run", at="at"))))
+    siblings = F.when(lone, F.lit(b"")).otherwise(F.concat(F.expr(BEFORE.format(run="run", at="at")), F.expr(AFTER.format(run="run", at="at"))))
     each = runs.join(top, ["grp", "place"]).select("n", "run", "folded", "proof", "subroot", F.posexplode("items").alias("at", "item"))
     root = F.lit(manifest.root)
-    return each.select("item.doc_id", "item.leaf", F.coalesce("subroot", root).alias("subroot"), root.alias("root"),
-                       F.concat(siblings, "proof").alias("proof"), F.get("folded", "at").alias("folded_root"))
+    return each.select("item.doc_id", _hex(F.col("item.leaf")).alias("leaf"), F.coalesce(_hex(F.col("subroot")), root).alias("subroot"),
+                       root.alias("root"), _hex(F.concat(siblings, "proof")).alias("proof"), _hex(F.get("folded", "at")).alias("folded_root"))
 
 
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
