@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paraforge.llm.common import table
+from paraforge.llm.common import table, text_key, unused
 from paraforge.llm.words import slices
 
 SAMPLE = 300
@@ -156,14 +156,17 @@ def held_out(doc_id) -> F.Column:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """Fit on at most ``sample`` labelled documents per language that are not held out."""
+    """Fit on at most ``sample`` different labelled documents per language that are not held out, in a seeded order of
+    id and text; repeated rows count once and rows that only share an id are different, so ``sample`` bounds what
+    reaches the driver."""
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull()
                            & ~held_out(F.col("doc_id")))
-    order = Window.partitionBy("lang").orderBy("tie", "doc_id")
-    chosen = (labelled.select("lang", "doc_id", F.xxhash64(F.lit(5), "doc_id").alias("tie"))
-              .withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= sample)
-              .select("doc_id", "lang", "tie").distinct())
-    rows = (labelled.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"]).select("lang", "tie", "text")
+    labelled = labelled.select("doc_id", "lang", "text", *text_key(F.col("text")))
+    keys = ["lang", "doc_id", "k1", "k2"]
+    order = Window.partitionBy("lang").orderBy("tie", "doc_id", "k1", "k2")
+    chosen = (labelled.select(*keys).distinct().withColumn("tie", F.xxhash64(F.lit(5), "doc_id"))
+              .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= sample).select(*keys, "tie"))
+    rows = (labelled.join(chosen, keys).dropDuplicates(keys).select("lang", "tie", "text")
             .mapInArrow(_distinct_codes, "lang string, tie long, codes array<int>").toArrow())
     picked = sorted(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), range(rows.num_rows)))
     lists = rows.column(2).combine_chunks()
@@ -196,7 +199,7 @@ def predict(docs: DataFrame, model: Model | None, lang_pred: str = "lang_pred",
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names]
     schema = ", ".join([*fields, f"{lang_pred} string", f"{score} double"])
-    return docs.select(F.col("text").alias("_t"), *names).mapInArrow(run, schema)
+    return docs.select(F.col("text").alias(unused(docs, "text")[0]), *names).mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
