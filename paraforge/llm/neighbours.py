@@ -14,8 +14,8 @@
 4. Lists full of links of their own group hide links to other groups. So further passes with new tables propose
    only pairs of different components found so far, joined with the graph kept, until a pass finds no link.
 5. Recall is audited: ``AUDIT`` vertices chosen by hash, and as many of small groups, are compared with all
-   vectors. The mean over the vertices of either sample must reach ``RECALL``; else more passes follow, and after
-   ``MAX_PASSES`` the job fails.
+   vectors. The mean over the vertices of either sample must reach ``RECALL``; else more passes follow. Passes draw new
+   tables, so a pair is missed by n of them with probability ``MISS`` ** n at most, and the passes come to an end.
 6. A list whose ``K`` entries are all links is saturated and may hide more. So the lists of linked vertices
    are enlarged to their whole component: members are compared in pairs of bounded blocks, which
    counts every link inside the component exactly and returns counts, not pairs.
@@ -26,6 +26,8 @@ rows and null ids are rows of their own; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -40,12 +42,12 @@ THRESHOLD = 0.9
 FLOOR = 0.5
 K = 10
 BLOCK = 256
+COUNT_BLOCK, COUNT_ROWS = 4096, 512
 LEAST_TABLES = 16
 MISS = 1e-3
 FINER = 16
 AUDIT = 200
 RECALL = 0.98
-MAX_PASSES = 8
 MAX_ROUNDS = 6
 FRESH_SHARE = 0.01
 PAIR = "a long, b long, s double"
@@ -185,12 +187,15 @@ def _count_links(kind: str):
             sizes = np.array([len(v) for v in vectors])
             for size in np.unique(sizes):
                 own = np.flatnonzero(sizes == size)
-                rows = unit_rows([vectors[i] for i in own], kind)
-                near = rows @ rows.T >= THRESHOLD
-                np.fill_diagonal(near, False)
-                part = side[own]
-                near &= (part[:, None] == 3) | (part[:, None] != part[None, :])
-                held.append((ids[own], near @ weight[own]))
+                rows, part = unit_rows([vectors[i] for i in own], kind), side[own]
+                # inside a block every row meets all others, across blocks each side the other one
+                for left, right in [(part == 3, part == 3), (part == 1, part == 2), (part == 2, part == 1)]:
+                    left, right = np.flatnonzero(left), np.flatnonzero(right)
+                    for at in range(0, len(left) if len(right) else 0, COUNT_ROWS):
+                        some = left[at:at + COUNT_ROWS]
+                        near = rows[some] @ rows[right].T >= THRESHOLD
+                        near &= some[:, None] != right[None, :]
+                        held.append((ids[own[some]], near @ weight[own[right]]))
             if len(held) > 500:
                 yield _count_batch(held)
                 held = []
@@ -301,7 +306,7 @@ def linked_components(classes: DataFrame, kind: str) -> DataFrame:
     size = classes.count()
     bits = int(max(1, min(60, np.ceil(np.log2(max(2, size / BLOCK))))))
     kept = links = roots = None
-    for step in range(MAX_PASSES):
+    for step in count():
         tables = range(step * n_tables(bits), (step + 1) * n_tables(bits))
         rooted = _rooted(classes, roots)
         buckets = _cut_full(classes.select("c", "vec").mapInArrow(
@@ -323,31 +328,32 @@ def linked_components(classes: DataFrame, kind: str) -> DataFrame:
             roots = stored(components(links).withColumnRenamed("id", "c"), "vector-roots")
         if settled and _audit(_rooted(classes, roots), kind, step) >= RECALL:
             return roots
-    raise RuntimeError(f"near vectors: links were still found, or recall was below {RECALL}, after {MAX_PASSES} passes")
 
 
 def near_vectors(rows: DataFrame) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of (vec_id, embedding)."""
     kind = "<f4" if rows.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"
     packed = stored(rows.select("vec_id", "embedding").mapInArrow(_pack(kind), "vec_id long, vec binary")
-                    .select("vec_id", "vec", F.when(F.col("vec").isNotNull(), F.xxhash64("vec")).alias("c")), "vectors")
-    classes = stored(packed.filter("c IS NOT NULL").groupBy("c").agg(
-        F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("w"), F.first("vec").alias("vec")), "vector-classes")
+                    .select("vec_id", "vec", F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(7), "vec").alias("h2")), "vectors")
+    classes = stored(packed.filter("vec IS NOT NULL").groupBy("h1", "h2").agg(
+        F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("w"), F.first("vec").alias("vec"))
+        .withColumn("c", F.monotonically_increasing_id()), "vector-classes")
     roots = linked_components(classes, kind)
 
     sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
     inside = roots.join(sizes, "root").join(classes.select("c", "w", "vec"), "c")
-    dealt = block_pairs(inside, F.ceil(F.col("size") / BLOCK), F.xxhash64("c")).select("root", "bi", "bj", "side", "c", "w", "vec")
+    dealt = block_pairs(inside, F.ceil(F.col("size") / COUNT_BLOCK), F.xxhash64("c")).select("root", "bi", "bj", "side", "c", "w", "vec")
     keys = ["root", "bi", "bj"]
     links = (dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_count_links(kind), "c long, n long")
              .groupBy("c").agg(F.sum("n").alias("n")))
 
-    named = classes.select("c", "w", "first_id").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
+    named = classes.select("c", "h1", "h2", "w", "first_id").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_class = stored(named.join(least, "root").join(links, "c", "left").select(
-        "c", "component_id", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links")), "vector-result")
-    out = packed.select("vec_id", "c").join(of_class, "c", "left")
-    component = F.when(F.col("c").isNotNull(), F.col("component_id")).otherwise(F.col("vec_id"))
+        "h1", "h2", "component_id", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links")), "vector-result")
+    linked = F.col("vec").isNotNull()
+    out = packed.select("vec_id", "h1", "h2", linked.alias("linked")).join(of_class.withColumn("linked", F.lit(True)), ["h1", "h2", "linked"], "left")
+    component = F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("vec_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"),
                       F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
