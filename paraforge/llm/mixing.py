@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paraforge.llm.common import WORD, stored, table
+from paraforge.llm.common import WORD, stored, table, unused
 
 BLOCKS = 100_000
 SHARD_BLOCKS = 64
@@ -209,12 +209,13 @@ def whole_copies(taken: DataFrame) -> DataFrame:
 
 def mixed_rows(docs: DataFrame, **settings) -> DataFrame:
     """The rows of the mix: each row of ``docs`` as often as ``whole_copies`` says."""
+    own, i, tie, source, n = unused(docs, "own_tie", "mix_id", "mix_tie", "mix_source", "copies")
     copies = whole_copies(mix(docs.select("doc_id", "text", "source"), **settings)).select(
-        F.col("doc_id").alias("_id"), F.col("tie").alias("_t"), F.col("source").alias("_s"), F.col("copies").alias("_copies"))
-    keyed = docs.withColumn("_tie", _tie()).dropDuplicates(["doc_id", "_tie", "source"])
-    return (keyed.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tie") == F.col("_t"))
-                       & F.col("source").eqNullSafe(F.col("_s")))
-            .withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+        F.col("doc_id").alias(i), F.col("tie").alias(tie), F.col("source").alias(source), F.col("copies").alias(n))
+    keyed = docs.withColumn(own, _tie()).dropDuplicates(["doc_id", own, "source"])
+    return (keyed.join(copies, F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(own) == F.col(tie))
+                       & F.col("source").eqNullSafe(F.col(source)))
+            .withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n))))
             .select(*docs.columns))
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paraforge.llm.common import stored, table, text_key
+from paraforge.llm.common import stored, table, text_key, unused
 from paraforge.llm.words import U64, as_signed, row_of, slices, sliding_argmin, window_hashes, word_hashes, word_spans
 
 WINDOW = 35
@@ -239,12 +239,13 @@ def strip_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     space), ``n_words`` and ``n_removed`` added. The operator's columns win over input columns of the
     same names, apart from ``text``."""
     own = ["kept_text", "n_words", "n_removed"]
-    spans = repeated_spans(docs, window).toDF("_k1", "_k2", "_spans")
     names = [c for c in docs.columns if c not in own]
+    a, b, found, text = unused(docs, "k1", "k2", "spans", "whole")
+    spans = repeated_spans(docs, window).toDF(a, b, found)
     k1, k2 = text_key(F.col("text"))
-    keyed = docs.select(*names, k1.alias("_k1"), k2.alias("_k2")).join(spans, ["_k1", "_k2"], "left")
+    keyed = docs.select(*names, k1.alias(a), k2.alias(b)).join(spans, [a, b], "left")
     empty = F.array().cast("array<struct<a:int,b:int>>")
-    rows = keyed.select(F.col("text").alias("_t"), F.coalesce("_spans", empty).alias("_s"), *names)
+    rows = keyed.select(F.col("text").alias(text), F.coalesce(found, empty).alias(found), *names)
     schema = "kept_text string, n_words long, n_removed long, " + ", ".join(
         f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names)
     return rows.mapInArrow(_strip, schema).select(*names, *own)
