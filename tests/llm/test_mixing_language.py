@@ -114,3 +114,72 @@ def test_prediction_sees_only_the_text(spark, edge_docs):
     assert key(a) == key(b)
     none = language.predict(edge_docs, None)
     assert {r["lang_pred"] for r in none.collect()} == {"und"}
+
+
+def test_sample_is_bounded_by_different_rows(spark):
+    one = next(i for i in range(1000, 1100) if not language_held(i))
+    rows = [(one, f"the one and the other {chr(97 + i // 26 % 26)}{chr(97 + i % 26)}z{chr(97 + i // 40)}", "en") for i in range(900)] + [(one, "the same row", "en")] * 300 + [(i, f"der eine und der andere {i}", "de") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+
+    def fit(samples, *args):
+        seen.extend(samples)
+        return real(samples, *args)
+    real = language.fit
+    language.fit = fit
+    try:
+        model = language.train(docs, 50)
+    finally:
+        language.fit = real
+    assert sum(lang == "en" for lang, _ in seen) == 50 and len(seen) == 50 + sum(
+        not language_held(i) for i in range(40))
+    assert len({codes.tobytes() for lang, codes in seen if lang == "en"}) == 50
+    assert model is not None
+
+
+def language_held(doc_id):
+    return zlib.crc32(str(doc_id).encode()) % 4 == 2
+
+
+CLASH = ["_t", "text_", "_text", "_lang_pred", "_score", "lang_pred_", "_k1", "_k2", "_id", "k1", "k2", "id", "key1", "key2", "spans", "_spans", "whole", "_tie",
+         "own_tie", "mix_id", "mix_tie", "mix_source", "copies", "_copies", "_n", "root", "cid", "grp", "tie", "rank"]
+
+
+def test_columns_of_any_name_pass_the_stages(spark):
+    import corpus_pipeline
+
+    rows = [(i, f"the house and the tree and the road {i % 20} are here", ["en", None][i % 2], f"s{i % 3}", 40, *[f"{c}{i}" for c in CLASH]) for i in range(60)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASH)
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert got, name
+        for r in got:
+            assert all(r[c] == f"{c}{r['doc_id']}" for c in CLASH), name
+    assert corpus_pipeline.sentencepiece(spark, docs, SF).count() == len(rows)
+
+
+def test_taken_follows_the_blocks_of_a_plain_mix(spark):
+    """The words a source gives, seat by seat: quotas by highest quotients, whole passes, then blocks in seeded order."""
+    rows = [(i, "w " * (i * 37 % 90 + 1), ["a", "b", None][i % 3]) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs, blocks=200, shard_blocks=8).collect()
+    sizes = defaultdict(int)
+    for i, t, s in rows:
+        sizes[s] += len(t.split())
+    target, total = filled(sizes), sum(sizes.values())
+    block = max(1.0, total / 200)
+    seats = round(sum(target.values()) / block)
+    quota = dict.fromkeys(sizes, 0)
+    for _ in range(seats):
+        best = max(sizes, key=lambda s: target[s] / (2 * quota[s] + 1))
+        quota[best] += 1
+    taken = defaultdict(int)
+    for r in got:
+        taken[r["source"]] += r["taken"]
+    for s in sizes:
+        # a shard gives whole tokens of its blocks: at most one token a shard is lost to rounding
+        shards = max(1, -(-sizes[s] // int(block * 8)))
+        assert abs(taken[s] - min(quota[s] * block, 3 * sizes[s])) <= shards + 1, s

@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_all_operators_are_registered():
     names = E.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
     assert "pipeline" in names and 4 <= len(corpus_pipeline.STAGES) <= 5
 
@@ -59,3 +59,26 @@ def test_language_stage_goes_by_the_classifier(spark):
     unlabelled = spark.createDataFrame([(i, t, None) for i, t, _ in rows], schema)
     got = {r["doc_id"] for r in corpus_pipeline.language_id(spark, unlabelled, SF).collect()}
     assert got == {*range(80), 900, 901}
+
+
+def test_dedup_stages_match_brute_force(spark):
+    import hashlib
+
+    from test_dedup import linked, stripped
+
+    docs = table(spark, SF, "documents")
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    kept = corpus_pipeline.near_dedup(spark, docs, SF)
+    assert {r["doc_id"] for r in kept.collect()} == {doc_id for doc_id, _, _, stays in linked(rows) if stays}
+    left = [(r["doc_id"], r["text"]) for r in kept.select("doc_id", "text").collect()]
+    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.substring_dedup(spark, kept, SF).collect()}
+    for (doc_id, _, removed, digest), n in stripped(left, 35).items():
+        text = out[doc_id]
+        assert n == 1 and (text == dict(left)[doc_id] if removed == 0 else hashlib.sha256(text.encode()).hexdigest() == digest)
+
+
+def test_language_stage_rejects_nothing_else(spark):
+    docs = table(spark, SF, "documents")
+    kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, SF).collect()}
+    for doc_id, text in docs.select("doc_id", "text").collect():
+        assert (doc_id in kept) == any(c.isalpha() for c in text or ""), doc_id
