@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paraforge.llm import language, mixing, near_dup, sentencepiece_scan, substrings
-from paraforge.llm.common import stored, table
+from paraforge.llm.common import stored, table, unused
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,9 +21,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.train(docs)
     if model is None:
         return docs.filter(F.col("text").rlike(r"\p{L}")).withColumn("lang", F.coalesce("lang", F.lit(language.UNKNOWN)))
-    found = language.predict(docs, model, "_lang_pred", "_score").filter(
-        (F.col("_lang_pred") != language.UNKNOWN) & (F.col("_score") > 0))
-    return found.withColumn("lang", F.coalesce("lang", "_lang_pred")).select(*docs.columns)
+    lang, score = unused(docs, "lang_pred", "score")
+    found = language.predict(docs, model, lang, score).filter((F.col(lang) != language.UNKNOWN) & (F.col(score) > 0))
+    return found.withColumn("lang", F.coalesce("lang", lang)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
