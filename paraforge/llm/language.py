@@ -33,7 +33,7 @@ SAMPLE = 300
 LANDMARKS = 60
 RIDGE = 1e-2
 UNKNOWN = "und"
-ROWS = 256
+ROWS = 64
 #: Codes of 1-, 2- and 3-grams follow each other.
 BASES = (0, 1 << 8, (1 << 8) + (1 << 16))
 CODES = BASES[2] + (1 << 24)
@@ -86,7 +86,7 @@ class Model:
     weights: np.ndarray  # one row per n-gram, one column per language
 
     def lookup(self) -> np.ndarray:
-        place = np.full(CODES, len(self.codes), dtype=np.int32)
+        place = np.full(CODES, len(self.codes), dtype=np.uint16 if len(self.codes) < 1 << 16 else np.int32)
         place[self.codes] = np.arange(len(self.codes))
         return place
 
@@ -166,7 +166,8 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     order = Window.partitionBy("lang").orderBy("tie", "doc_id", "k1", "k2")
     chosen = (labelled.select(*keys).distinct().withColumn("tie", F.xxhash64(F.lit(5), "doc_id"))
               .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= sample).select(*keys, "tie"))
-    rows = (labelled.join(chosen, keys).dropDuplicates(keys).select("lang", "tie", "text")
+    # At most ``sample`` rows a language, as many as the model is fitted on: the texts need no shuffle to be picked.
+    rows = (labelled.join(F.broadcast(chosen), keys).dropDuplicates(keys).select("lang", "tie", "text")
             .mapInArrow(_distinct_codes, "lang string, tie long, codes array<int>").toArrow())
     picked = sorted(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), range(rows.num_rows)))
     lists = rows.column(2).combine_chunks()

@@ -15,7 +15,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 U64 = np.uint64
 
 
@@ -33,21 +33,21 @@ def _byte_values(seed: int) -> np.ndarray:
     return mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(seed * 7919 + 1)) | U64(1)
 
 
-@lru_cache(maxsize=32)
-def _powers(seed: int, log_n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i below 2**log_n (the base is odd)."""
-    base = int(mix(np.array([seed + 17], dtype=U64))[0]) | 5
-    inverse = pow(base, -1, 1 << 64)
-    out = []
-    for b in (base, inverse):
-        steps = np.full(1 << log_n, b, dtype=U64)
-        steps[0] = 1
-        out.append(np.cumprod(steps, dtype=U64))
-    return out[0], out[1]
+#: One table a seed, as long as the longest slice so far: a worker that many stages use holds no second copy.
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(seed, max(10, int(n).bit_length()))
+    """base**i and base**-i modulo 2**64 for i from 0 to n at least (the base is odd)."""
+    if seed not in _POWERS or len(_POWERS[seed][0]) <= n:
+        base = int(mix(np.array([seed + 17], dtype=U64))[0]) | 5
+        out = []
+        for b in (base, pow(base, -1, 1 << 64)):
+            steps = np.full(1 << max(10, int(n).bit_length()), b, dtype=U64)
+            steps[0] = 1
+            out.append(np.cumprod(steps, dtype=U64))
+        _POWERS[seed] = out[0], out[1]
+    return _POWERS[seed]
 
 
 def slices(col: pa.Array, limit: int = SLICE_BYTES):
