@@ -75,7 +75,8 @@ def correction_candidates(unknown: DataFrame, vocabulary: DataFrame, k: int = CA
     todo = unknown.filter(F.length("word") > 2)
     near = deletions(todo, "word", _edits(F.col("word"))).select("word", "left")
     index = deletions(vocabulary.select(F.col("word").alias("candidate"), "n"), "candidate", F.lit(2)).select("candidate", "n", "left")
-    pairs = near.join(index, "left").select("word", "candidate", "n").distinct()
+    # Both sides grow by the strings of a word, which the size estimate does not see: neither may be broadcast.
+    pairs = near.join(index.hint("merge"), "left").select("word", "candidate", "n").distinct()
     pairs = pairs.withColumn("distance", F.explode(F.array(edit_distance("word", "candidate")))).filter(
         (F.col("distance") >= 1) & (F.col("distance") <= _edits(F.col("word"))))
     best = Window.partitionBy("word").orderBy("distance", F.desc("n"), "candidate")

@@ -319,3 +319,13 @@ def test_more_dimensions_than_words(spark):
     dot = sum(x * y for x, y in zip(got["a b"], got["b"]))
     assert len(got["b"]) == 8 and sum(x * x for x in got["a b"]) == pytest.approx(1, abs=1e-5) and 0 < dot < 1 and not any(got[""])
     assert V.latent_vectors(spark.createDataFrame([], "text string"), 4).count() == 0
+
+
+def test_deletion_index_is_never_broadcast(spark, tmp_path):
+    # A file of 30,000 words is small, its strings are not: the estimate of a Generate is that of its input.
+    spark.range(30_000).select(F.substring(F.md5(F.col("id").cast("string")), 1, 9).alias("word"), F.lit(5).cast("long").alias("n")).write.parquet(
+        str(tmp_path / "words"))
+    vocabulary = spark.read.parquet(str(tmp_path / "words"))
+    found = E.correction_candidates(spark.createDataFrame([("abcdef",)], "word string"), vocabulary)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
