@@ -26,7 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paraforge.session import materialise
+from paraforge.session import materialise, write_once
 
 _LOCAL_BITS = 33  # monotonically_increasing_id = partition index << 33 | row index in partition
 
@@ -118,8 +118,9 @@ def seeded_order_key(key_cols: Sequence, seed: int | str) -> Column:
 
 def seeded_shuffle(df: DataFrame, key_cols: Sequence, seed: int | str = 42, name: str = "shuffle_rank",
                    num_partitions: int | None = None) -> DataFrame:
-    """K5: random permutation with a seed, as a dense rank column (0-based)."""
-    keyed = df.withColumn("_pf_h", seeded_order_key(key_cols, seed))
+    """K5: random permutation with a seed, as a dense rank column (0-based). The rows are written before they are ranked:
+    a range exchange reads its input twice, once for its bounds."""
+    keyed = write_once(df.withColumn("_pf_h", seeded_order_key(key_cols, seed)), "shuffle-keys")
     ranked = with_global_rank(keyed, ["_pf_h", *key_cols], name, num_partitions)
     return ranked.drop("_pf_h")
 
@@ -137,22 +138,30 @@ def first_n_per_group(df: DataFrame, group: Sequence[str] | None, order: Sequenc
 
 
 def cut_before_rank(df: DataFrame, group: Sequence[str], order: str, n) -> DataFrame:
-    """Drop rows that cannot be among the first ``n`` of their group by ``order`` (a position >= 0).
+    """Drop rows that cannot be among the first ``n`` of their group by ``order`` (a position).
 
     A plain top-n sends up to n rows from every task to one. Here rows are first counted per group and
-    bit length of their position (a partial aggregate with at most 64 rows per group), which gives each
-    group a power of two below which at least n rows lie; only rows below it are ranked afterwards. That
-    is no more than the rows between the half and the whole of that bound beyond n, whatever the
-    number of tasks. ``n`` is a number, or a Column of the group columns."""
-    bits = F.length(F.bin(F.greatest(F.col(order).cast("long"), F.lit(0).cast("long"))))
+    bit length of their distance from the group's first position (a partial aggregate with at most 64 rows
+    per group), which gives each group a power of two below which at least n rows lie; only rows below it
+    are ranked afterwards. That is no more than the rows between the half and the whole of that bound
+    beyond n, whatever the number of tasks and wherever the group begins. The positions are written once
+    for both aggregates. ``n`` is a number, or a Column of the group columns."""
+    place = F.greatest(F.col(order).cast("long"), F.lit(0).cast("long"))
+
+    def bits(first):
+        return F.length(F.bin(place - first))
+
     n = F.lit(n) if isinstance(n, int) else n
-    counts = df.groupBy(*group, bits.alias("_pf_b")).agg(F.count(F.lit(1)).alias("_pf_c"))
+    places = write_once(df.select(*group, order), "positions")
+    firsts = F.broadcast(places.groupBy(*group).agg(F.min(place).alias("_pf_first")))  # one row a group
+    met = places.join(firsts, list(group)) if group else places.crossJoin(firsts)
+    counts = met.groupBy(*group, "_pf_first", bits(F.col("_pf_first")).alias("_pf_b")).agg(F.count(F.lit(1)).alias("_pf_c"))
     before = Window.partitionBy(*group).orderBy("_pf_b").rowsBetween(Window.unboundedPreceding, -1)
     needed = counts.withColumn("_pf_s", F.coalesce(F.sum("_pf_c").over(before), F.lit(0))).filter(F.col("_pf_s") < n)
-    if not group:
-        return df.filter(bits <= needed.select(F.max("_pf_b")).scalar())
-    cuts = needed.groupBy(*group).agg(F.max("_pf_b").alias("_pf_cut"))
-    return df.join(cuts, list(group)).filter(bits <= F.col("_pf_cut")).drop("_pf_cut")
+    cuts = needed.groupBy(*group).agg(F.max("_pf_b").alias("_pf_cut"), F.min("_pf_first").alias("_pf_first"))
+    # Groups are few (sources, splits): a shuffle by them would take each whole to one task.
+    met = df.join(F.broadcast(cuts), list(group)) if group else df.crossJoin(F.broadcast(cuts))
+    return met.filter(bits(F.col("_pf_first")) <= F.col("_pf_cut")).drop("_pf_cut", "_pf_first")
 
 
 def split_by_counts(ranked: DataFrame, rank_col: str, counts: Sequence[tuple[str, int]],
