@@ -181,10 +181,13 @@ def question_source(labelled_pairs: DataFrame, lo: float, hi: float) -> DataFram
     return qualifying_pairs(pos, "question1", "question2", ["ord"], lo, hi)
 
 
-def declarative_source(lists: DataFrame, lo: float, hi: float) -> DataFrame:
+def _declarative_pairs(lists: DataFrame) -> DataFrame:
     decl = filter_category(lists, "==", "sentence")
-    first = T.first_paraphrase(T.parse_paraphrase_list("paraphrases"))
-    return qualifying_pairs(decl, "text", first, ["ord"], lo, hi)
+    return normalise_pair_columns(decl, "text", T.first_paraphrase(T.parse_paraphrase_list("paraphrases")), ["ord"])
+
+
+def declarative_source(lists: DataFrame, lo: float, hi: float) -> DataFrame:
+    return overlap_band(with_overlap(_declarative_pairs(lists)), lo, hi)
 
 
 def build_pairs_v2(labelled_pairs: DataFrame | Prefix, target: int = V2_TARGET, counts=V2_COUNTS,
@@ -240,14 +243,17 @@ def build_pairs_v6(labelled_pairs: DataFrame | Prefix, lists: DataFrame | Prefix
 
 def build_stage_counts(labelled_pairs: DataFrame, lists: DataFrame, target: int = V5_TARGET,
                        lo: float = BAND[0], hi: float = BAND[1]) -> DataFrame:
-    """A2 for B4: rows after each stage, as (stage, num_rows), in one union of aggregates."""
+    """A2 for B4: rows after each stage, as (stage, num_rows), in one union of aggregates. The rows of a source are
+    scored once and kept as (ord, overlap); all its stages read these."""
     def n(df: DataFrame, stage: str) -> DataFrame:
         return df.agg(F.count(F.lit(1)).cast("long").alias("num_rows")).select(F.lit(stage).alias("stage"), "num_rows")
-    q = question_source(labelled_pairs, lo, hi)
-    d = declarative_source(lists, lo, hi)
-    return (n(filter_positive(labelled_pairs), "question_positives")
-            .unionByName(n(q, "question_in_band"))
-            .unionByName(n(first_n_per_source(q, target, source=None), "question_capped"))
-            .unionByName(n(filter_category(lists, "==", "sentence"), "declarative_rows"))
-            .unionByName(n(d, "declarative_in_band"))
-            .unionByName(n(first_n_per_source(d, target, source=None), "declarative_capped")))
+
+    def stages(scored: DataFrame, rows: str, name: str) -> DataFrame:
+        kept = write_once(scored.select("ord", "overlap"), f"{name}-overlaps")
+        in_band = overlap_band(kept, lo, hi)
+        return (n(kept, f"{name}_{rows}").unionByName(n(in_band, f"{name}_in_band"))
+                .unionByName(n(first_n_per_source(in_band, target, source=None), f"{name}_capped")))
+
+    q = normalise_pair_columns(filter_positive(labelled_pairs), "question1", "question2", ["ord"])
+    return stages(with_overlap(q), "positives", "question").unionByName(
+        stages(with_overlap(_declarative_pairs(lists)), "rows", "declarative"))

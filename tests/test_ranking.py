@@ -82,3 +82,37 @@ def test_index_quantiles_rule(spark, n):
     r = index_quantiles(df).first()
     s = sorted(vals)
     assert (r.n, r.min, r.q1, r.median, r.q3, r.max) == (n, s[0], s[n // 4], s[n // 2], s[3 * n // 4], s[-1])
+
+
+def test_cut_before_rank_counts_from_the_first_of_a_group(spark):
+    from paraforge.operators.ranking import cut_before_rank
+    # a split that begins far from 0: its positions all have the same bit length
+    df = spark.range(0, 40_000).select(F.when(F.col("id") < 33_000, "train").otherwise("test").alias("split"), F.col("id").alias("ord"))
+    cut = cut_before_rank(df, ["split"], "ord", 100)
+    got = {r.split: (r.n, r.lo) for r in cut.groupBy("split").agg(F.count("*").alias("n"), F.min("ord").alias("lo")).collect()}
+    assert got["train"][1] == 0 and got["test"][1] == 33_000
+    assert all(100 <= n <= 300 for n, _ in got.values())
+    plan = cut._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" not in plan  # no shuffle by the split
+    every = cut_before_rank(df, [], "ord", 100)
+    assert 100 <= every.count() <= 300 and cut_before_rank(df.limit(0), [], "ord", 5).count() == 0
+
+
+def test_stage_counts_and_shuffle_score_their_rows_once(spark):
+    from paraforge.operators.pairs import build_stage_counts
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    schema = "ord long, question1 string, question2 string, label int"
+    pairs = spark.createDataFrame([(i, "a b c d", "a x y z" if i % 2 else "q r s t", 1) for i in range(40)], schema).mapInPandas(told, schema)
+    lists = spark.createDataFrame([(0, "a b c d", '["a x y z"]', "sentence")], "ord long, text string, paraphrases string, category string")
+    got = {r.stage: r.num_rows for r in build_stage_counts(pairs, lists, 5, 0.1, 0.5).collect()}
+    assert got == {"question_positives": 40, "question_in_band": 20, "question_capped": 5, "declarative_rows": 1, "declarative_in_band": 1,
+                   "declarative_capped": 1}
+    assert seen.value == 40
+    seeded_shuffle(pairs, ["ord"]).collect()
+    assert seen.value == 80
