@@ -144,3 +144,43 @@ def test_synonym_stream_equals_batch(spark):
     assert got == {(r.request_id, r.word, tuple(r.synonyms)) for r in batch.collect()} and len(got) == len(rows)
     by = {i: s for i, _, s in got}
     assert by["1"] == ("glad", "merry", "happy") and by["10"] == ("glad", "merry") and by["2"] == ("fight", "case") and by["4"] == ("t2", "t5", "t8", "t1", "t4") and by["3"] == ()
+
+
+def test_candidates_and_frequency_against_plain_loops(spark, monkeypatch):
+    """Names of several synsets, two forms that share one, repeated rows, several words a key; in blocks of a few rows."""
+    from collections import defaultdict
+
+    senses = [("run", "s1"), ("run", "s2"), ("run", "s2"), ("runs", "s3"), ("go", "s1"), ("go", "s3"), ("lone", "s9")]
+    lemmas = [("s1", "Run", 3, 0), ("s1", "race", 2, 1), ("s2", "race", 5, 2), ("s2", "race", 1, 3), ("s2", "Race", 1, 4), ("s3", "race_on", 4, 5),
+              ("s3", "go", None, 6), ("s3", "move", None, 7)] + [("s1", f"w{i}", i, 10 + i) for i in range(40)] + [("s3", f"w{i}", 1, 60 + i) for i in range(20)]
+    asked = [("a", "run"), ("a", "go"), ("b", "Run"), ("b", "run"), ("c", "RUNS"), ("d", "none"), ("e", None), (None, "run"), (None, "go")]
+    ws = spark.createDataFrame(senses, "word string, synset_id string")
+    sl = spark.createDataFrame(lemmas, "synset_id string, lemma string, lemma_count long, ord long")
+    reqs = spark.createDataFrame(asked, "request_id string, word string")
+    found = defaultdict(list)
+    for r in LX.word_senses(reqs, ws).collect():
+        found[r.lword].append(r.synset_id)
+    pairs, freq = set(), defaultdict(list)
+    for k, w in asked:
+        for s in found.get((w or "").lower(), []):
+            pairs |= {(k, name.lower()) for t, name, _, _ in lemmas if t == s and "_" not in name and name.lower() != w.lower()}
+    for w in {w for _, w in asked if w}:
+        for s in found.get(w.lower(), []):
+            for t, name, n, o in lemmas:
+                if t == s and name.replace("_", " ").lower() != w.lower():
+                    freq[w, name.replace("_", " ")].append((n, o))
+    want = {(w, name): (sum(n for n, _ in v if n is not None) if any(n is not None for n, _ in v) else None, min(o for _, o in v)) for (w, name), v in freq.items()}
+    for size in (LX.WORD_BLOCK, 2):
+        monkeypatch.setattr(LX, "WORD_BLOCK", size)
+        monkeypatch.setattr(LX, "NAME_BLOCK", size)
+        got = [tuple(r) for r in LX.lexicon_candidates(reqs, ws, sl).collect()]
+        assert set(got) == pairs and len(got) == len(pairs)
+        rows = LX.synonym_frequency(reqs, ws, sl).collect()
+        assert {(r.word, r.name): (r.freq, r.first_ord) for r in rows} == want and len(rows) == len(want)
+        words = LX.word_candidates(reqs, ws, sl)
+        assert words.count() == words.distinct().count() and {(r.lword, r.candidate) for r in words.collect()} == {
+            (w.lower(), c) for k, w in asked if w for kk, c in pairs if (kk, w) == (k, w) and any(
+                t in found[w.lower()] and n.lower() == c and "_" not in n and c != w.lower() for t, n, _, _ in lemmas)}
+    # no shuffle of the pairs themselves: nothing is grouped after words and names have met
+    plan = LX.word_candidates(reqs, ws, sl)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.index("SortMergeJoin") < len(plan) and "HashAggregate" not in plan[:plan.index("SortMergeJoin")]
