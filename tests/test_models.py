@@ -329,3 +329,16 @@ def test_deletion_index_is_never_broadcast(spark, tmp_path):
     found = E.correction_candidates(spark.createDataFrame([("abcdef",)], "word string"), vocabulary)
     plan = found._jdf.queryExecution().sparkPlan().toString()
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
+def test_places_are_not_grouped_and_hold_one_context(spark, prose, monkeypatch):
+    """The places of the words are written as they come, with their longest context only."""
+    model = K.train(spark.createDataFrame([(s,) for s in prose], "sentence string"))
+    written = {}
+    real = K.write_once
+    monkeypatch.setattr(K, "write_once", lambda df, name: written.update({name: df}) or real(df, name))
+    rows = spark.createDataFrame([(1, ["the", "cat"] * 3)], "id long, w array<string>")
+    assert K.scores(rows, model).count() == 1
+    places = written["kn-places"]
+    assert places.columns == ["id", "context3", "word"] and places.count() == 7
+    assert "Aggregate" not in places._jdf.queryExecution().optimizedPlan().toString()
