@@ -83,3 +83,44 @@ def test_a_prefix_holds_the_first_rows(spark):
         whole, first = (P.build_pairs_v5(*s, target=4, dedupe=dedupe) for s in ((pairs, lists), pre))
         assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, first.collect()))
         assert whole.count() == (4 if dedupe else 8)
+
+
+def test_candidates_are_made_in_slices(spark, monkeypatch):
+    """A generator never gets a whole batch of long texts at once, and the answers do not depend on the slices."""
+    from paraforge.plans import requests as R
+
+    texts = [f"word{i} " + "some words that are long " * 40 for i in range(30)] + [None, "", "One two. Three four."]
+    df = spark.createDataFrame(list(enumerate(texts)), "request_id long, text string").coalesce(1)
+
+    def small():
+        inner = H.drop_word_generator(8)()
+
+        def fn(pdf):
+            assert pdf["text"].str.len().sum() <= 3_000
+            return inner(pdf)
+        return fn
+
+    want = [sorted(map(str, job(df, H.drop_word_generator(8)).collect())) for job in (R.paraphrase_requests, R.paragraph_requests)]
+    monkeypatch.setattr(R, "SLICE_CHARS", 1_000)
+    assert sorted(map(str, R.paraphrase_requests(df, small).collect())) == want[0]
+    folder = str(df.sparkSession.conf.get("spark.checkpoint.dir")) + "/slices-in"
+    df.write.mode("overwrite").parquet(folder)
+    stream = spark.readStream.schema(df.schema).parquet(folder)
+    from paraforge.streaming import requests as ST
+
+    out = ST.run_stream(spark, stream, lambda s: R.paragraph_requests(s, small), name="slices")
+    assert sorted(map(str, spark.read.parquet(out).collect())) == want[1]
+
+
+def test_vectors_meet_by_position(spark):
+    items = [(1, 0, "a b"), (1, 1, "a"), (1, 1, "b"), (1, 3, "a b"), (2, 0, "a"), (2, 9, "a")]
+    df = spark.createDataFrame(items, "g long, pos long, sentence string")
+    vectors = H.embed_texts(df.withColumnRenamed("sentence", "text"), H.hashed_bow_embedder(8))
+    got = sorted((r.g, r.pos, r.step, round(r.similarity, 6)) for r in H.follower_similarity(df, vectors, 2, "g").collect())
+    known = {r.text: r.vec for r in vectors.collect()}
+
+    def cos(x, y):
+        u, v = known[x], known[y]
+        return round(sum(p * q for p, q in zip(u, v)) / (sum(p * p for p in u) * sum(q * q for q in v)) ** 0.5, 6)
+    want = sorted((g, p, q - p, cos(s, t)) for g, p, s in items for h, q, t in items if g == h and 1 <= q - p <= 2)
+    assert got == want and len(got) == 4
