@@ -160,6 +160,38 @@ def _tf_cosine_batch(a, b):
     return pd.Series(out, dtype="float64")
 
 
+def _tf_cosine_lists(originals, candidate_lists):
+    """Term-frequency cosine of each text against each of its list (Arrow batch); terms are counted once per distinct text of
+    the batch."""
+    import pandas as pd
+
+    lists = [[] if c is None else list(c) for c in candidate_lists]
+    flat = _tf_cosine_batch([o for o, c in zip(originals, lists) for _ in c], [x for c in lists for x in c]).tolist()
+    at = 0
+    out = []
+    for c in lists:
+        out.append(flat[at:at + len(c)])
+        at += len(c)
+    return pd.Series(out, dtype=object)
+
+
+def scored_in_rows(df: DataFrame, tokens: str = "tokens", texts: str = "texts", text_tokens: str = "text_tokens") -> DataFrame:
+    """C7 on nested candidates: (..., cands array<struct<overlap, gen_idx, text, similarity>>) for rows (original, its token set, the
+    candidates' texts and token sets as arrays in order of generation). No shuffle."""
+    sims = F.pandas_udf(_tf_cosine_lists, "array<double>")(F.col("original"), F.col(texts))
+    shared = F.transform(text_tokens, lambda t: F.size(F.array_intersect(F.col(tokens), t)))
+    staged = df.select("*", sims.alias("_pf_sims"), F.explode(F.array(shared)).alias("_pf_shared"))  # evaluated once
+
+    def overlap(i):
+        both, mine, its = F.get(F.col("_pf_shared"), i), F.size(tokens), F.size(F.get(F.col(text_tokens), i))
+        return F.when((mine == 0) | (its == 0), F.lit(0.0)).otherwise(both.cast("double") / (mine + its - both).cast("double"))
+
+    one = F.transform(texts, lambda t, i: F.struct(
+        overlap(i).alias("overlap"), i.cast("int").alias("gen_idx"), t.alias("text"),
+        F.coalesce(F.get(F.col("_pf_sims"), i), F.lit(0.0)).alias("similarity")))
+    return staged.withColumn("cands", F.explode(F.array(one))).drop("_pf_sims", "_pf_shared", tokens, texts, text_tokens)
+
+
 def tf_cosine_column(a, b) -> Column:
     """Term-frequency cosine of two text columns, per row: a vectorised (Arrow-batched) pandas
     UDF, linear in the text length, no shuffle. The relational ``tf_cosine`` computes the same

@@ -73,3 +73,28 @@ def test_paraphrase_requests_with_embedder_hook(spark):
     assert out["b"] == ("", False)                      # no words, no candidates: original kept
     text, ok = out["a"]
     assert ok and len(text.split()) == 6                # one word dropped, grounded, confident
+
+
+def test_documents_are_picked_in_their_row(spark, tmp_path):
+    """Repeated and null ids against the pick over rows; no sentence of a document is shuffled beyond its document."""
+    from paraforge.plans import catalog
+    from paraforge.sources import fixtures as X
+
+    a = "The cat sat on the mat. The cat sat on a mat. A dog ran off. The cat sat on the mat today. Bob has 3 cats."
+    b = "A dog ran off. A dog ran far off. The cat sat on it."
+    rows = [(1, a), (2, b), (2, a), (2, a), (3, None), (None, a), (4, ""), (5, "One.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    full = docs.selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "length(text) AS n_chars")
+    full.write.parquet(str(tmp_path / "documents.parquet"))
+    sf = str(tmp_path)
+    for rule, params in (("grounded", {"sim": 0.3}), ("meaning_gate", {}), ("or_lowest", {"sim": 0.3})):
+        long = C.select_long(catalog._scored(spark, sf, "documents"), rule, **params)
+        want = C.with_all_sentences(long, X.all_sentences(spark, sf, "documents"))
+        X.reset_memo()
+        got = catalog._select(spark, sf, rule, "documents", **params)
+        show = lambda df: sorted(map(str, df.select("sentence_id", "original", "sel.gen_idx", "sel.text", "sel.overlap", "sel.similarity").collect()))
+        assert show(got) == show(want) and len(show(got)) > 20
+    docs.filter("doc_id = 1").selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "length(text) AS n_chars").write.parquet(str(tmp_path / "one" / "documents.parquet"))
+    X.reset_memo()
+    plan = catalog._select(spark, str(tmp_path / "one"), "grounded", "documents")._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
