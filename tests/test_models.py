@@ -114,6 +114,29 @@ def test_candidates_come_back_per_request(spark, bigrams):
     assert set(by) == {"r1", "r2"} and by["r1"] == by["r2"] and set(by["r1"]) == set(range(5))
 
 
+def test_texts_meet_the_bigrams_in_blocks(spark, bigrams, monkeypatch):
+    texts = spark.createDataFrame([(f"{t} {i % 3}",) for i, t in enumerate(TEXTS * 4) if t], "text string")
+    rows = lambda: sorted(tuple(r) for r in D.decode(texts, bigrams, samples=4).collect())
+    expected = rows()
+    monkeypatch.setattr(D, "BLOCK_WORDS", 32)
+    assert D._blocks(texts)[1] > 2 and rows() == expected and len(expected) > 20
+    # A text meets its rewrites as one list, which is unrolled after the join: no row a rewrite is shuffled.
+    reqs = texts.select(D.F.monotonically_increasing_id().alias("sentence_id"), D.F.col("text").alias("original"))
+    for out in (D.sampled_candidates(reqs, bigrams, n=5), D.decoded_strategies(reqs, bigrams)):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("Generate posexplode(candidates") < plan.index("Join Inner")
+
+
+def test_a_choice_is_worked_out_once_for_all_samples(monkeypatch):
+    steps = [{"place": i, "a": a, "b": b, "share": 0.2 + b / 10} for i in range(1, 30) for a in range(3) for b in range(3)]
+    lattice, asked = D.Lattice("x " * 30, ["x"] * 30, [[]] + [["p", "q"]] * 29, steps), []
+    odds = D.Lattice.odds
+    monkeypatch.setattr(D.Lattice, "odds", lambda self, place, before: asked.append((place, before)) or odds(self, place, before))
+    paths = {tuple(D.sample(lattice, n)) for n in range(40)}
+    D.beam(lattice), D.diverse(lattice)
+    assert len(paths) > 20 and max(asked.count(x) for x in asked) <= 2  # once for the samples, once for the searches
+
+
 # Corrector ----------------------------------------------------------------------------------------------
 
 
