@@ -333,3 +333,26 @@ def test_audit_sees_lost_small_groups(spark, monkeypatch):
     roots = {r["c"]: r["root"] for r in neighbours.linked_components(df.select("c", "vec"), "<f8").collect()}
     assert len(salts) == 3 and len(set(salts)) == 3  # passes go on, with new tables, until the audit is met
     assert roots == {c: 0 if c < 1000 else c - c % 2 for c, _, _ in packed}
+
+
+def test_a_wave_scores_few_documents_in_full(monkeypatch):
+    import pyarrow as pa
+
+    from paraforge.llm import search as S
+    from paraforge.llm.words import slices
+
+    monkeypatch.setattr(S, "DENSE_SHARE", 0)
+    # The first blocks have the higher bounds (a or b in a document), the others the higher scores (both, in ever longer texts).
+    first = ["z " * 9 + ("a " if i % 2 else "b ") * 8 for i in range(S.FIRST_BLOCKS * S.BLOCK_DOCS)]
+    texts = first + ["z " * 9 + "a a a b b b " + "z " * i for i in range(14 * S.BLOCK_DOCS)]
+    index = S.ShardIndex(200.0)
+    for _, data, off in slices(pa.array(texts)):
+        index.add(data, off)
+    index.finish()
+    _, data, off = next(iter(slices(pa.array(["a b"]))))
+    asked, sizes, exact = np.sort(S.term_counts(data, off)[1]), [], S.ShardIndex.exact
+    monkeypatch.setattr(S.ShardIndex, "exact", lambda self, docs: sizes.append(len(docs)) or exact(self, docs))
+    (docs, scores), = index.search_batch([(asked, np.ones(2))], 10)
+    index.query_weight[index.places(asked, np.ones(2))[0]] = 1.0
+    best = np.sort(exact(index, np.arange(index.n)))[::-1][:10]
+    assert np.allclose(np.sort(scores)[::-1][:10], best) and sum(sizes) < len(first) + 100
