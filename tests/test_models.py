@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import re
 from collections import Counter, defaultdict
 from hashlib import md5
 
@@ -365,3 +366,36 @@ def test_places_are_not_grouped_and_hold_one_context(spark, prose, monkeypatch):
     places = written["kn-places"]
     assert places.columns == ["id", "context3", "word"] and places.count() == 7
     assert "Aggregate" not in places._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_place_is_shuffled_once_and_by_one_key(spark, prose, monkeypatch):
+    """The joins with grams and sums of all orders lie in one stage, dealt by the context's last word."""
+    model = K.train(spark.createDataFrame([(s,) for s in prose], "sentence string"))
+    written = {}
+    real = K.write_once
+    monkeypatch.setattr(K, "write_once", lambda df, name: written.update({name: df}) or real(df, name))
+    rows = spark.createDataFrame([(i, s.lower().split()) for i, s in enumerate(prose) if s.strip()], "id long, w array<string>")
+    before = spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition", None)
+    assert K.scores(rows, model).count() == rows.count()
+    plan = written["kn-scores"]._jdf.queryExecution().executedPlan().toString()
+    keys = {re.sub(r"#\d+L?", "", x) for x in re.findall(r"hashpartitioning\((.*), \d+\)", plan)}
+    assert keys and keys <= {"key", "word", "id"}
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition", None) == before
+
+
+def test_longer_grams_and_a_mark_in_the_text(spark):
+    texts = ["a b c d e", "a b c d f", "x b c d e", "<s> b c d </s>", "b c <s> a", "a", "c d e a b", "a b c d e", "é \u3000 b\u00a0c"]
+    model = K.train(spark.createDataFrame([(s,) for s in texts], "sentence string"), order=5)
+    _, score, grams = kneser_ney(texts, 5)
+    for k in range(1, 6):
+        assert {(*r.context.split(), r.word): r.c for r in model.grams[k].collect()} == dict(grams[k])
+    tests = [t.lower().split() for t in texts] + [["d", "c", "b"], ["q"], ["<s>", "<s>", "a"]]
+    got = {r.id: r.score for r in K.scores(spark.createDataFrame(list(enumerate(tests)), "id long, w array<string>"), model).collect()}
+    for i, words in enumerate(tests):
+        assert got[i] == pytest.approx(score(words), abs=1e-9)
+
+
+def test_scores_without_a_trained_sentence(spark):
+    model = K.train(spark.createDataFrame([], "sentence string"))
+    got = K.scores(spark.createDataFrame([(1, ["a", "b"])], "id long, w array<string>"), model).collect()
+    assert [(r.id, r.score) for r in got] == [(1, 0.0)]
