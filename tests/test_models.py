@@ -399,3 +399,57 @@ def test_scores_without_a_trained_sentence(spark):
     model = K.train(spark.createDataFrame([], "sentence string"))
     got = K.scores(spark.createDataFrame([(1, ["a", "b"])], "id long, w array<string>"), model).collect()
     assert [(r.id, r.score) for r in got] == [(1, 0.0)]
+
+
+def test_vectors_do_not_depend_on_blocks_and_files(spark, monkeypatch, tmp_path):
+    import numpy as np
+
+    from paraforge.operators import embed as V
+
+    rng = random.Random(4)
+    texts = [" ".join(f"w{min(rng.randrange(40), rng.randrange(40))}" for _ in range(rng.randrange(0, 12))) for _ in range(120)] + ["w1 " * 50, "own words"]
+    table = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+
+    def cosines(vectors):
+        x = np.array([vectors[t] for t in sorted(vectors) if t.strip()])
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        return x @ x.T
+
+    whole = {r.text: r.vec for r in V.latent_vectors(table, 6).collect()}
+    monkeypatch.setattr(V, "BLOCK_WORDS", 25)
+    monkeypatch.setattr(V, "FILE_WORDS", 7)
+    monkeypatch.setattr(V, "HELD_WORDS", 12)
+    parts = {r.text: r.vec for r in V.latent_vectors(table, 6).collect()}
+    assert set(whole) == set(parts) == set(texts) and np.abs(cosines(whole) - cosines(parts)).max() < 1e-5
+
+
+def test_a_round_returns_a_row_for_each_word_of_a_task(spark, monkeypatch, tmp_path):
+    """Not one for each word of each text; files of earlier rounds are not kept."""
+    import numpy as np
+
+    from paraforge.operators import embed as V
+
+    texts = [f"all of these words come in each text t{i}" for i in range(50)]
+    monkeypatch.setattr(V, "scratch_path", lambda spark, name: str(tmp_path / f"{name}-{len(list(tmp_path.iterdir()))}"))
+    words, matrix = V.term_matrix(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert words.count() == 58 and sum(len(r.texts) for r in matrix.select("texts").collect()) == 50
+    files, turn = V.principal_words(words, matrix, 4, 2)
+    assert len(files) == 1 and [str(f) for f in tmp_path.glob("*/words-00000000-*")] == files
+    rows = V._there_and_back(matrix.coalesce(1), files, turn).collect()
+    assert sorted(r.number for r in rows) == [*range(-4, 58)]
+    block = np.fromfile(files[0]).reshape(58, 4) @ turn
+    assert np.abs(block.T @ block - np.eye(4)).max() < 1e-9
+
+
+def test_sums_of_segments_in_pieces(monkeypatch):
+    import numpy as np
+
+    from paraforge.operators import embed as V
+
+    rng = np.random.default_rng(3)
+    edge = np.array([0, 0, 5, 5, 6, 19, 20, 20])
+    weight, index, source = rng.random(20), rng.integers(0, 9, 20), rng.random((9, 3))
+    want = np.stack([(weight[a:z, None] * source[index[a:z]]).sum(axis=0) for a, z in zip(edge[:-1], edge[1:])])
+    for at_once in (1, 2, 7, 100):
+        monkeypatch.setattr(V, "AT_ONCE", at_once)
+        assert np.abs(V._sums(edge, weight, index, source) - want).max() < 1e-12
