@@ -172,7 +172,11 @@ def _candidates_of(rows: DataFrame, names: DataFrame) -> DataFrame:
     """(columns of ``rows``, name): each row (..., senses) with each different name of its synsets, once: a name is taken where
     the row and the name have no synset in common before the one they meet in. ``names`` is ``_single_names``."""
     rows = rows.withColumn("synset_id", F.explode("senses")).withColumn("senses", _below("senses"))
-    return _met(rows, names).filter(~F.arrays_overlap("senses", "before")).drop("senses", "before", "synset_id")
+    # Most pairs are told apart without the set that an overlap builds for each.
+    met_before = F.when((F.size("senses") == 0) | (F.size("before") == 0), F.lit(False)).when(
+        (F.size("senses") == 1) & (F.size("before") == 1), F.get("senses", F.lit(0)) == F.get("before", F.lit(0))).otherwise(
+        F.arrays_overlap("senses", "before"))
+    return _met(rows, names).filter(~met_before).drop("senses", "before", "synset_id")
 
 
 def lexicon_candidates(words: DataFrame, word_synsets: DataFrame, synset_lemmas: DataFrame,
@@ -393,9 +397,10 @@ def score_lookup(requests: DataFrame, word_synsets: DataFrame, synset_lemmas: Da
         mine = _word_synsets_of(own, word_synsets, exceptions, "word").select("lword", F.col("mine.synset_id").alias("senses"))
         hits = _predicted_hits(own, mine, top, synset_lemmas, key).filter(F.col("masked") & F.col(key).isNotNull() & F.col("senses").isNotNull())
         # Read for the sizes of the synsets and for the pairs: written, so that predictions and senses are worked out once.
-        asked = write_once(hits.select(key, "lword", "senses", F.transform("hits", scored).alias("few")), "asked-words")
+        asked = write_once(hits.select(key, "lword", "senses", F.col("hits.token").alias("few"), F.col("hits.score").alias("scores")), "asked-words")
         found = _candidates_of(asked, _single_names(synset_lemmas)).filter(F.col("name") != F.col("lword"))
-        score = F.when(F.size("few") > 0, F.get(F.filter("few", lambda p: p["candidate"] == F.col("name")), 0)["score"])
+        # No lambda: the whole expansion stays one generated loop.
+        score = F.when(F.size("few") > 0, F.get("scores", (F.array_position("few", F.col("name")) - 1).cast("int")))
         out = found.select(key, F.col("name").alias("candidate"), F.coalesce(score, F.lit(0.0)).alias("score"))
     return out if shared is None else out.unionByName(by_pairs(shared))
 

@@ -231,6 +231,26 @@ def test_score_lookup_works_out_its_lists_once(spark):
     assert "Window" not in plan and "LogicalRDD" not in plan and "collect_set" not in plan
 
 
+def test_a_pair_of_request_and_candidate_needs_no_lambda(spark):
+    """The expansion is one generated loop; names and words with none, one or several synsets before the one they meet in come once."""
+    ws = [("a", f"s{i}") for i in range(4)] + [("b", "s3"), ("b", "s1"), ("c", "s2")]
+    names = {"one": [3], "two": [1, 3], "three": [0, 2, 3], "four": [0, 1, 2, 3], "five": [1, 2]}
+    table = [(f"s{i}", n, 1, 0) for n, homes in names.items() for i in homes]
+    bigrams = [("x", "two", 0.5), ("x", "four", 0.25), ("x", "one", 0.25)]
+    rows = [(f"{w}{left}", f"{left} {w}", w) for w in "abc" for left in "xy"]
+    predictor = LX.bigram_predictor(spark.createDataFrame(bigrams, "prev string, token string, score double"))
+    out = LX.score_lookup(spark.createDataFrame(rows, "request_id string, text string, word string"), spark.createDataFrame(ws, "word string, synset_id string"),
+                          spark.createDataFrame(table, "synset_id string, lemma string, lemma_count long, ord long"), predictor)
+    expected = []
+    for key, text, word in rows:
+        mine = {s for w, s in ws if w == word}
+        few = {t: x for p, t, x in bigrams if p == text[0]}
+        expected += [(key, n, few.get(n, 0.0)) for n, homes in names.items() if mine & {f"s{i}" for i in homes}]
+    assert sorted(tuple(r) for r in out.collect()) == sorted(expected)
+    pairs = out._jdf.queryExecution().optimizedPlan().toString().split("\n")[:2]  # the scores and the join, with its condition
+    assert "Project" in pairs[0] and "Join" in pairs[1] and "lambda" not in "".join(pairs)
+
+
 def test_senses_meet_the_lexicon_once(spark):
     words = spark.createDataFrame([("boxes",), ("Box",), (None,)], "word string")
     ws = spark.createDataFrame([("box", "n", "s1"), ("boxes", "n", "s2"), ("boxe", "n", "s3")], "word string, pos string, synset_id string")
