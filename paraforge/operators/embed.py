@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from paraforge.functions import text as T
 from paraforge.llm.token_files import place_of
 from paraforge.operators.ranking import with_global_rank
-from paraforge.session import scratch_path, write_once
+from paraforge.session import release_shuffles, scratch_path, write_once
 
 DIMS, EXTRA, ROUNDS = 32, 8, 4
 BLOCK_WORDS, FILE_WORDS, HELD_WORDS = 1 << 19, 1 << 13, 1 << 17
@@ -272,6 +272,7 @@ def principal_words(words: DataFrame, matrix: DataFrame, k: int, rounds: int = R
     for _ in range(rounds):
         back, gram = _in_files(_there_and_back(matrix, files, turn), k, n)
         _drop(files)
+        release_shuffles(matrix.sparkSession)
         # The texts' rows would be turned before they go back: the sums by word are turned instead.
         files, turn = back, _orthonormal(gram)
         turn = turn @ _orthonormal(_gram_of(matrix.sparkSession, files, turn))
